@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontam, minhash, substr
+from lakeloom.llm import bpe, decontam, minhash, substr, toxicity
 from lakeloom.llm._common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -34,7 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
