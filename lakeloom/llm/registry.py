@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontam, minhash, substr, toxicity
+from lakeloom.llm import bpe, decontam, minhash, simhash, substr, toxicity
 from lakeloom.llm._common import table
 
 
@@ -25,6 +25,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -38,7 +42,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_simhash, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
