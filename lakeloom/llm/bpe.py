@@ -22,16 +22,18 @@ from pyspark.sql import DataFrame
 from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, key_parts, ragged, read_chunk, split, squeeze, text_chunks, tune, unsqueeze, word_hashes
 
 
-def load(path: str):
-    """The tokenizers library's tokenizer of a file, one per worker process; without truncation and padding."""
-    found = _LOADED.get(path)
+def load(path: str, ordinary: bool = False):
+    """The tokenizers library's tokenizer of a file, one per worker process; without truncation and padding. ordinary: the
+    strings of special tokens in a text are encoded as other text."""
+    found = _LOADED.get((path, ordinary))
     if not found:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        found = _LOADED[path] = Tokenizer.from_file(path)
+        found = _LOADED[path, ordinary] = Tokenizer.from_file(path)
         found.no_truncation()
         found.no_padding()
+        found.encode_special_tokens = ordinary
     return found
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontam, minhash, simhash, substr, toxicity
+from lakeloom.llm import bpe, decontam, minhash, repair, simhash, substr, tokencount, toxicity
 from lakeloom.llm._common import table
 
 
@@ -29,6 +29,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = repair.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=2)
+    return repair.read(spark, path)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokencount.write_flat(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return tokencount.named(tokencount.scan(files), files)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -42,7 +52,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_simhash, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_simhash, op6_repair, op7_token_counts, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
