@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontam, minhash, repair, simhash, substr, tokencount, toxicity
+from lakeloom.llm import bpe, chat, decontam, maxent, minhash, oracles, repair, simhash, substr, tokencount, toxicity
 from lakeloom.llm._common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_pairs(chat.branched_pairs(table(spark, sf_dir, "conversations"))))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = repair.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=2)
     return repair.read(spark, path)
@@ -52,8 +60,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_simhash, op6_repair, op7_token_counts, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat, op2_toxicity, op3_bpe, op4_simhash, op5_maxent, op6_repair, op7_token_counts, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
