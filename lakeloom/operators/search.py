@@ -15,7 +15,7 @@ CASELESS = "UNICODE_CI_AI"
 def exact(glossary: DataFrame, tables: DataFrame, columns: DataFrame, keyword: str, most: int = 50) -> DataFrame:
     """Active terms equal to the keyword (case and accents aside) or with it as an alias; tables by name; columns by name (at most
     `most`, by full name): kind, candidate, node, confidence."""
-    word = F.lit(keyword).collate(CASELESS) if hasattr(F.lit(""), "collate") else F.collate(F.lit(keyword), CASELESS)
+    word = F.collate(F.lit(keyword), CASELESS)
     same = lambda c: F.collate(F.col(c), CASELESS) == word
     one = F.lit(1.0).alias("confidence")
     terms = glossary.filter("status = 'active'").filter(same("term") | F.array_contains("aliases", keyword)).select(F.lit("term").alias("kind"), F.col("term").alias("candidate"), F.col("ref_table").alias("node"), one)
