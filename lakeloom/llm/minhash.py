@@ -8,8 +8,8 @@
 3. Candidates are confirmed on full sets (100 * intersection >= 80 * union for a similarity of 0.8), and the confirmed ones
    are joined to components by alternating large and small stars. Rounds of stars go on over the buckets that still hold
    more than one component, until comparing what is left there is cheap (or rounds stop helping); then every pair of such
-   a bucket whose classes lie in different components is compared by signature, in blocks, and those that may reach the
-   similarity are confirmed. So no linked pair of a bucket is lost, and links within a component are not listed.
+   a bucket whose classes lie in different components is compared by signature and by a sketch of its set, in blocks, and
+   those that may reach the similarity are confirmed. So no linked pair of a bucket is lost, and links within a component are not listed.
 
 Two sets of similarity 0.8 share no bucket with probability 7e-6. Texts with fewer words than a shingle are one shingle;
 texts without words (null, empty) are linked with nothing. Rows without doc_id are linked with nothing and kept
@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, mix, split, stored, tune, windows, word_hashes
+from lakeloom.llm._common import Texts, key_parts, mix, split, stored, tune, windows, word_hashes
 
 BINS, BAND = 150, 5
 SIMILARITY = 80  # per cent
 BLOCK = 1024
+SKETCH = 512
 _PROBES = np.random.default_rng(7).integers(0, BINS, (2048, BINS))
 
 
@@ -118,9 +119,27 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _unsure(buckets: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs of different components of a bucket that may reach the similarity by size and signature, each of them given by
-    the first bucket it shares. Buckets are compared in blocks of BLOCK classes against BLOCK."""
+def sketches(texts: DataFrame, n: int) -> DataFrame:
+    """id, sketch: the upper halves of the SKETCH least hashes of each text's set; a set that small is held whole."""
+
+    def run(batches):
+        for batch in batches:
+            least = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingles(Texts.of(batch.column(1)), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["id", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, sketch binary")
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of the least SKETCH hashes of the union of two sets that both hold."""
+    union = np.union1d(x, y)[:SKETCH]
+    both = np.intersect1d(x, y)
+    return np.searchsorted(both, union[-1], "right") / len(union)
+
+
+def _unsure(buckets: DataFrame, per_cent: int, parts: int) -> DataFrame:
+    """Pairs of different components of a bucket that may reach the similarity by size, signature and sketch, each of them
+    given by the first bucket it shares. Buckets are compared in blocks of BLOCK classes against BLOCK."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         band = key[0].as_py()
@@ -129,6 +148,7 @@ def _unsure(buckets: DataFrame, per_cent: int) -> DataFrame:
         low, high = key[2].as_py(), key[3].as_py()
         left, right = np.flatnonzero(cols["block"] == low), np.flatnonzero(cols["block"] == high)
         bands = sig.reshape(len(sig), -1, BAND)
+        sketch = [np.unique(np.frombuffer(x, np.uint32)) for x in group.column("sketch").to_pylist()]
         out = []
         for i in left:
             j = right[right > i] if low == high else right
@@ -140,7 +160,10 @@ def _unsure(buckets: DataFrame, per_cent: int) -> DataFrame:
                 slack = np.maximum(0.12, 4 * np.sqrt(s * (1 - s) / np.minimum(BINS, less)))
                 likely = (sig[j] == sig[i]).mean(1) >= s - slack
                 first = (bands[j] == bands[i]).all(2).argmax(1) == band
-                out += [(cols["id"][i], x) for x in cols["id"][j[likely & first]]]
+                for k in j[likely & first]:
+                    whole = max(cols["n_shingles"][i], cols["n_shingles"][k]) <= SKETCH
+                    if _alike(sketch[i], sketch[k]) >= s - (0.01 if whole else 4 * np.sqrt(s * (1 - s) / SKETCH)):
+                        out.append((cols["id"][i], cols["id"][k]))
         a = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": np.minimum(a[:, 0], a[:, 1]), "b": np.maximum(a[:, 0], a[:, 1])})
 
@@ -148,7 +171,7 @@ def _unsure(buckets: DataFrame, per_cent: int) -> DataFrame:
     placed = buckets.join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return pairs.groupBy("band", "key", "low", "high").applyInArrow(run, "a long, b long")
+    return pairs.repartition(parts, "band", "key", "low", "high").groupBy("band", "key", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = SIMILARITY, cheap: int = 20_000_000) -> DataFrame:
@@ -185,7 +208,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = SIMILARITY, che
                 break
             if work <= 2 * cheap or (before is not None and work > 0.9 * before):
                 unsure = active.join(classes.select("id", "n_shingles", "signature"), "id")
-                pairs = _unsure(unsure, per_cent)
+                own = texts.join(active.select("id").distinct(), "id", "left_semi")
+                unsure = unsure.join(sketches(own, n), "id")
+                pairs = _unsure(unsure, per_cent, key_parts(spark))
                 links = links.unionByName(stored(confirm(stored(pairs, "pairs"), texts, n, per_cent), "links"))
                 labels = stored(components(links), "labels")
                 break
