@@ -36,10 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substr.removed(docs, length=35).filter("n_removed > 0").select("doc_id", F.decode("kept", "UTF-8").alias("left_text"), F.col("n_words").alias("had"))
-    # rows of one doc_id may differ in text; each takes the cut of its own number of words and text
-    key = F.struct("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("had"))
-    cut = cut.groupBy(F.struct("doc_id", "had").alias("cut_of")).agg(F.min("left_text").alias("left_text"))
+    # rows of one doc_id may differ in text, so the text is part of the key
+    cut = substr.removed(docs, length=35).filter("n_removed > 0").groupBy(F.struct("doc_id", "text_md5").alias("cut_of")).agg(F.decode(F.any_value("kept"), "UTF-8").alias("left_text"))
+    key = F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
     joined = docs.withColumn("own_key", key).join(cut, F.col("own_key") == F.col("cut_of"), "left")
     changed = F.col("left_text").isNotNull()
     return joined.withColumns({"text": F.coalesce("left_text", "text"), "n_chars": F.when(changed, F.char_length("left_text").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)

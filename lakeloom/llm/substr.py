@@ -14,6 +14,8 @@ words of a copied text that fills a window go.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,7 +119,7 @@ def _repeats(chunk: Chunk, upto: int, parts: int, answers: list[tuple]):
 
 
 def removed(docs: DataFrame, length: int = LENGTH, longest: bool = False, parts: int | None = None) -> DataFrame:
-    """docs(doc_id, text) → doc_id, n_words, n_removed, kept (binary: the words left, joined by one space), spans (array of
+    """docs(doc_id, text) → doc_id, text_md5, n_words, n_removed, kept (binary: the words left, joined by one space), spans (array of
     [first, last + 1) of removed words), and longest: the greatest level length of a repeated window (0: none; levels
     beyond the first full one are walked only if longest)."""
     spark = docs.sparkSession
@@ -155,7 +157,7 @@ def removed(docs: DataFrame, length: int = LENGTH, longest: bool = False, parts:
         level += 1
         if not longest or answer.isEmpty():
             break
-    schema = "doc_id long, n_words long, n_removed long, kept binary, spans array<array<int>>, longest int"
+    schema = "doc_id long, text_md5 string, n_words long, n_removed long, kept binary, spans array<array<int>>, longest int"
     return text_chunks(docs).unionByName(told).groupBy("chunk").applyInArrow(last(level), schema)
 
 
@@ -183,7 +185,8 @@ def _kept(keys: pa.Array, chunk: Chunk, found: list[np.ndarray]) -> pa.Table:
         a, b = chunk.bounds[d], chunk.bounds[d + 1]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]])))
         spans[d] = edge.reshape(-1, 2).tolist()
-    return pa.table({"doc_id": keys, "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "longest": pa.array(longest)})
+    md5 = [hashlib.md5(chunk.texts.bytes_of(i)).hexdigest() for i in range(len(words))]
+    return pa.table({"doc_id": keys, "text_md5": pa.array(md5, pa.string()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "longest": pa.array(longest)})
 
 
 def digests(found: DataFrame) -> DataFrame:
