@@ -133,9 +133,13 @@ class Trainer:
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         ordered = flat[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total = np.add.reduceat(gradient[order // rows.shape[1]], first, axis=0)
+        # sums over runs of equal rows, as differences of running sums
+        running = np.cumsum(gradient[order // rows.shape[1]], axis=0)
+        last = np.concatenate([first[1:], [len(ordered)]]) - 1
+        total = running[last]
+        total[1:] -= running[last[:-1]]
         own, many = ordered[first], np.diff(np.concatenate([first, [len(ordered)]]))
-        total /= np.sqrt(many)[:, None]
+        total /= np.sqrt(many).astype(np.float32)[:, None]
         steep[own] += (total * total).sum(1)
         weights[own] -= RATE * total / np.sqrt(steep[own])[:, None]
         met[own] += many
