@@ -206,29 +206,26 @@ def seq(x) -> list:
 
 
 def name_of(node) -> str:
-    return node.getClass().getSimpleName().rstrip("$")
+    return node.nodeName()
 
 
 def walk(node):
     """All nodes of a plan with those of its subqueries and common table expressions."""
-    yield node
-    for child in seq(node.children()):
-        yield from walk(child)
-    if name_of(node) == "UnresolvedWith":
-        for pair in seq(node.cteRelations()):
-            yield from walk(pair.productElement(1))
-    for e in seq(node.expressions()):
-        yield from _subqueries(e)
+    for n, _ in named_walk(node):
+        yield n
 
 
-def _subqueries(e):
-    if name_of(e) in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "ArrayQuery") and hasattr(e, "plan"):
-        try:
-            yield from walk(e.plan())
-        except Exception:  # an expression of that name without a plan
-            pass
-    for child in seq(e.children()):
-        yield from _subqueries(child)
+def named_walk(node):
+    """(node, name) of every node; few calls to the JVM a node."""
+    name = name_of(node)
+    yield node, name
+    for child in seq(node.children()):
+        yield from named_walk(child)
+    if name == "UnresolvedWith":
+        for pair in seq(node.cteRelations()):
+            yield from named_walk(pair.productElement(1))
+    for plan in seq(node.subqueries()):
+        yield from named_walk(plan)
 
 
 def guard_select(spark: SparkSession, sql: str) -> None:
