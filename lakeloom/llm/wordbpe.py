@@ -14,7 +14,7 @@ import numpy as np
 from lakeloom.llm._common import Texts, ragged, split, word_hashes
 from lakeloom.llm.bpe import load
 
-MOST_KNOWN = 600_000
+MOST_KNOWN = 1_200_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters that normalisation to composed form leaves alone
 _PLAIN = re.compile(f"([{_LATIN}]+)([.,]*)")
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -37,7 +37,8 @@ class WordIds:
             text = w.decode(errors="replace")
             if m := _PLAIN.fullmatch(text):
                 letters, marks = m.groups()
-                own = [t.id for t in tokenize(letters.lower().translate(_BYTE_LEVEL))]
+                letters = letters.lower()
+                own = [t.id for t in tokenize(letters if letters.isascii() else letters.translate(_BYTE_LEVEL))]
                 out[k] = own + [t.id for t in tokenize(marks)] if marks else own
             else:
                 rest.append((k, text))
