@@ -98,6 +98,17 @@ class Texts:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+def slices(texts: Texts, limit: int = 1 << 20) -> Iterator[tuple[int, Texts]]:
+    """(number of the first text, texts) in runs of about limit bytes, one text at least: bounds the memory of what is computed
+    for all words at once."""
+    at = 0
+    while at < len(texts):
+        cut = max(at + 1, int(np.searchsorted(texts.offsets, texts.offsets[at] + limit, "right")) - 1)
+        part = texts.offsets[at : cut + 1]
+        yield at, Texts(texts.data[part[0] : part[-1]], part - part[0])
+        at = cut
+
+
 def _ascii_space(data: np.ndarray) -> np.ndarray:
     """Space, tab, line feed, vertical tab, form feed, carriage return."""
     return (data == 32) | ((data >= 9) & (data <= 13))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, key_parts, mix, split, stored, tune, windows, word_hashes
+from lakeloom.llm._common import Texts, key_parts, mix, slices, split, stored, tune, windows, word_hashes
 
 BINS, BAND = 150, 5
 SIMILARITY = 80  # per cent
@@ -35,7 +35,10 @@ _PROBES = np.random.default_rng(7).integers(0, BINS, (2048, BINS))
 
 def shingles(texts: Texts, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    texts = texts.lower()
+    return [s for _, part in slices(texts) for s in _shingles(part.lower(), n)]
+
+
+def _shingles(texts: Texts, n: int) -> list[np.ndarray]:
     starts, ends, bounds = split(texts)
     hashes = word_hashes(texts, starts, ends)
     at, found = windows(hashes, bounds, n)

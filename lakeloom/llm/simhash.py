@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, mix, spans, split, stored, tune, word_hashes
+from lakeloom.llm._common import Texts, mix, slices, spans, split, stored, tune, word_hashes
 
 RADIUS, BLOCKS = 3, 6
 NEXT_BLOCK = 1024
@@ -27,7 +27,11 @@ NEXT_BLOCK = 1024
 
 def fingerprints(texts: Texts) -> np.ndarray:
     """The fingerprint of each text (unsigned 64-bit)."""
-    texts = texts.lower()
+    parts = [_fingerprints(part.lower()) for _, part in slices(texts)]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _fingerprints(texts: Texts) -> np.ndarray:
     starts, ends, bounds = split(texts)
     words = word_hashes(texts, starts, ends)
     out = np.zeros(len(texts), np.uint64)

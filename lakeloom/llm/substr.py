@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, key_parts, ragged, read_chunk, split, stored, text_chunks, tune, windows, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, key_parts, read_chunk, split, stored, text_chunks, tune, windows, word_hashes
 
 LENGTH = 35
+LIMIT = 4 << 20  # bytes of text in a chunk
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -127,7 +128,7 @@ def removed(docs: DataFrame, length: int = LENGTH, longest: bool = False, parts:
     parts = parts or key_parts(spark)
 
     def first(batches):
-        for chunk, _, texts in chunks(batches):
+        for chunk, _, texts in chunks(batches, LIMIT):
             if rows := _ask(chunk, 0, parts, *_repeats(Chunk(texts, length), 0, parts, [])[:2]):
                 yield chunk_batch(rows)
 
@@ -151,14 +152,14 @@ def removed(docs: DataFrame, length: int = LENGTH, longest: bool = False, parts:
     told = stored(docs.select("doc_id", "text").mapInArrow(first, CHUNK_SCHEMA).groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA), "substr-0")
     level = 1
     while True:
-        asked = text_chunks(docs).unionByName(told).groupBy("chunk").applyInArrow(ask(level), CHUNK_SCHEMA)
+        asked = text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(ask(level), CHUNK_SCHEMA)
         answer = stored(asked.groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA), f"substr-{level}")
         told = told.unionByName(answer)
         level += 1
         if not longest or answer.isEmpty():
             break
     schema = "doc_id long, text_md5 string, n_words long, n_removed long, kept binary, spans array<array<int>>, longest int"
-    return text_chunks(docs).unionByName(told).groupBy("chunk").applyInArrow(last(level), schema)
+    return text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(last(level), schema)
 
 
 def _kept(keys: pa.Array, chunk: Chunk, found: list[np.ndarray]) -> pa.Table:
@@ -168,13 +169,21 @@ def _kept(keys: pa.Array, chunk: Chunk, found: list[np.ndarray]) -> pa.Table:
     delta[: n + 1] += np.bincount(repeated, minlength=n + 1)
     delta -= np.bincount(repeated + chunk.length, minlength=n + 1)
     gone = np.cumsum(delta)[:n] > 0
-    stay = np.flatnonzero(~gone)
-    lengths = chunk.ends[stay] - chunk.starts[stay]
-    begins = np.cumsum(lengths + 1) - lengths - 1
-    out = np.full(int((lengths + 1).sum()), 32, np.uint8)
-    out[ragged(begins, lengths)] = chunk.texts.data[ragged(chunk.starts[stay], lengths)]
-    edges = np.concatenate([[0], np.cumsum(lengths + 1)])[np.searchsorted(stay, chunk.bounds)]
-    kept = [out[a : max(a, b - 1)].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    # kept words and the byte after each, which is white space or the end of the text; it becomes one space
+    data, offsets = chunk.texts.data.copy(), chunk.texts.offsets
+    starts, ends = chunk.starts[~gone], chunk.ends[~gone]
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[starts] = 1
+    mark[ends] -= 1
+    inside = np.cumsum(mark, dtype=np.int8).view(bool)[:-1]
+    last = np.zeros(len(data) + 1, bool)
+    last[offsets] = True
+    after = ends[~last[ends]]
+    data[after] = 32
+    inside[after] = True
+    edges = np.concatenate([[0], np.cumsum(np.add.reduceat(np.append(inside, False).astype(np.int64), offsets[:-1]) * (np.diff(offsets) > 0))]) if len(offsets) > 1 else np.zeros(1, np.int64)
+    out = data[inside]
+    kept = [out[a:b].tobytes().removesuffix(b" ") for a, b in zip(edges[:-1], edges[1:], strict=True)]
     words = np.diff(chunk.bounds)
     lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[chunk.bounds])
     longest = np.zeros(len(words), np.int32)

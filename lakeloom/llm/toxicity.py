@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import _BYTE, Texts, mix, spans, split, tune
+from lakeloom.llm._common import _BYTE, Texts, mix, slices, spans, split, tune
 
-MOST_LABELLED = 6000
+MOST_LABELLED = 4000
 FOLDS, FEATURES, SLOTS = 5, 1024, 1 << 20
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 _BEGINNINGS = (0, 4, 5, 6, 7, 8)  # bytes of a word that make a feature; 0: the whole word
@@ -41,13 +41,17 @@ class Linear:
         known = at < len(self.slots)
         known[known] = self.slots[at[known]] == slots[known]
         at, rows, counts = at[known], rows[known], counts[known]
-        out = np.bincount(rows, self.present[at] + self.often[at] * np.log1p(counts), minlength=len(before))
+        out = np.bincount(rows, self.present[at] + self.often[at] * np.log1p(counts.astype(np.float64)), minlength=len(before))
         return out + before @ self.earlier + self.bias
 
 
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, slot, count) of every feature that occurs."""
-    texts = texts.lower()
+    parts = [(rows + at, found, counts) for at, part in slices(texts) for rows, found, counts in [_features(part.lower())]]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64))
+
+
+def _features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, bounds = split(texts)
     values = _BYTE[texts.data]
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -57,7 +61,7 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         slot = mix(spans(values, starts, end) + np.uint64(k * 0x51ED2701)) % np.uint64(SLOTS)
         keys.append(text * SLOTS + slot.astype(np.int64))
     found, counts = np.unique(np.concatenate(keys), return_counts=True)
-    return found // SLOTS, found % SLOTS, counts
+    return (found // SLOTS).astype(np.int32), (found % SLOTS).astype(np.int32), counts.astype(np.int32)
 
 
 def _fit(rows, slots, counts, earlier: np.ndarray, y: np.ndarray, rounds: int = 200, l1: float = 3e-4) -> Linear:
@@ -69,7 +73,7 @@ def _fit(rows, slots, counts, earlier: np.ndarray, y: np.ndarray, rounds: int =
         return Linear(np.empty(0, np.int64), none, none, np.zeros(earlier.shape[1]), bias)
     seen = np.bincount(slots, minlength=SLOTS).astype(float)
     expected = seen * positive / n
-    score = (np.bincount(slots, y[rows], minlength=SLOTS) - expected) ** 2 / np.maximum(expected * (1 - seen / n), 1e-9)
+    score = (np.bincount(slots[y[rows] > 0], minlength=SLOTS) - expected) ** 2 / np.maximum(expected * (1 - seen / n), 1e-9)
     score[seen < 3] = 0
     best = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
     best = best[score[best] > 0]
@@ -79,7 +83,7 @@ def _fit(rows, slots, counts, earlier: np.ndarray, y: np.ndarray, rounds: int =
     k = len(best)
     x = np.zeros((n, 2 * k + earlier.shape[1]), np.float32)
     x[rows[own], column[slots[own]]] = 1
-    x[rows[own], k + column[slots[own]]] = np.log1p(counts[own])
+    x[rows[own], k + column[slots[own]]] = np.log1p(counts[own].astype(np.float32))
     x[:, 2 * k :] = earlier
     v = np.ones(x.shape[1], np.float32)
     for _ in range(20):  # the largest eigenvalue bounds the curvature
@@ -129,28 +133,40 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most: int =
         for batch in batches:
             rows, slots, counts = features(Texts.of(batch.column(1)))
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x, t in ((slots, np.int32), (counts, np.int32)))], ["doc_id", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x, t in ((slots, np.int32), (np.minimum(counts, 65535), np.uint16)))], ["doc_id", "slots", "counts"])
 
     found = {}
     chosen = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi")
     for r in chosen.mapInArrow(run, "doc_id long, slots binary, counts binary").collect():
         found[r.doc_id] = max(found.get(r.doc_id, (b"", b"")), (bytes(r.slots), bytes(r.counts)))
     ids = sorted(found)
-    slots = [np.frombuffer(found[i][0], np.int32) for i in ids]
-    rows = np.repeat(np.arange(len(ids)), [len(s) for s in slots])
-    counts = np.concatenate([np.frombuffer(found[i][1], np.int32) for i in ids] or [np.empty(0, np.int32)])
+    seen = np.zeros(SLOTS, np.int32)
+    for slots, _ in found.values():
+        seen[np.frombuffer(slots, np.int32)] += 1
+    rows_, slots_, counts_ = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.uint16)]
+    for k, i in enumerate(ids):  # features of fewer than three documents are not used
+        slots, counts = (np.frombuffer(b, t) for b, t in zip(found.pop(i), (np.int32, np.uint16), strict=True))
+        used = seen[slots] >= 3
+        slots_.append(slots[used])
+        counts_.append(counts[used])
+        rows_.append(np.full(int(used.sum()), k, np.int32))
+    rows, slots, counts = np.concatenate(rows_), np.concatenate(slots_), np.concatenate(counts_)
+    del rows_, slots_, counts_
     folds = (mix(np.array(ids, np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int) if ids else np.empty(0, int)
     y = [np.array([known[i][k] for i in ids], float) for k in range(len(categories))]
-    chain = fit_chain(rows, np.concatenate(slots or [np.empty(0, np.int32)]).astype(np.int64), counts, folds, y)
+    chain = fit_chain(rows, slots, counts, folds, y)
     return list(zip([name for name, _ in categories], chain, strict=True))
 
 
 def _probabilities(chain: list[tuple[str, Linear]], column: pa.Array) -> np.ndarray:
-    rows, slots, counts = features(Texts.of(column))
-    before = np.zeros((len(column), 0))
-    for _, model in chain:
-        before = np.column_stack([before, np.clip(model.odds(rows, slots, counts, before), -10, 10)])
-    return 1 / (1 + np.exp(-before))
+    out = [np.zeros((0, len(chain)))]
+    for _, part in slices(Texts.of(column)):
+        rows, slots, counts = _features(part.lower())
+        before = np.zeros((len(part), 0))
+        for _, model in chain:
+            before = np.column_stack([before, np.clip(model.odds(rows, slots, counts, before), -10, 10)])
+        out.append(before)
+    return 1 / (1 + np.exp(-np.concatenate(out)))
 
 
 def score(docs: DataFrame, chain: list[tuple[str, Linear]]) -> DataFrame:
