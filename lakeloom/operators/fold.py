@@ -9,27 +9,24 @@ from lakeloom.functions.columns import CONFIDENCE, confidence_rank
 from lakeloom.sources.tables import stored
 
 
-def fold(edges: DataFrame, tmp: DataFrame, longest: int = 32) -> tuple[DataFrame, DataFrame]:
+def fold(edges: DataFrame, tmp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """edges(edge_id, src, dst, sql_id, src_type, confidence, transform_expr, filter_cond, join_cond), tmp(node) →
     (derived edges, ids of edges used). A chain starts outside tmp, goes through tmp nodes (each once) and ends outside; the derived edge has the last
     edge's task and conditions, the least confidence of the chain and the outermost expression around the inner ones. Of chains
-    with the same ends and task the shortest counts, then the least by ids."""
+    with the same ends and task the shortest counts, then the least by ids. Chains may be of any length."""
     marked = edges.join(tmp.select(F.col("node").alias("src"), F.lit(True).alias("from_tmp")), "src", "left").join(tmp.select(F.col("node").alias("dst"), F.lit(True).alias("to_tmp")), "dst", "left")
     marked = stored(marked.na.fill(False, ["from_tmp", "to_tmp"]), "marked")
     rank = confidence_rank(F.col("confidence"))
     frontier = marked.filter("not from_tmp and to_tmp").select(F.col("src").alias("head"), F.col("dst").alias("at"), F.array("edge_id").alias("chain"), F.array("dst").alias("visited"), F.array("transform_expr").alias("inner"), rank.alias("rank"))
     onward = marked.filter("from_tmp").withColumn("own_rank", rank)
-    done = None
-    for _ in range(longest):
-        frontier = stored(frontier, "chains")
-        if frontier.isEmpty():
-            break
+    done, frontier = None, stored(frontier, "chains")
+    while not frontier.isEmpty():
         step = frontier.join(onward, frontier["at"] == onward["src"]).filter(~F.array_contains("visited", F.col("dst")))
         step = step.select("head", "dst", "to_tmp", F.array_append("chain", F.col("edge_id")).alias("chain"), "visited", "inner", F.least("rank", "own_rank").alias("rank"), "sql_id", "src_type", "transform_expr", "filter_cond", "join_cond")
         step = stored(step, "steps")
         ended = step.filter("not to_tmp")
         done = ended if done is None else done.unionByName(ended)
-        frontier = step.filter("to_tmp").select("head", F.col("dst").alias("at"), "chain", F.array_append("visited", F.col("dst")).alias("visited"), F.array_append("inner", F.col("transform_expr")).alias("inner"), "rank")
+        frontier = stored(step.filter("to_tmp").select("head", F.col("dst").alias("at"), "chain", F.array_append("visited", F.col("dst")).alias("visited"), F.array_append("inner", F.col("transform_expr")).alias("inner"), "rank"), "chains")
     if done is None:
         done = marked.filter("false").select(F.col("src").alias("head"), "dst", "to_tmp", F.array("edge_id").alias("chain"), F.array("dst").alias("visited"), F.array("transform_expr").alias("inner"), rank.alias("rank"), "sql_id", "src_type", "transform_expr", "filter_cond", "join_cond")
     used = done.select(F.explode("chain").alias("edge_id")).distinct()

@@ -77,14 +77,14 @@ def capped(hops: DataFrame, most: int = MAX_NODES) -> tuple[DataFrame, bool]:
     return both, ends.count() > most
 
 
-def shortest_path(edges: DataFrame, source, target, longest: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, source, target) -> DataFrame:
     """hop, src, dst of a shortest path; of several the one least in order of its nodes. Empty if there is none, or if the ends are
     the same."""
     spark = edges.sparkSession
     plain = _plain(edges)
     frontier = spark.createDataFrame([(source, [source])], f"node {dict(plain.dtypes)['src']}, path array<{dict(plain.dtypes)['src']}>")
     visited = frontier.select("node")
-    for _ in range(longest if source != target else 0):
+    while source != target:
         step = frontier.join(plain, frontier["node"] == plain["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         frontier = stored(step.join(visited, "node", "left_anti"), "paths")
         found = frontier.filter(F.col("node") == F.lit(target))

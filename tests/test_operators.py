@@ -87,6 +87,18 @@ def test_fold(spark):
     assert again.isEmpty()
 
 
+def test_fold_through_many(spark):
+    names = ["ods.a", *(f"tmp.t{k}" for k in range(33)), "dwd.b"]
+    edges = [(str(k), a, b, "q", "sql", "high", "", "", "") for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+    whole = fold.folded_edges(spark.createDataFrame(edges, EDGE), spark.createDataFrame([(x,) for x in names[1:-1]], "node string"))
+    assert [(r.src, r.dst) for r in whole.collect()] == [("ods.a", "dwd.b")]
+
+
+def test_long_path(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(67)], "src long, dst long")
+    assert sorted(tuple(r) for r in graph.shortest_path(chain, 0, 65).collect()) == [(k + 1, k, k + 1) for k in range(65)]
+
+
 def test_similarity_against_brute_force(spark):
     def lcs(a, b):
         row = [0] * (len(b) + 1)
