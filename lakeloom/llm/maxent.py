@@ -3,13 +3,16 @@
 Tokens are words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end after each text. Counts of all training tokens are
 gathered over the whole corpus: each chunk of documents asks once about each distinct word, per key partition.
 
-P(token | history) = P(class | history) * P(token | class, history). The HEAD most frequent tokens lie in classes of SLOTS,
-and a softmax over hashed features (previous word, previous two, and two skip features) chooses the class, another one the
-token in it. All other words lie in tail classes by their last two bytes, and within one by add-0.1 counts, which leaves
-one share for each unknown word. Both softmaxes are trained on every training token, in rounds that each take their own
-part of the documents: tasks follow the gradient over their share in small batches from the shared weights, and the rows
-of the new weights are averaged by how often each task met them (distributed gradient updates, combined in two steps so
-that no task holds all updates). Weights, heads and classes are of fixed size; trainers are as many as cores.
+P(token | history) is a product of softmaxes over hashed features (previous word, previous two, and two skip features). The
+first chooses one of 16 head or 16 tail classes. The HEAD most frequent tokens lie in the head classes, and a second softmax
+chooses among the 32 of one. The other tokens that occur LEAST times or more lie in tail classes by their last two bytes, each
+a tree in order of their counts: a node holds FAN words and leads to FAN further nodes, and each node on the way has its own
+softmax, so places grow with the vocabulary and a token costs the logarithm of it. Place 0 of a tail class is all rarer words,
+chosen among by add-0.1 counts, which leaves one share for each unknown word. The rows of both tables of weights grow with the
+words that have places. All softmaxes are trained on every training token, in rounds that each take their own part of the
+documents: tasks follow the gradient over their share in small batches from the shared weights, and the rows of the new
+weights are averaged by how often each task met them (distributed gradient updates, combined by block of rows so that no
+task holds all updates). Each trainer holds the weights twice; trainers are as many as cores.
 
 Null and empty texts are one end. A null doc_id belongs to training (it has no remainder). Repeated rows count once each.
 """
@@ -21,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, key_parts, mix, pack_texts, read_chunk, split, squeeze, stored, tune, unsqueeze, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, ODD, Texts, by_part, chunk_batch, chunks, key_parts, mix, pack_texts, read_chunk, split, squeeze, stored, tune, unsqueeze, word_hashes
 
 HEAD_CLASSES, SLOTS, TAIL_CLASSES = 16, 32, 16
 HEAD, CLASSES = HEAD_CLASSES * SLOTS, HEAD_CLASSES + TAIL_CLASSES
-ROWS, BATCH, RATE, ROUNDS = 1 << 14, 1 << 13, 0.1, 2
+LEAST, FAN = 100, SLOTS // 2
+LEAST_BITS, ROWS_PER_WORD, BATCH, RATE, ROUNDS = 14, 2, 1 << 13, 0.1, 2
 END = np.uint64(0x0D0C0B0A01020304)
 ADD = 0.1
 
@@ -52,7 +56,7 @@ class Tokens:
         self.place = np.arange(len(self.hash)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
 
     def features(self, a: int, b: int) -> np.ndarray:
-        """Rows of the weights for tokens a to b: (b - a, 4)."""
+        """Hashes of the features of tokens a to b: (b - a, 4)."""
         place = self.place[a:b]
         past = []
         for k in (1, 2, 3):
@@ -60,41 +64,72 @@ class Tokens:
             past.append(np.where(place >= k, self.hash[np.maximum(at, 0)], END))
         one, two, three = past
         keys = np.stack([one, one * np.uint64(3) + mix(two), two + np.uint64(0x51ED27), three + np.uint64(0xA24BAED)], axis=1)
-        return (mix(keys) >> np.uint64(50)).astype(np.int64)  # 14 bits: ROWS
+        return mix(keys)
 
 
 class Model:
-    """head: sorted hashes of the head tokens; rank: their places by frequency. tail_n, tail_v: counts and distinct words of the
-    tail classes."""
-
-    def __init__(self, head: np.ndarray, rank: np.ndarray, counts: np.ndarray, tail_n: np.ndarray, tail_v: np.ndarray):
-        """counts: of the head tokens by rank. The biases start at the unigram distribution."""
-        self.head, self.rank, self.tail_n, self.tail_v = head, rank, tail_n, tail_v
-        self.w, self.u = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SLOTS), np.float32)
-        mass = np.zeros(HEAD)
-        mass[: len(counts)] = counts + ADD
-        mass = mass.reshape(SLOTS, HEAD_CLASSES).T
-        self.b = np.log(np.concatenate([mass.sum(1), tail_n + ADD * (tail_v + 1)]) + 1e-9).astype(np.float32)
+    """words: sorted hashes of the tokens with places; kind, index: their classes and places in them. Node k < HEAD_CLASSES is head
+    class k; those of tail class t begin at base[t]. tail_n, tail_v: counts and distinct words without places of the tail classes."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tails: np.ndarray, tail_n: np.ndarray, tail_v: np.ndarray):
+        """hashes, counts, tails: of the tokens with places, by rank. The biases start at the unigram distribution."""
+        self.tail_n, self.tail_v = tail_n, tail_v
+        self.bits = max(LEAST_BITS, int(ROWS_PER_WORD * len(hashes) - 1).bit_length())
+        self.w, self.u = np.zeros((1 << self.bits, CLASSES), np.float32), np.zeros((1 << self.bits, SLOTS), np.float32)
+        rank, far = np.arange(len(hashes)), tails[HEAD:]
+        order = np.argsort(far, kind="stable")
+        sizes = np.bincount(far, minlength=TAIL_CLASSES) + 1  # place 0: the words without places
+        kind, index = rank % HEAD_CLASSES, rank // HEAD_CLASSES
+        kind[HEAD:] = HEAD_CLASSES + far
+        index[HEAD + order] = np.arange(1, len(far) + 1) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1)
+        nodes = (sizes + FAN - 1) // FAN
+        self.base = HEAD_CLASSES + np.cumsum(nodes) - nodes
+        mass = np.zeros((HEAD_CLASSES + nodes.sum(), SLOTS))
+        mass[kind[:HEAD], index[:HEAD]] = counts[:HEAD] + ADD
+        mass[self.base, 0] = tail_n + ADD * (tail_v + 1)
+        at = index[HEAD:]
+        mass[self.base[far] + at // FAN, at % FAN] = counts[HEAD:] + ADD
+        for first, n in zip(self.base, nodes, strict=True):
+            for k in range(n - 1, 0, -1):  # a node's children come after it
+                mass[first + (k - 1) // FAN, FAN + (k - 1) % FAN] = mass[first + k].sum()
+        self.b = np.log(np.concatenate([mass[:HEAD_CLASSES].sum(1), mass[self.base].sum(1)]) + 1e-9).astype(np.float32)
         self.c = np.log(mass + 1e-12).astype(np.float32)
+        by = np.argsort(hashes)
+        self.words, self.kind, self.index = hashes[by], kind[by].astype(np.uint8), index[by].astype(np.int32)
 
     def target(self, tokens: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Class and slot (-1 in the tail) of tokens."""
+        """Class of tokens and place in it (0 in a tail class: a word without a place)."""
         own = tokens.hash[a:b]
-        at = np.minimum(np.searchsorted(self.head, own), len(self.head) - 1)
-        known = self.head[at] == own
-        rank = self.rank[at]
-        return np.where(known, rank % HEAD_CLASSES, HEAD_CLASSES + tokens.tail[a:b]), np.where(known, rank // HEAD_CLASSES, -1)
-
-    @staticmethod
-    def inner(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Rows of the second softmax: features crossed with the class."""
-        return (features * 0x9E37 + (classes * 0x3C6F + 1)[:, None] * 0x1F35) % ROWS
+        at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
+        known = self.words[at] == own
+        return np.where(known, self.kind[at], HEAD_CLASSES + tokens.tail[a:b]), np.where(known, self.index[at], 0)
+
+    def steps(self, classes: np.ndarray, index: np.ndarray):
+        """(numbers of tokens, nodes, options taken there) by distance from the tokens' own nodes."""
+        tail = classes >= HEAD_CLASSES
+        base = self.base[np.maximum(classes - HEAD_CLASSES, 0)]
+        up = np.where(tail, index // FAN, 0)
+        yield np.arange(len(classes)), np.where(tail, base + up, classes), np.where(tail, index % FAN, index)
+        at = np.flatnonzero(up)
+        while len(at):
+            k = up[at] - 1
+            up[at] = k // FAN
+            yield at, base[at] + k // FAN, FAN + k % FAN
+            at = at[up[at] > 0]
+
+    def rows(self, features: np.ndarray) -> np.ndarray:
+        """Rows of the first softmax."""
+        return (features >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def inner(self, features: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Rows of the softmax of a node: features crossed with the node."""
+        return self.rows((features ^ mix(nodes.astype(np.uint64) + np.uint64(1))[:, None]) * np.uint64(ODD))
 
     @staticmethod
     def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        z = bias + weights[rows[:, 0]]
+        z = bias + weights.take(rows[:, 0], 0)
         for k in range(1, rows.shape[1]):
-            z += weights[rows[:, k]]
+            z += weights.take(rows[:, k], 0)
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
@@ -105,15 +140,13 @@ class Model:
         out = np.empty(len(tokens.hash))
         for a in range(0, len(out), BATCH):
             b = min(len(out), a + BATCH)
-            features, (classes, slots) = tokens.features(a, b), self.target(tokens, a, b)
-            p = self.softmax(self.w, features, self.b)[np.arange(b - a), classes].astype(float)
-            head = np.flatnonzero(slots >= 0)
-            if len(head):
-                own = classes[head]
-                p[head] *= self.softmax(self.u, self.inner(features[head], own), self.c[own])[np.arange(len(head)), slots[head]]
-            tail = np.flatnonzero(slots < 0)
-            own = classes[tail] - HEAD_CLASSES
-            p[tail] *= (counts[a:b][tail] + ADD) / (self.tail_n[own] + ADD * (self.tail_v[own] + 1))
+            features, (classes, index) = tokens.features(a, b), self.target(tokens, a, b)
+            p = self.softmax(self.w, self.rows(features), self.b)[np.arange(b - a), classes].astype(float)
+            for at, nodes, options in self.steps(classes, index):
+                p[at] *= self.softmax(self.u, self.inner(features[at], nodes), self.c[nodes])[np.arange(len(at)), options]
+            rest = np.flatnonzero((classes >= HEAD_CLASSES) & (index == 0))
+            own = classes[rest] - HEAD_CLASSES
+            p[rest] *= (counts[a:b][rest] + ADD) / (self.tail_n[own] + ADD * (self.tail_v[own] + 1))
             out[a:b] = np.log10(np.maximum(p, 1e-300))
         return out
 
@@ -124,67 +157,74 @@ class Trainer:
     def __init__(self, model: Model):
         self.m = model
         self.w, self.u, self.b, self.c = model.w.copy(), model.u.copy(), model.b.copy(), model.c.copy()
-        self.met, self.met_u = np.zeros(ROWS), np.zeros(ROWS)
-        self.steep, self.steep_u = np.full(ROWS, 1e-2, np.float32), np.full(ROWS, 1e-2, np.float32)
+        n = len(model.w)
+        self.met, self.met_u = np.zeros(n), np.zeros(n)
+        self.steep, self.steep_u = np.full(n, 1e-2, np.float32), np.full(n, 1e-2, np.float32)
         self.n = 0
 
     def _descend(self, weights, steep, met, rows: np.ndarray, gradient: np.ndarray) -> None:
         flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        ordered = flat[order]
+        packed = np.sort(flat << 16 | np.arange(len(flat)))  # a batch has fewer than 2**16 features
+        order, ordered = packed & 0xFFFF, packed >> 16
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        # sums over runs of equal rows, as differences of running sums
-        running = np.cumsum(gradient[order // rows.shape[1]], axis=0)
-        last = np.concatenate([first[1:], [len(ordered)]]) - 1
-        total = running[last]
-        total[1:] -= running[last[:-1]]
         own, many = ordered[first], np.diff(np.concatenate([first, [len(ordered)]]))
-        total /= np.sqrt(many).astype(np.float32)[:, None]
-        steep[own] += (total * total).sum(1)
-        weights[own] -= RATE * total / np.sqrt(steep[own])[:, None]
+        token = order // rows.shape[1]
+        total, several = gradient.take(token[first], 0), np.flatnonzero(many > 1)
+        if len(several):
+            runs = gradient.take(token[np.repeat(many > 1, many)], 0)
+            total[several] = np.add.reduceat(runs, np.cumsum(many[several]) - many[several], axis=0) / np.sqrt(many[several]).astype(np.float32)[:, None]
+        new = steep.take(own) + np.einsum("ij,ij->i", total, total)
+        steep[own] = new
+        total *= (RATE / np.sqrt(new))[:, None]
+        whole = np.dtype((np.void, total.shape[1] * total.itemsize))  # whole rows are set faster than their numbers
+        weights.view(whole)[own, 0] = (weights.take(own, 0) - total).view(whole)[:, 0]
         met[own] += many
 
     def see(self, tokens: Tokens) -> None:
         for a in range(0, len(tokens.hash), BATCH):
             b = min(len(tokens.hash), a + BATCH)
-            features, (classes, slots) = tokens.features(a, b), self.m.target(tokens, a, b)
-            g = Model.softmax(self.w, features, self.b)
+            features, (classes, index) = tokens.features(a, b), self.m.target(tokens, a, b)
+            rows = self.m.rows(features)
+            g = Model.softmax(self.w, rows, self.b)
             g[np.arange(b - a), classes] -= 1
-            self._descend(self.w, self.steep, self.met, features, g)
+            self._descend(self.w, self.steep, self.met, rows, g)
             self.b -= RATE * g.mean(0)
-            head = np.flatnonzero(slots >= 0)
-            if len(head):
-                own = classes[head]
-                rows = Model.inner(features[head], own)
-                g = Model.softmax(self.u, rows, self.c[own])
-                g[np.arange(len(head)), slots[head]] -= 1
+            for at, nodes, options in self.m.steps(classes, index):
+                rows = self.m.inner(features[at], nodes)
+                g = Model.softmax(self.u, rows, self.c[nodes])
+                g[np.arange(len(at)), options] -= 1
                 self._descend(self.u, self.steep_u, self.met_u, rows, g)
-                for k in range(HEAD_CLASSES):
-                    if (own == k).any():
-                        self.c[k] -= RATE * g[own == k].mean(0)
+                for k in range(HEAD_CLASSES):  # the other biases stay at the unigram distribution
+                    if (own := nodes == k).any():
+                        self.c[k] -= RATE * g[own].mean(0)
             self.n += b - a
 
 
 _BLOCK = 256
-_UPDATE = "block int, salt int, met binary, change binary"
+_UPDATE = "block int, met binary, change binary"
 
 
-def _updates(t: Trainer, task: int):
-    """The trainer's changes, weighted by how often it met each row, in blocks of rows; the last block has the biases."""
+def _updates(t: Trainer):
+    """The trainer's changes and how often it met each row, in blocks of rows; the last block has the biases. Half precision keeps
+    the exchange small; sums are taken in double precision."""
+    blocks = len(t.w) // _BLOCK
     for base, (new, old, met) in enumerate(((t.w, t.m.w, t.met), (t.u, t.m.u, t.met_u))):
-        for k in range(ROWS // _BLOCK):
+        for k in range(blocks):
             at = slice(k * _BLOCK, (k + 1) * _BLOCK)
             if met[at].any():
-                yield base * (ROWS // _BLOCK) + k, task, met[at], (new[at] - old[at]) * met[at][:, None]
-    biases = np.concatenate([t.b - t.m.b, (t.c - t.m.c).ravel()])
+                yield base * blocks + k, met[at], new[at] - old[at]
     if t.n:
-        yield -1, task, np.array([float(t.n)]), (biases * t.n)[None, :]
+        yield -1, np.array([t.n]), np.concatenate([t.b - t.m.b, (t.c - t.m.c)[:HEAD_CLASSES].ravel()])[None, :]
 
 
-def _sum(group: pa.Table) -> pa.Table:
-    met = sum(np.frombuffer(x, np.float64) for x in group.column("met").to_pylist())
-    change = sum(np.frombuffer(unsqueeze(x), np.float32).astype(np.float64) for x in group.column("change").to_pylist())
-    return pa.table({"block": group.column("block")[:1], "salt": pa.array([0], pa.int32()), "met": pa.array([met.tobytes()], pa.binary()), "change": pa.array([squeeze(change.astype(np.float32).tobytes(), 1)], pa.binary())})
+def _mean(group: pa.Table) -> pa.Table:
+    """A block's changes, weighted by how often each trainer met the rows."""
+    met, change = 0, 0
+    for m, c in zip(group.column("met").to_pylist(), group.column("change").to_pylist(), strict=True):
+        own = np.frombuffer(unsqueeze(m), np.int64)
+        met, change = met + own, change + np.frombuffer(unsqueeze(c), np.float16).reshape(len(own), -1) * own[:, None].astype(float)
+    change = (change / np.maximum(met, 1)[:, None]).astype(np.float32)
+    return pa.table({"block": group.column("block")[:1], "change": pa.array([squeeze(change.tobytes(), 1)], pa.binary())})
 
 
 def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
@@ -194,25 +234,23 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     for r in range(rounds):
 
         def run(batches, model=model):
-            trainer, task = Trainer(model), 0
-            for chunk, _, texts in chunks(batches, 1 << 20):
+            trainer = Trainer(model)
+            for _, _, texts in chunks(batches, 1 << 20):
                 trainer.see(Tokens(texts))
-                task = chunk >> 32
-            for block, salt, met, change in _updates(trainer, task):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([met.astype(np.float64).tobytes()], pa.binary()), pa.array([squeeze(change.astype(np.float32).tobytes(), 1)], pa.binary())], ["block", "salt", "met", "change"])
+            for block, met, change in _updates(trainer):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([squeeze(met.astype(np.int64).tobytes(), 1)], pa.binary()), pa.array([squeeze(change.astype(np.float16).tobytes(), 1)], pa.binary())], ["block", "met", "change"])
 
         part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("doc_id", "text")
-        found = part.coalesce(trainers).mapInArrow(run, _UPDATE).withColumn("salt", F.col("salt") % 16)
-        total = found.groupBy("block", "salt").applyInArrow(_sum, _UPDATE).groupBy("block").applyInArrow(_sum, _UPDATE)
-        for row in total.collect():  # of fixed size: the weights
-            met, change = np.frombuffer(row.met, np.float64), np.frombuffer(unsqueeze(row.change), np.float32)
-            change = change.reshape(len(met), -1) / np.maximum(met, 1)[:, None]
+        found = part.coalesce(trainers).mapInArrow(run, _UPDATE).groupBy("block").applyInArrow(_mean, "block int, change binary")
+        blocks = len(model.w) // _BLOCK
+        for row in found.collect():  # the weights, which grow with the words that have places
+            change = np.frombuffer(unsqueeze(row.change), np.float32)
             if row.block < 0:
-                model.b += change[0, :CLASSES].astype(np.float32)
-                model.c += change[0, CLASSES:].reshape(model.c.shape).astype(np.float32)
+                model.b += change[:CLASSES]
+                model.c[:HEAD_CLASSES] += change[CLASSES:].reshape(HEAD_CLASSES, SLOTS)
             else:
-                weights, k = (model.w, row.block) if row.block < ROWS // _BLOCK else (model.u, row.block - ROWS // _BLOCK)
-                weights[k * _BLOCK : (k + 1) * _BLOCK] += change.astype(np.float32)
+                weights, k = (model.w, row.block) if row.block < blocks else (model.u, row.block - blocks)
+                weights[k * _BLOCK : (k + 1) * _BLOCK] += change.reshape(_BLOCK, -1)
     return model
 
 
@@ -229,7 +267,7 @@ def _ask(batches, parts: int):
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """Global counts back to each chunk, and a row of chunk -1: the most frequent tokens, and sums by tail class."""
+    """Global counts back to each chunk, and a row of chunk -1: the tokens that may have places, and sums by tail class."""
     lists = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
     tails = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("lengths").to_pylist()])
     counts = np.concatenate([np.frombuffer(unsqueeze(x), np.uint32) for x in group.column("data").to_pylist()])
@@ -240,8 +278,8 @@ def _count(group: pa.Table) -> pa.Table:
         rows.append((chunk, part, b"", b"", squeeze(total[inverse[at : at + len(keys)]].tobytes(), 1)))
         at += len(keys)
     own = tails[first]
-    top = np.lexsort((hashes, -total))[:HEAD]
-    top = top[total[top] > 0]
+    top = np.lexsort((hashes, -total))
+    top = top[: max(int((total >= LEAST).sum()), min(HEAD, int((total > 0).sum())))]
     sums = np.stack([np.bincount(own, total, TAIL_CLASSES), np.bincount(own, total > 0, TAIL_CLASSES)])
     end = hashes == END
     if end.any():  # the end is always in the head
@@ -251,7 +289,7 @@ def _count(group: pa.Table) -> pa.Table:
 
 
 def _model(summary: list) -> tuple[Model, int, int]:
-    """An untrained model, N and V from the rows of chunk -1 (HEAD entries a key partition at most)."""
+    """An untrained model, N and V from the rows of chunk -1: the HEAD most frequent tokens and all of LEAST counts have places."""
     tops, sums = [], np.zeros((2, TAIL_CLASSES))
     for row in summary:
         tops.append(np.frombuffer(row.keys, np.int64).reshape(3, -1))
@@ -259,13 +297,13 @@ def _model(summary: list) -> tuple[Model, int, int]:
     total, distinct = int(sums[0].sum()), int(sums[1].sum())
     every = np.concatenate(tops, axis=1) if tops else np.zeros((3, 0), np.int64)
     hashes, counts, tails = every[0].view(np.uint64), every[1], every[2]
-    order = np.lexsort((hashes, -counts, hashes != END))[:HEAD]
-    for k in order:
-        sums[0, tails[k]] -= counts[k]
-        sums[1, tails[k]] -= counts[k] > 0
-    head = hashes[order] if len(order) else np.array([END])
-    by = np.argsort(head)
-    return Model(head[by], by.astype(np.int64), counts[order] if len(order) else np.zeros(1), sums[0], sums[1]), total, distinct
+    order = np.lexsort((hashes, -counts, hashes != END))
+    order = order[(np.arange(len(order)) < HEAD) | (counts[order] >= LEAST)]
+    hashes, counts, tails = hashes[order], counts[order], tails[order]
+    sums -= np.stack([np.bincount(tails, counts, TAIL_CLASSES), np.bincount(tails, counts > 0, TAIL_CLASSES)])
+    if not len(order):
+        hashes, counts, tails = np.array([END]), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    return Model(hashes, counts, tails, sums[0], sums[1]), total, distinct
 
 
 def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

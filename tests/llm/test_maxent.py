@@ -57,6 +57,25 @@ def test_probabilities_sum_to_one():
     assert 1 - 1e-3 - 0.15 < sum(p[:-1]) + end + unseen < 1 + 1e-6 and tails.any()
 
 
+def test_places_grow_with_the_vocabulary():
+    counts = np.concatenate([np.full(40_000, 1000 - 1), np.full(500, 3)]) + np.arange(40_500)[::-1]
+    hashes, tails = np.random.default_rng(2).integers(1 << 62, size=40_500).astype(np.uint64), np.arange(40_500) % 16
+    counts[40_000:] = 3
+    row = type("R", (), {"keys": np.concatenate([hashes.view(np.int64), counts, tails]).tobytes(), "data": np.stack([np.bincount(tails, counts, 16), np.bincount(tails, minlength=16).astype(float)]).tobytes()})
+    model, total, distinct = maxent._model([row])
+    assert (len(model.words), total, distinct) == (40_000, counts.sum(), 40_500) and len(model.w) >= 2 * 40_000
+    assert len({(k, i) for k, i in zip(model.kind.tolist(), model.index.tolist(), strict=True)}) == 40_000 and model.tail_n.sum() == 1500
+    # before training, the softmaxes on the way to a word multiply to its share
+    words = type("T", (), {"hash": hashes, "tail": tails})
+    p = np.zeros(40_500)
+    classes, index = model.target(words, 0, 40_500)
+    p[:] = (np.exp(model.b) / np.exp(model.b).sum())[classes]
+    for at, nodes, options in model.steps(classes, index):
+        e = np.exp(model.c[nodes].astype(float))
+        p[at] *= e[np.arange(len(at)), options] / e.sum(1)
+    assert np.allclose(p[:40_000] * total, counts[:40_000], rtol=1e-2)
+
+
 def _chunks(rows):
     maxent.chunks, kept = (lambda batches, limit=0: iter([(0, pa.array([1] * len(rows)), Texts.of(pa.array([t for _, t in rows])))])), maxent.chunks
     try:
