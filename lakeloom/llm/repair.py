@@ -2,7 +2,7 @@
 
 Documents stand in ascending order of doc_id (nulls first, ties by text), cut into shards of about SHARD ids. In each shard
 the pairs of neighbouring symbols that occur most are replaced by new symbols (non-overlapping, from the left), again and
-again; the rules and the length of each symbol's expansion are stored with the rest of the sequence, so any document is
+again until no pair occurs LEAST times; the rules and the length of each symbol's expansion are stored with the rest of the sequence, so any document is
 decoded from its own part of the sequence alone. A shard is one row of a table written by Spark; its `data` is the file:
 
     "RPG1"; unsigned 32-bit counts: documents, rules, symbols; 64-bit doc_ids; one byte each: doc_id is null; then unsigned
@@ -26,25 +26,33 @@ from lakeloom.llm.wordbpe import word_ids
 
 SHARD = 1 << 20
 FIRST_RULE = 1 << 17
-ROUNDS, PER_ROUND, LEAST = 6, 1024, 16
+PER_ROUND, LEAST = 1024, 16
 BUCKETS = 1 << 20
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left and right symbol of each rule, expansion lengths, the sequence that is left)."""
+    """(left and right symbol of each rule, expansion lengths, the sequence that is left). Rounds count pairs by hash; one that makes
+    no rule is followed by one with exact counts, which makes one as long as a pair occurs LEAST times: where pairs overlap every
+    second place is kept, so some pair keeps half of its places."""
     sequence = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.uint32)
-    for _ in range(ROUNDS):
-        if len(sequence) < 2 * LEAST:
-            break
+    exact = False
+    while len(sequence) > LEAST:
         bucket = (sequence[:-1] * np.uint32(0x9E3779B1) + sequence[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
         counts = np.bincount(bucket, minlength=BUCKETS)
-        top = np.argpartition(-counts, PER_ROUND)[:PER_ROUND]
-        top = top[counts[top] >= LEAST]
+        if exact:  # the pairs themselves in place of the buckets
+            held = np.flatnonzero((counts >= LEAST)[bucket])
+            pairs, inverse, counts = np.unique(sequence[held].astype(np.uint64) << np.uint64(32) | sequence[held + 1], return_inverse=True, return_counts=True)
+            bucket = np.full(len(bucket), len(pairs))
+            bucket[held] = inverse
+            counts = np.append(counts, 0)
+        top = np.flatnonzero(counts >= LEAST)
         if not len(top):
             break
-        rule = np.full(BUCKETS, -1, np.int32)
+        if len(top) > PER_ROUND:
+            top = top[np.argpartition(-counts[top], PER_ROUND)[:PER_ROUND]]
+        rule = np.full(len(counts), -1, np.int32)
         rule[top] = np.arange(len(top))
         own = rule[bucket]
         at = np.flatnonzero(own >= 0)
@@ -60,8 +68,8 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, own = at[keep], own[keep]
         often = np.bincount(own, minlength=len(top)) >= LEAST // 2
         at, own = at[often[own]], own[often[own]]
-        if not len(at):
-            break
+        if exact := not len(at):
+            continue
         number = np.cumsum(often) - 1
         pair = pair[often]
         of_rule = np.concatenate([lengths, [1]]).astype(np.int64)  # the last stands for ids

@@ -48,6 +48,15 @@ def test_repair_round_trip_and_random_access():
     assert len(shard.sequence) < len(ids) / 10 and len(shard.left)
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(1)
+    for ids in (np.tile(r.integers(0, 49_000, 700), 60), r.zipf(1.3, 60_000) % 49_000, np.full(5000, 7), np.tile(np.arange(3), 40)):
+        rules, lengths, sequence = repair.compress(ids.astype(np.uint32))
+        pairs = sequence[:-1].astype(np.uint64) << np.uint64(32) | sequence[1:]
+        assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < repair.LEAST
+        assert lengths[sequence[sequence >= repair.FIRST_RULE] - repair.FIRST_RULE].sum() + (sequence < repair.FIRST_RULE).sum() == len(ids)
+
+
 def test_files(spark, path):
     every = texts()
     ids = random.Random(3).sample(range(10_000), len(every))
