@@ -43,3 +43,11 @@ def test_odd_rows_and_missing_labels(spark):
         got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
         assert len(got) == 5 and all(0 <= r.toxic <= 1 for r in got)
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).collect() == []
+
+
+def test_all_of_a_sample_of_thousands_is_used(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, slots, counts, folds, y: used.append(len(folds)) or [None] * len(y))
+    ids = spark.range(4500)
+    toxicity.train(ids.selectExpr("id AS doc_id", "concat('w', id % 7) AS text"), ids.selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "CAST(id % 3 AS int) AS toxic"))
+    assert used == [4500]
