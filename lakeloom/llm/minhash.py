@@ -9,9 +9,11 @@
    are joined to components by alternating large and small stars. Rounds of stars go on over the buckets that still hold
    more than one component, until comparing what is left there is cheap (or rounds stop helping); then every pair of such
    a bucket whose classes lie in different components is compared by signature and by a sketch of its set, in blocks, and
-   those that may reach the similarity are confirmed. So no linked pair of a bucket is lost, and links within a component are not listed.
+   those within SIGMAS standard deviations of the similarity are confirmed. Links within a component are not listed.
 
-Two sets of similarity 0.8 share no bucket with probability 7e-6. Texts with fewer words than a shingle are one shingle;
+Two sets of similarity 0.8 share no bucket with probability 7e-6; one pair of a bucket that is compared in blocks is refused by
+signature with 2e-8 or by sketch with 7e-9 (binomial tails for large sets), which loses a link only if no other path joins the
+two classes. Texts with fewer words than a shingle are one shingle;
 texts without words (null, empty) are linked with nothing. Rows without doc_id are linked with nothing and kept
 (component_id null). Repeated rows get the same answer each; texts of different rows with one doc_id that represents them
 count as one document, linked by any of them.
@@ -30,6 +32,7 @@ BINS, BAND = 150, 5
 SIMILARITY = 80  # per cent
 BLOCK = 1024
 SKETCH = 512
+SIGMAS = 6  # how far below the similarity signatures and sketches of a pair may be found
 _PROBES = np.random.default_rng(7).integers(0, BINS, (2048, BINS))
 
 
@@ -160,12 +163,12 @@ def _unsure(buckets: DataFrame, per_cent: int, parts: int) -> DataFrame:
             j, less = j[100 * less >= per_cent * more], less[100 * less >= per_cent * more]
             if len(j):
                 s = per_cent / 100
-                slack = np.maximum(0.12, 4 * np.sqrt(s * (1 - s) / np.minimum(BINS, less)))
+                slack = np.maximum(0.12, SIGMAS * np.sqrt(s * (1 - s) / np.minimum(BINS, less)))
                 likely = (sig[j] == sig[i]).mean(1) >= s - slack
                 first = (bands[j] == bands[i]).all(2).argmax(1) == band
                 for k in j[likely & first]:
                     whole = max(cols["n_shingles"][i], cols["n_shingles"][k]) <= SKETCH
-                    if _alike(sketch[i], sketch[k]) >= s - (0.01 if whole else 4 * np.sqrt(s * (1 - s) / SKETCH)):
+                    if _alike(sketch[i], sketch[k]) >= s - (0.01 if whole else SIGMAS * np.sqrt(s * (1 - s) / SKETCH)):
                         out.append((cols["id"][i], cols["id"][k]))
         a = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": np.minimum(a[:, 0], a[:, 1]), "b": np.maximum(a[:, 0], a[:, 1])})

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lakeloom.llm import minhash
@@ -66,3 +67,14 @@ def test_null_keys_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string")
     got = sorted(map(str, minhash.near_duplicates(docs).collect()))
     assert [("component_id=None" in x, "kept=True" in x) for x in got] == [(False, True)] * 3 + [(True, True)]
+
+
+def test_pairs_far_under_the_similarity_by_chance_are_confirmed(spark):
+    # 95 of 150 bins and 364 of 512 least hashes are equal: more than four standard deviations under 0.8, fewer than six
+    bins = np.arange(150, dtype=np.uint16)
+    other = np.where(np.arange(150) < 95, bins, bins + 1000).astype(np.uint16)
+    both, rest = np.arange(364), np.arange(364, 512)
+    x, y = (np.concatenate([both, own, np.arange(74) + far]).astype(np.uint32) for own, far in ((rest[::2], 1000), (rest[1::2], 2000)))
+    rows = [(0, 1, k, k, 1000, bytearray(s.tobytes()), bytearray(z.tobytes())) for k, s, z in ((1, bins, x), (2, other, y))]
+    buckets = spark.createDataFrame(rows, "band int, key long, id long, component long, n_shingles int, signature binary, sketch binary")
+    assert [tuple(r) for r in minhash._unsure(buckets, 80, 4).collect()] == [(1, 2)]
