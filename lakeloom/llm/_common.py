@@ -71,11 +71,11 @@ class Texts:
     @classmethod
     def of(cls, column: pa.Array) -> Texts:
         if column.null_count:
-            column = column.fill_null("")
+            column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
         if not len(column):
             return cls(np.empty(0, np.uint8), np.zeros(1, np.int64))
         wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-        _, offsets, data = column.buffers()
+        _, offsets, data = column.buffers()[:3]
         at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
         return cls(whole, at - at[0])
@@ -166,24 +166,78 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
-def word_hashes(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each word."""
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 20))))
-        a, b = starts[i], int(ends[j - 1])
-        out[i:j] = spans(_BYTE[texts.data[a:b]], starts[i:j] - a, ends[i:j] - a)
-        i = j
-    return mix(out)
+def word_hashes(texts: Texts, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each word: every 8 bytes go through a mixing of all bits, so no pattern of bytes cancels out as it
+    does in a sum of powers, and words of one length up to 8 bytes never meet. Long words go through the public XXH3. Another salt
+    gives an independent hash: two of them name a word among all words of a corpus."""
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) + np.uint64((salt * ODD + 0x243F6A8885A308D3) & MASK64))
+    if not len(starts):
+        return out
+    data = texts.data
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # the 8 bytes from each place on
+    at = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+    start, left = starts[at], lengths[at]
+    while len(at):
+        block = eight[start]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix(out[at] ^ block)
+        more = left > 8
+        at, start, left = at[more], start[more] + 8, left[more] - 8
+    far = np.flatnonzero(lengths > LONG)
+    if len(far):
+        import xxhash
+
+        out[far] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b].tobytes(), seed=salt) for a, b in zip(starts[far], ends[far], strict=True)), np.uint64, len(far))
+    return out
+
+
+LONG = 256
+
+
+def distinct(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[Texts, np.ndarray]:
+    """The distinct words by their bytes, in order of first appearance, and for each word the number of its distinct one."""
+    n = len(texts.data)
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] = 1
+    edge[ends] -= 1
+    data = texts.data[np.cumsum(edge[:n], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return Texts.of(found.dictionary), found.indices.to_numpy().astype(np.int64)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the pair (a, b); order counts."""
+    return mix(a * np.uint64(ODD) ^ ((b << np.uint64(29)) | (b >> np.uint64(35))))
+
+
+def runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n values from each place on (fewer places than hashes by n - 1), joined by doubling: 1, 2, 4, ... and what is left."""
+    have, size, out, done = hashes, 1, None, 0
+    while True:
+        if n & size:
+            if out is None:
+                out, done = have, size
+            else:
+                k = len(hashes) - done - size + 1
+                out, done = _joined(out[:k], have[done : done + k]) if k > 0 else hashes[:0], done + size
+        if 2 * size > n:
+            return out
+        k = len(hashes) - 2 * size + 1
+        have = _joined(have[:k], have[size : size + k]) if k > 0 else hashes[:0]
+        size *= 2
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts (among all words) and hashes of the windows of n consecutive words that lie within one text."""
-    if not len(hashes):
+    if len(hashes) < n:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     ends = np.repeat(bounds[1:], np.diff(bounds))
     starts = np.flatnonzero(np.arange(len(hashes)) + n <= ends)
-    return starts, mix(spans(hashes, starts, starts + n))
+    return starts, runs(hashes, n)[starts]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -280,5 +334,5 @@ def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 def read_chunk(table: pa.Table) -> tuple[tuple[pa.Array, Texts] | None, list[tuple[int, bytes, bytes, bytes]]]:
     """The texts of a chunk's rows, and the rest of the rows by part."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("part", "keys", "lengths", "data")), strict=True), key=lambda r: r[0])
-    own = [r for r in rows if r[0] < 0]
-    return (unpack_texts(*own[0][1:]) if own else None), [r for r in rows if r[0] >= 0]
+    own = [r for r in rows if r[0] == -1]
+    return (unpack_texts(*own[0][1:]) if own else None), [r for r in rows if r[0] != -1]

@@ -2,11 +2,12 @@
 
 Byte-level BPE never merges across the edge between white space and what follows a word, so a text is the sequence of its
 *units* (white space and the run of other characters after it), and the ids of a text are the ids of its units one after
-another. Per chunk of documents Spark emits every distinct unit once; the units of all chunks meet by hash, each distinct
-unit of a key partition is encoded once, and its ids go back to the chunks, where they are joined by position. Decoding
+another. Per chunk of documents Spark emits every distinct unit once; the units of all chunks meet by hash and are told apart by their bytes, each
+distinct unit of a key partition is encoded once, and its ids go back to the chunks, where they are joined by position. Decoding
 joins ids with the id-to-piece table of the vocabulary (of fixed size) and concatenates the pieces' bytes.
 
-Nulls count as empty texts. Repeated rows give repeated rows. An empty text has no ids and decodes to the empty text.
+Nulls count as empty texts. Repeated rows give repeated rows. An empty text has no ids and decodes to the empty text. An empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, key_parts, ragged, read_chunk, split, squeeze, text_chunks, tune, unsqueeze, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, distinct, key_parts, ragged, read_chunk, split, squeeze, text_chunks, tune, unsqueeze, word_hashes
 
 
 def load(path: str, ordinary: bool = False):
@@ -115,15 +116,17 @@ def decode(path: str, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
-def _distinct(texts: Texts):
+def _distinct(texts: Texts, parts: int):
+    """Where each text's units begin, the distinct units by their bytes, for each unit the number of its distinct one, and
+    the key partition of each distinct unit."""
     starts, ends, bounds = units(texts)
-    keys, first, inverse = np.unique(word_hashes(texts, starts, ends), return_index=True, return_inverse=True)
-    return starts, ends, bounds, keys, first, inverse
+    own, inverse = distinct(texts, starts, ends)
+    return bounds, own, inverse, (word_hashes(own, own.offsets[:-1], own.offsets[1:]) % np.uint64(parts)).astype(np.int64)
 
 
-def _slices(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> Texts:
-    lengths = ends - starts
-    return Texts(texts.data[ragged(starts, lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+def _chosen(texts: Texts, members: np.ndarray) -> Texts:
+    lengths = np.diff(texts.offsets)[members]
+    return Texts(texts.data[ragged(texts.offsets[members], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
 
 
 def encode(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
@@ -134,10 +137,10 @@ def encode(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
 
     def words(batches):
         for chunk, _, texts in chunks(batches):
-            starts, ends, _, keys, first, _ = _distinct(texts)
+            _, every, _, part = _distinct(texts, parts)
             rows = []
-            for p, members in by_part((keys % np.uint64(parts)).astype(np.int64), parts):
-                own = _slices(texts, starts[first[members]], ends[first[members]])
+            for p, members in by_part(part, parts):
+                own = _chosen(every, members)
                 rows.append((chunk, p, b"", np.diff(own.offsets).astype(np.uint32).tobytes(), squeeze(own.data.tobytes())))
             if rows:
                 yield chunk_batch(rows)
@@ -149,8 +152,8 @@ def encode(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.uint32))]).astype(np.int64)
             lists.append(Texts(np.frombuffer(unsqueeze(data), np.uint8), offsets))
         every = Texts.join(lists)
-        keys, first, inverse = np.unique(word_hashes(every, every.offsets[:-1], every.offsets[1:]), return_index=True, return_inverse=True)
-        ids, lengths = encode_words(path, [every.bytes_of(i).decode(errors="replace") for i in first])
+        once, inverse = distinct(every, every.offsets[:-1], every.offsets[1:])
+        ids, lengths = encode_words(path, [once.bytes_of(i).decode(errors="replace") for i in range(len(once))])
         begins, at, rows = np.cumsum(lengths) - lengths, 0, []
         for chunk, part, own in zip(group.column("chunk").to_pylist(), group.column("part").to_pylist(), lists, strict=True):
             which = inverse[at : at + len(own)]
@@ -160,11 +163,11 @@ def encode(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
 
     def back(group: pa.Table) -> pa.Table:
         (keys, texts), answers = read_chunk(group)
-        _, _, bounds, hashes, _, inverse = _distinct(texts)
-        members = [m for _, m in by_part((hashes % np.uint64(parts)).astype(np.int64), parts)]
+        bounds, every, inverse, part = _distinct(texts, parts)
+        members = [m for _, m in by_part(part, parts)]
         lengths = [np.frombuffer(unsqueeze(a[2]), np.uint32).astype(np.int64) for a in answers]
         ids = np.concatenate([np.frombuffer(unsqueeze(a[3]), np.uint32) for a in answers]) if answers else np.empty(0, np.uint32)
-        length, begin = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        length, begin = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
         if members:
             order, flat = np.concatenate(members), np.concatenate(lengths)
             length[order], begin[order] = flat, np.cumsum(flat) - flat

@@ -2,7 +2,7 @@
 
 1. Every document gives its set's size, a 128-bit hash of the whole set and a signature: one hash per shingle, the least
    of each of 150 bins, empty bins filled from full ones along a random probe sequence of their own. Documents of equal
-   sets become one class, represented by its least doc_id, so exact copies add no candidates.
+   shingles (repeated ones counted) become one class, represented by its least doc_id, so exact copies add no candidates.
 2. 30 bands of 5 bins bucket the classes. In each bucket edges go from one centre to the others (a star), so a bucket of
    m classes gives m - 1 candidates; the first round takes the least id as centre, further rounds other members.
 3. Candidates are confirmed on full sets (100 * intersection >= 80 * union for a similarity of 0.8), and the confirmed ones
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, key_parts, mix, slices, split, stored, tune, windows, word_hashes
+from lakeloom.llm._common import Texts, key_parts, mix, runs, slices, split, stored, tune, windows, word_hashes
 
 BINS, BAND = 150, 5
 SIMILARITY = 80  # per cent
 BLOCK = 1024
+HOT, SALTS = 1000, 64
 SKETCH = 512
 SIGMAS = 6  # how far below the similarity signatures and sketches of a pair may be found
 _PROBES = np.random.default_rng(7).integers(0, BINS, (2048, BINS))
@@ -48,13 +49,24 @@ def _shingles(texts: Texts, n: int) -> list[np.ndarray]:
     cuts, words, out = np.searchsorted(at, bounds), np.diff(bounds), []
     for d in range(len(texts)):
         if 0 < words[d] < n:
-            own = hashes[bounds[d] : bounds[d + 1]]
-            out.append(mix(np.array([np.bitwise_xor.reduce(mix(own + np.arange(1, len(own) + 1, dtype=np.uint64))) + np.uint64(len(own))])))
+            out.append(mix(runs(hashes[bounds[d] : bounds[d + 1]], int(words[d])) + np.uint64(words[d])))
         else:
             out.append(np.unique(found[cuts[d] : cuts[d + 1]]))
     return out
 
 
+def _second(texts: Texts, n: int) -> list[int]:
+    """A sum over each text's shingles of a hash of their words' second hashes."""
+    starts, ends, bounds = split(texts)
+    hashes = word_hashes(texts, starts, ends, 1)
+    at, found = windows(hashes, bounds, n)
+    cuts, total, own = np.searchsorted(at, bounds), np.concatenate([[np.uint64(0)], np.cumsum(mix(found), dtype=np.uint64)]), np.diff(bounds)
+    sums = (total[cuts[1:]] - total[cuts[:-1]]).tolist()
+    for d in np.flatnonzero((own > 0) & (own < n)):
+        sums[d] = int(runs(hashes[bounds[d] : bounds[d + 1]], int(own[d]))[0])
+    return sums
+
+
 def signature(shingle_set: np.ndarray) -> np.ndarray:
     """16 bits of the least hash of each bin, empty bins densified."""
     bins, first = np.unique(shingle_set % np.uint64(BINS), return_index=True)
@@ -75,13 +87,14 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """docs(doc_id, text) → doc_id, n_shingles, set_a, set_b (hash of the set), signature."""
+    """docs(doc_id, text) → doc_id, n_shingles, set_a, set_b (128-bit hash of the set's shingles, the second half counting repeated ones
+    and made from a second hash of the words), signature."""
 
     def run(batches):
         for batch in batches:
-            sets = shingles(Texts.of(batch.column(1)), n)
-            with np.errstate(over="ignore"):
-                sums = [[int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64)) for s in sets] for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+            texts = Texts.of(batch.column(1))
+            sets = shingles(texts, n)
+            sums = [[int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets], [x for _, part in slices(texts) for x in _second(part.lower(), n)]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums), pa.array([signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
                 ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
@@ -180,6 +193,20 @@ def _unsure(buckets: DataFrame, per_cent: int, parts: int) -> DataFrame:
     return pairs.repartition(parts, "band", "key", "low", "high").groupBy("band", "key", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def starred(active: DataFrame, order) -> DataFrame:
+    """active(band, key, id, component) → a, b: an edge from each bucket's centre (the first by order) to every member of another component.
+    Buckets that hold a share of 1 / HOT of all rows or more, HOT at most, are dealt out to SALTS tasks each, with the centre copied."""
+    centres = active.groupBy("band", "key").agg(F.min_by(F.struct("id", "component"), order).alias("centre"), F.count("*").alias("n"))
+    centres = stored(centres, "centres")
+    least = (centres.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = centres.filter((F.col("n") >= least) & (F.col("n") > SALTS)).select("band", "key", F.lit(SALTS).alias("salts"))  # HOT rows at most
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = active.join(F.broadcast(hot), ["band", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(2)), salts)).drop("salts")
+    copied = centres.join(F.broadcast(hot), ["band", "key"], "left").select("band", "key", "centre", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)).alias("salt"))
+    star = dealt.join(copied, ["band", "key", "salt"]).filter("component <> centre.component")
+    return star.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = SIMILARITY, cheap: int = 20_000_000) -> DataFrame:
     """docs(doc_id, text) → doc_id, n_shingles, component_id, kept. cheap: comparisons of signatures for which no further
     round of stars is run first; it decides on the way only, not on the result."""
@@ -222,9 +249,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = SIMILARITY, che
                 break
             before = work
         order = F.col("id") if labels is None else F.xxhash64("id", "band", F.lit(round_))
-        centres = active.groupBy("band", "key").agg(F.min_by(F.struct("id", "component"), order).alias("centre"))
-        star = active.join(centres, ["band", "key"]).filter("component <> centre.component").select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
-        found = stored(confirm(star, texts, n, per_cent), "links")
+        found = stored(confirm(starred(active, order), texts, n, per_cent), "links")
         links = found if links is None else links.unionByName(found)
         labels = stored(components(links), "labels")
         round_ += 1

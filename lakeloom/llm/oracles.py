@@ -36,12 +36,17 @@ OP10 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 i AS (SELECT rid, w, unnest(range(0, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
 x AS (SELECT rid, i, md5(array_to_string(list_slice(w, i + 1, i + 35), ' ')) AS m FROM i),
-r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY m) AS c FROM x) WHERE c > 1),
-g AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS k FROM r),
+r0 AS (SELECT rid, i, m FROM (SELECT rid, i, m, count(*) OVER (PARTITION BY m) AS c FROM x) WHERE c > 1),
+LEVELS
+z AS (SELECT rid, max(n) AS longest FROM (ALL_LEVELS) GROUP BY rid),
+g AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS k FROM r0),
 k AS (SELECT rid, unnest(range(0, len(w))) AS k, unnest(w) AS word FROM d),
 o AS (SELECT k.rid, string_agg(word, ' ' ORDER BY k.k) AS kept, count(*) AS n FROM k LEFT JOIN g ON g.rid = k.rid AND g.k = k.k WHERE g.k IS NULL GROUP BY k.rid)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(o.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
-FROM d LEFT JOIN o USING (rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(o.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256, CAST(coalesce(z.longest, 0) AS INTEGER) AS longest
+FROM d LEFT JOIN o USING (rid) LEFT JOIN z USING (rid)
 """
+# windows of twice the length are pairs of windows that repeat; twelve doublings reach texts of 143,360 words
+_DOUBLED = "r{b} AS (SELECT rid, i, m FROM (SELECT *, count(*) OVER (PARTITION BY m) AS c FROM (SELECT p.rid, p.i, md5(p.m || q.m) AS m FROM r{a} p JOIN r{a} q ON p.rid = q.rid AND q.i = p.i + {n})) WHERE c > 1),"
+OP10 = OP10.replace("ALL_LEVELS", " UNION ALL ".join(f"SELECT rid, {35 << k} AS n FROM r{k}" for k in range(13))).replace("LEVELS", "\n".join(_DOUBLED.format(a=k, b=k + 1, n=35 << k) for k in range(12)))
 
 SQL = {"op1_chat": chat.ORACLE, "op8_decontamination": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10}

@@ -1,27 +1,29 @@
 """Removal of passages that repeat: level-wise doubling of repeated windows.
 
-Level 1 holds windows of half the length (rounded up). Only a content-defined sample of them is counted: the least hash
+Level 0 holds windows of half the length (rounded up). Only a content-defined sample of them is counted: the least hash
 of every stretch that spans one full window, so each full window holds a sampled one at the same place of its text
-(winnowing). A full window is a candidate at the next level only where its sampled half repeats, and with `longest`
-windows that repeat are extended to twice the length, those alone, until no candidates survive. Levels count over the
-whole corpus: each chunk asks once about every distinct window, per key partition, and is told which ones start twice
-or more. A window that a third of the documents hold is asked about once per chunk.
-
-Windows are runs of words `[^\\x20\\x09-\\x0D]+` of one document, compared by 64-bit hashes of their words. Null and empty
-texts have no words; texts shorter than a window lose nothing; repeated rows count as documents of their own, so all
-words of a copied text that fills a window go.
+(winnowing). A full window is a candidate at level 1 only where its sampled half repeats. Windows that repeat at one level,
+those alone, are extended to twice the length at the next, until no candidates survive: a window of twice the length can
+repeat only where both its halves do, and its hash is made of theirs, so these levels hold the survivors and read no text.
+Levels count over the whole corpus: each chunk asks once about every distinct window, per key partition, and is told which
+ones start twice or more. A window that a third of the documents hold is asked about once per chunk.
+
+Windows are runs of words `[^\\x20\\x09-\\x0D]+` of one document, named by two independent 64-bit hashes of their words. Null and
+empty texts have no words; texts shorter than a window lose nothing; repeated rows count as documents of their own, so all
+words of a copied text that fills a window go. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, key_parts, read_chunk, split, stored, text_chunks, tune, windows, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, Texts, _joined, by_part, chunk_batch, chunks, key_parts, read_chunk, split, squeeze, stored, text_chunks, tune, unsqueeze, windows, word_hashes
 
 LENGTH = 35
 LIMIT = 4 << 20  # bytes of text in a chunk
@@ -38,19 +40,22 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Chunk:
-    """The words of a chunk, and the windows of any level."""
+    """The words of a chunk, and the windows of the first levels."""
 
     def __init__(self, texts: Texts, length: int):
         self.texts, self.length, self.half = texts, length, (length + 1) // 2
         self.starts, self.ends, self.bounds = split(texts)
-        self.hashes = word_hashes(texts, self.starts, self.ends)
 
-    def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of full windows, for each the least hash of the halves within, and the hashes of all sampled halves."""
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.texts, self.starts, self.ends)
+
+    def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of full windows, for each the least hash of the halves within, and the hashes of all sampled halves."""
         at, halves = windows(self.hashes, self.bounds, self.half)
-        starts, _ = windows(self.hashes, self.bounds, self.length)
+        starts, full_hashes = windows(self.hashes, self.bounds, self.length)
         if not len(starts):
-            return starts, np.empty(0, np.uint64), np.empty(0, np.uint64)
+            return starts, full_hashes, np.empty(0, np.uint64), np.empty(0, np.uint64)
         spread = np.full(len(self.hashes), np.iinfo(np.uint64).max, np.uint64)
         spread[at] = halves
         width = self.length - self.half + 1
@@ -58,28 +63,44 @@ class Chunk:
         full = np.zeros(len(self.hashes) + width, np.uint64)  # 0: no full window starts here
         full[starts + width - 1] = least
         seen = _sliding(full, width, np.maximum)[: len(self.hashes)]
-        return starts, least, halves[halves == seen[at]]
+        return starts, full_hashes, least, halves[halves == seen[at]]
+
+    def others(self) -> np.ndarray:
+        """The second hash of the full windows."""
+        return windows(word_hashes(self.texts, self.starts, self.ends, 1), self.bounds, self.length)[1]
 
-    def level(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        return windows(self.hashes, self.bounds, length)
 
+def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, inverse, counts) of the distinct pairs (a, b), in order of them."""
+    _, first, inverse, counts = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+    if len(b) and (b != b[first][inverse]).any():
+        _, first, inverse, counts = np.unique(np.stack([a, b], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, inverse.ravel(), counts
 
-def _ask(chunk: int, level: int, parts: int, keys: np.ndarray, many: np.ndarray) -> list[tuple]:
-    """A row for each key partition: the distinct keys, and which stand in the chunk more than once."""
-    return [(chunk, level * parts + p, keys[m].tobytes(), b"", np.packbits(many[m]).tobytes()) for p, m in by_part((keys % np.uint64(parts)).astype(np.int64), parts)]
+
+def _ask(chunk: int, parts: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """A row for each key partition: the distinct windows, and which stand in the chunk more than once. b may be empty."""
+    first, _, counts = _unique(a, b)
+    a, b, many = a[first], b[first] if len(b) else b, counts > 1
+    return [(chunk, p, a[m].tobytes(), b[m].tobytes() if len(b) else b"", np.packbits(many[m]).tobytes()) for p, m in by_part((a % np.uint64(parts)).astype(np.int64), parts)]
 
 
 def _answer(group: pa.Table) -> pa.Table:
     lists = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
     many = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=len(k)) for d, k in zip(group.column("data").to_pylist(), lists, strict=True)])
-    every = np.concatenate(lists)
-    order = np.argsort(every, kind="stable")
-    ordered = every[order]
-    same = ordered[1:] == ordered[:-1]
+    a, b = np.concatenate(lists), np.frombuffer(b"".join(group.column("lengths").to_pylist()), np.uint64)
+    order = np.argsort(a, kind="stable")
+    same = a[order][1:] == a[order][:-1]
+    if len(b):
+        both = same & (b[order][1:] == b[order][:-1])
+        if (both != same).any():  # windows of equal first hashes lie in any order
+            order = np.lexsort((b, a))
+            both = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        same = both
     twice = many[order].astype(bool)
     twice[1:] |= same
     twice[:-1] |= same
-    out = np.empty(len(every), bool)
+    out = np.empty(len(a), bool)
     out[order] = twice
     at, rows = 0, []
     for chunk, part, keys in zip(group.column("chunk").to_pylist(), group.column("part").to_pylist(), lists, strict=True):
@@ -88,38 +109,30 @@ def _answer(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([chunk_batch(rows)])
 
 
-def _told(keys: np.ndarray, level: int, parts: int, answers: list[tuple]) -> np.ndarray:
-    """Which of the distinct keys repeat, from the answers of a level."""
-    out, got = np.zeros(len(keys), bool), {p: data for p, _, _, data in answers}
-    for p, m in by_part((keys % np.uint64(parts)).astype(np.int64), parts):
-        out[m] = np.unpackbits(np.frombuffer(got[level * parts + p], np.uint8), count=len(m)).astype(bool)
-    return out
-
-
-def _repeats(chunk: Chunk, upto: int, parts: int, answers: list[tuple]):
-    """Walks the answered levels. Level 0 is the sample, level k > 0 has windows of length * 2**(k-1). Returns for the
-    level after the last answered one its candidates' starts and hashes, and the repeated starts of each full level."""
-    starts, least, sampled = chunk.sample()
-    keys, counts = np.unique(sampled, return_counts=True)
-    if upto == 0:
-        return keys, counts > 1, []
-    good, found = keys[_told(keys, 0, parts, answers)], []
-    alive = starts[np.isin(least, good, kind="sort")]
-    for k in range(1, upto + 1):
-        length = chunk.length << (k - 1)
-        at, hashes = chunk.level(length)
-        own = hashes[np.searchsorted(at, alive)]
-        keys, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
-        if k == upto:
-            return keys, counts > 1, found
-        repeated = alive[_told(keys, k, parts, answers)[inverse]]
-        found.append(repeated)
-        longer, _ = chunk.level(2 * length)
-        alive = np.intersect1d(repeated, np.intersect1d(repeated - length, longer, assume_unique=True), assume_unique=True)
-    raise AssertionError
-
-
-def removed(docs: DataFrame, length: int = LENGTH, longest: bool = False, parts: int | None = None) -> DataFrame:
+def _told(a: np.ndarray, b: np.ndarray, parts: int, answers: list[tuple]) -> np.ndarray:
+    """Which of the windows repeat, from the answers to _ask."""
+    first, inverse, _ = _unique(a, b)
+    out, got = np.zeros(len(first), bool), {p: data for p, _, _, data in answers}
+    for p, m in by_part((a[first] % np.uint64(parts)).astype(np.int64), parts):
+        out[m] = np.unpackbits(np.frombuffer(got[p], np.uint8), count=len(m)).astype(bool)
+    return out[inverse]
+
+
+STATE, FOUND = -2, -3  # parts of rows that hold a level's candidates, and the repeated windows of level 1, 2, ... (-3, -4, ...)
+
+
+def _level(chunk: int, parts: int, starts: np.ndarray, texts: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """The candidates of a level (starts, their texts' numbers and both hashes) as a row of state and questions."""
+    if not len(starts):
+        return []
+    return [(chunk, STATE, squeeze(starts.astype(np.int32).tobytes() + texts.astype(np.int32).tobytes(), 1), b"", squeeze(a.tobytes() + b.tobytes(), 1)), *_ask(chunk, parts, a, b)]
+
+
+def _batches(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([chunk_batch(rows)] if rows else [], chunk_batch([(0, 0, b"", b"", b"")]).schema)
+
+
+def removed(docs: DataFrame, length: int = LENGTH, longest: bool = True, parts: int | None = None) -> DataFrame:
     """docs(doc_id, text) → doc_id, text_md5, n_words, n_removed, kept (binary: the words left, joined by one space), spans (array of
     [first, last + 1) of removed words), and longest: the greatest level length of a repeated window (0: none; levels
     beyond the first full one are walked only if longest)."""
@@ -129,43 +142,67 @@ def removed(docs: DataFrame, length: int = LENGTH, longest: bool = False, parts:
 
     def first(batches):
         for chunk, _, texts in chunks(batches, LIMIT):
-            if rows := _ask(chunk, 0, parts, *_repeats(Chunk(texts, length), 0, parts, [])[:2]):
+            if rows := _ask(chunk, parts, Chunk(texts, length).sample()[3], np.empty(0, np.uint64)):
                 yield chunk_batch(rows)
 
-    def ask(level):
-        def run(group: pa.Table) -> pa.Table:
-            (_, texts), answers = read_chunk(group)
-            rows = _ask(group.column("chunk")[0].as_py(), level, parts, *_repeats(Chunk(texts, length), level, parts, answers)[:2])
-            return pa.Table.from_batches([chunk_batch(rows)] if rows else [], chunk_batch([(0, 0, b"", b"", b"")]).schema)
+    def candidates(group: pa.Table) -> pa.Table:
+        """Full windows whose sampled half repeats."""
+        (_, texts), answers = read_chunk(group)
+        chunk = Chunk(texts, length)
+        starts, a, least, sampled = chunk.sample()
+        good = np.unique(sampled[_told(sampled, np.empty(0, np.uint64), parts, answers)])
+        alive = np.flatnonzero(np.isin(least, good, kind="sort"))
+        b = chunk.others()[alive] if len(alive) else np.empty(0, np.uint64)
+        of = np.searchsorted(chunk.bounds, starts[alive], "right") - 1
+        return _batches(_level(group.column("chunk")[0].as_py(), parts, starts[alive], of, a[alive], b))
 
-        return run
+    def doubled(size, level):
+        """The repeated windows of a level (of size words), and those of twice the size whose halves both repeat."""
 
-    def last(levels):
         def run(group: pa.Table) -> pa.Table:
-            (keys, texts), answers = read_chunk(group)
-            chunk = Chunk(texts, length)
-            _, _, found = _repeats(chunk, levels, parts, answers)
-            return _kept(keys, chunk, found)
+            chunk = group.column("chunk")[0].as_py()
+            _, rows = read_chunk(group)
+            (_, places, _, hashes), answers = next(r for r in rows if r[0] == STATE), [r for r in rows if r[0] >= 0]
+            starts, of = np.frombuffer(unsqueeze(places), np.int32).astype(np.int64).reshape(2, -1)
+            a, b = np.frombuffer(unsqueeze(hashes), np.uint64).reshape(2, -1)
+            repeated = _told(a, b, parts, answers)
+            starts, of, a, b = starts[repeated], of[repeated], a[repeated], b[repeated]
+            out = [(chunk, FOUND - level, squeeze(starts.astype(np.int32).tobytes() + of.astype(np.int32).tobytes(), 1), b"", b"")] if len(starts) else []
+            if longest and len(starts):
+                other = np.searchsorted(starts, starts + size)
+                other[other == len(starts)] = 0
+                both = np.flatnonzero((starts[other] == starts + size) & (of[other] == of))
+                then = other[both]
+                out += _level(chunk, parts, starts[both], of[both], _joined(a[both], a[then]), _joined(b[both], b[then]))
+            return _batches(out)
 
         return run
 
+    def last(group: pa.Table) -> pa.Table:
+        (keys, texts), rows = read_chunk(group)
+        found = [np.frombuffer(unsqueeze(r[1]), np.int32).astype(np.int64).reshape(2, -1) for r in rows[::-1]]  # level 1 first
+        return _kept(keys, Chunk(texts, length), found)
+
     told = stored(docs.select("doc_id", "text").mapInArrow(first, CHUNK_SCHEMA).groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA), "substr-0")
-    level = 1
+    asked = stored(text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(candidates, CHUNK_SCHEMA), "substr-1")
+    found, level = None, 0
     while True:
-        asked = text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(ask(level), CHUNK_SCHEMA)
-        answer = stored(asked.groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA), f"substr-{level}")
-        told = told.unionByName(answer)
+        told = asked.filter("part >= 0").groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA)
+        asked = stored(asked.filter(F.col("part") == STATE).unionByName(told).groupBy("chunk").applyInArrow(doubled(length << level, level), CHUNK_SCHEMA), f"substr-{level + 2}")
+        own = asked.filter(F.col("part") <= FOUND)
+        found = own if found is None else found.unionByName(own)
         level += 1
-        if not longest or answer.isEmpty():
+        if not longest or asked.filter("part >= 0").isEmpty():
             break
     schema = "doc_id long, text_md5 string, n_words long, n_removed long, kept binary, spans array<array<int>>, longest int"
-    return text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(last(level), schema)
+    return text_chunks(docs, LIMIT).unionByName(found).groupBy("chunk").applyInArrow(last, schema)
 
 
 def _kept(keys: pa.Array, chunk: Chunk, found: list[np.ndarray]) -> pa.Table:
+    """found: starts and texts of the repeated windows of each level."""
     n = len(chunk.starts)
     delta = np.zeros(n + 1, np.int64)
-    repeated = found[0] if found else np.empty(0, np.int64)
+    repeated = found[0][0] if found else np.empty(0, np.int64)
     delta[: n + 1] += np.bincount(repeated, minlength=n + 1)
     delta -= np.bincount(repeated + chunk.length, minlength=n + 1)
     gone = np.cumsum(delta)[:n] > 0
@@ -187,8 +224,8 @@ def _kept(keys: pa.Array, chunk: Chunk, found: list[np.ndarray]) -> pa.Table:
     words = np.diff(chunk.bounds)
     lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[chunk.bounds])
     longest = np.zeros(len(words), np.int32)
-    for k, starts in enumerate(found):
-        longest[np.unique(np.searchsorted(chunk.bounds, starts, "right") - 1)] = chunk.length << k
+    for k, (_, of) in enumerate(found):
+        longest[of] = chunk.length << k
     spans = [[] for _ in range(len(words))]
     for d in np.flatnonzero(lost):
         a, b = chunk.bounds[d], chunk.bounds[d + 1]
@@ -199,5 +236,5 @@ def _kept(keys: pa.Array, chunk: Chunk, found: list[np.ndarray]) -> pa.Table:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "longest")
 

@@ -1,7 +1,7 @@
 """Ids of the word-level BPE tokenizer (lower case, white space dropped), text by text, as the tokenizers library gives them.
 
 White space never enters an id, so a text's ids are those of its runs of other characters. A worker process keeps the ids
-of the runs it has met, up to a bounded number. Runs of Latin letters with points or commas after them go to the BPE model
+of the runs it has met (by their bytes), up to a bounded number and size. Runs of Latin letters with points or commas after them go to the BPE model
 itself; all others go through the whole library.
 """
 
@@ -11,10 +11,10 @@ import re
 
 import numpy as np
 
-from lakeloom.llm._common import Texts, ragged, split, word_hashes
+from lakeloom.llm._common import Texts, distinct, ragged, split
 from lakeloom.llm.bpe import load
 
-MOST_KNOWN = 1_200_000
+MOST_KNOWN, MOST_BYTES = 1_200_000, 32 << 20
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters that normalisation to composed form leaves alone
 _PLAIN = re.compile(f"([{_LATIN}]+)([.,]*)")
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -26,9 +26,9 @@ _BYTE_LEVEL = {c: "".join(_BYTE_CHAR[b] for b in chr(c).encode()) for c in range
 class WordIds:
     def __init__(self, path: str, ordinary: bool):
         self.tokenizer = load(path, ordinary)
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.begin, self.length, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(words)
@@ -49,13 +49,15 @@ class WordIds:
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) one text after another, and where each text's ids begin (one more than texts)."""
         starts, ends, bounds = split(texts)
-        hashes, first, inverse = np.unique(word_hashes(texts, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > MOST_KNOWN:
-            self.known, self.used = {}, 0
-        keys = hashes.tolist()
-        missing = [k for k, h in enumerate(keys) if h not in self.known]
+        words, inverse = distinct(texts, starts, ends)
+        if len(self.known) > MOST_KNOWN or self.held > MOST_BYTES:
+            self.known, self.used, self.held = {}, 0, 0
+        data, at = words.data.tobytes(), words.offsets.tolist()
+        keys = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        missing = [k for k, w in enumerate(keys) if w not in self.known]
         if missing:
-            found = self._encode([texts.data[starts[first[k]] : ends[first[k]]].tobytes() for k in missing])
+            found = self._encode([keys[k] for k in missing])
+            self.held += sum(len(keys[k]) for k in missing)
             at, flat = len(self.known), np.fromiter((i for x in found for i in x), np.uint32)
             lengths = np.array([len(x) for x in found], np.int32)
             for name, need in (("begin", at + len(found)), ("length", at + len(found)), ("ids", self.used + len(flat))):
