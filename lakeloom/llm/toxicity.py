@@ -5,22 +5,27 @@ and word-beginning features and the probabilities of the categories before it. I
 out-of-fold predictions: for each fold of documents a model that has not seen the fold gives them, so a later model
 meets the errors that it will meet in use.
 
-Models are fitted on the driver from at most MOST_LABELLED labelled documents (the least by a hash of doc_id; a doc_id with
-several labels counts as positive where any row says so); scoring is one pass over all documents, without a shuffle.
-Null and empty texts score by the bias alone. Rows are scored one by one, so repeated rows, ties and null ids change
-nothing. Without labels, or with one class only, a category's probability is the smoothed share of positives.
+Models are fitted from at most MOST_LABELLED labelled documents (the least by a hash of doc_id; a doc_id with several labels
+counts as positive where any row says so, and of texts with one doc_id the one with the greatest features counts). Spark counts
+each feature's documents by fold and classes; the FEATURES that tell the classes apart best (chi-square, of those that three
+documents or more have) are chosen for each model from these counts, and only they are brought to the one task that fits the
+chain. So that task and the driver hold at most MOST_LABELLED rows of chosen features, however long the texts are. Scoring is
+one pass over all documents, without a shuffle. Null and empty texts score by the bias alone. Rows are scored one by one, so
+repeated rows, ties and null ids change nothing. Without labels, or with one class only, a category's probability is the
+smoothed share of positives. Empty tables give an empty result; other columns of the tables are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import _BYTE, Texts, mix, slices, spans, split, tune
+from lakeloom.llm._common import Texts, mix, slices, split, stored, tune, word_hashes
 
 MOST_LABELLED = 6000
 FOLDS, FEATURES, SLOTS = 5, 1024, 1 << 20
@@ -53,41 +58,34 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, bounds = split(texts)
-    values = _BYTE[texts.data]
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
     keys = []
     for k, length in enumerate(_BEGINNINGS):
         end = np.minimum(starts + length, ends) if length else ends
-        slot = mix(spans(values, starts, end) + np.uint64(k * 0x51ED2701)) % np.uint64(SLOTS)
+        slot = word_hashes(texts, starts, end, k) % np.uint64(SLOTS)
         keys.append(text * SLOTS + slot.astype(np.int64))
     found, counts = np.unique(np.concatenate(keys), return_counts=True)
     return (found // SLOTS).astype(np.int32), (found % SLOTS).astype(np.int32), counts.astype(np.int32)
 
 
-def _fit(rows, slots, counts, earlier: np.ndarray, y: np.ndarray, rounds: int = 200, l1: float = 3e-4) -> Linear:
-    """Proximal gradient descent with momentum over the FEATURES slots that tell the classes apart best (chi-square)."""
+def _fit(rows, slots, counts, best: np.ndarray, earlier: np.ndarray, y: np.ndarray, rounds: int = 200, l1: float = 3e-4) -> Linear:
+    """Proximal gradient descent with momentum over the chosen slots (best, ascending)."""
     n, positive = len(y), int(y.sum())
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     none = np.empty(0)
     if not 0 < positive < n:
         return Linear(np.empty(0, np.int64), none, none, np.zeros(earlier.shape[1]), bias)
-    seen = np.bincount(slots, minlength=SLOTS).astype(float)
-    expected = seen * positive / n
-    score = (np.bincount(slots[y[rows] > 0], minlength=SLOTS) - expected) ** 2 / np.maximum(expected * (1 - seen / n), 1e-9)
-    score[seen < 3] = 0
-    best = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
-    best = best[score[best] > 0]
-    column = np.full(SLOTS, -1)
-    column[best] = np.arange(len(best))
-    own = column[slots] >= 0
     k = len(best)
+    column = np.searchsorted(best, slots)
+    own = column < k
+    own[own] = best[column[own]] == slots[own]
     x = np.zeros((n, 2 * k + earlier.shape[1]), np.float32)
-    x[rows[own], column[slots[own]]] = 1
-    x[rows[own], k + column[slots[own]]] = np.log1p(counts[own].astype(np.float32))
+    x[rows[own], column[own]] = 1
+    x[rows[own], k + column[own]] = np.log1p(counts[own].astype(np.float32))
     x[:, 2 * k :] = earlier
     v = np.ones(x.shape[1], np.float32)
     for _ in range(20):  # the largest eigenvalue bounds the curvature
-        v = x.T @ (x @ (v / np.linalg.norm(v)))
+        v = x.T @ (x @ (v / max(np.linalg.norm(v), 1e-9)))
     step = 1 / (0.3 * np.linalg.norm(v) / n + 1e-6)
     w = ahead = np.zeros(x.shape[1])
     b = ahead_b = bias
@@ -104,57 +102,106 @@ def _fit(rows, slots, counts, earlier: np.ndarray, y: np.ndarray, rounds: int =
     return Linear(best[used], w[:k][used], w[k : 2 * k][used], w[2 * k :], float(b))
 
 
-def fit_chain(rows, slots, counts, folds: np.ndarray, labels: list[np.ndarray]) -> list[Linear]:
-    """A model for each category, in order. folds: the fold of each text."""
+def fit_chain(rows, slots, counts, folds: np.ndarray, labels: list[np.ndarray], chosen: dict[tuple[int, int], np.ndarray]) -> list[Linear]:
+    """A model for each category, in order. folds: the fold of each text; chosen: the slots of each model by category and the
+    fold left out (FOLDS: none)."""
     chain, before = [], np.zeros((len(folds), 0))
-    for y in labels:
+    for c, y in enumerate(labels):
         y = y.astype(float)
-        chain.append(_fit(rows, slots, counts, before, y))
+        none = np.empty(0, np.int64)
+        chain.append(_fit(rows, slots, counts, chosen.get((c, FOLDS), none), before, y))
         apart = np.zeros(len(y))
-        for fold in np.unique(folds):
+        for fold in np.unique(folds) if c + 1 < len(labels) else ():
             inside = folds != fold
             at = np.cumsum(inside) - 1
             use = inside[rows]
-            model = _fit(at[rows[use]], slots[use], counts[use], before[inside], y[inside])
+            model = _fit(at[rows[use]], slots[use], counts[use], chosen.get((c, int(fold)), none), before[inside], y[inside])
             apart[~inside] = model.odds(rows, slots, counts, before)[~inside]
         before = np.column_stack([before, np.clip(apart, -10, 10)])
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most: int = MOST_LABELLED) -> list[tuple[str, Linear]]:
-    """docs(doc_id, text), labels(doc_id and what the categories' conditions read) → the chain. most: labelled documents used."""
-    tune(docs.sparkSession)
-    truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(*(F.max(F.expr(f"coalesce(int({c}), 0)")).alias(f"y{k}") for k, (_, c) in enumerate(categories)))
-    sample = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    known = {r[0]: r[1:] for r in sample.collect()}
-    wanted = docs.sparkSession.createDataFrame([(k,) for k in known], "doc_id long")
+_LABELLED = "doc_id long, fold int, classes int, slots binary, counts binary"
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, categories, most: int) -> DataFrame:
+    """_LABELLED for the documents used: bit k of classes is category k, slots and counts are all features of the text."""
+    classes = sum((F.max(F.expr(f"coalesce(int({c}), 0)")) * (1 << k) for k, (_, c) in enumerate(categories)), F.lit(0)).cast("int")
+    truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(classes.alias("classes"))
+    sample = stored(truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
 
     def run(batches):
         for batch in batches:
-            rows, slots, counts = features(Texts.of(batch.column(1)))
+            rows, slots, counts = features(Texts.of(batch.column(2)))
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x, t in ((slots, np.int32), (np.minimum(counts, 65535), np.uint16)))], ["doc_id", "slots", "counts"])
-
-    found = {}
-    chosen = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi")
-    for r in chosen.mapInArrow(run, "doc_id long, slots binary, counts binary").collect():
-        found[r.doc_id] = max(found.get(r.doc_id, (b"", b"")), (bytes(r.slots), bytes(r.counts)))
-    ids = sorted(found)
-    seen = np.zeros(SLOTS, np.int32)
-    for slots, _ in found.values():
-        seen[np.frombuffer(slots, np.int32)] += 1
-    rows_, slots_, counts_ = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.uint16)]
-    for k, i in enumerate(ids):  # features of fewer than three documents are not used
-        slots, counts = (np.frombuffer(b, t) for b, t in zip(found.pop(i), (np.int32, np.uint16), strict=True))
-        used = seen[slots] >= 3
-        slots_.append(slots[used])
-        counts_.append(counts[used])
-        rows_.append(np.full(int(used.sum()), k, np.int32))
-    rows, slots, counts = np.concatenate(rows_), np.concatenate(slots_), np.concatenate(counts_)
-    del rows_, slots_, counts_
-    folds = (mix(np.array(ids, np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int) if ids else np.empty(0, int)
-    y = [np.array([known[i][k] for i in ids], float) for k in range(len(categories))]
-    chain = fit_chain(rows, slots, counts, folds, y)
+            folds = (mix(np.asarray(batch.column(0)).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int32)
+            lists = (pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x, t in ((slots, np.int32), (np.minimum(counts, 65535), np.uint16)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds), batch.column(1), *lists], ["doc_id", "fold", "classes", "slots", "counts"])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "classes", "text")  # most rows at most
+    found = texts.mapInArrow(run, _LABELLED)
+    return found.groupBy("doc_id", "fold", "classes").agg(F.max(F.struct("slots", "counts")).alias("f")).select("doc_id", "fold", "classes", "f.slots", "f.counts")
+
+
+def _chosen(labelled: DataFrame, n_categories: int) -> DataFrame:
+    """category, fold (left out; FOLDS: none), slot: the FEATURES best slots of each model."""
+    cells = FOLDS << n_categories  # documents by fold and classes
+    kinds = F.col("fold") * (1 << n_categories) + F.col("classes")
+
+    def run(batches):
+        for batch in batches:
+            n, lists = batch.num_rows, [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+            key = np.concatenate([s.astype(np.int64) * cells + k for s, k in zip(lists, batch.column(0).to_pylist(), strict=True)]) if n else np.empty(0, np.int64)
+            key, many = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((key // cells).astype(np.int32)), pa.array((key % cells).astype(np.int32)), pa.array(many)], ["slot", "cell", "n"])
+
+    sums = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    positive = lambda c: F.expr(f"(cell & {1 << c}) != 0")
+    outside = lambda f: F.floor(F.col("cell") / (1 << n_categories)) != f
+    models = [(c, f) for c in range(n_categories) for f in range(FOLDS + 1)]
+    columns = [x for f in range(FOLDS + 1) for x in (sums(outside(f)).alias(f"n{f}"), *(sums(outside(f) & positive(c)).alias(f"p{c}_{f}") for c in range(n_categories)))]
+    per_slot = labelled.select(kinds.alias("cell"), "slots").mapInArrow(run, "slot int, cell int, n long").groupBy("slot").agg(*columns)
+    whole = labelled.select(kinds.alias("cell"), F.lit(1).alias("n")).agg(*(x.alias(f"all_{name}") for name, x in ((f"n{f}", sums(outside(f))) for f in range(FOLDS + 1))), *(sums(outside(f) & positive(c)).alias(f"all_p{c}_{f}") for c, f in models))
+
+    def chi_square(c: int, f: int) -> Column:
+        seen, n = F.col(f"n{f}"), F.col(f"all_n{f}")
+        expected = seen * F.col(f"all_p{c}_{f}") / n
+        score = (F.col(f"p{c}_{f}") - expected) ** 2 / F.greatest(expected * (1 - seen / n), F.lit(1e-9))
+        return F.struct(F.lit(c).alias("category"), F.lit(f).alias("fold"), F.when(seen >= 3, score).otherwise(0.0).alias("score"))
+
+    scored = per_slot.join(F.broadcast(whole)).select("slot", F.explode(F.array(*(chi_square(*m) for m in models))).alias("m")).select("slot", "m.*").filter("score > 0")
+    order = Window.partitionBy("category", "fold").orderBy(F.desc("score"), "slot")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FEATURES).select("category", "fold", "slot")
+
+
+def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most: int = MOST_LABELLED) -> list[tuple[str, Linear]]:
+    """docs(doc_id, text), labels(doc_id and what the categories' conditions read) → the chain. most: labelled documents used."""
+    tune(docs.sparkSession)
+    labelled = stored(_labelled(docs, labels, categories, most), "labelled")
+    chosen: dict = {}
+    for r in _chosen(labelled, len(categories)).collect():  # FEATURES rows a model
+        chosen.setdefault((r.category, r.fold), []).append(r.slot)
+    chosen = {k: np.sort(np.array(v, np.int64)) for k, v in chosen.items()}
+    every = np.unique(np.concatenate([*chosen.values(), np.empty(0, np.int64)]))
+
+    def cut(batches):
+        for batch in batches:
+            lists = [(np.frombuffer(s, np.int32), np.frombuffer(n, np.uint16)) for s, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            use = [np.isin(s, every) for s, _ in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s[u].tobytes() for (s, _), u in zip(lists, use, strict=True)], pa.binary()), pa.array([n[u].tobytes() for (_, n), u in zip(lists, use, strict=True)], pa.binary())], batch.schema.names)
+
+    def fit(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("doc_id").to_numpy(), kind="stable")
+        group = group.take(pa.array(order))
+        slots, counts = ([np.frombuffer(x, t) for x in group.column(c).to_pylist()] for c, t in (("slots", np.int32), ("counts", np.uint16)))
+        rows = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+        classes = group.column("classes").to_numpy()
+        y = [(classes >> k & 1).astype(float) for k in range(len(categories))]
+        chain = fit_chain(rows, np.concatenate(slots), np.concatenate(counts), group.column("fold").to_numpy(), y, chosen)
+        return pa.table({"chain": pa.array([pickle.dumps(chain)], pa.binary())})
+
+    found = labelled.mapInArrow(cut, _LABELLED).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fit, "chain binary").collect()  # most rows of chosen features in one task
+    chain = pickle.loads(found[0].chain) if found else fit_chain(*(np.empty(0, int),) * 4, [np.empty(0)] * len(categories), {})
     return list(zip([name for name, _ in categories], chain, strict=True))
 
 

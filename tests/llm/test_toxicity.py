@@ -45,9 +45,31 @@ def test_odd_rows_and_missing_labels(spark):
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).collect() == []
 
 
-def test_all_of_a_sample_of_thousands_is_used(spark, monkeypatch):
-    used = []
-    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, slots, counts, folds, y: used.append(len(folds)) or [None] * len(y))
+def test_all_of_a_sample_of_thousands_is_used(spark):
     ids = spark.range(4500)
-    toxicity.train(ids.selectExpr("id AS doc_id", "concat('w', id % 7) AS text"), ids.selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "CAST(id % 3 AS int) AS toxic"))
-    assert used == [4500]
+    docs, labels = ids.selectExpr("id AS doc_id", "concat('w', id % 7) AS text"), ids.selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "CAST(id % 3 AS int) AS toxic")
+    used = toxicity._labelled(docs, labels, toxicity.CATEGORIES, toxicity.MOST_LABELLED)
+    assert used.count() == 4500 and toxicity._labelled(docs, labels, toxicity.CATEGORIES, 100).count() == 100
+    assert {r.classes: r["count"] for r in used.groupBy("classes").count().collect()} == {0: 1500, 1: 1500, 2: 750, 3: 750}
+
+
+def test_chosen_slots_are_those_of_chi_square(spark):
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice([f"w{k}" for k in range(40)] + ["bad"] * (i % 3 == 0) * 8) for _ in range(12))) for i in range(200)]
+    labels = [(i, int(i % 5 > 0), int(i % 3 == 0)) for i, _ in docs]
+    labelled = toxicity._labelled(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.CATEGORIES, 1000)
+    rows = labelled.collect()
+    got = {}
+    for x in toxicity._chosen(labelled, 2).collect():
+        got.setdefault((x.category, x.fold), set()).add(x.slot)
+    assert len(got) == 2 * (toxicity.FOLDS + 1)
+    for (category, fold), slots in got.items():
+        inside = [x for x in rows if x.fold != fold]
+        y = np.array([x.classes >> category & 1 for x in inside])
+        seen, positive = np.zeros(toxicity.SLOTS), np.zeros(toxicity.SLOTS)
+        for x, label in zip(inside, y, strict=True):
+            seen[np.frombuffer(x.slots, np.int32)] += 1
+            positive[np.frombuffer(x.slots, np.int32)] += label
+        expected = seen * y.mean()
+        score = np.where(seen >= 3, (positive - expected) ** 2 / np.maximum(expected * (1 - seen / len(y)), 1e-9), 0)
+        assert slots == set(np.flatnonzero(score > 0).tolist()) and len(slots) < toxicity.FEATURES
