@@ -8,7 +8,8 @@ Stages 1 to 4 return the columns of documents; the last returns each document's
 4. decontamination: documents that hold a benchmark window of 10 words go.
 5. bpe: doc_id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256.
 
-A null text counts as empty; a null doc_id is linked with nothing and stays.
+A null text counts as empty; a null doc_id is linked with nothing and stays. Further columns come through unchanged, whatever their
+names; n_chars may be absent. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +39,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows of one doc_id may differ in text, so the text is part of the key
     cut = substr.removed(docs, length=35).filter("n_removed > 0").groupBy(F.struct("doc_id", "text_md5").alias("cut_of")).agg(F.decode(F.any_value("kept"), "UTF-8").alias("left_text"))
-    key = F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
-    joined = docs.withColumn("own_key", key).join(cut, F.col("own_key") == F.col("cut_of"), "left")
-    changed = F.col("left_text").isNotNull()
-    return joined.withColumns({"text": F.coalesce("left_text", "text"), "n_chars": F.when(changed, F.char_length("left_text").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    # the documents' columns in a struct of their own meet no names of ours
+    whole = docs.select(F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5")).alias("own_key"), F.struct("*").alias("own"))
+    joined = whole.join(cut, F.col("own_key") == F.col("cut_of"), "left")
+    left, changed = F.col("left_text"), F.col("left_text").isNotNull()
+    new = {"text": F.coalesce(left, F.col("own.text")), "n_chars": F.when(changed, F.char_length(left)).otherwise(F.col("own.n_chars")) if "n_chars" in docs.columns else None}
+    own = lambda c: F.col("own").getField(c)
+    return joined.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else own(c).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
