@@ -9,46 +9,65 @@ from lakeloom.functions.columns import CONFIDENCE, confidence_rank
 from lakeloom.sources.tables import stored
 
 
-def fold(edges: DataFrame, tmp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges(edge_id, src, dst, sql_id, src_type, confidence, transform_expr, filter_cond, join_cond), tmp(node) →
-    (derived edges, ids of edges used). A chain starts outside tmp, goes through tmp nodes (each once) and ends outside; the derived edge has the last
-    edge's task and conditions, the least confidence of the chain and the outermost expression around the inner ones. Of chains
-    with the same ends and task the shortest counts, then the least by ids. Chains may be of any length."""
-    marked = edges.join(tmp.select(F.col("node").alias("src"), F.lit(True).alias("from_tmp")), "src", "left").join(tmp.select(F.col("node").alias("dst"), F.lit(True).alias("to_tmp")), "dst", "left")
-    marked = stored(marked.na.fill(False, ["from_tmp", "to_tmp"]), "marked")
+def _marked(edges: DataFrame, tmp: DataFrame) -> DataFrame:
+    mark = lambda side: tmp.select(F.col("node").alias(side), F.lit(True).alias(f"{side}_tmp")).distinct()
+    return stored(edges.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left").na.fill(False, ["src_tmp", "dst_tmp"]), "marked")
+
+
+def fold(edges: DataFrame, tmp: DataFrame) -> DataFrame:
+    """edges(edge_id, src, dst, sql_id, src_type, confidence, transform_expr, filter_cond, join_cond), tmp(node) → derived edges. A chain
+    starts outside tmp, goes through tmp nodes (each once) and ends outside; the derived edge has the last edge's task and
+    conditions, the least confidence of the chain and the outermost expression around the inner ones, first to last. Of chains with
+    the same ends and task the shortest counts, then the least by ids. Chains may be of any length: levels go on until no tmp
+    node is new to its head. A shortest chain goes on from shortest chains, so only one is kept for each head and node."""
+    marked = _marked(edges, tmp)
     rank = confidence_rank(F.col("confidence"))
-    frontier = marked.filter("not from_tmp and to_tmp").select(F.col("src").alias("head"), F.col("dst").alias("at"), F.array("edge_id").alias("chain"), F.array("dst").alias("visited"), F.array("transform_expr").alias("inner"), rank.alias("rank"))
-    onward = marked.filter("from_tmp").withColumn("own_rank", rank)
-    done, frontier = None, stored(frontier, "chains")
-    while not frontier.isEmpty():
-        step = frontier.join(onward, frontier["at"] == onward["src"]).filter(~F.array_contains("visited", F.col("dst")))
-        step = step.select("head", "dst", "to_tmp", F.array_append("chain", F.col("edge_id")).alias("chain"), "visited", "inner", F.least("rank", "own_rank").alias("rank"), "sql_id", "src_type", "transform_expr", "filter_cond", "join_cond")
-        step = stored(step, "steps")
-        ended = step.filter("not to_tmp")
+    reach = lambda step: step.groupBy("head", "at").agg(F.min_by(F.struct("chain", "inner", "rank"), "chain").alias("c")).select("head", "at", "c.*")
+    first = marked.filter("not src_tmp and dst_tmp").select(F.col("src").alias("head"), F.col("dst").alias("at"), F.array("edge_id").alias("chain"), F.array("transform_expr").alias("inner"), rank.alias("rank"))
+    frontier = stored(reach(first), "chains")
+    seen = frontier.select("head", "at")
+    onward = marked.filter("src_tmp").withColumn("own_rank", rank)
+    fields = ["sql_id", "src_type", "transform_expr", "filter_cond", "join_cond"]
+    done = None
+    while done is None or not frontier.isEmpty():
+        step = frontier.join(onward, frontier["at"] == onward["src"])
+        step = stored(step.select("head", "dst", "dst_tmp", F.array_append("chain", F.col("edge_id")).alias("chain"), "inner", F.least("rank", "own_rank").alias("rank"), *fields), "steps")
+        ended = step.filter("not dst_tmp")
         done = ended if done is None else done.unionByName(ended)
-        frontier = stored(step.filter("to_tmp").select("head", F.col("dst").alias("at"), "chain", F.array_append("visited", F.col("dst")).alias("visited"), F.array_append("inner", F.col("transform_expr")).alias("inner"), "rank"), "chains")
-    if done is None:
-        done = marked.filter("false").select(F.col("src").alias("head"), "dst", "to_tmp", F.array("edge_id").alias("chain"), F.array("dst").alias("visited"), F.array("transform_expr").alias("inner"), rank.alias("rank"), "sql_id", "src_type", "transform_expr", "filter_cond", "join_cond")
-    used = done.select(F.explode("chain").alias("edge_id")).distinct()
+        on = step.filter("dst_tmp").select("head", F.col("dst").alias("at"), "chain", F.array_append("inner", F.col("transform_expr")).alias("inner"), "rank")
+        frontier = stored(reach(on.join(seen, ["head", "at"], "left_anti")), "chains")
+        seen = seen.union(frontier.select("head", "at"))
     order = Window.partitionBy("head", "dst", "sql_id").orderBy(F.size("chain"), "chain")
-    inner = F.concat_ws(" ; ", F.filter(F.reverse("inner"), lambda x: F.coalesce(x, F.lit("")) != ""))
+    inner = F.concat_ws(" ; ", F.filter("inner", lambda x: F.coalesce(x, F.lit("")) != ""))
     outer = F.coalesce("transform_expr", F.lit(""))
-    folded = done.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select(
+    return done.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select(
         F.col("head").alias("src"), "dst", "sql_id", "src_type",
         F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("rank") + 1).alias("confidence"),
         F.when(inner == "", outer).otherwise(F.concat(outer, F.lit(" (through tmp: "), inner, F.lit(")"))).alias("transform_expr"),
         "filter_cond", "join_cond", F.lit(True).alias("is_derived"), (F.col("head") == F.col("dst")).alias("is_self_loop"),
     )
-    return folded, used
+
+
+def used_edges(edges: DataFrame, tmp: DataFrame) -> DataFrame:
+    """edge_id of the edges on any complete chain. Every simple chain is followed, so this is for the few edges of one task."""
+    marked = _marked(edges, tmp)
+    frontier = marked.filter("not src_tmp and dst_tmp").select(F.col("dst").alias("at"), F.array("edge_id").alias("chain"), F.array("dst").alias("visited"))
+    onward, done = marked.filter("src_tmp").select("src", "dst", "dst_tmp", "edge_id"), marked.filter("false").select("edge_id")
+    while not frontier.isEmpty():
+        step = frontier.join(onward, frontier["at"] == onward["src"]).filter(~F.array_contains("visited", F.col("dst")))
+        step = stored(step.select("dst", "dst_tmp", F.array_append("chain", F.col("edge_id")).alias("chain"), "visited"), "steps")
+        done = done.union(step.filter("not dst_tmp").select(F.explode("chain").alias("edge_id")))
+        frontier = step.filter("dst_tmp").select(F.col("dst").alias("at"), "chain", F.array_append("visited", F.col("dst")).alias("visited"))
+    return done.distinct()
 
 
 def folded_edges(edges: DataFrame, tmp: DataFrame, drop_all: bool = True) -> DataFrame:
     """The edge table after folding: without the tmp edges (all of them, or only those used), with the derived ones."""
-    derived, used = fold(edges, tmp)
+    derived = fold(edges, tmp)
     if drop_all:
         rest = edges.join(tmp.select(F.col("node").alias("src")), "src", "left_anti").join(tmp.select(F.col("node").alias("dst")), "dst", "left_anti")
     else:
-        rest = edges.join(used, "edge_id", "left_anti")
+        rest = edges.join(used_edges(edges, tmp), "edge_id", "left_anti")
     return rest.withColumns({"is_derived": F.lit(False), "is_self_loop": F.col("src") == F.col("dst")}).unionByName(derived, allowMissingColumns=True)
 
 

@@ -97,16 +97,28 @@ def shortest_path(edges: DataFrame, source, target) -> DataFrame:
     return plain.filter("false").select(F.lit(1).alias("hop"), "src", "dst")
 
 
-def impact(closed: DataFrame, node, page: int = 1, size: int = 50) -> DataFrame:
-    """A page of what lies downstream: descendant, min_hops, path_cnt."""
+def path_details(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """path(hop, src, dst), edges(src, dst, edge_id, transform_expr, filter_cond, sql_id, confidence) → each hop with what the least edge
+    by id (then by sql_id) between its ends says."""
+    said = ["transform_expr", "filter_cond", "sql_id", "confidence"]
+    least = edges.join(path.select("src", "dst"), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min_by(F.struct(*said), F.struct(F.col("edge_id").isNull(), "edge_id", "sql_id")).alias("e"))
+    return path.join(least, ["src", "dst"], "left").select("hop", "src", "dst", *(F.col(f"e.{c}").alias(c) for c in said))
+
+
+def impact(closed: DataFrame, node, page: int = 1, size: int = 50, tables: DataFrame | None = None) -> DataFrame:
+    """A page of what lies downstream: descendant, min_hops, path_cnt; with tables(full_name, layer, domain, owner) also what they say."""
     own = closed.filter(F.col("ancestor") == F.lit(node)).select("descendant", "min_hops", "path_cnt")
-    return own.orderBy("min_hops", "descendant").offset((page - 1) * size).limit(size)
+    paged = own.orderBy("min_hops", "descendant").offset((page - 1) * size).limit(size)
+    if tables is None:
+        return paged
+    return paged.join(tables.select(F.col("full_name").alias("descendant"), "layer", "domain", "owner"), "descendant", "left").orderBy("min_hops", "descendant")
 
 
-def impact_by(closed: DataFrame, node, owners: DataFrame) -> DataFrame:
-    """owners(descendant, task) → task, affected (distinct descendants)."""
+def impact_by(closed: DataFrame, node, owners: DataFrame, page: int = 1, size: int | None = None) -> DataFrame:
+    """owners(descendant, task) → task, affected (distinct descendants), a page of them if size is given."""
     own = closed.filter(F.col("ancestor") == F.lit(node)).join(owners, "descendant")
-    return own.groupBy("task").agg(F.countDistinct("descendant").alias("affected")).orderBy(F.desc("affected"), "task")
+    ranked = own.groupBy("task").agg(F.countDistinct("descendant").alias("affected")).orderBy(F.desc("affected"), "task")
+    return ranked if size is None else ranked.offset((page - 1) * size).limit(size)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.columns import squashed
+from lakeloom.functions.columns import layer_of, squashed
 
 COVERED_LAYERS = ("dwd", "dws", "ads", "dim")
 
@@ -52,12 +56,17 @@ def latency(values: DataFrame, column: str, *keys: str) -> DataFrame:
 
 
 def compared(gold: DataFrame, machine: DataFrame) -> DataFrame:
-    """Column edges (case_id, dst_col, src_table, src_col, expr) of both sides → verdict: matched, missing, extra or mismatch. An empty
-    gold expression is not compared; else it must occur in the machine's, letter case, white space and quoting aside."""
+    """Column edges (case_id, dst_col, src_table, src_col, expr, and place: their order in the case, if there is one) of both sides → verdict:
+    matched, missing, extra or mismatch. An edge that stands several times counts once, with the first expression (by place, then by
+    text). An empty gold expression is not compared; else it must occur in the machine's, letter case, white space and quoting aside."""
     keys = ["case_id", "dst_col", "src_table", "src_col"]
-    left = gold.select(*keys, F.col("expr").alias("gold_expr"), F.lit(True).alias("g")).dropDuplicates(keys)
-    right = machine.select(*keys, F.col("expr").alias("machine_expr"), F.lit(True).alias("m")).dropDuplicates(keys)
-    same = (squashed(F.col("gold_expr")) == "") | F.contains(squashed(F.col("machine_expr")), squashed(F.col("gold_expr")))
+
+    def first(side: DataFrame, name: str, mark: str) -> DataFrame:
+        order = F.struct("place", "expr") if "place" in side.columns else F.col("expr")
+        return side.groupBy(*keys).agg(F.min_by("expr", order).alias(name)).withColumn(mark, F.lit(True))
+
+    left, right = first(gold, "gold_expr", "g"), first(machine, "machine_expr", "m")
+    same = (squashed(F.coalesce("gold_expr", F.lit(""))) == "") | F.contains(squashed(F.coalesce("machine_expr", F.lit(""))), squashed(F.coalesce("gold_expr", F.lit(""))))
     verdict = F.when(F.col("m").isNull(), "missing").when(F.col("g").isNull(), "extra").when(same, "matched").otherwise("mismatch")
     return left.join(right, keys, "full_outer").select(*keys, verdict.alias("verdict"))
 
@@ -99,19 +108,21 @@ def shape_of(sql: Column) -> Column:
 
 
 def quotas(counts: dict, total: int) -> dict:
-    """Shares of total by largest remainder, one for each stratum at least; the largest strata alone if there are more than total."""
-    order = sorted(counts, key=lambda k: (-counts[k], str(k)))[:total]
-    if len(order) < len(counts) or not counts:
-        return dict.fromkeys(order, 1)
-    total = min(total, sum(counts.values()))
-    exact = {k: total * counts[k] / sum(counts.values()) for k in order}
-    out = {k: max(1, int(exact[k])) for k in order}
-    for k in sorted(order, key=lambda k: (int(exact[k]) - exact[k], str(k))) * 2:
-        if sum(out.values()) < total and out[k] < counts[k]:
-            out[k] += 1
-    for k in sorted(order, key=lambda k: (-out[k], str(k))):
-        while sum(out.values()) > total and out[k] > 1:
-            out[k] -= 1
+    """How many of total each stratum gives: one each first, the rest in proportion by largest remainder, never more than it has (what is
+    left over goes to the largest). With fewer than there are strata the largest give one each."""
+    size, order = sum(counts.values()), sorted(counts, key=lambda k: (-counts[k], str(k)))
+    if total >= size:
+        return dict(counts)
+    if total < len(order):
+        return dict.fromkeys(order[:total], 1)
+    rest = total - len(order)
+    exact = {k: rest * counts[k] / size for k in order}
+    out = {k: 1 + int(exact[k]) for k in order}
+    for k in sorted(order, key=lambda k: (int(exact[k]) - exact[k], str(k)))[: total - sum(out.values())]:
+        out[k] += 1
+    out = {k: min(n, counts[k]) for k, n in out.items()}
+    for k in order:
+        out[k] += min(counts[k] - out[k], total - sum(out.values()))
     return out
 
 
@@ -125,6 +136,43 @@ def stratified(rows: DataFrame, key: str, strata: list[str], total: int, seed: s
     return rows.withColumn("rn", F.row_number().over(order)).join(F.broadcast(table), strata).filter("rn <= quota").drop("rn", "quota")
 
 
+def layer_or_other(name: Column) -> Column:
+    """The layer of a table name, `other` if no rule fits."""
+    layer = layer_of(F.substring_index(name, ".", -1))
+    return F.when(layer == "", "other").otherwise(layer)
+
+
+def exported(sample: DataFrame, folder: str) -> dict[str, str]:
+    """Writes sample(case_id, sql_text, dialect) as <case_id>.sql files and dialects.json into a folder of this machine; returns the
+    dialects. A sample is a few statements for people to read."""
+    out: dict[str, str] = {}
+    root = Path(folder)
+    root.mkdir(parents=True, exist_ok=True)
+    for r in sample.select("case_id", "sql_text", "dialect").orderBy("case_id").collect():
+        name = re.sub(r"\W+", "_", r.case_id or "").strip("_") or "unknown"
+        (root / f"{name}.sql").write_text((r.sql_text or "").rstrip() + "\n")
+        out[name] = r.dialect or "hive"
+    (root / "dialects.json").write_text(json.dumps(out, indent=1, sort_keys=True))
+    return out
+
+
+def blank_comments(columns: DataFrame) -> DataFrame:
+    """columns(comment) → how many there are and how many have no comment."""
+    return columns.agg(F.count("*").alias("columns"), F.count_if(F.trim(F.coalesce("comment", F.lit(""))) == "").alias("blank"))
+
+
+def gold_report(tables: DataFrame, edges: DataFrame) -> tuple[str, bool]:
+    """table_compared rows and compared verdicts → the report as text, and whether both accuracies are accepted."""
+    t = tables.agg(F.count("*").alias("n"), F.count_if("agrees").alias("good")).first()
+    per = accuracy(edges, "case_id").orderBy("case_id").collect()  # a row a case, written for people
+    good, whole = sum(r.matched for r in per), sum(r.matched + r.missing + r.extra + r.mismatch for r in per)
+    share = lambda a, b: a / b if b else 1.0
+    passed = accepted(share(t.good, t.n), share(good, whole))
+    lines = ["# Gold-standard report", "", f"- tables: {t.good}/{t.n} = {100 * share(t.good, t.n):.2f} %", f"- column edges: {good}/{whole} = {100 * share(good, whole):.2f} %", f"- accepted: {'yes' if passed else 'no'}", "", "| case | matched | missing | extra | mismatch |", "|-|-|-|-|-|"]
+    lines += [f"| {r.case_id} | {r.matched} | {r.missing} | {r.extra} | {r.mismatch} |" for r in per]
+    return "\n".join(lines), passed
+
+
 def health(runs: DataFrame, closure_rows: int, failed_sql: int, as_of: Column, oldest_hours: int = 26, most_failed: int = 200) -> DataFrame:
     """runs(run_id, run_type, status, started_at) → problem rows; none means healthy."""
     last = runs.filter("run_type = 'full'").agg(F.max_by("status", "run_id").alias("status"), F.max_by("started_at", "run_id").alias("at"))

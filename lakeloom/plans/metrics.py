@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lakeloom.functions.columns import masked
 
 MAX_ROWS, TIMEOUT_S, AT_ONCE = 1000, 30, 10
+BASE = "base"  # what definitions call their base table
+#: Fields that make a query one about customers.
 CUSTOMER_FIELDS = {"cust_no", "cust_name", "id_card", "mobile"}
 _SLOTS = threading.BoundedSemaphore(AT_ONCE)
 
@@ -130,15 +132,19 @@ def predicate(column: str, op: str, value) -> str:
 
 
 def policy(text: str, user: dict) -> str:
-    """`:name` gives way to the user's values; an absent or empty one denies."""
+    """`:name` gives way to the user's values, a list to values in brackets (its own or those it stands in); an absent or empty one
+    denies."""
 
     def put(m: re.Match) -> str:
-        value = user.get(m[1])
-        if value is None or value == [] or value == "":
-            raise PermissionDenied(f"row policy needs {m[1]}")
-        return ", ".join(map(literal, value)) if isinstance(value, list | tuple | set) else literal(value)
+        name = m[1] or m[2]
+        value = user.get(name)
+        if value is None or value == "" or (isinstance(value, list | tuple | set) and not value):
+            raise PermissionDenied(f"row policy needs {name}")
+        if isinstance(value, list | tuple | set):
+            return f"({', '.join(map(literal, sorted(value, key=str) if isinstance(value, set) else value))})"
+        return f"({literal(value)})" if m[1] else literal(value)
 
-    return re.sub(r":(\w+)", put, text)
+    return re.sub(r"\(\s*:(\w+)\s*\)|:(\w+)", put, text)
 
 
 def compile_plan(metric: Metric, plan: dict, user: dict) -> Compiled:
@@ -168,7 +174,7 @@ def compile_plan(metric: Metric, plan: dict, user: dict) -> Compiled:
     limit = plan.get("limit") or MAX_ROWS
     if not isinstance(limit, int) or limit < 0:
         raise PlanError("limit must be a whole number of rows")
-    sql = ["SELECT " + ", ".join([*(f"{d.column} AS {d.name}" for d in dims), f"{metric.expression} AS {metric.metric}"]), f"FROM {metric.base_table} AS t"]
+    sql = ["SELECT " + ", ".join([*(f"{d.column} AS {d.name}" for d in dims), f"{metric.expression} AS {metric.metric}"]), f"FROM {metric.base_table} AS {BASE}"]
     sql += [f"JOIN {j.table} AS {j.alias} ON {j.on}" for _, j in sorted(joins.items())]
     if where:
         sql.append("WHERE " + " AND ".join(f"({w})" for w in where))
@@ -187,7 +193,9 @@ def compile_plan(metric: Metric, plan: dict, user: dict) -> Compiled:
 # --- guards: Catalyst's own parser tells what a text is -----------------------------------------------------------------
 
 #: Plan nodes of a plain SELECT.
-SELECT_NODES = {"Project", "Aggregate", "Filter", "Join", "Sort", "GlobalLimit", "LocalLimit", "SubqueryAlias", "UnresolvedRelation", "UnresolvedHaving", "Distinct", "UnresolvedWith", "LateralJoin", "UnresolvedInlineTable", "OneRowRelation", "WithWindowDefinition", "Generate", "UnresolvedHint", "Union", "Offset"}
+SELECT_NODES = {"Project", "Aggregate", "Filter", "Join", "Sort", "GlobalLimit", "LocalLimit", "SubqueryAlias", "UnresolvedRelation", "UnresolvedHaving", "Distinct", "UnresolvedWith", "LateralJoin", "UnresolvedInlineTable", "OneRowRelation", "WithWindowDefinition", "Generate", "UnresolvedHint", "Union", "Offset", "UnresolvedSubqueryColumnAliases"}
+#: Functions that reach outside the data (the JVM, the session, files), whatever their arguments.
+OUTSIDE = {"reflect", "try_reflect", "java_method", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "user", "session_user", "current_catalog", "current_database", "current_schema", "version", "assert_true", "raise_error"}
 
 
 def parsed(spark: SparkSession, sql: str):
@@ -228,51 +236,99 @@ def named_walk(node):
         yield from named_walk(plan)
 
 
-def guard_select(spark: SparkSession, sql: str) -> None:
-    """One SELECT (no set operation at the top), without locks or INTO, with a LIMIT."""
+def functions(spark: SparkSession, nodes: list) -> set[str]:
+    """Names of all functions called in the expressions of the nodes, lower-cased, with their database if they have one."""
+    out: set[str] = set()
+
+    def visit(e) -> None:
+        if name_of(e) == "UnresolvedFunction":
+            out.add(".".join(seq(e.nameParts())).lower())
+        for child in seq(e.children()):
+            visit(child)
+
+    for n in nodes:
+        for e in seq(n.expressions()):
+            if "(" in e.toString() or "unresolved" in e.toString():
+                visit(e)
+    return out
+
+
+def guard_functions(spark: SparkSession, nodes: list) -> None:
+    """Only Spark's own functions may be called, and of them none that reaches outside the data; no user functions."""
+    called = functions(spark, nodes)
+    builtin = _BUILTIN.setdefault(spark.version, {f.split(".")[-1] for f in (r[0] for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())})
+    if odd := sorted(f for f in called if f in OUTSIDE or f.split(".")[-1] in OUTSIDE or "." in f or f not in builtin):
+        raise Rejected(f"functions may not run: {', '.join(odd)}")
+
+
+_BUILTIN: dict[str, set[str]] = {}
+
+
+def tables_in(nodes: list) -> set[str]:
+    return {".".join(seq(n.multipartIdentifier())) for n in nodes if name_of(n) == "UnresolvedRelation"}
+
+
+def _top(plan):
+    """What the statement selects, and whether a LIMIT of its own is on it (not that of a subquery)."""
+    limited = False
+    while name_of(plan) in ("UnresolvedWith", "Sort", "GlobalLimit", "LocalLimit", "Offset", "RepartitionByExpression"):
+        limited = limited or name_of(plan) == "GlobalLimit"
+        plan = plan.child()
+    return plan, limited
+
+
+def guard_select(spark: SparkSession, sql: str, blacklist: frozenset[str] | set[str] = frozenset()) -> None:
+    """One SELECT (no set operation at the top), without locks or INTO, with a LIMIT of its own, over no table of the blacklist (letter
+    case aside) and with no function that reaches outside the data."""
     plan = parsed(spark, sql)
     nodes = list(walk(plan))
     if odd := {name_of(n) for n in nodes} - SELECT_NODES:
         raise Rejected(f"only SELECT may run, not {', '.join(sorted(odd))}")
-    top = plan
-    while name_of(top) in ("UnresolvedWith", "Sort", "GlobalLimit", "LocalLimit", "Offset"):
-        top = top.child()
+    top, limited = _top(plan)
     if name_of(top) in ("Union", "Distinct") and any(name_of(c) == "Union" for c in [top, *seq(top.children())]):
         raise Rejected("set operations may not run")
-    if not any(name_of(n) == "GlobalLimit" for n in _spine(plan)):
+    if barred := sorted(t for t in tables_in(nodes) if t.lower() in {b.lower() for b in blacklist}):
+        raise Rejected(f"tables may not be read: {', '.join(barred)}")
+    guard_functions(spark, nodes)
+    if not limited:
         raise Rejected("the statement needs a LIMIT")
 
 
-def _spine(plan):
-    while True:
-        yield plan
-        children = seq(plan.children())
-        if len(children) != 1:
-            return
-        plan = children[0]
-
-
-def guard_scope(spark: SparkSession, sql: str, scope: list[str], limit: int = MAX_ROWS) -> str:
+def guard_scope(spark: SparkSession, sql: str, scope: list[str], limit: int = MAX_ROWS, blacklist: frozenset[str] | set[str] = frozenset()) -> str:
     """The statement over tables of the scope (one to five) alone, all named with their database; with a LIMIT added if it has
-    none."""
+    none of its own."""
     if not 1 <= len(scope) <= 5:
         raise Rejected("the scope is one to five tables")
     plan = parsed(spark, sql)
-    used = {".".join(seq(n.multipartIdentifier())) for n in walk(plan) if name_of(n) == "UnresolvedRelation"}
+    used = tables_in(list(walk(plan)))
     if bare := [t for t in used if "." not in t]:
         raise Rejected(f"tables need their database: {', '.join(sorted(bare))}")
     if outside := used - set(scope):
         raise Rejected(f"outside the scope: {', '.join(sorted(outside))}")
-    if not any(name_of(n) == "GlobalLimit" for n in _spine(plan)):
+    if not _top(plan)[1]:
         sql = f"{sql.rstrip().rstrip(';')}\nLIMIT {limit}"
-    guard_select(spark, sql)
+    guard_select(spark, sql, blacklist)
     return sql
 
 
-def run_compiled(spark: SparkSession, compiled: Compiled) -> DataFrame:
-    """The guarded query as a DataFrame, sensitive output masked."""
-    guard_select(spark, compiled.sql)
-    df = spark.sql(compiled.sql)
+def scope_of(families: DataFrame, most: int = 5) -> list[str]:
+    """families(family, rank_in_family, node) as the search ranks them → the tables of their anchors, then of other members, most at most:
+    what a free question may read."""
+    ranked = families.filter("node is not null").groupBy("node").agg(F.min(F.struct("rank_in_family", "family")).alias("r"))
+    return [r.node for r in ranked.orderBy("r.rank_in_family", "r.family", "node").limit(most).collect()]
+
+
+def run_compiled(spark: SparkSession, compiled: Compiled, blacklist: frozenset[str] | set[str] = frozenset()) -> DataFrame:
+    """The guarded query as a DataFrame, sensitive output masked. It is analysed and planned before anything runs (the check of EXPLAIN);
+    what cannot be planned is rejected."""
+    from pyspark.errors import AnalysisException
+
+    guard_select(spark, compiled.sql, blacklist)
+    try:
+        df = spark.sql(compiled.sql)
+        df._jdf.queryExecution().executedPlan()
+    except AnalysisException as e:
+        raise Rejected(f"cannot be planned: {str(e).splitlines()[0]}") from e
     return df.withColumns({c: masked(F.col(c)) for c in compiled.masked}) if compiled.masked else df
 
 
@@ -294,44 +350,67 @@ def execute(spark: SparkSession, df: DataFrame, timeout_s: float = TIMEOUT_S) ->
 AUDIT_SCHEMA = "user_id string, channel string, metric string, version int, sql_text string, row_policy string, status string, refuse_reason string, row_count int, cost_ms int"
 
 
-def query_metric(spark: SparkSession, metrics: dict[str, Metric], plan: dict, user: dict, audit_path: str | None = None) -> dict:
-    """Answers a plan with a receipt (data, sql, caliber, label); every request is appended to the audit table, refused ones too."""
+def audited(spark: SparkSession, path: str | None, entry: dict) -> None:
+    """Appends a request to the audit table."""
+    if path:
+        columns = [c.split()[0] for c in AUDIT_SCHEMA.split(", ")]
+        spark.createDataFrame([tuple(entry.get(c) for c in columns)], AUDIT_SCHEMA).withColumn("ts", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def query_metric(spark: SparkSession, metrics: dict[str, Metric], plan: dict, user: dict, audit_path: str | None = None, blacklist: frozenset[str] | set[str] = frozenset()) -> dict:
+    """Answers a plan with a receipt (data, sql, caliber, label); every request is appended to the audit table, refused and failed
+    ones too."""
     name, entry = plan.get("metric"), {"user_id": user.get("user_id"), "channel": "semantic", "metric": plan.get("metric")}
     try:
         if name not in metrics:
             raise PlanError(f"unknown metric {name}; there are {', '.join(sorted(metrics))}")
         compiled = compile_plan(metrics[name], plan, user)
         entry |= {"version": compiled.version, "sql_text": compiled.sql, "row_policy": compiled.row_policy}
-        data = execute(spark, run_compiled(spark, compiled))
+        data = execute(spark, run_compiled(spark, compiled, blacklist))
         entry |= {"status": "masked" if compiled.masked else "ok", "row_count": data["row_count"], "cost_ms": data["cost_ms"]}
         out = {"data": data, "sql": compiled.sql, "caliber": compiled.caliber, "label": f"{name}@v{compiled.version}", "customer_query": compiled.customer_query}
     except (PlanError, PermissionDenied, Rejected) as e:
         entry |= {"status": "refused", "refuse_reason": str(e)}
         out = {"error": type(e).__name__, "message": str(e)}
-    if audit_path:
-        columns = [c.split()[0] for c in AUDIT_SCHEMA.split(", ")]
-        spark.createDataFrame([tuple(entry.get(c) for c in columns)], AUDIT_SCHEMA).withColumn("ts", F.current_timestamp()).write.mode("append").parquet(audit_path)
+    except Exception as e:
+        audited(spark, audit_path, entry | {"status": "error", "refuse_reason": str(e)[:2000]})
+        raise
+    audited(spark, audit_path, entry)
     return out
 
 
-def query_adhoc(spark: SparkSession, question: str, scope: list[str], to_sql) -> dict:
-    """to_sql(question, context) → SQL text, which runs inside the scope; without row policy and masking, and labelled so."""
-    context = "\n".join(f"{t}({', '.join(f'{c.name} {c.dataType}' for c in spark.catalog.listColumns(t))})" for t in scope)
+def adhoc_context(spark: SparkSession, scope: list[str]) -> str:
+    """A line for each table of the scope: its columns with types and comments."""
+    said = lambda c: f"{c.name} {c.dataType}" + (f" -- {c.description}" if c.description else "")
+    return "\n".join(f"{t}({', '.join(said(c) for c in spark.catalog.listColumns(t))})" for t in scope)
+
+
+def query_adhoc(spark: SparkSession, question: str, scope: list[str], to_sql, user: dict | None = None, audit_path: str | None = None, blacklist: frozenset[str] | set[str] = frozenset()) -> dict:
+    """to_sql(question, context) → SQL text, which runs inside the scope; without row policy and masking, and labelled so. Requests are
+    audited like those of metrics."""
+    from pyspark.errors import AnalysisException
+
+    entry = {"user_id": (user or {}).get("user_id"), "channel": "adhoc"}
     try:
-        sql = guard_scope(spark, to_sql(question, context), scope)
-    except Rejected as e:
-        return {"error": "Rejected", "message": str(e)}
-    return {"data": execute(spark, spark.sql(sql)), "sql": sql, "label": "free query", "disclaimer": "generated SQL; check the figures"}
+        text = to_sql(question, adhoc_context(spark, scope))
+        entry["sql_text"] = text
+        sql = guard_scope(spark, text, scope, blacklist=blacklist)
+        data = execute(spark, spark.sql(sql))
+    except (Rejected, AnalysisException) as e:
+        audited(spark, audit_path, entry | {"status": "refused", "refuse_reason": str(e)[:2000]})
+        return {"error": "Rejected", "message": str(e).splitlines()[0]}
+    audited(spark, audit_path, entry | {"status": "ok", "sql_text": sql, "row_count": data["row_count"], "cost_ms": data["cost_ms"]})
+    return {"data": data, "sql": sql, "label": "free query", "disclaimer": "generated SQL; check the figures"}
 
 
 # --- queries over the driver tables -------------------------------------------------------------------------------------
 
-NATION = {"column": "n.n_name", "join": {"alias": "n", "table": "(SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)", "on": "t.o_custkey = n.c_custkey"}}
+NATION = {"column": "n.n_name", "join": {"alias": "n", "table": "(SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)", "on": "base.o_custkey = n.c_custkey"}}
 ORDERS = Metric.of({
-    "metric": "order_cnt", "base_table": "orders", "expression": "COUNT(*)", "version": 2, "default_filters": ["t.o_orderkey IS NOT NULL"],
-    "dimensions": {"status": {"column": "t.o_orderstatus"}, "priority": {"column": "t.o_orderpriority"}, "nation": NATION, "customer": {"column": "t.o_custkey", "sensitivity": "L3"}},
+    "metric": "order_cnt", "base_table": "orders", "expression": "COUNT(*)", "version": 2, "default_filters": ["base.o_orderkey IS NOT NULL"],
+    "dimensions": {"status": {"column": "base.o_orderstatus"}, "priority": {"column": "base.o_orderpriority"}, "nation": NATION, "customer": {"column": "base.o_custkey", "sensitivity": "L3"}},
 })
-SECURED = Metric.of({"metric": "order_cnt", "base_table": "orders", "expression": "COUNT(*)", "dimensions": {"status": {"column": "t.o_orderstatus"}, "priority": {"column": "t.o_orderpriority"}}, "row_policy": "t.o_orderstatus IN (:states)"})
+SECURED = Metric.of({"metric": "order_cnt", "base_table": "orders", "expression": "COUNT(*)", "dimensions": {"status": {"column": "base.o_orderstatus"}, "priority": {"column": "base.o_orderpriority"}}, "row_policy": "base.o_orderstatus IN :states"})
 
 #: name: (metric, plan, user, DuckDB SQL written by hand)
 PLANS = {

@@ -1,4 +1,4 @@
-"""Full and incremental lineage rebuilds: parse, fold, close, guard, swap."""
+"""Full and incremental lineage rebuilds: parse, fold, close, guard, swap all generations at once."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.columns import is_tmp
 from lakeloom.operators import diff, fold, graph
 from lakeloom.plans import lineage
-from lakeloom.sources.tables import Generations, stored, swap_guarded
+from lakeloom.sources.tables import Generations, stored
 
 EDGE_BOUND, CLOSURE_BOUND = 0.20, 0.10
 RUN_SCHEMA = "run_id string, run_type string, status string, started_at timestamp, ended_at timestamp, stats string, error string"
@@ -24,24 +24,40 @@ class Aborted(Exception):
 
 
 class Warehouse:
-    """The lineage store under one folder: edge and closure generations, statement statuses, runs."""
+    """The lineage store under one folder: generations of parsed edges (`raw`, before folding), folded `edges`, `closure` and statement
+    `statuses`, all named by one pointer; and the list of runs."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self.edges, self.closure = Generations(spark, f"{root}/edges"), Generations(spark, f"{root}/closure")
+        self.store = Generations(spark, root)
+
+    @property
+    def edges(self) -> DataFrame | None:
+        return self.store.current("edges")
+
+    @property
+    def closure(self) -> DataFrame | None:
+        return self.store.current("closure")
+
+    @property
+    def statuses(self) -> DataFrame | None:
+        return self.store.current("statuses")
 
     @contextmanager
     def run(self, run_type: str):
+        """Records the run. An aborted one does not raise: its stats say so (status, reason), and the old generations serve on."""
         run_id, began, stats = uuid.uuid4().hex, datetime.datetime.now(), {}
         status, error = "success", None
         try:
             yield stats
         except Aborted as e:
             status, error = "aborted", str(e)
+            stats |= {"reason": str(e)}
         except Exception as e:
             status, error = "failed", str(e)[:2000]
             raise
         finally:
+            stats["status"] = status
             row = (run_id, run_type, status, began, datetime.datetime.now(), json.dumps(stats), error)
             self.spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(f"{self.root}/runs")
 
@@ -49,6 +65,12 @@ class Warehouse:
         return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.root}/runs")
 
 
+def active(statements: DataFrame) -> list[tuple[str, str]]:
+    """statements(sql_id, sql_text, is_active) → the texts of active ones, in order of their ids; the parser lives on the driver."""
+    rows = statements.filter(F.col("is_active") & F.col("sql_text").isNotNull()).select("sql_id", "sql_text").orderBy("sql_id")
+    return [(r.sql_id, r.sql_text) for r in rows.toLocalIterator()]
+
+
 def edge_rows(edges: DataFrame) -> DataFrame:
     """Parsed edges in the shape of the store: node names as src and dst (table, or table.column), ids from what they say."""
     end = lambda side: F.when(F.col("edge_level") == "table", F.col(f"{side}_table")).otherwise(F.concat_ws(".", f"{side}_table", f"{side}_column"))
@@ -56,56 +78,82 @@ def edge_rows(edges: DataFrame) -> DataFrame:
     return out.withColumn("edge_id", F.xxhash64("sql_id", "edge_level", "src", "dst")).dropDuplicates(["edge_id"])
 
 
-def _tmp(edges: DataFrame) -> DataFrame:
+def _tmp(edges: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Nodes of temporary tables: by their names, or by the catalogue (tables: full_name, layer) where there is one."""
     sides = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("src_table").alias("t")), F.struct(F.col("dst").alias("node"), F.col("dst_table").alias("t")))).alias("x"))
-    return sides.select("x.*").distinct().filter(is_tmp(F.col("t"))).select("node")
+    own = sides.select("x.*").distinct()
+    if tables is None:
+        return own.filter(is_tmp(F.col("t"))).select("node")
+    known = own.join(tables.select(F.col("full_name").alias("t"), "layer").dropDuplicates(["t"]), "t", "left")
+    return known.filter(is_tmp(F.col("t"), F.col("layer"))).select("node")
 
 
-def _folded(edges: DataFrame) -> DataFrame:
+def _folded(edges: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     out = None
     for level in ("table", "column"):
         own = edges.filter(F.col("edge_level") == level)
-        done = fold.folded_edges(own, _tmp(own)).withColumn("edge_level", F.lit(level))
+        done = fold.folded_edges(own, _tmp(own, tables)).withColumn("edge_level", F.lit(level))
         out = done if out is None else out.unionByName(done)
     split = lambda side, k: F.when(F.col("edge_level") == "table", F.col(side) if k == 0 else F.lit("")).otherwise(F.substring_index(side, ".", 2) if k == 0 else F.substring_index(side, ".", -1))
     out = out.withColumns({f"{side}_{name}": F.coalesce(f"{side}_{name}", split(side, k)) for side in ("src", "dst") for k, name in enumerate(("table", "column"))})
     return out.withColumn("edge_id", F.coalesce("edge_id", F.xxhash64("sql_id", "edge_level", "src", "dst", "is_derived")))
 
 
-def full_rebuild(warehouse: Warehouse, statements: list[tuple[str, str]], schema: dict, default_db: str = "default", threads: int = 8) -> dict:
-    """Parses every active statement and makes new generations of edges (manual and ingested ones carried over) and closure; both
-    are swapped together, or neither if either changed too much."""
+def _table_edges(edges: DataFrame) -> DataFrame:
+    return edges.filter("edge_level = 'table'")
+
+
+def full_rebuild(warehouse: Warehouse, statements: list[tuple[str, str]] | DataFrame, schema: dict, default_db: str = "default", threads: int = 8, tables: DataFrame | None = None) -> dict:
+    """Parses every active statement and makes new generations of parsed edges (manual and ingested ones carried over), folded edges,
+    closure and statuses; all are swapped together, or none if edges or closure changed too much (stats: status, reason). tables:
+    the catalogue, for tables that only it calls temporary."""
     spark = warehouse.spark
     with warehouse.run("full") as stats:
-        edges, status = lineage.tables_of(spark, lineage.parse_all(spark, statements, schema, default_db, threads))
-        status.write.mode("overwrite").parquet(f"{warehouse.root}/statuses")
-        fresh = stored(edge_rows(edges), "parsed")
-        old = warehouse.edges.current()
-        whole = stored(_folded(fresh if old is None else diff.preserved(old, fresh)), "folded")
-        shadow = warehouse.edges.write_shadow(whole)
-        closed = stored(graph.closure(whole.filter("edge_level = 'table'")), "closure")
-        shadow_closed = warehouse.closure.write_shadow(closed)
-        stats |= {"statements": len(statements), "edges": whole.count(), "closure": closed.count(), "cycles": graph.cycle_pairs(closed).count()}
+        texts = active(statements) if isinstance(statements, DataFrame) else statements
+        edges, status = lineage.tables_of(spark, lineage.parse_all(spark, texts, schema, default_db, threads))
+        fresh, old = edge_rows(edges), warehouse.store.current("raw")
+        raw = stored(fresh if old is None else diff.preserved(old, fresh), "raw")
+        whole = stored(_folded(raw, tables), "folded")
+        closed = stored(graph.closure(_table_edges(whole)), "closure")
+        shadows = {name: warehouse.store.write_shadow(name, df) for name, df in (("raw", raw), ("edges", whole), ("closure", closed), ("statuses", status))}
+        stats |= {"statements": len(texts), "edges": whole.count(), "closure": closed.count(), "cycles": graph.cycle_pairs(closed).count()}
         stats["statuses"] = {r["parse_status"]: r["count"] for r in status.groupBy("parse_status").count().collect()}
-        if not swap_guarded([(warehouse.edges, shadow, EDGE_BOUND), (warehouse.closure, shadow_closed, CLOSURE_BOUND)]):
-            raise Aborted("too large a change of edges or closure")
+        if reason := warehouse.store.swap_guarded(shadows, {"edges": EDGE_BOUND, "closure": CLOSURE_BOUND}):
+            raise Aborted(reason)
     return stats
 
 
-def incremental(warehouse: Warehouse, statements: list[tuple[str, str]], schema: dict, default_db: str = "default") -> dict:
-    """Replaces the edges of changed statements and patches the closure around their targets, so that it equals a full one."""
+def incremental(warehouse: Warehouse, statements: list[tuple[str, str]], schema: dict, default_db: str = "default", tables: DataFrame | None = None) -> dict:
+    """Replaces the parsed edges and statuses of changed statements, folds anew and patches the closure around the folded edges that came
+    or went, so that all generations equal those of a full rebuild. A warehouse without generations gets its first ones."""
     spark = warehouse.spark
     with warehouse.run("incremental") as stats:
-        parsed = lineage.parse_all(spark, statements, schema, default_db)
-        fresh = stored(edge_rows(lineage.tables_of(spark, parsed)[0]), "parsed")
+        edges, status = lineage.tables_of(spark, lineage.parse_all(spark, statements, schema, default_db))
         ids = spark.createDataFrame([(i,) for i, _ in statements], "sql_id string")
-        old = warehouse.edges.current()
-        gone = old.join(ids, "sql_id", "left_semi")
-        new = stored(_folded(diff.replaced(old, fresh, ids)), "replaced")
-        table = lambda df: df.filter("edge_level = 'table'")
-        touched = stored(table(gone).select(F.col("dst").alias("node")).union(table(fresh).select("dst")).union(table(gone).select("src")).distinct(), "touched")
-        closed = stored(graph.patched(warehouse.closure.current(), table(old), table(new), touched), "patched")
-        for g, df in ((warehouse.edges, new), (warehouse.closure, closed)):
-            g.swap(g.write_shadow(df))
-        stats |= {"statements": len(statements), "edges": new.count(), "closure": closed.count()}
+        fresh, old_raw, old, closed = edge_rows(edges), *(warehouse.store.current(n) for n in ("raw", "edges", "closure"))
+        raw = stored(fresh if old_raw is None else diff.replaced(old_raw, fresh, ids), "raw")
+        whole = stored(_folded(raw, tables), "folded")
+        if old is None:
+            now = stored(graph.closure(_table_edges(whole)), "closure")
+        else:
+            before, after = (_table_edges(x).select("src", "dst").distinct() for x in (old, whole))
+            changed = before.exceptAll(after).union(after.exceptAll(before))
+            touched = stored(changed.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "touched")
+            now = stored(graph.patched(closed, _table_edges(old), _table_edges(whole), touched), "patched")
+        known = warehouse.statuses
+        kept = status if known is None else known.join(ids, "sql_id", "left_anti").unionByName(status)
+        shadows = {name: warehouse.store.write_shadow(name, df) for name, df in (("raw", raw), ("edges", whole), ("closure", now), ("statuses", stored(kept, "statuses")))}
+        warehouse.store.swap(shadows)
+        stats |= {"statements": len(statements), "edges": whole.count(), "closure": now.count(), "statuses": {r["parse_status"]: r["count"] for r in status.groupBy("parse_status").count().collect()}}
     return stats
+
+
+def incremental_task(warehouse: Warehouse, edges: DataFrame, task: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """The fold of one task's statements alone (task: sql_id), among edges not folded yet; complete chains give way to derived edges, all
+    others stay until the next full rebuild."""
+    out = None
+    for level in ("table", "column"):
+        own = edges.filter(F.col("edge_level") == level)
+        done = fold.folded_task(own, _tmp(own, tables), task).withColumn("edge_level", F.lit(level))
+        out = done if out is None else out.unionByName(done)
+    return out

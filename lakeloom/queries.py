@@ -184,7 +184,7 @@ j AS (SELECT n.src, p.dst, n.mid, row_number() OVER (PARTITION BY n.src, p.dst O
 SELECT src, dst, CASE WHEN src LIKE '%1' OR mid LIKE '%1' THEN 'medium' ELSE 'high' END AS confidence, dst || ' (through tmp: ' || mid || ')' AS transform_expr, mid AS filter_cond FROM j WHERE rn = 1""")
 def tmp_fold(spark, sf):
     tmp = table(spark, sf, "supplier").select(key("s:", "s_suppkey").alias("node"))
-    return fold.fold(tmp_edges(spark, sf), tmp)[0].select("src", "dst", "confidence", "transform_expr", "filter_cond")
+    return fold.fold(tmp_edges(spark, sf), tmp).select("src", "dst", "confidence", "transform_expr", "filter_cond")
 
 
 # --- quality -----------------------------------------------------------------------------------------------------------
@@ -262,14 +262,18 @@ def percentiles(spark, sf):
 
 
 def both_sides(spark, sf):
-    own = table(spark, sf, "lineitem").select(key("", "l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("dst_col"), key("p", "l_partkey").alias("src_table"), F.lit("k").alias("src_col"), F.concat(F.lit("sum( "), "l_returnflag", F.lit(" )")).alias("expr"), "l_suppkey")
+    own = table(spark, sf, "lineitem").select(key("", "l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("dst_col"), key("p", "l_partkey").alias("src_table"), F.lit("k").alias("src_col"), F.concat(F.lit("sum( "), "l_returnflag", F.lit(" )")).alias("expr"), F.struct("l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("place"), "l_suppkey")
     gold = own.filter("l_suppkey % 7 <> 0")
     machine = own.filter("l_suppkey % 11 <> 0").withColumn("expr", F.when(F.col("l_suppkey") % 13 == 0, "MAX(x)").otherwise(F.upper("expr")))
     return gold.drop("l_suppkey"), machine.drop("l_suppkey")
 
 
-VERDICT = """o AS (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, CAST(l_linenumber AS VARCHAR) AS dst_col, 'p' || l_partkey AS src_table, max(l_suppkey) AS s, count(*) AS n FROM lineitem GROUP BY ALL),
-v AS (SELECT case_id, dst_col, src_table, 'k' AS src_col, CASE WHEN s % 11 = 0 THEN 'missing' WHEN s % 7 = 0 THEN 'extra' WHEN s % 13 = 0 THEN 'mismatch' ELSE 'matched' END AS verdict FROM o WHERE NOT (s % 7 = 0 AND s % 11 = 0))"""
+VERDICT = """o AS (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, CAST(l_linenumber AS VARCHAR) AS dst_col, 'p' || l_partkey AS src_table, 'k' AS src_col,
+  'sum( ' || l_returnflag || ' )' AS expr, l_suppkey AS s, {'a': l_suppkey, 'b': l_quantity, 'c': l_extendedprice, 'd': l_shipdate} AS place FROM lineitem),
+g AS (SELECT case_id, dst_col, src_table, src_col, arg_min(expr, place) AS gold FROM o WHERE s % 7 <> 0 GROUP BY ALL),
+m AS (SELECT case_id, dst_col, src_table, src_col, arg_min(CASE WHEN s % 13 = 0 THEN 'MAX(x)' ELSE upper(expr) END, place) AS machine FROM o WHERE s % 11 <> 0 GROUP BY ALL),
+v AS (SELECT case_id, dst_col, src_table, src_col, CASE WHEN machine IS NULL THEN 'missing' WHEN gold IS NULL THEN 'extra' WHEN contains(machine, upper(gold)) THEN 'matched' ELSE 'mismatch' END AS verdict
+  FROM g FULL JOIN m USING (case_id, dst_col, src_table, src_col))"""
 
 
 @query(f"WITH {VERDICT} SELECT * FROM v")
@@ -292,7 +296,8 @@ def shape_classify(spark, sf):
 
 
 @query("""WITH n AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), t AS (SELECT sum(n) AS t FROM n),
-q AS (SELECT c_mktsegment, greatest(1, floor(n * 50 / t)) AS base, n * 50 / t - floor(n * 50 / t) AS rest FROM n, t),
+s AS (SELECT 50 - count(*) AS s FROM n),
+q AS (SELECT c_mktsegment, 1 + floor(n * s / t) AS base, n * s / t - floor(n * s / t) AS rest FROM n, t, s),
 q2 AS (SELECT c_mktsegment, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, '(''' || c_mktsegment || ''',)') <= 50 - (SELECT sum(base) FROM q) THEN 1 ELSE 0 END AS quota FROM q),
 r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('0' || c_custkey), c_custkey) AS rn FROM customer)
 SELECT c_custkey, c_mktsegment FROM r JOIN q2 USING (c_mktsegment) WHERE rn <= quota""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -18,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,66 +35,72 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 @dataclass
 class Generations:
-    """A table kept as written generations; a pointer file names the serving one and the one before."""
+    """Tables kept as written generations under one folder. One pointer file names the serving generation of each table and the ones
+    before; it is written beside and renamed over the old one, so all tables change at once or none does."""
 
     spark: SparkSession
     root: str
 
-    def _fs(self, path: str):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _pointer(self) -> dict:
-        fs, path = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(path):
+        path = self._path("CURRENT")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return {}
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
 
     def _point(self, to: dict) -> None:
-        fs, new = self._fs(f"{self.root}/CURRENT.new")
-        out = fs.create(new, True)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        new, current = self._path(f"CURRENT.{uuid.uuid4().hex}"), self._path("CURRENT")
+        out = new.getFileSystem(conf).create(new, True)
         out.write(bytearray(json.dumps(to).encode()))
         out.close()
-        _, current = self._fs(f"{self.root}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(new, current)
+        kinds = jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        over[0] = kinds.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.getFileSystem(conf).getUri(), conf).rename(new, current, over)
 
-    def current(self) -> DataFrame | None:
-        found = self._pointer().get("current")
-        return self.spark.read.parquet(f"{self.root}/{found}") if found else None
+    def _read(self, name: str, generation: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/{generation}")
 
-    def write_shadow(self, df: DataFrame) -> str:
-        name = f"gen-{uuid.uuid4().hex}"
-        df.write.options(compression="zstd").parquet(f"{self.root}/{name}")
-        return name
+    def current(self, name: str) -> DataFrame | None:
+        found = self._pointer().get("current", {}).get(name)
+        return self._read(name, found) if found else None
 
-    def delta(self, shadow: str) -> float:
+    def write_shadow(self, name: str, df: DataFrame) -> str:
+        generation = f"gen-{uuid.uuid4().hex}"
+        df.write.options(compression="zstd").parquet(f"{self.root}/{name}/{generation}")
+        return generation
+
+    def delta(self, name: str, shadow: str) -> float:
         """Relative change of the row count against the serving generation (0 without one)."""
-        now = self.current()
+        now = self.current(name)
         if now is None or not (before := now.count()):
             return 0.0
-        return abs(self.spark.read.parquet(f"{self.root}/{shadow}").count() - before) / before
+        return abs(self._read(name, shadow).count() - before) / before
+
+    def swap(self, shadows: dict[str, str]) -> None:
+        now = self._pointer().get("current", {})
+        self._point({"current": now | shadows, "previous": now})
 
-    def swap(self, shadow: str) -> None:
-        self._point({"current": shadow, "previous": self._pointer().get("current")})
+    def swap_guarded(self, shadows: dict[str, str], bounds: dict[str, float]) -> str | None:
+        """Swaps all shadows together if each table of bounds stays within its bound of relative change; else the old generations keep
+        serving and the table that changed too much is named."""
+        for name, most in bounds.items():
+            if (found := self.delta(name, shadows[name])) > most:
+                return f"{name} changed by {found:.0%}, more than {most:.0%}"
+        self.swap(shadows)
+        return None
 
     def rollback(self) -> bool:
-        pointer = self._pointer()
-        if not pointer.get("previous"):
+        previous = self._pointer().get("previous")
+        if not previous:
             return False
-        self._point({"current": pointer["previous"], "previous": None})
+        self._point({"current": previous, "previous": None})
         return True
 
 
-def swap_guarded(pairs: list[tuple[Generations, str, float]]) -> bool:
-    """Swaps all shadows together if each stays within its bound of relative change; else the old versions keep serving."""
-    if any(g.delta(shadow) > most for g, shadow, most in pairs):
-        return False
-    for g, shadow, _ in pairs:
-        g.swap(shadow)
-    return True
-
-
 def latest_schema(snapshots: DataFrame, upto=None) -> DataFrame:
     """snapshots(full_name, snap_date, columns) → the last snapshot of each table, on or before a date if given."""
     own = snapshots if upto is None else snapshots.filter(F.col("snap_date") <= F.lit(upto))

@@ -4,13 +4,14 @@ import random
 from collections import deque
 
 import pytest
-from fixture_warehouse import CASES, SCHEMA
 from pyspark.sql import functions as F
+from transit import CASES, SCHEMA, STATUSES
 
 from lakeloom.functions.columns import similarity
 from lakeloom.operators import diff, fold, graph, quality, search
+from lakeloom.plans import lineage, rebuild
 from lakeloom.plans import metrics as M
-from lakeloom.plans import rebuild
+from lakeloom.sources import synth
 from lakeloom.sources.synth import generate
 from lakeloom.sources.tables import Generations, metastore_tables
 from lakeloom.streaming import incremental
@@ -73,17 +74,16 @@ def test_fold(spark):
     e = lambda i, a, b, q="q", c="high", x="": (i, a, b, q, "sql", c, x, f"f{i}", f"j{i}")
     edges = [e("1", "ods.a", "tmp.x", c="high", x="sum(v)"), e("2", "tmp.x", "tmp.y", c="low", x="v + 1"), e("3", "tmp.y", "dwd.b", "last", "high", "max(v)"), e("4", "tmp.y", "tmp.x"), e("5", "ods.a", "dwd.c"), e("6", "tmp.x", "ods.a", "back")]
     df, tmp = spark.createDataFrame(edges, EDGE), spark.createDataFrame([("tmp.x",), ("tmp.y",)], "node string")
-    derived, used = fold.fold(df, tmp)
-    got = {(r.src, r.dst): r for r in derived.collect()}
+    got = {(r.src, r.dst): r for r in fold.fold(df, tmp).collect()}
     assert set(got) == {("ods.a", "dwd.b"), ("ods.a", "ods.a")}
     b = got["ods.a", "dwd.b"]
-    assert (b.sql_id, b.confidence, b.transform_expr, b.filter_cond, b.is_self_loop) == ("last", "low", "max(v) (through tmp: v + 1 ; sum(v))", "f3", False)
+    assert (b.sql_id, b.confidence, b.transform_expr, b.filter_cond, b.is_self_loop) == ("last", "low", "max(v) (through tmp: sum(v) ; v + 1)", "f3", False)
     assert got["ods.a", "ods.a"].is_self_loop
-    assert {r.edge_id for r in used.collect()} == {"1", "2", "3", "6"}
+    assert {r.edge_id for r in fold.used_edges(df, tmp).collect()} == {"1", "2", "3", "6"}
     whole = fold.folded_edges(df, tmp)
     assert {(r.src, r.dst) for r in whole.collect()} == {("ods.a", "dwd.b"), ("ods.a", "ods.a"), ("ods.a", "dwd.c")}
     assert {r.edge_id for r in fold.folded_edges(df, tmp, drop_all=False).collect() if r.edge_id} == {"4", "5"}
-    again = fold.fold(whole.withColumn("edge_id", F.concat_ws(">", "src", "dst")), tmp)[0]
+    again = fold.fold(whole.withColumn("edge_id", F.concat_ws(">", "src", "dst")), tmp)
     assert again.isEmpty()
 
 
@@ -136,7 +136,7 @@ def test_search_stages(spark):
 
 
 def test_quality(spark):
-    assert quality.quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1} and quality.quotas({"a": 5, "b": 3, "c": 1}, 2) == {"a": 1, "b": 1}
+    assert quality.quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 7, "b": 2, "c": 1} and quality.quotas({"a": 5, "b": 3, "c": 1}, 2) == {"a": 1, "b": 1}
     case = "case_id string, target string, sources array<string>, failed boolean"
     gold = spark.createDataFrame([("1", "t", ["a", "b"], False), ("2", None, [], True), ("3", "t", ["a"], False)], case)
     machine = spark.createDataFrame([("1", "t", ["b", "a"], False), ("2", None, [], True), ("3", "t", ["a", "c"], False)], case)
@@ -172,14 +172,14 @@ def test_metastore(spark):
     assert [c.name for c in rows["db.t"].columns] == ["a", "b", "dt"] and rows["db.t"].owner == "first" and rows["db.v"].table_type == "view" and rows["db.v"].columns == []
 
 
-METRIC = {"metric": "total", "base_table": "dws.summary", "expression": "SUM(t.amt)", "version": 3, "dimensions": {"org": {"column": "o.name", "join": {"alias": "o", "table": "dim.org", "on": "t.org_no = o.org_no"}}, "cust_no": {"column": "t.cust_no", "sensitivity": "L3"}, "id_card": {"column": "t.id_card", "sensitivity": "L4"}, "dt": {"column": "t.dt"}}, "default_filters": ["t.amt IS NOT NULL"], "row_policy": "t.org_no IN (:user_orgs)"}
+METRIC = {"metric": "total", "base_table": "dws.summary", "expression": "SUM(base.amt)", "version": 3, "dimensions": {"org": {"column": "o.name", "join": {"alias": "o", "table": "dim.org", "on": "base.org_no = o.org_no"}}, "cust_no": {"column": "base.cust_no", "sensitivity": "L3"}, "id_card": {"column": "base.id_card", "sensitivity": "L4"}, "dt": {"column": "base.dt"}}, "default_filters": ["base.amt IS NOT NULL"], "row_policy": "base.org_no IN :user_orgs"}
 
 
 def test_compiler():
     m, user = M.Metric.of(METRIC), {"user_orgs": ["O01", "O'2"]}
     a = M.compile_plan(m, {"dimensions": ["dt"], "filters": [{"field": "org", "op": "eq", "value": "x"}, {"field": "dt", "op": "gte", "value": "1"}], "limit": 5000}, user)
     b = M.compile_plan(m, {"dimensions": ["dt"], "filters": [{"field": "dt", "op": "gte", "value": "1"}, {"field": "org", "op": "eq", "value": "x"}], "limit": 5000}, user)
-    assert a == b and a.sql.splitlines() == ["SELECT t.dt AS dt, SUM(t.amt) AS total", "FROM dws.summary AS t", "JOIN dim.org AS o ON t.org_no = o.org_no", "WHERE (t.amt IS NOT NULL) AND (t.dt >= '1') AND (o.name = 'x') AND (t.org_no IN ('O01', 'O\\'2'))", "GROUP BY t.dt", "LIMIT 1000"]
+    assert a == b and a.sql.splitlines() == ["SELECT base.dt AS dt, SUM(base.amt) AS total", "FROM dws.summary AS base", "JOIN dim.org AS o ON base.org_no = o.org_no", "WHERE (base.amt IS NOT NULL) AND (base.dt >= '1') AND (o.name = 'x') AND (base.org_no IN ('O01', 'O\\'2'))", "GROUP BY base.dt", "LIMIT 1000"]
     assert M.compile_plan(m, {"limit": 0}, user).sql.endswith("LIMIT 1000")
     for plan, u, error in (({"dimensions": ["nope"]}, user, M.PlanError), ({"dimensions": ["id_card"]}, user, M.PermissionDenied), ({"filters": [{"field": "cust_no", "op": "eq", "value": 1}]}, user, M.PermissionDenied), ({}, {"user_orgs": []}, M.PermissionDenied), ({"limit": -1}, user, M.PlanError), ({"filters": [{"field": "dt", "op": "in", "value": []}]}, user, M.PlanError), ({"filters": [{"field": "dt", "op": "between", "value": [1]}]}, user, M.PlanError), ({"order_by": [{"field": "dt", "dir": "up"}]}, user, M.PlanError)):
         with pytest.raises(error):
@@ -199,6 +199,69 @@ def test_guards(spark):
             M.guard_scope(spark, sql, scope)
 
 
+def test_guards_against_what_reaches_outside(spark):
+    for sql in ("SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM x.t LIMIT 1", "SELECT a FROM x.t WHERE java_method('java.util.UUID', 'randomUUID') = a LIMIT 1", "SELECT max(try_reflect('a', 'b')) FROM x.t LIMIT 1", "SELECT my_own_udf(a) FROM x.t LIMIT 1", "SELECT a FROM x.t ORDER BY input_file_name() LIMIT 1", "SELECT a FROM (SELECT a FROM x.t LIMIT 5)", "WITH c AS (SELECT a FROM x.t LIMIT 5) SELECT a FROM c", "SELECT a FROM x.t WHERE a IN (SELECT reflect('a', 'b')) LIMIT 1"):
+        with pytest.raises(M.Rejected):
+            M.guard_select(spark, sql)
+    M.guard_select(spark, "SELECT count(DISTINCT upper(a)) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY b) FROM x.t LIMIT 1")
+    for sql in ("SELECT a FROM Ods.Secret LIMIT 1", "SELECT a FROM x.t JOIN ods.secret USING (a) LIMIT 1"):
+        with pytest.raises(M.Rejected):
+            M.guard_select(spark, sql, {"ods.secret"})
+    M.guard_select(spark, "SELECT a FROM ods.secrets LIMIT 1", {"ods.secret"})
+    assert M.guard_scope(spark, "SELECT a FROM (SELECT a FROM x.t LIMIT 5)", ["x.t"]).endswith("LIMIT 1000")
+
+
+def test_policies():
+    assert M.policy("base.o IN :orgs", {"orgs": ["a", "b"]}) == M.policy("base.o IN (:orgs)", {"orgs": ["a", "b"]}) == M.policy("base.o IN ( :orgs )", {"orgs": {"b", "a"}}) == "base.o IN ('a', 'b')"
+    assert M.policy("o = :org AND p = (:org)", {"org": "it's"}) == "o = 'it\\'s' AND p = ('it\\'s')"
+    assert M.policy(":a AND :ab", {"a": 1, "ab": 2}) == "1 AND 2"
+    for user in ({}, {"orgs": []}, {"orgs": ""}, {"orgs": None}, {"orgs": set()}):
+        with pytest.raises(M.PermissionDenied):
+            M.policy("o IN :orgs", user)
+
+
+def test_definitions_from_files(spark, tmp_path):
+    """Definitions as people write them: base columns by `base`, a joined dimension, a policy without brackets."""
+    (tmp_path / "visits.yaml").write_text("""metric: visits
+cn_name: visits of clinics
+caliber: visits added up
+version: 4
+base_table: care_day
+expression: SUM(base.visits)
+dimensions:
+  ward: {column: base.ward}
+  ward_name: {column: w.label, join: {alias: w, table: care_ward, "on": w.ward = base.ward}}
+  patient: {column: base.patient, sensitivity: L3}
+  secret: {column: base.patient, sensitivity: L4}
+default_filters: [base.day IS NOT NULL]
+row_policy: base.ward IN :wards
+""")
+    m = M.load_metrics(str(tmp_path))
+    spark.createDataFrame([("a", "p1", 3, 1), ("a", "p2", 4, 2), ("b", "p3", 5, 3), ("a", "p4", 9, None)], "ward string, patient string, visits long, day int").createOrReplaceTempView("care_day")
+    spark.createDataFrame([("a", "Ward A"), ("b", "Ward B")], "ward string, label string").createOrReplaceTempView("care_ward")
+    ask = lambda plan, user={"wards": ["a"]}, **k: M.query_metric(spark, m, {"metric": "visits"} | plan, user, **k)
+    assert ask({})["data"]["rows"] == [[7]] and ask({"dimensions": ["ward_name"]}, {"wards": ["a", "b"]})["data"]["row_count"] == 2
+    assert ask({"filters": [{"field": "ward_name", "op": "eq", "value": "Ward A"}]})["data"]["rows"] == [[7]]
+    assert ask({}, {"wards": []})["error"] == "PermissionDenied" and ask({"dimensions": ["secret"]})["error"] == "PermissionDenied"
+    assert ask({}, blacklist={"CARE_DAY"})["error"] == "Rejected"
+    path = f"file://{tmp_path}/audit"
+    with pytest.raises(Exception):
+        M.query_metric(spark, {"visits": M.Metric.of({"metric": "visits", "base_table": "care_day", "expression": "SUM(raise_here)"})} and {"visits": M.Metric.of({"metric": "visits", "base_table": "care_day", "expression": "SUM(CAST(base.ward AS int))"})}, {"metric": "visits"}, {}, path)
+    spark.sql("CREATE DATABASE IF NOT EXISTS care")
+    spark.sql("CREATE OR REPLACE VIEW care.v (n COMMENT 'how many') AS SELECT 7 AS n")
+    try:
+        said = []
+        out = M.query_adhoc(spark, "how many?", ["care.v"], lambda q, c: said.append(c) or "SELECT n FROM care.v", {"user_id": "u"}, path)
+        assert out["data"]["rows"] == [[7]] and said == ["care.v(n int -- how many)"]
+        assert M.query_adhoc(spark, "?", ["care.v"], lambda q, c: "SELECT x FROM care.v", audit_path=path)["error"] == "Rejected"
+        assert M.query_adhoc(spark, "?", ["care.v"], lambda q, c: "SELECT n FROM care.w", audit_path=path)["error"] == "Rejected"
+    finally:
+        spark.sql("DROP DATABASE care CASCADE")
+    assert {(r.channel, r.status): r["count"] for r in spark.read.parquet(path).groupBy("channel", "status").count().collect()} == {("semantic", "error"): 1, ("adhoc", "ok"): 1, ("adhoc", "refused"): 2}
+    families = spark.createDataFrame([("f", 1, "a.x"), ("f", 2, "a.y"), ("g", 1, "b.z"), ("g", 2, None)], "family string, rank_in_family int, node string")
+    assert M.scope_of(families) == ["a.x", "b.z", "a.y"] and M.scope_of(families, 1) == ["a.x"]
+
+
 def test_metric_endpoint_audits(spark, tmp_path):
     spark.createDataFrame([("C001", "O01", 100000.0), ("C002", "O01", 50000.0), ("C003", "O02", 88888.0)], "cust_no string, org_no string, amt double").createOrReplaceTempView("summary_t")
     m = {"total": M.Metric.of(METRIC | {"base_table": "summary_t"})}
@@ -213,33 +276,80 @@ def test_metric_endpoint_audits(spark, tmp_path):
 
 def test_generations(spark, tmp_path):
     g = Generations(spark, f"file://{tmp_path}/t")
-    assert g.current() is None and not g.rollback()
-    g.swap(g.write_shadow(spark.range(100)))
-    shadow = g.write_shadow(spark.range(130))
-    assert abs(g.delta(shadow) - 0.3) < 1e-9
-    g.swap(shadow)
-    assert g.current().count() == 130 and g.rollback() and g.current().count() == 100
+    assert g.current("a") is None and not g.rollback()
+    g.swap({"a": g.write_shadow("a", spark.range(100)), "b": g.write_shadow("b", spark.range(10))})
+    shadow, other = g.write_shadow("a", spark.range(130)), g.write_shadow("b", spark.range(11))
+    assert abs(g.delta("a", shadow) - 0.3) < 1e-9
+    assert "a changed by 30%" in g.swap_guarded({"a": shadow, "b": other}, {"b": 0.2, "a": 0.2}) and g.current("b").count() == 10
+    assert g.swap_guarded({"a": shadow, "b": other}, {"a": 0.4}) is None
+    assert (g.current("a").count(), g.current("b").count()) == (130, 11) and g.rollback() and (g.current("a").count(), g.current("b").count()) == (100, 10)
 
 
 def test_rebuild_then_stream(spark, tmp_path):
     w = rebuild.Warehouse(spark, f"file://{tmp_path}/w")
-    texts = [(k, c[0]) for k, c in CASES.items()]
-    stats = rebuild.full_rebuild(w, texts, SCHEMA, threads=2)
-    assert stats["statuses"] == {"success": 12, "degraded": 2, "failed": 3} and stats["cycles"] == 0
-    assert rebuild.full_rebuild(w, texts[:3], SCHEMA) and w.runs().filter("status = 'aborted'").count() == 1
-    before = w.closure.current().count()
+    texts = [(k, c.sql) for k, c in CASES.items()]
+    statements = spark.createDataFrame([(*t, True) for t in texts] + [("gone#1", "INSERT INTO a.b SELECT x FROM c.d", False)], "sql_id string, sql_text string, is_active boolean")
+    stats = rebuild.full_rebuild(w, statements, SCHEMA, threads=2)
+    assert stats["status"] == "success" and stats["statuses"] == STATUSES and stats["cycles"] == 0
+    again = rebuild.full_rebuild(w, texts[:3], SCHEMA)
+    assert again["status"] == "aborted" and "edges changed" in again["reason"] and w.runs().filter("status = 'aborted'").count() == 1
+    assert w.statuses.count() == len(CASES)
+    before = w.closure.count()
     landing = tmp_path / "in"
     landing.mkdir()
-    (landing / "a.json").write_text(json.dumps({"sql_id": "new#1", "sql_text": "INSERT OVERWRITE TABLE ads.ads_new SELECT org_no FROM ads.ads_apply_cube", "published_at": "2026-07-01T00:00:00"}) + "\n")
+    source = CASES["cube"].target
+    (landing / "a.json").write_text(json.dumps({"sql_id": "new#1", "sql_text": f"INSERT OVERWRITE TABLE mart.brand_new SELECT 1 FROM {source}", "published_at": "2026-07-01T00:00:00"}) + "\n")
     for _ in range(2):
         incremental.follow(w, f"file://{landing}", SCHEMA, f"file://{tmp_path}/cp", available_now=True).awaitTermination()
-    closed = w.closure.current()
-    assert closed.count() == before + closed.filter("descendant = 'ads.ads_new'").count() > before
-    want = brute_closure([(r.src, r.dst) for r in w.edges.current().filter("edge_level = 'table'").collect()])
-    assert rows_of(closed) == want
+    closed = w.closure
+    assert closed.count() == before + closed.filter("descendant = 'mart.brand_new'").count() > before
+    want = brute_closure([(r.src, r.dst) for r in w.edges.filter("edge_level = 'table'").collect()])
+    assert rows_of(closed) == want and w.statuses.count() == len(CASES) + 1
+
+
+def state(w):
+    edges = w.edges.filter("edge_level = 'table'").select("sql_id", "src", "dst", "is_derived", "transform_expr")
+    return sorted(map(tuple, edges.collect()), key=str), rows_of(w.closure), sorted(map(tuple, w.statuses.select("sql_id", "parse_status").collect()))
+
+
+def test_incremental_equals_full(spark, tmp_path):
+    r = random.Random(5)
+    tables = [f"s.t{k}" for k in range(4)] + [f"tmp_x.m{k}" for k in range(3)] + [f"m.u{k}" for k in range(4)]
+    schema = {"s": {f"t{k}": {"a": "int"} for k in range(4)}, "tmp_x": {f"m{k}": {"a": "int"} for k in range(3)}, "m": {f"u{k}": {"a": "int"} for k in range(4)}}
+    statement = lambda: f"INSERT INTO {r.choice(tables[4:])} SELECT a FROM {r.choice(tables)}"
+    now = {f"q{k}": statement() for k in range(9)} | {"q9": "not sql"}
+    one = rebuild.Warehouse(spark, f"file://{tmp_path}/one")
+    for k, step in enumerate((list(now), ["q1", "q4", "new"], ["q9", "q2"])):  # the first on a fresh warehouse
+        if k:
+            now |= {i: statement() for i in step}
+        rebuild.incremental(one, [(i, now[i]) for i in step], schema)
+        other = rebuild.Warehouse(spark, f"file://{tmp_path}/full{k}")
+        rebuild.full_rebuild(other, list(now.items()), schema)
+        assert state(one) == state(other)
+
+
+def test_chain_through_a_changed_task(spark, tmp_path):
+    schema = {"ods": {"a": {"x": "int"}, "b": {"x": "int"}}, "tmp": {"m": {"x": "int"}}, "dwd": {"t": {"x": "int"}}}
+    w = rebuild.Warehouse(spark, f"file://{tmp_path}/w")
+    rebuild.full_rebuild(w, [("s1", "INSERT INTO tmp.m SELECT x FROM ods.a"), ("s2", "INSERT INTO dwd.t SELECT x FROM tmp.m")], schema)
+    assert {(r.src, r.dst) for r in _pairs(w)} == {("ods.a", "dwd.t")}
+    rebuild.incremental(w, [("s1", "INSERT INTO tmp.m SELECT x FROM ods.b")], schema)
+    assert {(r.src, r.dst) for r in _pairs(w)} == {("ods.b", "dwd.t")} == {(r.ancestor, r.descendant) for r in w.closure.collect()}
+    raw = w.store.current("raw").filter("edge_level = 'table'")
+    task = rebuild.incremental_task(w, raw, spark.createDataFrame([("s1",), ("s2",)], "sql_id string"))
+    assert [(r.src, r.dst, r.sql_id) for r in task.collect()] == [("ods.b", "dwd.t", "s2")]
+    assert rebuild.incremental_task(w, raw, spark.createDataFrame([("s1",)], "sql_id string")).count() == 2
+
+
+def _pairs(w):
+    return w.edges.filter("edge_level = 'table'").collect()
 
 
-def test_generator_is_reproducible():
+def test_generator_is_reproducible(spark, tmp_path):
     assert generate(60, 80, 7) == generate(60, 80, 7) != generate(60, 80, 8)
     schema, statements = generate(60, 80, 7)
-    assert sum(len(t) for d, t in schema.items() if d != "tmp_bench") == 60 and len(statements) == 80 + len(schema.get("tmp_bench", {}))
+    assert sum(len(t) for d, t in schema.items() if d != "tmp_steps") == 60 and len(statements) == 80 + len(schema.get("tmp_steps", {}))
+    parsed = lineage.parse_all(spark, statements, schema)
+    assert [(i, p.status, p.reason, p.message) for i, p in parsed if p.status != "success" or p.reason] == []
+    paths = synth.stored(spark, f"file://{tmp_path}/w", 20, 20)
+    assert spark.read.parquet(paths["statements"]).count() == len(generate(20, 20)[1]) and spark.read.parquet(paths["tables"]).filter("layer = 'ods'").count() > 3
