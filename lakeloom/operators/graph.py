@@ -77,6 +77,14 @@ def capped(hops: DataFrame, most: int = MAX_NODES) -> tuple[DataFrame, bool]:
     return both, ends.count() > most
 
 
+def card(hops: DataFrame) -> DataFrame:
+    """hops(level, src, dst, confidence) → a row for each level: how many hops, how many of them not of high confidence, and both ends
+    of those as texts in order."""
+    unsure = F.coalesce("confidence", F.lit("high")) != "high"
+    marked = F.sort_array(F.collect_set(F.when(unsure, F.concat_ws(" > ", "src", "dst"))))
+    return hops.groupBy("level").agg(F.count("*").alias("hops"), F.count_if(unsure).alias("unsure"), F.concat_ws("; ", marked).alias("to_check")).orderBy("level")
+
+
 def shortest_path(edges: DataFrame, source, target) -> DataFrame:
     """hop, src, dst of a shortest path; of several the one least in order of its nodes. Empty if there is none, or if the ends are
     the same."""

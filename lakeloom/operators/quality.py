@@ -161,6 +161,19 @@ def blank_comments(columns: DataFrame) -> DataFrame:
     return columns.agg(F.count("*").alias("columns"), F.count_if(F.trim(F.coalesce("comment", F.lit(""))) == "").alias("blank"))
 
 
+def tampered(machine: DataFrame, wrong: str = "WRONG(expr)") -> DataFrame:
+    """Column edges (case_id, dst_col, src_table, src_col, expr) as a gold standard with one mistake: the least edge's expression is replaced.
+    For checking that a comparison finds it."""
+    keys = ["case_id", "dst_col", "src_table", "src_col"]
+    least = machine.agg(F.min(F.struct(*keys)).alias("least")).first()["least"]  # one row
+    if least is None:
+        return machine
+    hit = F.lit(True)
+    for k in keys:
+        hit = hit & F.col(k).eqNullSafe(F.lit(least[k]))
+    return machine.withColumn("expr", F.when(hit, wrong).otherwise(F.col("expr")))
+
+
 def gold_report(tables: DataFrame, edges: DataFrame) -> tuple[str, bool]:
     """table_compared rows and compared verdicts → the report as text, and whether both accuracies are accepted."""
     t = tables.agg(F.count("*").alias("n"), F.count_if("agrees").alias("good")).first()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import admission, bucket_of, cosine, grams, hashed_grams, similarity
+from lakeloom.operators.diff import hash_diff
 from lakeloom.operators.graph import families
+from lakeloom.sources.tables import Generations, stored
 
 DIMENSIONS = 256
 CASELESS = "UNICODE_CI_AI"
@@ -66,6 +70,62 @@ def hash_embedding(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0))).alias("embedding"))
 
 
+def aliases_of(text: Column) -> Column:
+    """Aliases kept as a JSON list; none for null or what is not a list."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """texts(id, text) → id, embedding: by `embed`, a function from a list of texts to a list of vectors that workers can import (it gets
+    batches), or by hashed n-grams without one."""
+    if embed is None:
+        return hash_embedding(texts)
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            vectors = embed(batch.column(1).fill_null("").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float64()))], ["id", "embedding"])
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, embedding array<double>")
+
+
+class Collection:
+    """A stored vector collection: id, text, content_hash, embedding, kept as generations. Only texts whose hash changed are embedded
+    again; ids that are no longer wanted go."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.store = Generations(spark, root)
+
+    def get(self) -> DataFrame | None:
+        return self.store.current("vectors")
+
+    def sync(self, wanted: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> dict[str, int]:
+        """wanted(id, text, content_hash), ids distinct → how many were upserted, deleted and unchanged."""
+        held = self.get()
+        if held is None:
+            action = wanted.select("id", F.lit("upsert").alias("action"))
+        else:
+            action = hash_diff(wanted, held)
+        action = stored(action, "vector-diff")
+        fresh = wanted.join(action.filter("action = 'upsert'"), "id", "left_semi")
+        new = fresh.join(embedded(fresh, embed), "id").select("id", "text", "content_hash", "embedding")
+        if held is not None:
+            new = new.unionByName(held.join(action.filter("action = 'unchanged'"), "id", "left_semi"))
+        self.store.swap({"vectors": self.store.write_shadow("vectors", new)})
+        counts = {r.action: r["count"] for r in action.groupBy("action").count().collect()}
+        return {k: counts.get(k, 0) for k in ("upsert", "delete", "unchanged")}
+
+    def query(self, text: str, k: int = 5, least: float | None = 0.6, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+        """The nearest ids; nothing from a collection that was never synced."""
+        held, spark = self.get(), self.store.spark
+        if held is None:
+            return spark.createDataFrame([], "query_id long, id string, confidence double, rank int")
+        asked = embedded(spark.createDataFrame([(0, text)], "id long, text string"), embed).withColumnRenamed("id", "query_id")
+        return nearest(held.select("id", "embedding"), asked, k, least)
+
+
 def vector_texts(glossary: DataFrame, columns: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, text, content_hash) of terms and of admitted columns, and the counts of columns left out by reason."""
     terms = glossary.filter("status = 'active'").select(F.concat(F.lit("term:"), "term").alias("id"), F.concat_ws(" ", "term", "caliber").alias("text")).withColumn("content_hash", F.sha1("text"))

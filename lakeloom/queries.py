@@ -1,4 +1,4 @@
-"""Queries over the driver tables, one or more for each operator, with the SQL of their oracles."""
+"""Queries over the driver tables, one or more for each operator, with the SQL of their oracles (see platform_queries too)."""
 
 from __future__ import annotations
 
@@ -340,11 +340,17 @@ def search_ngram(spark, sf):
     return search.full_text(texts, "sofia brush")
 
 
-@query()
+FUZZY = "smal red widgets"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT p_partkey AS id, unnest([p_name, p_type]) AS name FROM part), d AS (SELECT DISTINCT name FROM n),
+l(name, i, r) AS (SELECT name, 0, [0 FOR x IN range({len(FUZZY)})] FROM d UNION ALL
+  SELECT name, i + 1, [list_max([CASE WHEN substr('{FUZZY}', CAST(k AS INTEGER), 1) = substr(name, i + 1, 1) THEN (CASE WHEN k = 1 THEN 0 ELSE r[k - 1] END) + 1 ELSE r[k] END FOR k IN range(1, j + 1)]) FOR j IN range(1, {len(FUZZY)} + 1)] FROM l WHERE i < length(name)),
+s AS (SELECT name, 200.0 * r[{len(FUZZY)}] / (length(name) + {len(FUZZY)}) AS score FROM l WHERE i = length(name))
+SELECT id, round(max(score) / 100, 4) AS confidence FROM n JOIN s USING (name) GROUP BY id HAVING max(score) >= 60""")
 def search_fuzzy(spark, sf):
-    """Without SQL: the ratio is of longest common subsequences; tests compare it with a brute-force one."""
     terms = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array("p_name", "p_type").alias("names"))
-    return search.fuzzy(terms, "part 000001 small", 60)
+    return search.fuzzy(terms, FUZZY, 60)
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT min_by(e, vec_id) AS q FROM v),

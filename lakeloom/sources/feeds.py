@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -27,10 +28,10 @@ def retried(call: Callable[[], dict], attempts: int = ATTEMPTS, wait: Callable[[
     raise AssertionError
 
 
-def pages(fetch: Callable[[int, int], list[dict]], size: int = 200) -> Iterator[dict]:
+def pages(fetch: Callable[[int, int], list[dict]], size: int = 200, wait: Callable[[float], None] = time.sleep) -> Iterator[dict]:
     """Items of fetch(page, size), page 1, 2, ... until one is empty or short."""
     page = 1
-    while items := retried(lambda: fetch(page, size)):  # noqa: B023
+    while items := retried(lambda: fetch(page, size), wait=wait):  # noqa: B023
         yield from items
         if len(items) < size:
             return
@@ -77,11 +78,18 @@ class _SchedulerReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # pages of one listing follow each other
+        """With option `pages` (how many pages are known to be there) so many tasks share the listing by turns, and the last goes on after
+        them until a page is short; without it the pages follow each other in one task."""
+        return [InputPartition(k) for k in range(max(1, min(int(self.options.get("pages", 1)), int(self.options.get("tasks", 32)))))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        fetch = http_fetch(self.options["url"], self.options.get("updated_since"))
-        for s in statements_of(pages(fetch, int(self.options.get("size", 200)))):
+        fetch, size = http_fetch(self.options["url"], self.options.get("updated_since")), int(self.options.get("size", 200))
+        known = int(self.options.get("pages", 1))
+        tasks = max(1, min(known, int(self.options.get("tasks", 32))))
+        own = itertools.chain.from_iterable(retried(lambda: fetch(page, size)) for page in range(partition.value + 1, known + 1, tasks))  # noqa: B023
+        if partition.value == tasks - 1:
+            own = itertools.chain(own, pages(lambda page, n: fetch(page + known, n), size))
+        for s in statements_of(own):
             yield str(s["task_id"]), int(s["node_seq"] or 1), s["target_table"], s["sql_text"]
 
 
@@ -91,6 +99,26 @@ def sql_folder(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.sql$", 1).alias("case_id"), F.col("value").alias("sql_text"))
 
 
+def read_schema(path: str) -> dict[str, dict[str, dict[str, str]]]:
+    """{db: {table: {column: type}}} from a JSON file, columns in the file's order."""
+    return json.loads(Path(path).read_text())
+
+
+def read_dialects(folder: str) -> dict[str, str]:
+    """dialects.json of a folder of statements: {case_id: dialect}; empty without the file."""
+    path = Path(folder) / "dialects.json"
+    return json.loads(path.read_text()) if path.exists() else {}
+
+
+def schema_of(snapshots: DataFrame) -> dict[str, dict[str, dict[str, str]]]:
+    """snapshots(full_name, columns: array of name, type), one row a table → the schema that the parser takes, which lives on the driver."""
+    out: dict[str, dict[str, dict[str, str]]] = {}
+    for r in snapshots.select("full_name", "columns").toLocalIterator():
+        db, _, name = r.full_name.rpartition(".")
+        out.setdefault(db or "default", {})[name] = {c["name"]: c["type"] for c in r["columns"]}
+    return out
+
+
 def read_annotation(path: str) -> dict:
     import yaml
 

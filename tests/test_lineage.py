@@ -2,7 +2,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
-from transit import CASES, SCHEMA, STATUSES
+from lakeloom.sources.transit import CASES, SCHEMA, STATUSES
 
 from lakeloom.functions.columns import is_tmp
 from lakeloom.operators import fold, graph

@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
-from transit import CASES, SCHEMA, STATUSES
+from lakeloom.sources.transit import CASES, SCHEMA, STATUSES
 
 from lakeloom.functions.columns import similarity
 from lakeloom.operators import diff, fold, graph, quality, search

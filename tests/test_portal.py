@@ -58,12 +58,7 @@ def test_feeds(spark, tmp_path):
             raise OSError("busy")
         return items[(page - 1) * size : page * size]
 
-    real = feeds.retried
-    feeds.retried = lambda call: real(call, wait=waits.append)
-    try:
-        assert [s["task_id"] for s in feeds.statements_of(feeds.pages(fetch, 3))] == [0, 1, 2, 4, 5, 6] and waits == [2.0, 4.0]
-    finally:
-        feeds.retried = real
+    assert [s["task_id"] for s in feeds.statements_of(feeds.pages(fetch, 3, waits.append))] == [0, 1, 2, 4, 5, 6] and waits == [2.0, 4.0]
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
@@ -80,6 +75,9 @@ def test_feeds(spark, tmp_path):
     spark.dataSource.register(feeds.SchedulerSource)
     got = spark.read.format("scheduler").option("url", f"http://127.0.0.1:{server.server_port}/x").option("size", "3").load()
     assert sorted(r.task_id for r in got.collect()) == ["0", "1", "2", "4", "5", "6"]
+    for known, tasks in ((2, 2), (3, 2), (5, 9)):
+        shared = spark.read.format("scheduler").option("url", f"http://127.0.0.1:{server.server_port}/x").option("size", "3").option("pages", str(known)).option("tasks", str(tasks)).load()
+        assert sorted(r.task_id for r in shared.collect()) == ["0", "1", "2", "4", "5", "6"]
     server.shutdown()
     (tmp_path / "c1.sql").write_text("select 1\nfrom x")
     assert [tuple(r) for r in feeds.sql_folder(spark, f"file://{tmp_path}").collect()] == [("c1", "select 1\nfrom x")]
