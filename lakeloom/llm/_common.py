@@ -8,6 +8,10 @@ third of the corpus is met at most once per chunk: hot keys need no salting.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,9 +36,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where the session has none (tests)."""
+    """The folder of spark.checkpoint.dir; a folder of our own only where the session has none and runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,13 +53,39 @@ def write_table(df: DataFrame, label: str, **options: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    return df.sparkSession.read.parquet(write_table(df, label))
+def stored(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """df written and read again. scratch: gets the path, for dropped() once nothing reads it any more."""
+    path = write_table(df, label)
+    if scratch is not None:
+        scratch.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def dropped(spark: SparkSession, scratch: list[str]) -> None:
+    """Removes written tables that no result reads any more, and forgets them."""
+    for path in scratch:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    scratch.clear()
+
+
+def tidied(run):
+    """A function for mapInArrow that gives the memory it used back to the system when it ends: Python workers serve many tasks."""
+
+    @functools.wraps(run)
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return own
+
+
+def tidy() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def partition_id() -> int:
@@ -314,7 +346,7 @@ def text_chunks(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
         for chunk, keys, texts in chunks(batches, limit):
             yield chunk_batch([(chunk, -1, *pack_texts(keys, texts))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), CHUNK_SCHEMA)
 
 
 def key_parts(spark: SparkSession) -> int:

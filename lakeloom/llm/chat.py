@@ -5,15 +5,16 @@ rendered once as the prompt; what follows in each conversation is its completion
 with the mask of the loss (assistant turns count, others do not), and as one mask character for each turn.
 
 A null role or text counts as empty. Equal rows of a conversation count once; turns with the same number are ordered by role
-and text. Rows without conv_id are one conversation. Where one side is a prefix of the other its completion is empty.
+and text. Rows without conv_id belong to no conversation and are left out. Where one side is a prefix of the other its completion is
+empty. An empty table gives an empty result; other columns are not read. A conversation is one row, as long as its turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.simhash import with_next
+from lakeloom.llm._common import stored
 
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 LEARNT = "assistant"
@@ -22,7 +23,7 @@ LEARNT = "assistant"
 def conversations(rows: DataFrame) -> DataFrame:
     """rows(conv_id, turn, role, text) → conv_id, turns (array of role, text)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(turn)).alias("turns"))
+    grouped = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(turn)).alias("turns"))
     return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
@@ -53,12 +54,26 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     return counted.select(*out)
 
 
+def following(keys: DataFrame) -> DataFrame:
+    """keys(conv_id), distinct → conv_id, following: the next key in order, after the last the first. Keys are ordered within range
+    partitions; only partitions' first keys meet others, so one task sees a row for each partition, never all keys."""
+    ranged = stored(keys.repartitionByRange("conv_id").withColumn("part", F.spark_partition_id()), "keys")
+    inside = ranged.withColumn("after", F.lead("conv_id").over(Window.partitionBy("part").orderBy("conv_id")))
+    line = Window.orderBy("part")  # rows are partitions
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = ranged.groupBy("part").agg(F.min("conv_id").alias("first"))
+    heads = firsts.select("part", F.coalesce(F.lead("first").over(line), F.min("first").over(whole)).alias("head"))
+    return inside.join(heads, "part").select("conv_id", F.coalesce("after", "head").alias("following"))
+
+
 def branched_pairs(rows: DataFrame) -> DataFrame:
     """A pair for each conversation of rows: it is chosen, and rejected is its first half (rounded down) followed by the turns
     that the next conversation (by conv_id, after the last the first) has from there on."""
-    paired = with_next(conversations(rows).select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("tie"), F.col("turns").alias("value")))
-    half = F.floor(F.size("value") / 2).cast("int")
-    return paired.select(F.col("doc_id").alias("pair_id"), F.col("value").alias("chosen"), F.concat(F.slice("value", 1, half), F.slice("after", half + 1, F.size("after"))).alias("rejected"))
+    own = stored(conversations(rows), "conversations")
+    after = own.select(F.col("conv_id").alias("following"), F.col("turns").alias("after"))
+    paired = own.join(following(own.select("conv_id")), "conv_id").join(after, "following")
+    half = F.floor(F.size("turns") / 2).cast("int")
+    return paired.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", 1, half), F.slice("after", half + 1, F.size("after"))).alias("rejected"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -66,7 +81,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations),
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn, r, x) AS v FROM t GROUP BY conv_id),
 n AS (SELECT conv_id, v, coalesce(lead(v) OVER (ORDER BY conv_id), first_value(v) OVER (ORDER BY conv_id)) AS a, len(v) // 2 AS k FROM c),
 p AS (SELECT conv_id, v, list_concat(list_slice(v, 1, k), list_slice(a, k + 1, len(a))) AS b FROM n),

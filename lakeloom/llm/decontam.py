@@ -6,20 +6,26 @@
 3. Postings meet the anchors by word; each hit stands for the place in the document where the item would start. Two
    anchors of one item at the same place make a candidate: the intersection of the offset-adjusted lists from the rarest
    terms. Anchors whose places differ by at most `slop` are a proximity match.
-4. Candidates are compared with the document's own words, window by window.
+4. At each candidate place the item's words are joined with the document's by position; runs of a window's length or more
+   are occurrences, and the union of a document's runs is what is hit.
 
-The words of the benchmark are broadcast only after they have been counted (up to MOST_TERMS), else joined by shuffle.
+Documents are named by 128 bits of their text, so copies are looked into once, and no step holds a document's hits in one row: only
+the ids of the items found are listed. The words of the benchmark, and the candidates, are broadcast only after they have been
+counted (up to MOST_TERMS), else joined by shuffle; texts are never shuffled but those of candidates.
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null text has no words. Items without words match
 nothing; items shorter than a window are one window. Repeated rows of either table are allowed: each document row is
-judged by its own text, items count by item_id (a null item_id counts once and is not listed).
+judged by its own text, items count by item_id (a null item_id counts once and is not listed). Empty tables are allowed; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import stored
+from lakeloom.llm._common import dropped, stored
 
 WINDOW, SLOP = 10, 5
 MOST_TERMS = 500_000
@@ -44,11 +50,11 @@ def items_of(benchmark: DataFrame, window: int) -> DataFrame:
     return own.filter("n > 0").withColumn("span", F.least("n", F.lit(window))).dropDuplicates(["item"])
 
 
-def anchors_of(items: DataFrame, docs: DataFrame) -> DataFrame:
+def anchors_of(items: DataFrame, docs: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """item, word, at: the two rarest words of every window, as positions in the item."""
     placed = items.select("item", "n", "span", F.posexplode("words").alias("at", "word"))
-    terms = stored(placed.select("word").distinct(), "terms")
-    counts = stored(docs.select(F.explode(words(F.col("text"))).alias("word")).join(_held(terms), "word").groupBy("word").count(), "term-counts")
+    terms = stored(placed.select("word").distinct(), "terms", scratch)
+    counts = stored(docs.select(F.explode(words(F.col("text"))).alias("word")).join(_held(terms), "word").groupBy("word").count(), "term-counts", scratch)
     counted = placed.join(counts, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     first, last = F.greatest(F.lit(0), F.col("at") - F.col("span") + 1), F.least("at", F.col("n") - F.col("span"))
     of_window = counted.select("item", F.explode(F.sequence(first, last)).alias("start"), F.struct("count", "at", "word").alias("term"))
@@ -56,48 +62,71 @@ def anchors_of(items: DataFrame, docs: DataFrame) -> DataFrame:
     return rarest.filter(F.col("terms")[0]["count"] > 0).select("item", F.explode("terms").alias("term")).select("item", "term.word", "term.at").distinct()
 
 
-def postings_of(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """word, doc_id, at: where the anchors' words stand in the documents."""
-    terms = anchors.select("word").distinct()
-    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("at", "word")).join(_held(terms), "word").select("word", "doc_id", "at")
+KEY = ["h1", "h2"]
+
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) → doc_id, text (null: empty), h1, h2: 128 bits that name the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
 
-def candidates(postings: DataFrame, anchors: DataFrame, items: DataFrame, slop: int) -> DataFrame:
-    """doc_id, item, places (where the item would start, of two anchors each, or of one for a one-word item), near."""
-    hits = postings.join(anchors.withColumnRenamed("at", "item_at"), "word").select("doc_id", "item", F.struct((F.col("at") - F.col("item_at")).alias("place"), "item_at").alias("hit"))
-    hits = hits.groupBy("doc_id", "item").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
-    both = hits.join(items.select("item", "n"), "item")
-    before = lambda i: F.get("hits", i - 1)
-    places = F.when(F.col("n") == 1, F.col("hits.place")).otherwise(F.array_distinct(F.filter("hits", lambda h, i: (i > 0) & (h["place"] == before(i)["place"]))["place"]))
-    near = F.exists(F.transform("hits", lambda h, i: (i > 0) & (h["place"] - before(i)["place"] <= slop) & (h["item_at"] != before(i)["item_at"])), lambda x: x)
-    return both.select("doc_id", "item", places.alias("places"), (near | (F.col("n") == 1)).alias("near")).filter("near")
+
+def postings_of(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """word, h1, h2, at: where the anchors' words stand in the documents."""
+    terms = anchors.select("word").distinct()
+    return keyed(docs).select(*KEY, F.posexplode(words(F.col("text"))).alias("at", "word")).join(_held(terms), "word").select("word", *KEY, "at").distinct()
+
+
+def places(postings: DataFrame, anchors: DataFrame, items: DataFrame, slop: int) -> DataFrame:
+    """h1, h2, item, place (where the item would start), least and most (of the anchors that say so), near (whether anchors there or at
+    the place before make a proximity match)."""
+    group = [*KEY, "item"]
+    hits = postings.join(anchors.withColumnRenamed("at", "item_at"), "word").select(*group, (F.col("at") - F.col("item_at")).alias("place"), "item_at")
+    each = hits.repartition(*group).groupBy(*group, "place").agg(F.min("item_at").alias("least"), F.max("item_at").alias("most"))
+    line = Window.partitionBy(*group).orderBy("place")
+    before = lambda c: F.lag(c).over(line)
+    apart = (F.col("place") - before("place") <= slop) & ((F.col("least") != before("least")) | (F.col("most") != before("most")))
+    near = each.withColumn("near", (F.col("least") < F.col("most")) | F.coalesce(apart, F.lit(False)))
+    own = items.select("item", "n")
+    return near.join(own, "item").select(*group, "place", "least", "most", (F.col("near") | (F.col("n") == 1)).alias("near"), ((F.col("least") < F.col("most")) | (F.col("n") == 1)).alias("exact")).filter("near")
+
+
+def occurrences(docs: DataFrame, candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """candidates(h1, h2, item, place) → h1, h2, item, start, stop: runs of the item's words that hold a window, by position in the document."""
+    wanted = candidates.select(*KEY).distinct()
+    texts = keyed(docs).join(_held(wanted), KEY, "left_semi").select(*KEY, "text").dropDuplicates(KEY)
+    own = texts.select(*KEY, F.posexplode(words(F.col("text"))).alias("at", "word"))
+    of_item = items.select("item", "span", F.posexplode("words").alias("i", "word"))
+    asked = candidates.join(_held(of_item), "item").select(*KEY, "item", "place", "span", "i", "word", (F.col("place") + F.col("i")).alias("at"))
+    same = asked.join(own, [*KEY, "at", "word"]).select(*KEY, "item", "place", "span", "i")
+    line = Window.partitionBy(*KEY, "item", "place").orderBy("i")
+    runs = same.withColumn("run", F.col("i") - F.row_number().over(line)).groupBy(*KEY, "item", "place", "span", "run").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    start = F.col("place") + F.col("first")
+    return runs.filter("n >= span").select(*KEY, "item", start.cast("long").alias("start"), (start + F.col("n")).alias("stop"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """docs(doc_id, text) and benchmark(item_id, text) → doc_id, n_words, n_hit (words inside an occurrence of a window), n_items,
     item_ids (of items with occurring windows, sorted as strings), n_near (items with a proximity match), contaminated."""
-    items = stored(items_of(benchmark, window), "items")
-    anchors = stored(anchors_of(items, docs), "anchors")
-    postings = stored(postings_of(docs, anchors), "postings")
-    found = candidates(postings, anchors, items, slop).join(items.select("item", "item_id", "words", "n", "span"), "item")
-    per_doc = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("item_id", "words", "n", "span", "places")).alias("found"), F.countDistinct("item_id").alias("n_near"))
-
-    def starts(own: Column, item: Column, place: Column) -> Column:
-        first, last = F.greatest(F.lit(0), -place), F.least(item["n"], F.size(own) - place) - item["span"]
-        every = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.filter(every, lambda s: F.slice(own, s + place + 1, item["span"]) == F.slice(item["words"], s + 1, item["span"]))
-
-    def covered(own: Column, item: Column) -> Column:
-        return F.flatten(F.transform(item["places"], lambda p: F.flatten(F.transform(starts(own, item, p), lambda s: F.sequence(s + p, s + p + item["span"] - 1)))))
-
-    # bound once: every other expression refers to columns that are already there
-    joined = docs.select("doc_id", "text").join(per_doc, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
-    own = joined.select("doc_id", "found", "n_near", words(F.col("text")).alias("own")).withColumn("n_words", F.size("own").cast("long"))
-    hit = own.withColumn("hit", F.transform("found", lambda f: F.struct(f["item_id"].cast("string").alias("item_id"), covered(F.col("own"), f).alias("words")))).drop("own", "found")
-    hit = hit.withColumn("hit", F.filter("hit", lambda h: F.size(h["words"]) > 0))
-    hit = hit.withColumn("item_ids", F.array_sort(F.array_distinct(F.coalesce("hit.item_id", F.array().cast("array<string>")))))
-    hit = hit.withColumn("n_hit", F.coalesce(F.size(F.array_distinct(F.flatten("hit.words"))), F.lit(0)).cast("long"))
-    return hit.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.coalesce("n_near", F.lit(0)).alias("n_near"), (F.col("n_hit") > 0).alias("contaminated"))
+    scratch: list[str] = []  # what only the search reads
+    held = functools.partial(stored, scratch=scratch)
+    items = held(items_of(benchmark, window), "items")
+    anchors = held(anchors_of(items, docs, scratch), "anchors")
+    postings = held(postings_of(docs, anchors), "postings")
+    found = held(places(postings, anchors, items, slop), "places")
+    runs = held(occurrences(docs, found.filter("exact").select(*KEY, "item", "place"), items), "occurrences")
+    ids = items.select("item", "item_id")
+    listed = runs.select(*KEY, "item").distinct().join(ids, "item").groupBy(*KEY).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    line = Window.partitionBy(*KEY).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(line), F.lit(0))))
+    hit = runs.withColumn("fresh", fresh).groupBy(*KEY).agg(F.sum("fresh").alias("n_hit"))
+    near = found.select(*KEY, "item").distinct().join(ids, "item").groupBy(*KEY).agg(F.countDistinct("item_id").alias("n_near"))
+    whole = stored(near.join(hit, KEY, "left").join(listed, KEY, "left"), "contaminated")
+    dropped(docs.sparkSession, scratch)
+    own = keyed(docs).select("doc_id", *KEY, F.size(words(F.col("text"))).cast("long").alias("n_words")).join(whole, KEY, "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    return own.select("doc_id", "n_words", none("n_hit").alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), none("n_near").alias("n_near"), (none("n_hit") > 0).alias("contaminated"))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ likeness of two fingerprints is 1 - distance / 64.
 
 The search cuts fingerprints into BLOCKS blocks. Two fingerprints within `radius` bits agree in all but radius blocks, so a
 table for each choice of BLOCKS - radius blocks, keyed by their bits, holds them under one key; a pair counts in the first
-table that holds it. Equal fingerprints are joined to one before. A text without words (null, empty) has fingerprint 0.
+table that holds it. Equal fingerprints are joined to one before. A text without words (null, empty) has fingerprint 0. Rows of one doc_id
+follow each other by a hash of their texts; a table of one row has itself as next; an empty one gives an empty result. RADIUS 3 of
+64 stands for copies with a few changed words: by the angle between term vectors, texts of five-word shingle similarity 0.95 differ
+by about 3 bits, those of 0.8 by about 6.
 """
 
 from __future__ import annotations
@@ -19,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, mix, slices, spans, split, stored, tune, word_hashes
+from lakeloom.llm._common import Texts, dropped, mix, partition_id, runs, slices, split, stored, tidied, tune, word_hashes
 
 RADIUS, BLOCKS = 3, 6
-NEXT_BLOCK = 1024
 
 
 def fingerprints(texts: Texts) -> np.ndarray:
@@ -38,7 +40,7 @@ def _fingerprints(texts: Texts) -> np.ndarray:
     for d in range(len(texts)):
         own = words[bounds[d] : bounds[d + 1]]
         if len(own):
-            terms = mix(spans(own, np.arange(len(own) - 1), np.arange(2, len(own) + 1))) if len(own) > 1 else mix(own)
+            terms = runs(own, 2) if len(own) > 1 else mix(own)
             terms, counts = np.unique(terms, return_counts=True)
             weights = (1 + np.log(counts)).astype(np.float32)
             votes = np.zeros(64, np.float32)
@@ -53,30 +55,72 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-def with_next(rows: DataFrame, block: int = NEXT_BLOCK) -> DataFrame:
-    """rows(doc_id, tie, value, ...) with after: the value of the next row in order of (doc_id, tie), nulls first; after the last
-    the first. Rows are ordered within blocks of doc_ids; only the edges of blocks are stitched, so no task holds all rows."""
-    own = rows.withColumn("block", F.coalesce(F.floor(F.col("doc_id") / block), F.lit(-(1 << 62))))
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "tie")
-    placed = own.withColumns({"after": F.lead("value").over(order), "last": F.lead(F.lit(1)).over(order).isNull(), "row": F.row_number().over(order)})
-    blocks = own.groupBy("block").agg(F.count("*").alias("n"))
-    line = Window.orderBy("block")
-    links = blocks.select("block", F.lead("block").over(line).alias("following"), F.min("block").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("least"))
-    links = links.select("block", F.coalesce("following", "least").alias("following"))
-    first = placed.filter("row = 1").select(F.col("block").alias("following"), F.col("value").alias("first_value"))
-    edges = links.join(first, "following").select("block", "first_value")
-    last = placed.filter("last").join(edges, "block").withColumn("after", F.col("first_value")).drop("first_value")
-    return placed.filter("not last").unionByName(last).drop("block", "row", "last")
-
-
-def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, value (the text, null: empty), n_chars, edited: the last floor(n_chars / 4) code points give way to the first
-    as many of the next document's text, in order of (doc_id, hash of the text)."""
+FIRST, LAST = 1, 2  # kinds of rows that meet those of another partition; 0: whole rows
+_ORDERED = "part int, kind int, doc_id long, n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, next_fingerprint long, text string"
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """_ORDERED rows of docs(doc_id, text) in range partitions by (doc_id, nulls first; hash of the text; place in the scan), so equal
+    doc_ids and equal rows are split too. Within a partition each row meets the next as they stream by; only a partition's
+    first and last rows keep their texts, as rows of kinds FIRST and LAST."""
     text = F.coalesce("text", F.lit(""))
-    rows = with_next(docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("value")))
-    n = F.char_length("value")
-    quarter = F.floor(n / 4).cast("int")
-    return rows.select("doc_id", "tie", "value", n.cast("long").alias("n_chars"), F.concat(F.substring("value", F.lit(1), n - quarter), F.substring("after", F.lit(1), quarter)).alias("edited"))
+    keys = ["doc_id", "tie", "place"]
+    ranged = docs.select("doc_id", F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("place"), text.alias("text")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def row(part, kind, ids, lengths, sha, prints, changed, after, texts):
+        n = len(ids)
+        longs = lambda x: pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64())
+        text = pa.array(texts, pa.string()) if texts is not None else pa.nulls(n, pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.int32()), longs(ids), longs(lengths), pa.array(sha, pa.string()) if sha is not None else pa.nulls(n, pa.string()), longs(prints), longs(changed), longs(after), text], [c.split()[0] for c in _ORDERED.split(", ")])
+
+    def run(batches):
+        part, last = partition_id(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            prints = fingerprints(Texts.of(batch.column(1))).view(np.int64).tolist()
+            if last is None:
+                yield row(part, FIRST, ids[:1], None, None, prints[:1], None, None, texts[:1])
+            else:
+                ids, texts, prints = [last[0], *ids], [last[1], *texts], [last[2], *prints]
+            last = ids[-1], texts[-1], prints[-1]
+            if len(ids) > 1:
+                changed = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for t, after in zip(texts[:-1], texts[1:], strict=True)]
+                own = fingerprints(Texts.of(pa.array(changed, pa.string()))).view(np.int64).tolist()
+                yield row(part, 0, ids[:-1], [len(t) for t in texts[:-1]], [hashlib.sha256(x.encode()).hexdigest() for x in changed], prints[:-1], own, prints[1:], None)
+        if last is not None:
+            yield row(part, LAST, [last[0]], [len(last[1])], None, [last[2]], None, None, [last[1]])
+
+    return ranged.select("doc_id", "text").mapInArrow(tidied(run), _ORDERED)
+
+
+def following(parts: DataFrame) -> DataFrame:
+    """parts(part), one row for each partition that has rows → part, following: the next one, after the last the first."""
+    line = Window.orderBy("part")  # rows are partitions, not documents
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return parts.select("part", F.coalesce(F.lead("part").over(line), F.min("part").over(whole)).alias("following"))
+
+
+def edited(docs: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint of docs(doc_id, text; null: empty): the edited text
+    is the text whose last floor(n_chars / 4) code points gave way to the first as many of the next document's."""
+    rows = stored(in_order(docs), "ordered", scratch)
+    firsts = rows.filter(F.col("kind") == FIRST).select(F.col("part").alias("following"), F.col("fingerprint").alias("after"), F.col("text").alias("first_text"))
+    links = following(rows.filter(F.col("kind") == FIRST).select("part"))
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    text = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("first_text", F.lit(1), quarter))
+    ends = rows.filter(F.col("kind") == LAST).join(links, "part").join(firsts, "following").select("doc_id", "n_chars", "fingerprint", "after", text.alias("edited"))
+
+    def run(batches):
+        for batch in batches:
+            changed = Texts.of(batch.column(4))
+            sha = [hashlib.sha256(changed.bytes_of(i)).hexdigest() for i in range(len(changed))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sha, pa.string()), batch.column(2), pa.array(fingerprints(changed).view(np.int64)), batch.column(3)], names)
+
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, next_fingerprint long"
+    return rows.filter("kind = 0").select(names).unionByName(ends.mapInArrow(tidied(run), schema))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -87,7 +131,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(Texts.of(batch.column(1))).view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, fingerprint long")
 
 
 def near(queries: DataFrame, every: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -113,19 +157,13 @@ def document_fingerprints(docs: DataFrame, every: int = 50) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (16 hex digits), near_edited, near_next, and n_near:
     for documents whose doc_id `every` divides the other documents within RADIUS bits, for the rest null."""
     tune(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            changed = Texts.of(batch.column(4))
-            prints = [pa.array(fingerprints(t).view(np.int64)) for t in (Texts.of(batch.column(2)), changed)]
-            sha = pa.array([hashlib.sha256(changed.bytes_of(i)).hexdigest() for i in range(len(changed))], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), sha, *prints], ["doc_id", "tie", "n_chars", "edited_sha256", "value", "changed"])
-
-    marked = stored(edited(docs).mapInArrow(run, "doc_id long, tie long, n_chars long, edited_sha256 string, value long, changed long"), "fingerprints")
-    after = with_next(marked)
-    query = F.col("doc_id") % every == 0
-    prints = marked.select("doc_id", F.col("value").alias("fingerprint"))
-    found = near(prints.filter(query), prints)
-    joined = after.join(found, (after["value"] == found["fingerprint"]) & query, "left")
+    scratch: list[str] = []
+    marked = stored(edited(docs, scratch), "fingerprints")
+    dropped(docs.sparkSession, scratch)
+    query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = near(marked.filter(query).select("fingerprint"), marked.select("fingerprint"))
+    asked = marked.filter(query).join(found, "fingerprint").withColumn("n_near", F.col("n_near") - 1)
+    joined = marked.filter(~query).withColumn("n_near", F.lit(None).cast("long")).unionByName(asked)
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return joined.select("doc_id", "n_chars", "edited_sha256", hexed("value").alias("fingerprint"), hexed("changed").alias("edited_fingerprint"), likeness(F.col("value"), F.col("changed")).alias("near_edited"), likeness(F.col("value"), F.col("after")).alias("near_next"), (F.col("n_near") - 1).alias("n_near"))
+    own, changed, after = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
+    return joined.select("doc_id", "n_chars", "edited_sha256", hexed(own).alias("fingerprint"), hexed(changed).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, after).alias("near_next"), "n_near")

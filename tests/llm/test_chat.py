@@ -22,5 +22,18 @@ def test_branching_and_odd_rows(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (2, 0, "user", None), (2, 1, None, "c"), (2, 2, "user", "d"), (None, 0, "user", "e")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, value string")
     got = {r.pair_id: (len(r.chosen), [t.text for t in r.rejected]) for r in chat.branched_pairs(df).collect()}
-    assert got == {1: (2, ["a", "c", "d"]), 2: (3, [""]), None: (1, ["a", "b"])}
+    assert got == {1: (2, ["a", "c", "d"]), 2: (3, ["", "b"])}
     assert chat.format_pairs(chat.branched_pairs(df.limit(0))).collect() == []
+
+
+def test_following_over_many_partitions(spark):
+    ids = [k * k * 37 for k in range(500)]  # sparse
+    keys = spark.createDataFrame([(i,) for i in ids], "conv_id long").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for merged in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+            assert {r.conv_id: r.following for r in chat.following(keys).collect()} == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert [tuple(r) for r in chat.following(keys.limit(1).selectExpr("7L AS conv_id")).collect()] == [(7, 7)]

@@ -61,3 +61,11 @@ def test_proximity_and_empty_tables(spark):
     assert got == {1: (1, False), 2: (0, False), 3: (0, False)}
     assert decontam.contamination(df.limit(0), bench).collect() == []
     assert {r.n_hit for r in decontam.contamination(df, bench.limit(0)).collect()} == {0}
+
+
+def test_one_word_again_and_again(spark):
+    item, text = "same " * 200, "same " * 20_000
+    docs = [(1, text), (2, text), (3, "same " * 9 + "other " + "same " * 10), (4, "other")]
+    bench = spark.createDataFrame([(9, item), (10, "same other")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (20_000, 20_000, ["9"]), 2: (20_000, 20_000, ["9"]), 3: (20, 12, ["10", "9"]), 4: (1, 0, [])}

@@ -31,6 +31,23 @@ def test_contract_columns(spark):
     assert np.mean([got[ids[k]].near_edited for k in long]) > 0.7 > 0.6 > np.mean([got[ids[k]].near_next for k in long[:-25]])
 
 
+def test_one_id_for_a_third_of_the_rows(spark):
+    texts = [f"text {k % 90} " * (k % 9) for k in range(300)]
+    rows = [(None if k < 60 else 7 if k < 160 else k * 1_000_003, t) for k, t in enumerate(texts)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = simhash.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(d), len(t)) for d, t in rows)
+    # next fingerprints are the fingerprints, each once
+    assert sorted(r.fingerprint for r in got) == sorted(r.next_fingerprint for r in got)
+    by = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id > 7}
+    ids = sorted(by)
+    assert all(by[a].next_fingerprint == by[b].fingerprint for a, b in zip(ids[:-1], ids[1:], strict=True))
+
+
 def test_search_finds_all_within_radius(spark):
     r = random.Random(1)
     base = [r.getrandbits(64) for _ in range(50)]
