@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, ODD, Texts, by_part, chunk_batch, chunks, key_parts, mix, pack_texts, read_chunk, split, squeeze, stored, tune, unsqueeze, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, ODD, Texts, by_part, chunk_batch, chunks, key_parts, mix, pack_texts, read_chunk, split, squeeze, stored, tidied, tune, unsqueeze, word_hashes
 
 HEAD_CLASSES, SLOTS, TAIL_CLASSES = 16, 32, 16
 HEAD, CLASSES = HEAD_CLASSES * SLOTS, HEAD_CLASSES + TAIL_CLASSES
@@ -241,7 +241,7 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([squeeze(met.astype(np.int64).tobytes(), 1)], pa.binary()), pa.array([squeeze(change.astype(np.float16).tobytes(), 1)], pa.binary())], ["block", "met", "change"])
 
         part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("doc_id", "text")
-        found = part.coalesce(trainers).mapInArrow(run, _UPDATE).groupBy("block").applyInArrow(_mean, "block int, change binary")
+        found = part.coalesce(trainers).mapInArrow(tidied(run), _UPDATE).groupBy("block").applyInArrow(_mean, "block int, change binary")
         blocks = len(model.w) // _BLOCK
         for row in found.collect():  # the weights, which grow with the words that have places
             change = np.frombuffer(unsqueeze(row.change), np.float32)
@@ -313,7 +313,7 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     parts = key_parts(spark)
     marked = docs.select("doc_id", "text", held_out().alias("held_out"))
     # `asked` reads whether a document is learnt from in place of its key
-    asked = marked.select((~F.col("held_out")).cast("long"), "text").mapInArrow(lambda b: _ask(b, parts), CHUNK_SCHEMA)
+    asked = marked.select((~F.col("held_out")).cast("long"), "text").mapInArrow(tidied(lambda b: _ask(b, parts)), CHUNK_SCHEMA)
     told = stored(asked.groupBy("part").applyInArrow(_count, CHUNK_SCHEMA), "maxent-counts")
     model, total, distinct = _model(told.filter("chunk = -1").collect())
     model = train(marked.filter("not held_out"), model, rounds)
@@ -336,6 +336,6 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         known = np.add.reduceat((counts > 0).astype(np.int64), tokens.bounds[:-1])
         return pa.table({"doc_id": keys, "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(n), total), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
 
-    packed = marked.select("doc_id", "text").mapInArrow(texts, CHUNK_SCHEMA)
+    packed = marked.select("doc_id", "text").mapInArrow(tidied(texts), CHUNK_SCHEMA)
     out = packed.unionByName(told.filter("chunk >= 0")).groupBy("chunk").applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("held_out", held_out()).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -21,12 +21,14 @@ count as one document, linked by any of them.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, key_parts, mix, runs, slices, split, stored, tune, windows, word_hashes
+from lakeloom.llm._common import Texts, dropped, key_parts, mix, runs, slices, split, stored, tidied, tune, windows, word_hashes
 
 BINS, BAND = 150, 5
 SIMILARITY = 80  # per cent
@@ -100,7 +102,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataFrame:
@@ -117,21 +119,24 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataFr
 
     own = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(other, "b").join(own, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(other, "b").join(own, "a").select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) → node, component (the least node reachable), for nodes with edges. Large and small stars alternate, each
     round a written table, until nothing changes: rounds grow with the logarithm of the graph's diameter."""
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    last: list[str] = []
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", last)
     state = None
     while True:
+        before, last = last, []
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(edges.join(least, "a").filter("b = m").select("a", "b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "edges")
+        edges = stored(small, "edges", last)
+        dropped(edges.sparkSession, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
@@ -146,7 +151,7 @@ def sketches(texts: DataFrame, n: int) -> DataFrame:
             least = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingles(Texts.of(batch.column(1)), n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["id", "sketch"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, sketch binary")
+    return texts.select("id", "text").mapInArrow(tidied(run), "id long, sketch binary")
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> float:
@@ -193,11 +198,11 @@ def _unsure(buckets: DataFrame, per_cent: int, parts: int) -> DataFrame:
     return pairs.repartition(parts, "band", "key", "low", "high").groupBy("band", "key", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def starred(active: DataFrame, order) -> DataFrame:
+def starred(active: DataFrame, order, scratch: list[str]) -> DataFrame:
     """active(band, key, id, component) → a, b: an edge from each bucket's centre (the first by order) to every member of another component.
     Buckets that hold a share of 1 / HOT of all rows or more, HOT at most, are dealt out to SALTS tasks each, with the centre copied."""
     centres = active.groupBy("band", "key").agg(F.min_by(F.struct("id", "component"), order).alias("centre"), F.count("*").alias("n"))
-    centres = stored(centres, "centres")
+    centres = stored(centres, "centres", scratch)
     least = (centres.agg(F.sum("n")).first()[0] or 0) / HOT
     hot = centres.filter((F.col("n") >= least) & (F.col("n") > SALTS)).select("band", "key", F.lit(SALTS).alias("salts"))  # HOT rows at most
     salts = F.coalesce("salts", F.lit(1))
@@ -212,20 +217,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = SIMILARITY, che
     round of stars is run first; it decides on the way only, not on the result."""
     spark: SparkSession = docs.sparkSession
     tune(spark)
+    scratch: list[str] = []  # what only the search reads
+    held = functools.partial(stored, scratch=scratch)
     signed = stored(signatures(docs, n), "signatures")
     real = signed.filter("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
-    classes = stored(classes, "classes")
+    classes = held(classes, "classes")
     width = 2 * BAND
     keys = F.array(*(F.xxhash64(F.substring("signature", 1 + k * width, width)) for k in range(BINS // BAND)))
     rows = classes.select("id", F.posexplode(keys).alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = stored(rows.join(shared, ["band", "key"]), "buckets")
-    held = buckets.select("id").distinct()
+    buckets = held(rows.join(shared, ["band", "key"]), "buckets")
     named = docs.select(F.col("doc_id").alias("id"), "text")
     # rows of one doc_id may differ in text: each text once
-    texts = named.join(held, "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
-    texts = stored(texts, "texts")
+    texts = named.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
+    texts = held(texts, "texts")
     labels, links, round_ = None, None, 0
     before = None
     while True:
@@ -234,7 +240,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = SIMILARITY, che
         else:
             own = buckets.join(labels, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
             mixed = own.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band", "key")
-            active = stored(own.join(mixed, ["band", "key"]), "active")
+            active = held(own.join(mixed, ["band", "key"]), "active")
             per = active.groupBy("band", "key", "component").agg(F.count("*").alias("c")).groupBy("band", "key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("work"))
             work = per.agg(F.sum("work")).first()[0] or 0
             if not work:
@@ -244,16 +250,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = SIMILARITY, che
                 own = texts.join(active.select("id").distinct(), "id", "left_semi")
                 unsure = unsure.join(sketches(own, n), "id")
                 pairs = _unsure(unsure, per_cent, key_parts(spark))
-                links = links.unionByName(stored(confirm(stored(pairs, "pairs"), texts, n, per_cent), "links"))
-                labels = stored(components(links), "labels")
+                links = links.unionByName(held(confirm(held(pairs, "pairs"), texts, n, per_cent), "links"))
+                labels = held(components(links), "labels")
                 break
             before = work
         order = F.col("id") if labels is None else F.xxhash64("id", "band", F.lit(round_))
-        found = stored(confirm(starred(active, order), texts, n, per_cent), "links")
+        found = held(confirm(starred(active, order, scratch), texts, n, per_cent), "links")
         links = found if links is None else links.unionByName(found)
-        labels = stored(components(links), "labels")
+        labels = held(components(links), "labels")
         round_ += 1
     of_class = classes.select("set_a", "set_b", "id").join(labels, F.col("id") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "id").alias("class_component"))
+    of_class = stored(of_class, "components")
+    dropped(spark, scratch)
     linked = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_component"))
     out = signed.drop("signature").join(of_class, ["set_a", "set_b"], "left").withColumn("component_id", linked)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

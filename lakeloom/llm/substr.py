@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, Texts, _joined, by_part, chunk_batch, chunks, key_parts, read_chunk, split, squeeze, stored, text_chunks, tune, unsqueeze, windows, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, Texts, _joined, by_part, chunk_batch, chunks, dropped, key_parts, read_chunk, split, squeeze, stored, text_chunks, tidied, tidy, tune, unsqueeze, windows, word_hashes
 
 LENGTH = 35
 LIMIT = 4 << 20  # bytes of text in a chunk
@@ -181,19 +181,25 @@ def removed(docs: DataFrame, length: int = LENGTH, longest: bool = True, parts:
     def last(group: pa.Table) -> pa.Table:
         (keys, texts), rows = read_chunk(group)
         found = [np.frombuffer(unsqueeze(r[1]), np.int32).astype(np.int64).reshape(2, -1) for r in rows[::-1]]  # level 1 first
-        return _kept(keys, Chunk(texts, length), found)
-
-    told = stored(docs.select("doc_id", "text").mapInArrow(first, CHUNK_SCHEMA).groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA), "substr-0")
-    asked = stored(text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(candidates, CHUNK_SCHEMA), "substr-1")
+        try:
+            return _kept(keys, Chunk(texts, length), found)
+        finally:
+            tidy()
+
+    scratch: list[str] = []  # what only the levels read
+    told = stored(docs.select("doc_id", "text").mapInArrow(tidied(first), CHUNK_SCHEMA).groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA), "substr-0", scratch)
+    asked = stored(text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(candidates, CHUNK_SCHEMA), "substr-1", scratch)
     found, level = None, 0
     while True:
         told = asked.filter("part >= 0").groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA)
-        asked = stored(asked.filter(F.col("part") == STATE).unionByName(told).groupBy("chunk").applyInArrow(doubled(length << level, level), CHUNK_SCHEMA), f"substr-{level + 2}")
+        asked = stored(asked.filter(F.col("part") == STATE).unionByName(told).groupBy("chunk").applyInArrow(doubled(length << level, level), CHUNK_SCHEMA), f"substr-{level + 2}", scratch)
         own = asked.filter(F.col("part") <= FOUND)
         found = own if found is None else found.unionByName(own)
         level += 1
         if not longest or asked.filter("part >= 0").isEmpty():
             break
+    found = stored(found, "substr-found")
+    dropped(spark, scratch)
     schema = "doc_id long, text_md5 string, n_words long, n_removed long, kept binary, spans array<array<int>>, longest int"
     return text_chunks(docs, LIMIT).unionByName(found).groupBy("chunk").applyInArrow(last, schema)
 

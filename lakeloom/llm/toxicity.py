@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, mix, slices, split, stored, tune, word_hashes
+from lakeloom.llm._common import Texts, dropped, mix, slices, split, stored, tidied, tidy, tune, word_hashes
 
 MOST_LABELLED = 6000
 FOLDS, FEATURES, SLOTS = 5, 1024, 1 << 20
@@ -124,11 +124,11 @@ def fit_chain(rows, slots, counts, folds: np.ndarray, labels: list[np.ndarray],
 _LABELLED = "doc_id long, fold int, classes int, slots binary, counts binary"
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, categories, most: int) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, categories, most: int, scratch: list[str] | None = None) -> DataFrame:
     """_LABELLED for the documents used: bit k of classes is category k, slots and counts are all features of the text."""
     classes = sum((F.max(F.expr(f"coalesce(int({c}), 0)")) * (1 << k) for k, (_, c) in enumerate(categories)), F.lit(0)).cast("int")
     truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(classes.alias("classes"))
-    sample = stored(truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
+    sample = stored(truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample", scratch)
 
     def run(batches):
         for batch in batches:
@@ -139,7 +139,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories, most: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds), batch.column(1), *lists], ["doc_id", "fold", "classes", "slots", "counts"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "classes", "text")  # most rows at most
-    found = texts.mapInArrow(run, _LABELLED)
+    found = texts.mapInArrow(tidied(run), _LABELLED)
     return found.groupBy("doc_id", "fold", "classes").agg(F.max(F.struct("slots", "counts")).alias("f")).select("doc_id", "fold", "classes", "f.slots", "f.counts")
 
 
@@ -160,16 +160,16 @@ def _chosen(labelled: DataFrame, n_categories: int) -> DataFrame:
     outside = lambda f: F.floor(F.col("cell") / (1 << n_categories)) != f
     models = [(c, f) for c in range(n_categories) for f in range(FOLDS + 1)]
     columns = [x for f in range(FOLDS + 1) for x in (sums(outside(f)).alias(f"n{f}"), *(sums(outside(f) & positive(c)).alias(f"p{c}_{f}") for c in range(n_categories)))]
-    per_slot = labelled.select(kinds.alias("cell"), "slots").mapInArrow(run, "slot int, cell int, n long").groupBy("slot").agg(*columns)
-    whole = labelled.select(kinds.alias("cell"), F.lit(1).alias("n")).agg(*(x.alias(f"all_{name}") for name, x in ((f"n{f}", sums(outside(f))) for f in range(FOLDS + 1))), *(sums(outside(f) & positive(c)).alias(f"all_p{c}_{f}") for c, f in models))
+    per_slot = labelled.select(kinds.alias("cell"), "slots").mapInArrow(tidied(run), "slot int, cell int, n long").groupBy("slot").agg(*columns)
+    whole = labelled.select(kinds.alias("cell"), F.lit(1).alias("n")).agg(*columns).first()  # a few counts
 
     def chi_square(c: int, f: int) -> Column:
-        seen, n = F.col(f"n{f}"), F.col(f"all_n{f}")
-        expected = seen * F.col(f"all_p{c}_{f}") / n
+        seen, n = F.col(f"n{f}"), F.lit(max(whole[f"n{f}"], 1))
+        expected = seen * F.lit(whole[f"p{c}_{f}"]) / n
         score = (F.col(f"p{c}_{f}") - expected) ** 2 / F.greatest(expected * (1 - seen / n), F.lit(1e-9))
         return F.struct(F.lit(c).alias("category"), F.lit(f).alias("fold"), F.when(seen >= 3, score).otherwise(0.0).alias("score"))
 
-    scored = per_slot.join(F.broadcast(whole)).select("slot", F.explode(F.array(*(chi_square(*m) for m in models))).alias("m")).select("slot", "m.*").filter("score > 0")
+    scored = per_slot.select("slot", F.explode(F.array(*(chi_square(*m) for m in models))).alias("m")).select("slot", "m.*").filter("score > 0")
     order = Window.partitionBy("category", "fold").orderBy(F.desc("score"), "slot")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FEATURES).select("category", "fold", "slot")
 
@@ -177,7 +177,8 @@ def _chosen(labelled: DataFrame, n_categories: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most: int = MOST_LABELLED) -> list[tuple[str, Linear]]:
     """docs(doc_id, text), labels(doc_id and what the categories' conditions read) → the chain. most: labelled documents used."""
     tune(docs.sparkSession)
-    labelled = stored(_labelled(docs, labels, categories, most), "labelled")
+    scratch: list[str] = []
+    labelled = stored(_labelled(docs, labels, categories, most, scratch), "labelled", scratch)
     chosen: dict = {}
     for r in _chosen(labelled, len(categories)).collect():  # FEATURES rows a model
         chosen.setdefault((r.category, r.fold), []).append(r.slot)
@@ -198,9 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most: int =
         classes = group.column("classes").to_numpy()
         y = [(classes >> k & 1).astype(float) for k in range(len(categories))]
         chain = fit_chain(rows, np.concatenate(slots), np.concatenate(counts), group.column("fold").to_numpy(), y, chosen)
+        tidy()
         return pa.table({"chain": pa.array([pickle.dumps(chain)], pa.binary())})
 
-    found = labelled.mapInArrow(cut, _LABELLED).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fit, "chain binary").collect()  # most rows of chosen features in one task
+    found = labelled.mapInArrow(tidied(cut), _LABELLED).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fit, "chain binary").collect()  # most rows of chosen features in one task
+    dropped(docs.sparkSession, scratch)
     chain = pickle.loads(found[0].chain) if found else fit_chain(*(np.empty(0, int),) * 4, [np.empty(0)] * len(categories), {})
     return list(zip([name for name, _ in categories], chain, strict=True))
 
@@ -225,7 +228,7 @@ def score(docs: DataFrame, chain: list[tuple[str, Linear]]) -> DataFrame:
             p = _probabilities(chain, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in p.T)], ["doc_id", *(name for name, _ in chain)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"`{name}` double" for name, _ in chain))
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, " + ", ".join(f"`{name}` double" for name, _ in chain))
 
 
 def keep_clean(docs: DataFrame, chain: list[tuple[str, Linear]], category: str = "toxic", threshold: float = 0.5) -> DataFrame:
@@ -237,7 +240,7 @@ def keep_clean(docs: DataFrame, chain: list[tuple[str, Linear]], category: str =
         for batch in batches:
             yield batch.filter(pa.array(_probabilities(chain, batch.column(text))[:, which] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
