@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, distinct, key_parts, ragged, read_chunk, split, squeeze, text_chunks, tune, unsqueeze, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, Texts, by_part, chunk_batch, chunks, distinct, key_parts, ragged, read_chunk, split, squeeze, text_chunks, tidied, tidy, tune, unsqueeze, word_hashes
 
 
 def load(path: str, ordinary: bool = False):
@@ -70,17 +70,37 @@ def units(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, texts.offsets)
 
 
-def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids one after another, and the number of ids of each word."""
-    lengths: list[int] = []
-    ids: list[int] = []
-    tokenizer = load(path)
-    for i in range(0, len(words), 20_000):
-        for e in tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False):
-            own = e.ids
-            lengths.append(len(own))
-            ids += own
-    return np.array(ids, np.uint32), np.array(lengths, np.int64)
+def encode_words(path: str, words: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units one after another, and how many each has. Units that begin with a space and go on with something else are
+    given to the library many at once, one after another: they do not change each other's ids, and the bytes of the ids say where
+    each unit ends. All others are given to it one by one."""
+    n, data = len(words), words.data
+    first, last = words.offsets[:-1], words.offsets[1:]
+    some = first < last
+    joined = np.zeros(n, bool)
+    joined[some] = (data[first[some]] == 32) & ~unicode_space(data)[last[some] - 1]
+    together, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+    tokenizer, lengths, parts = load(path), np.zeros(n, np.int64), []
+    sizes = pc.binary_length(pieces(path)).to_numpy().astype(np.int64)
+    for i in range(0, len(together), AT_ONCE):
+        own = together[i : i + AT_ONCE]
+        size = (last - first)[own]
+        ids = np.array(tokenizer.encode_batch_fast([data[ragged(first[own], size)].tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends, wanted = np.cumsum(sizes[ids]), np.cumsum(size)
+        cuts = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[cuts], wanted):
+            raise AssertionError("units and ids do not agree")
+        lengths[own] = np.diff(np.concatenate([[-1], cuts]))
+        parts.append(ids)
+    rest = [e.ids for k in range(0, len(alone), 20_000) for e in tokenizer.encode_batch_fast([words.bytes_of(j).decode(errors="replace") for j in alone[k : k + 20_000]], add_special_tokens=False)]
+    lengths[alone] = [len(x) for x in rest]
+    parts.append(np.array([i for x in rest for i in x], np.uint32))
+    order, flat, begin = np.concatenate([together, alone]), np.concatenate(parts), np.zeros(n, np.int64)
+    begin[order] = np.cumsum(lengths[order]) - lengths[order]
+    return flat[ragged(begin, lengths)], lengths
+
+
+AT_ONCE = 1 << 15
 
 
 def pieces(path: str) -> pa.Array:
@@ -153,12 +173,13 @@ def encode(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
             lists.append(Texts(np.frombuffer(unsqueeze(data), np.uint8), offsets))
         every = Texts.join(lists)
         once, inverse = distinct(every, every.offsets[:-1], every.offsets[1:])
-        ids, lengths = encode_words(path, [once.bytes_of(i).decode(errors="replace") for i in range(len(once))])
+        ids, lengths = encode_words(path, once)
         begins, at, rows = np.cumsum(lengths) - lengths, 0, []
         for chunk, part, own in zip(group.column("chunk").to_pylist(), group.column("part").to_pylist(), lists, strict=True):
             which = inverse[at : at + len(own)]
             at += len(own)
             rows.append((chunk, part, b"", squeeze(lengths[which].astype(np.uint32).tobytes()), squeeze(ids[ragged(begins[which], lengths[which])].tobytes())))
+        tidy()
         return pa.Table.from_batches([chunk_batch(rows)])
 
     def back(group: pa.Table) -> pa.Table:
@@ -176,7 +197,7 @@ def encode(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
         sequence = ids[ragged(begin[inverse], per_unit)].astype("<u4")
         return pa.table({"doc_id": keys, "ids": pa.array([sequence[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "n_tokens": pa.array(np.diff(ends), pa.int64())})
 
-    asked = docs.select("doc_id", "text").mapInArrow(words, CHUNK_SCHEMA)
+    asked = docs.select("doc_id", "text").mapInArrow(tidied(words), CHUNK_SCHEMA)
     answered = asked.groupBy("part").applyInArrow(once, CHUNK_SCHEMA)
     return text_chunks(docs).unionByName(answered).groupBy("chunk").applyInArrow(back, "doc_id long, ids binary, n_tokens long")
 
@@ -191,7 +212,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
             texts = decode(path, np.frombuffer(b"".join(lists), "<u4"), bounds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "n_tokens", "text_utf8"])
 
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids binary, n_tokens long, text_utf8 binary")
+    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(tidied(run), "doc_id long, ids binary, n_tokens long, text_utf8 binary")
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
@@ -204,4 +225,4 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
             texts = decode(path, np.frombuffer(b"".join(lists), "<u4"), bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (lists, texts))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,6 +1,6 @@
 """Token ids on disk as Re-Pair grammars, with random access.
 
-Documents stand in ascending order of doc_id (nulls first, ties by text), cut into shards of about SHARD ids. In each shard
+Documents stand in ascending order of doc_id (nulls first, ties by the first characters of the text, then by place in the scan), cut into shards of about SHARD ids. In each shard
 the pairs of neighbouring symbols that occur most are replaced by new symbols (non-overlapping, from the left), again and
 again until no pair occurs LEAST times; the rules and the length of each symbol's expansion are stored with the rest of the sequence, so any document is
 decoded from its own part of the sequence alone. A shard is one row of a table written by Spark; its `data` is the file:
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, partition_id, ragged, tune, write_table
+from lakeloom.llm._common import chunks, partition_id, ragged, tidied, tune, write_table
 from lakeloom.llm.wordbpe import word_ids
 
-SHARD = 1 << 20
+SHARD, SLICE = 1 << 20, 4 << 20  # ids in a shard, bytes of text that are encoded at once
 FIRST_RULE = 1 << 17
 PER_ROUND, LEAST = 1024, 16
 BUCKETS = 1 << 20
@@ -155,15 +155,15 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, shard: int = SHARD) ->
             data = pack(doc_ids, n, np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_tokens", "data"])
 
-        for batch in batches:
-            flat, bounds = word_ids(tokenizer)(Texts.of(batch.column(1)))
+        for _, own, texts in chunks(batches, SLICE):
+            flat, bounds = word_ids(tokenizer)(texts)
             n = np.diff(bounds)
             whole = np.insert(flat, bounds[1:], end).astype(np.uint32)
             edges = np.concatenate([[0], np.cumsum(n + 1)])
             at = 0
-            while at < batch.num_rows:
-                cut = int(np.clip(np.searchsorted(edges, edges[at] + shard - size, "right") - 1, at + 1, batch.num_rows))
-                keys.append(batch.column(0).slice(at, cut - at))
+            while at < len(texts):
+                cut = int(np.clip(np.searchsorted(edges, edges[at] + shard - size, "right") - 1, at + 1, len(texts)))
+                keys.append(own.slice(at, cut - at))
                 counts.append((n[at:cut] + 1).astype(np.uint32))
                 ids.append(whole[edges[at] : edges[cut]])
                 size += int(edges[cut] - edges[at])
@@ -174,9 +174,10 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, shard: int = SHARD) ->
         if keys:
             yield row()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(*order[:1]).sortWithinPartitions(*order)
-    return write_table(ranged.mapInArrow(run, "part int, shard int, n_tokens long, data binary"), "repair")
+    # rows of one doc_id, and equal rows, may be many: they are ranged by the beginning of the text and by their place in the scan too
+    keyed = docs.select("doc_id", "text", F.substring("text", 1, 32).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    ranged = keyed.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").select("doc_id", "text")
+    return write_table(ranged.mapInArrow(tidied(run), "part int, shard int, n_tokens long, data binary"), "repair")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +193,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(own.bounds[:-1], own.bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([own.doc_ids, pa.array(own.bounds[:-1]), pa.array(own.counts.astype(np.int64)), pa.array(crc, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32())], ["doc_id", "inside", "n_tokens", "ids_crc32", "part", "shard"])
 
-    documents = shards.select("part", "shard", "data").mapInArrow(run, "doc_id long, inside long, n_tokens long, ids_crc32 long, part int, shard int")
+    documents = shards.select("part", "shard", "data").mapInArrow(tidied(run), "doc_id long, inside long, n_tokens long, ids_crc32 long, part int, shard int")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     sizes = shards.select("part", "shard", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("of_part"))

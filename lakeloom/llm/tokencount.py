@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Texts, partition_id, stored, tune
+from lakeloom.llm._common import chunks, partition_id, stored, tidied, tune
 from lakeloom.llm.wordbpe import word_ids
 
-BLOCK = 1 << 18  # ids in a block
+BLOCK, SLICE = 1 << 18, 4 << 20  # ids in a block, bytes of text that are encoded at once
 END = 49407
 
 
@@ -42,16 +42,16 @@ def write_flat(docs: DataFrame, tokenizer: str, end: int = END, block: int = BLO
                 number, keys = number + 1, []
             ids, size = [whole[upto:]], len(whole) - upto
 
-        for batch in batches:
-            flat, bounds = word_ids(tokenizer, ordinary=True)(Texts.of(batch.column(1)))
+        for _, own, texts in chunks(batches, SLICE):
+            flat, bounds = word_ids(tokenizer, ordinary=True)(texts)
             ids.append(np.insert(flat, bounds[1:], end).astype(np.uint16))
-            keys += batch.column(0).to_pylist()
+            keys += own.to_pylist()
             size += len(ids[-1])
             if size >= block:
                 yield from rows(False)
         yield from rows(True)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "file int, block int, ids binary, doc_ids array<long>"), "flat")
+    return stored(docs.select("doc_id", "text").mapInArrow(tidied(run), "file int, block int, ids binary, doc_ids array<long>"), "flat")
 
 
 def scan(files: DataFrame, end: int = END) -> DataFrame:
@@ -68,7 +68,7 @@ def scan(files: DataFrame, end: int = END) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], ["file", "block", "n", "ends", "rest", "lengths"])
 
-    blocks = files.select("file", "block", "ids").mapInArrow(run, "file int, block int, n long, ends long, rest long, lengths array<long>")
+    blocks = files.select("file", "block", "ids").mapInArrow(tidied(run), "file int, block int, n long, ends long, rest long, lengths array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     # ids behind the last separator before this block = ids so far, less ids up to that separator

@@ -1,26 +1,41 @@
 """Ids of the word-level BPE tokenizer (lower case, white space dropped), text by text, as the tokenizers library gives them.
 
 White space never enters an id, so a text's ids are those of its runs of other characters. A worker process keeps the ids
-of the runs it has met (by their bytes), up to a bounded number and size. Runs of Latin letters with points or commas after them go to the BPE model
-itself; all others go through the whole library.
+of the runs it has met (by their bytes), up to a bounded number and size. New runs of Latin letters with points or commas after
+them are given to the library many at once, with spaces between: such a run is one word, and one more if points follow, and the
+last id of each word says that it ends one, so the ids are cut there. All other runs are given to it one by one.
 """
 
 from __future__ import annotations
 
-import re
+import itertools
 
 import numpy as np
 
 from lakeloom.llm._common import Texts, distinct, ragged, split
 from lakeloom.llm.bpe import load
 
-MOST_KNOWN, MOST_BYTES = 1_200_000, 32 << 20
-_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters that normalisation to composed form leaves alone
-_PLAIN = re.compile(f"([{_LATIN}]+)([.,]*)")
-_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_OTHERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_BYTE_CHAR = [_OTHERS.get(b, chr(b)) for b in range(256)]
-_BYTE_LEVEL = {c: "".join(_BYTE_CHAR[b] for b in chr(c).encode()) for c in range(128, 256)}
+MOST_KNOWN, MOST_BYTES, AT_ONCE = 1_200_000, 32 << 20, 1 << 18
+_ASCII = np.zeros(256, bool)
+_ASCII[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord("."), ord(",")]] = True
+
+
+def plain(words: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are Latin letters (that normalisation to composed form leaves alone) with any points and commas after them, and
+    which of those have points or commas."""
+    data, first, last = words.data, words.offsets[:-1], words.offsets[1:]
+    mark, lead = _MARK[data], data == 0xC3  # the lead byte of À to ÿ, of which × and ÷ are no letters
+    after = np.concatenate([[False], lead[:-1]]) if len(data) else lead
+    letter = _ASCII[data] | lead | (after & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7))
+    count = lambda x: np.concatenate([[0], np.cumsum(x)])
+    odd, marks = count(~(letter | mark)), count(mark)
+    back = count(np.concatenate([[False], mark[:-1] & letter[1:]])) if len(data) else count(mark)  # a letter behind a mark
+    some = first < last
+    good = some & (odd[last] == odd[first]) & (back[last] == back[np.minimum(first + 1, last)])
+    good[good] &= letter[first[good]]
+    return good, good & (marks[last] > marks[first])
 
 
 class WordIds:
@@ -29,22 +44,33 @@ class WordIds:
         self.known: dict[bytes, int] = {}
         self.begin, self.length, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.used = self.held = 0
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        rest, tokenize = [], self.tokenizer.model.tokenize
-        for k, w in enumerate(words):
-            text = w.decode(errors="replace")
-            if m := _PLAIN.fullmatch(text):
-                letters, marks = m.groups()
-                letters = letters.lower()
-                own = [t.id for t in tokenize(letters if letters.isascii() else letters.translate(_BYTE_LEVEL))]
-                out[k] = own + [t.id for t in tokenize(marks)] if marks else own
-            else:
-                rest.append((k, text))
-        for (k, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
+        every = Texts(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64))
+        good, marked = plain(every)
+        together, alone = np.flatnonzero(good), np.flatnonzero(~good)
+        lengths, parts, i = np.zeros(len(words), np.int64), [], 0
+        while i < len(together):
+            own = together[i : i + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join([words[k] for k in own]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            cuts = np.cumsum(1 + marked[own])
+            if len(ends) != cuts[-1] or ends[-1] != len(ids):
+                raise AssertionError("words and ends do not agree")
+            lengths[own] = np.diff(np.concatenate([[0], ends[cuts - 1]]))
+            parts.append(ids)
+            i += AT_ONCE
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([words[k].decode(errors="replace") for k in alone], add_special_tokens=False)]
+        lengths[alone] = [len(x) for x in rest]
+        parts.append(np.array([i for x in rest for i in x], np.uint32))
+        order = np.concatenate([together, alone])
+        flat, begin = np.concatenate(parts), np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum(lengths[order]) - lengths[order]
+        return flat[ragged(begin, lengths)], lengths
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) one text after another, and where each text's ids begin (one more than texts)."""
@@ -54,22 +80,24 @@ class WordIds:
             self.known, self.used, self.held = {}, 0, 0
         data, at = words.data.tobytes(), words.offsets.tolist()
         keys = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        missing = [k for k, w in enumerate(keys) if w not in self.known]
-        if missing:
-            found = self._encode([keys[k] for k in missing])
-            self.held += sum(len(keys[k]) for k in missing)
-            at, flat = len(self.known), np.fromiter((i for x in found for i in x), np.uint32)
-            lengths = np.array([len(x) for x in found], np.int32)
-            for name, need in (("begin", at + len(found)), ("length", at + len(found)), ("ids", self.used + len(flat))):
+        slot = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new = [keys[k] for k in missing]
+            flat, lengths = self._encode(new)
+            self.held += sum(map(len, new))
+            at = len(self.known)
+            for name, need in (("begin", at + len(new)), ("length", at + len(new)), ("ids", self.used + len(flat))):
                 array = getattr(self, name)
                 if need > len(array):
                     setattr(self, name, np.concatenate([array, np.zeros(max(need - len(array), len(array)), array.dtype)]))
-            self.begin[at : at + len(found)] = self.used + np.cumsum(lengths) - lengths
-            self.length[at : at + len(found)] = lengths
+            self.begin[at : at + len(new)] = self.used + np.cumsum(lengths) - lengths
+            self.length[at : at + len(new)] = lengths
             self.ids[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            self.known.update(zip([keys[k] for k in missing], range(at, at + len(found)), strict=True))
-        slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+            slot[missing] = np.arange(at, at + len(new))
+        slot = slot[inverse]
         lengths = self.length[slot].astype(np.int64)
         return self.ids[ragged(self.begin[slot], lengths)], np.concatenate([[0], np.cumsum(lengths)])[bounds]
 
