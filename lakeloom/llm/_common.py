@@ -241,6 +241,14 @@ def distinct(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[Texts,
     return Texts.of(found.dictionary), found.indices.to_numpy().astype(np.int64)
 
 
+def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, inverse, counts) of the distinct pairs (a, b); b may be empty: of a alone."""
+    _, first, inverse, counts = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+    if len(b) and (b != b[first][inverse]).any():
+        _, first, inverse, counts = np.unique(np.stack([a, b], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, inverse.ravel(), counts
+
+
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the pair (a, b); order counts."""
     return mix(a * np.uint64(ODD) ^ ((b << np.uint64(29)) | (b >> np.uint64(35))))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, ODD, Texts, by_part, chunk_batch, chunks, key_parts, mix, pack_texts, read_chunk, split, squeeze, stored, tidied, tune, unsqueeze, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, ODD, Texts, by_part, chunk_batch, chunks, distinct, key_parts, mix, pack_texts, pairs, read_chunk, split, squeeze, stored, tidied, tune, unsqueeze, word_hashes
 
 HEAD_CLASSES, SLOTS, TAIL_CLASSES = 16, 32, 16
 HEAD, CLASSES = HEAD_CLASSES * SLOTS, HEAD_CLASSES + TAIL_CLASSES
@@ -40,21 +40,27 @@ def held_out() -> Column:
 
 
 class Tokens:
-    """The tokens of a chunk: hashes, places in their text, and tail classes."""
+    """The tokens of a chunk: numbers of distinct ones (the end is the last), their hashes, places in their text, and tail classes."""
 
     def __init__(self, texts: Texts):
-        self.texts = texts.lower()
-        self.starts, self.ends, bounds = split(self.texts)
-        words = word_hashes(self.texts, self.starts, self.ends)
-        self.words = words
-        last = self.texts.data[self.ends - 1].astype(np.uint32) if len(words) else np.empty(0, np.uint32)
-        before = np.where(self.ends - self.starts > 1, self.texts.data[np.maximum(self.ends - 2, 0)], 0).astype(np.uint32) if len(words) else last
-        self.word_tail = ((last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(28)).astype(np.int64) % TAIL_CLASSES
-        self.hash = np.insert(words, bounds[1:], END)
-        self.tail = np.insert(self.word_tail, bounds[1:], 0)
+        lower = texts.lower()
+        starts, ends, bounds = split(lower)
+        self.own, number = distinct(lower, starts, ends)
+        first, last, data = self.own.offsets[:-1], self.own.offsets[1:], self.own.data
+        self.hashes = np.append(word_hashes(self.own, first, last), END)
+        byte = data[last - 1].astype(np.uint32)
+        before = np.where(last - first > 1, data[np.maximum(last - 2, 0)], 0).astype(np.uint32) if len(last) else byte
+        tails = ((byte * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(28)).astype(np.int64) % TAIL_CLASSES
+        self.tails = np.append(tails, 0)
+        self.number = np.insert(number, bounds[1:], len(self.own))
+        self.hash, self.tail = self.hashes[self.number], self.tails[self.number]
         self.bounds = bounds + np.arange(len(bounds))
         self.place = np.arange(len(self.hash)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
 
+    def others(self) -> np.ndarray:
+        """Second hashes of the distinct tokens: both together name a token among all of a corpus."""
+        return np.append(word_hashes(self.own, self.own.offsets[:-1], self.own.offsets[1:], 1), END)
+
     def features(self, a: int, b: int) -> np.ndarray:
         """Hashes of the features of tokens a to b: (b - a, 4)."""
         place = self.place[a:b]
@@ -92,17 +98,17 @@ class Model:
         for first, n in zip(self.base, nodes, strict=True):
             for k in range(n - 1, 0, -1):  # a node's children come after it
                 mass[first + (k - 1) // FAN, FAN + (k - 1) % FAN] = mass[first + k].sum()
-        self.b = np.log(np.concatenate([mass[:HEAD_CLASSES].sum(1), mass[self.base].sum(1)]) + 1e-9).astype(np.float32)
-        self.c = np.log(mass + 1e-12).astype(np.float32)
+        of_class = np.concatenate([mass[:HEAD_CLASSES].sum(1), mass[self.base].sum(1)])
+        self.b = np.log(of_class / of_class.sum() + 1e-12).astype(np.float32)
+        self.c = np.log(mass / np.maximum(mass.sum(1, keepdims=True), 1e-12) + 1e-12).astype(np.float32)
         by = np.argsort(hashes)
         self.words, self.kind, self.index = hashes[by], kind[by].astype(np.uint8), index[by].astype(np.int32)
 
-    def target(self, tokens: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Class of tokens and place in it (0 in a tail class: a word without a place)."""
-        own = tokens.hash[a:b]
-        at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
-        known = self.words[at] == own
-        return np.where(known, self.kind[at], HEAD_CLASSES + tokens.tail[a:b]), np.where(known, self.index[at], 0)
+    def targets(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each token and place in it (0 in a tail class: a word without a place)."""
+        at = np.minimum(np.searchsorted(self.words, tokens.hashes), len(self.words) - 1)
+        known = self.words[at] == tokens.hashes
+        return np.where(known, self.kind[at], HEAD_CLASSES + tokens.tails)[tokens.number], np.where(known, self.index[at], 0)[tokens.number]
 
     def steps(self, classes: np.ndarray, index: np.ndarray):
         """(numbers of tokens, nodes, options taken there) by distance from the tokens' own nodes."""
@@ -127,20 +133,21 @@ class Model:
 
     @staticmethod
     def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Biases are logarithms of shares, so exponents stay far inside what single precision holds; they are cut there."""
         z = bias + weights.take(rows[:, 0], 0)
         for k in range(1, rows.shape[1]):
             z += weights.take(rows[:, k], 0)
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -60, 60, out=z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
         return z
 
     def log_probability(self, tokens: Tokens, counts: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token; counts: those in training."""
-        out = np.empty(len(tokens.hash))
+        out, (every, places) = np.empty(len(tokens.hash)), self.targets(tokens)
         for a in range(0, len(out), BATCH):
             b = min(len(out), a + BATCH)
-            features, (classes, index) = tokens.features(a, b), self.target(tokens, a, b)
+            features, classes, index = tokens.features(a, b), every[a:b], places[a:b]
             p = self.softmax(self.w, self.rows(features), self.b)[np.arange(b - a), classes].astype(float)
             for at, nodes, options in self.steps(classes, index):
                 p[at] *= self.softmax(self.u, self.inner(features[at], nodes), self.c[nodes])[np.arange(len(at)), options]
@@ -151,6 +158,19 @@ class Model:
         return out
 
 
+def _summed(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, by halves: in each step every second row of a run is added to the one before it."""
+    while len(rows) > len(sizes):
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.flatnonzero(place % 2 == 0)
+        sizes = (sizes + 1) // 2
+        two = np.append(np.diff(left), len(rows) - left[-1]) > 1
+        out = rows.take(left, 0)
+        out[two] += rows.take(left[two] + 1, 0)
+        rows = out
+    return rows
+
+
 class Trainer:
     """Follows the gradient from a model's weights, with step sizes by row; counts how often each row was met."""
 
@@ -172,7 +192,7 @@ class Trainer:
         total, several = gradient.take(token[first], 0), np.flatnonzero(many > 1)
         if len(several):
             runs = gradient.take(token[np.repeat(many > 1, many)], 0)
-            total[several] = np.add.reduceat(runs, np.cumsum(many[several]) - many[several], axis=0) / np.sqrt(many[several]).astype(np.float32)[:, None]
+            total[several] = _summed(runs, many[several]) / np.sqrt(many[several]).astype(np.float32)[:, None]
         new = steep.take(own) + np.einsum("ij,ij->i", total, total)
         steep[own] = new
         total *= (RATE / np.sqrt(new))[:, None]
@@ -181,9 +201,10 @@ class Trainer:
         met[own] += many
 
     def see(self, tokens: Tokens) -> None:
+        every, places = self.m.targets(tokens)
         for a in range(0, len(tokens.hash), BATCH):
             b = min(len(tokens.hash), a + BATCH)
-            features, (classes, index) = tokens.features(a, b), self.m.target(tokens, a, b)
+            features, classes, index = tokens.features(a, b), every[a:b], places[a:b]
             rows = self.m.rows(features)
             g = Model.softmax(self.w, rows, self.b)
             g[np.arange(b - a), classes] -= 1
@@ -255,28 +276,26 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
 
 def _ask(batches, parts: int):
-    """For each key partition of a chunk: its distinct tokens' hashes, tail classes and training counts."""
+    """For each key partition of a chunk: its distinct tokens' hashes (both), tail classes and training counts."""
     for chunk, keys, texts in chunks(batches):
         tokens = Tokens(texts)
-        learn = np.asarray(keys.cast(pa.bool_()))
-        hashes, first, inverse = np.unique(tokens.hash, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, np.repeat(learn, np.diff(tokens.bounds)), minlength=len(hashes)).astype(np.uint32)
-        rows = [(chunk, p, hashes[m].tobytes(), tokens.tail[first[m]].astype(np.uint8).tobytes(), squeeze(counts[m].tobytes(), 1)) for p, m in by_part((hashes % np.uint64(parts)).astype(np.int64), parts)]
-        if rows:
-            yield chunk_batch(rows)
+        learn, others = np.asarray(keys.cast(pa.bool_())), tokens.others()
+        counts = np.bincount(tokens.number, np.repeat(learn, np.diff(tokens.bounds)), minlength=len(tokens.hashes)).astype(np.uint32)
+        yield chunk_batch([(chunk, p, tokens.hashes[m].tobytes() + others[m].tobytes(), tokens.tails[m].astype(np.uint8).tobytes(), squeeze(counts[m].tobytes(), 1)) for p, m in by_part((tokens.hashes % np.uint64(parts)).astype(np.int64), parts)])
 
 
 def _count(group: pa.Table) -> pa.Table:
     """Global counts back to each chunk, and a row of chunk -1: the tokens that may have places, and sums by tail class."""
-    lists = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
+    lists = [np.frombuffer(k, np.uint64).reshape(2, -1) for k in group.column("keys").to_pylist()]
     tails = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("lengths").to_pylist()])
     counts = np.concatenate([np.frombuffer(unsqueeze(x), np.uint32) for x in group.column("data").to_pylist()])
-    hashes, first, inverse = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, counts, minlength=len(hashes)).astype(np.int64)
+    every = np.concatenate(lists, axis=1)
+    first, inverse, _ = pairs(every[0], every[1])
+    hashes, total = every[0][first], np.bincount(inverse, counts, minlength=len(first)).astype(np.int64)
     part, at, rows = group.column("part")[0].as_py(), 0, []
     for chunk, keys in zip(group.column("chunk").to_pylist(), lists, strict=True):
-        rows.append((chunk, part, b"", b"", squeeze(total[inverse[at : at + len(keys)]].tobytes(), 1)))
-        at += len(keys)
+        rows.append((chunk, part, b"", b"", squeeze(total[inverse[at : at + keys.shape[1]]].tobytes(), 1)))
+        at += keys.shape[1]
     own = tails[first]
     top = np.lexsort((hashes, -total))
     top = top[: max(int((total >= LEAST).sum()), min(HEAD, int((total > 0).sum())))]
@@ -326,11 +345,10 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         (keys, own), answers = read_chunk(group)
         tokens = Tokens(own)
-        hashes, inverse = np.unique(tokens.hash, return_inverse=True)
-        counts, got = np.zeros(len(hashes), np.int64), {a[0]: a[3] for a in answers}
-        for p, m in by_part((hashes % np.uint64(parts)).astype(np.int64), parts):
+        counts, got = np.zeros(len(tokens.hashes), np.int64), {a[0]: a[3] for a in answers}
+        for p, m in by_part((tokens.hashes % np.uint64(parts)).astype(np.int64), parts):
             counts[m] = np.frombuffer(unsqueeze(got[p]), np.int64)
-        counts = counts[inverse]
+        counts = counts[tokens.number]
         n = np.diff(tokens.bounds)
         sums = [np.add.reduceat(x, tokens.bounds[:-1]) for x in (np.log10((counts + ADD) / unigram), model.log_probability(tokens, counts))]
         known = np.add.reduceat((counts > 0).astype(np.int64), tokens.bounds[:-1])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, Texts, _joined, by_part, chunk_batch, chunks, dropped, key_parts, read_chunk, split, squeeze, stored, text_chunks, tidied, tidy, tune, unsqueeze, windows, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, Texts, _joined, by_part, chunk_batch, chunks, dropped, key_parts, pairs, read_chunk, split, squeeze, stored, text_chunks, tidied, tidy, tune, unsqueeze, windows, word_hashes
 
 LENGTH = 35
 LIMIT = 4 << 20  # bytes of text in a chunk
@@ -70,17 +70,9 @@ class Chunk:
         return windows(word_hashes(self.texts, self.starts, self.ends, 1), self.bounds, self.length)[1]
 
 
-def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, inverse, counts) of the distinct pairs (a, b), in order of them."""
-    _, first, inverse, counts = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
-    if len(b) and (b != b[first][inverse]).any():
-        _, first, inverse, counts = np.unique(np.stack([a, b], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-    return first, inverse.ravel(), counts
-
-
 def _ask(chunk: int, parts: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
     """A row for each key partition: the distinct windows, and which stand in the chunk more than once. b may be empty."""
-    first, _, counts = _unique(a, b)
+    first, _, counts = pairs(a, b)
     a, b, many = a[first], b[first] if len(b) else b, counts > 1
     return [(chunk, p, a[m].tobytes(), b[m].tobytes() if len(b) else b"", np.packbits(many[m]).tobytes()) for p, m in by_part((a % np.uint64(parts)).astype(np.int64), parts)]
 
@@ -111,7 +103,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 def _told(a: np.ndarray, b: np.ndarray, parts: int, answers: list[tuple]) -> np.ndarray:
     """Which of the windows repeat, from the answers to _ask."""
-    first, inverse, _ = _unique(a, b)
+    first, inverse, _ = pairs(a, b)
     out, got = np.zeros(len(first), bool), {p: data for p, _, _, data in answers}
     for p, m in by_part((a[first] % np.uint64(parts)).astype(np.int64), parts):
         out[m] = np.unpackbits(np.frombuffer(got[p], np.uint8), count=len(m)).astype(bool)

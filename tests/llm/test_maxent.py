@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lakeloom.llm import maxent
 from lakeloom.llm._common import Texts
@@ -35,26 +36,61 @@ def test_base_and_held_out(spark):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held) * 0.97
 
 
-def test_probabilities_sum_to_one():
+@pytest.mark.parametrize("often", [1, 300])
+def test_probabilities_sum_to_one(often):
+    """Over all known words, the end, and one unknown word for each tail class. often: with words that have places in tail classes."""
     words = [f"w{k}" for k in range(900)]
-    count = Counter({w: 1 + 900 // (k + 1) for k, w in enumerate(words)})
+    count = Counter({w: 1 + 900 * often // (k + 1) for k, w in enumerate(words)})
     text = " ".join(w for w, c in count.items() for _ in range(c))
     asked = pa.Table.from_batches([*_chunks([(1, text)])])
     summary = maxent._count(asked).filter(pa.compute.field("chunk") == -1).to_pylist()
     model, total, distinct = maxent._model([type("R", (), row) for row in summary])
-    assert (total, distinct) == (sum(count.values()) + 1, 901)
+    assert (total, distinct) == (sum(count.values()) + 1, 901) and (len(model.words) > 600) == (often > 1)
     model.w += np.random.default_rng(0).normal(size=model.w.shape).astype(np.float32)
     model.u += np.random.default_rng(1).normal(size=model.u.shape).astype(np.float32)
-    history = "w5 w9"
-    every = [*words, "never-seen"]
-    p = []
-    for w in every:
-        tokens = maxent.Tokens(Texts.of(pa.array([f"{history} {w}"])))
-        p.append(10 ** model.log_probability(tokens, np.array([0, 0, count[w], 0]))[2])
-    end = 10 ** model.log_probability(maxent.Tokens(Texts.of(pa.array([history]))), np.zeros(3))[2]
-    unseen = sum(10 ** math.log10(p[-1]) for _ in range(1)) * 1
-    tails = model.tail_v > 0
-    assert 1 - 1e-3 - 0.15 < sum(p[:-1]) + end + unseen < 1 + 1e-6 and tails.any()
+    unknown = {}
+    for k in range(10_000):
+        tokens = maxent.Tokens(Texts.of(pa.array([f"u{k}%{k % 97:x}"])))
+        unknown.setdefault(int(tokens.tail[0]), f"u{k}%{k % 97:x}")
+        if len(unknown) == maxent.TAIL_CLASSES:
+            break
+    for history in ("w5 w9", "never-seen", ""):
+        n = len(history.split())
+        every = [*words, *unknown.values()]
+        tokens = maxent.Tokens(Texts.of(pa.array([f"{history} {w}" for w in every] + [history])))
+        last = tokens.bounds[1:] - 2
+        last[-1] += 1  # the end itself
+        counts = np.array([0] * n + [0] * len(tokens.hash))[: len(tokens.hash)]
+        counts[last[: len(words)]] = [count[w] for w in words]
+        p = 10 ** model.log_probability(tokens, counts)[last]
+        assert len(unknown) == maxent.TAIL_CLASSES and abs(p.sum() - 1) < 1e-6
+
+
+def test_sums_of_runs():
+    r = np.random.default_rng(3)
+    sizes = np.array([1, 5, 2, 1, 1000, 7, 64])
+    rows = r.normal(size=(sizes.sum(), 4)).astype(np.float32)
+    want = np.add.reduceat(rows.astype(float), np.cumsum(sizes) - sizes, axis=0)
+    assert np.allclose(maxent._summed(rows, sizes), want, atol=1e-4)
+    assert maxent._summed(rows[:0], sizes[:0]).shape == (0, 4)
+
+
+def test_scores_by_hand(spark):
+    """Every score is the sum of the logarithms that the trained model gives token by token."""
+    rows = corpus(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = docs.select("doc_id", "text", maxent.held_out().alias("held_out"))
+    asked = marked.select((~marked.held_out).cast("long").alias("k"), "text").mapInArrow(lambda b: maxent._ask(b, 32), maxent.CHUNK_SCHEMA)
+    told = asked.groupBy("part").applyInArrow(maxent._count, maxent.CHUNK_SCHEMA)
+    model, total, distinct = maxent._model(told.filter("chunk = -1").collect())
+    count = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*(t or "").encode().lower().split(), None])
+    assert (total, distinct) == (sum(count.values()), len(count))
+    for _, t in rows:
+        tokens = maxent.Tokens(Texts.of(pa.array([t or ""])))
+        own = [*(t or "").encode().lower().split(), None]
+        whole = model.log_probability(tokens, np.array([count[w] for w in own]))
+        one = [model.log_probability(maxent.Tokens(Texts.of(pa.array([b" ".join(own[: k + 1]).decode()]))), np.array([count[w] for w in own[: k + 1]] + [0]))[k] for k in range(min(len(own) - 1, 5))]
+        assert np.allclose(whole[: len(one)], one, atol=1e-5)
 
 
 def test_places_grow_with_the_vocabulary():
@@ -66,9 +102,9 @@ def test_places_grow_with_the_vocabulary():
     assert (len(model.words), total, distinct) == (40_000, counts.sum(), 40_500) and len(model.w) >= 2 * 40_000
     assert len({(k, i) for k, i in zip(model.kind.tolist(), model.index.tolist(), strict=True)}) == 40_000 and model.tail_n.sum() == 1500
     # before training, the softmaxes on the way to a word multiply to its share
-    words = type("T", (), {"hash": hashes, "tail": tails})
+    words = type("T", (), {"hashes": hashes, "tails": tails, "number": np.arange(40_500)})
     p = np.zeros(40_500)
-    classes, index = model.target(words, 0, 40_500)
+    classes, index = model.targets(words)
     p[:] = (np.exp(model.b) / np.exp(model.b).sum())[classes]
     for at, nodes, options in model.steps(classes, index):
         e = np.exp(model.c[nodes].astype(float))
@@ -85,6 +121,7 @@ def _chunks(rows):
 
 
 def test_odd_rows(spark):
+    assert maxent.scores(spark.createDataFrame([(0, "ü"), (3, "x" * 5000)], "doc_id long, text string")).count() == 2
     docs = spark.createDataFrame([(None, None), (None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert len(maxent.scores(docs).collect()) == 4
     assert maxent.scores(docs.limit(0)).collect() == []
