@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import CONFIDENCE, confidence_rank
-from lakeloom.sources.tables import stored
+from lakeloom.sources.tables import counted, stored
 
 
 def _marked(edges: DataFrame, tmp: DataFrame) -> DataFrame:
@@ -24,18 +24,18 @@ def fold(edges: DataFrame, tmp: DataFrame) -> DataFrame:
     rank = confidence_rank(F.col("confidence"))
     reach = lambda step: step.groupBy("head", "at").agg(F.min_by(F.struct("chain", "inner", "rank"), "chain").alias("c")).select("head", "at", "c.*")
     first = marked.filter("not src_tmp and dst_tmp").select(F.col("src").alias("head"), F.col("dst").alias("at"), F.array("edge_id").alias("chain"), F.array("transform_expr").alias("inner"), rank.alias("rank"))
-    frontier = stored(reach(first), "chains")
+    frontier, n, _ = counted(reach(first), "chains")
     seen = frontier.select("head", "at")
     onward = marked.filter("src_tmp").withColumn("own_rank", rank)
     fields = ["sql_id", "src_type", "transform_expr", "filter_cond", "join_cond"]
     done = None
-    while done is None or not frontier.isEmpty():
+    while done is None or n:
         step = frontier.join(onward, frontier["at"] == onward["src"])
         step = stored(step.select("head", "dst", "dst_tmp", F.array_append("chain", F.col("edge_id")).alias("chain"), "inner", F.least("rank", "own_rank").alias("rank"), *fields), "steps")
         ended = step.filter("not dst_tmp")
         done = ended if done is None else done.unionByName(ended)
         on = step.filter("dst_tmp").select("head", F.col("dst").alias("at"), "chain", F.array_append("inner", F.col("transform_expr")).alias("inner"), "rank")
-        frontier = stored(reach(on.join(seen, ["head", "at"], "left_anti")), "chains")
+        frontier, n, _ = counted(reach(on.join(seen, ["head", "at"], "left_anti")), "chains")
         seen = seen.union(frontier.select("head", "at"))
     order = Window.partitionBy("head", "dst", "sql_id").orderBy(F.size("chain"), "chain")
     inner = F.concat_ws(" ; ", F.filter("inner", lambda x: F.coalesce(x, F.lit("")) != ""))

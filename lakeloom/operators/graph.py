@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.sources.tables import stored
+from lakeloom.sources.tables import counted, stored
 
 MAX_REGION = 5_000_000
 MAX_NODES = 200
@@ -24,16 +24,17 @@ def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     only from these ancestors."""
     plain = stored(_plain(edges), "edges")
     first = plain if sources is None else plain.join(sources.select("src").distinct(), "src", "left_semi")
-    frontier = stored(first.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant"), F.lit(1).alias("min_hops"), F.lit(1).cast("long").alias("path_cnt")), "level")
+    frontier, n, _ = counted(first.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant"), F.lit(1).alias("min_hops"), F.lit(1).cast("long").alias("path_cnt")), "level")
     seen = frontier
     hops = 1
-    while not frontier.isEmpty():
+    while n:
         hops += 1
         step = frontier.join(plain, frontier["descendant"] == plain["src"]).filter("dst <> ancestor")
         step = step.groupBy("ancestor", F.col("dst").alias("descendant")).agg(F.sum("path_cnt").alias("path_cnt"))
         step = step.join(seen.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti")
-        frontier = stored(step.select("ancestor", "descendant", F.lit(hops).alias("min_hops"), "path_cnt"), "level")
-        seen = seen.unionByName(frontier)
+        frontier, n, _ = counted(step.select("ancestor", "descendant", F.lit(hops).alias("min_hops"), "path_cnt"), "level")
+        if n:
+            seen = seen.unionByName(frontier)
     return seen
 
 
@@ -63,8 +64,10 @@ def lineage(edges: DataFrame, start: DataFrame, upstream: bool = False, depth: i
         visited = frontier if visited is None else visited.union(frontier)
         hops = stored(edges.join(frontier, edges[here] == frontier["node"], "left_semi").withColumn("level", F.lit(level)), "hops")
         out = hops if out is None else out.unionByName(hops)
-        frontier = stored(hops.select(F.col(there).alias("node")).distinct().join(visited, "node", "left_anti"), "frontier")
-        if frontier.isEmpty():
+        if level == min(depth, 5):
+            break
+        frontier, n, _ = counted(hops.select(F.col(there).alias("node")).distinct().join(visited, "node", "left_anti"), "frontier")
+        if not n:
             break
     return out
 
@@ -89,17 +92,17 @@ def shortest_path(edges: DataFrame, source, target) -> DataFrame:
     """hop, src, dst of a shortest path; of several the one least in order of its nodes. Empty if there is none, or if the ends are
     the same."""
     spark = edges.sparkSession
-    plain = _plain(edges)
+    plain = stored(_plain(edges), "edges")
     frontier = spark.createDataFrame([(source, [source])], f"node {dict(plain.dtypes)['src']}, path array<{dict(plain.dtypes)['src']}>")
     visited = frontier.select("node")
     while source != target:
         step = frontier.join(plain, frontier["node"] == plain["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        frontier = stored(step.join(visited, "node", "left_anti"), "paths")
-        found = frontier.filter(F.col("node") == F.lit(target))
-        if not found.isEmpty():
+        frontier, n, (there,) = counted(step.join(visited, "node", "left_anti"), "paths", F.col("node") == F.lit(target))
+        if there:
+            found = frontier.filter(F.col("node") == F.lit(target))
             at = F.explode(F.sequence(F.lit(1), F.size("path") - 1))
             return found.select("path", at.alias("hop")).select("hop", F.element_at("path", F.col("hop")).alias("src"), F.element_at("path", F.col("hop") + 1).alias("dst"))
-        if frontier.isEmpty():
+        if not n:
             break
         visited = visited.union(frontier.select("node"))
     return plain.filter("false").select(F.lit(1).alias("hop"), "src", "dst")
@@ -138,10 +141,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         new = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = stored(new.join(jump, "component").select("node", F.least("component", "further").alias("component")), "labels")
-        if new.join(labels, ["node", "component"], "left_anti").isEmpty():
-            return new
-        labels = new
+        new = new.join(jump, "component").select("node", F.least("component", "further").alias("new")).join(labels, "node")
+        new, _, (changed,) = counted(new.select("node", F.col("new").alias("component"), (F.col("new") != F.col("component")).alias("changed")), "labels", F.col("changed"))
+        labels = new.drop("changed")
+        if not changed:
+            return labels
 
 
 def families(candidates: DataFrame, closed: DataFrame) -> DataFrame:

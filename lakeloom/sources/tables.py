@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str, *flags: Column) -> tuple[DataFrame, int, list[bool]]:
+    """As stored, with the number of rows and whether any row has each flag, all observed while it is written: one job."""
+    seen = Observation()
+    marks = [F.max(f.cast("int")).alias(f"f{k}") for k, f in enumerate(flags)]
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n"), *marks), label)
+    found = seen.get
+    return out, found["n"], [bool(found[f"f{k}"]) for k in range(len(flags))]
+
+
 @dataclass
 class Generations:
     """Tables kept as written generations under one folder. One pointer file names the serving generation of each table and the ones
