@@ -11,6 +11,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -69,6 +70,13 @@ def dropped(spark: SparkSession, scratch: list[str]) -> None:
     scratch.clear()
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, after which Spark removes the shuffle files of steps that nothing refers to any more: loops
+    would else keep those of every round."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidied(run):
     """A function for mapInArrow that gives the memory it used back to the system when it ends: Python workers serve many tasks."""
 

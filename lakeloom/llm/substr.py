@@ -8,7 +8,8 @@ repeat only where both its halves do, and its hash is made of theirs, so these l
 Levels count over the whole corpus: each chunk asks once about every distinct window, per key partition, and is told which
 ones start twice or more. A window that a third of the documents hold is asked about once per chunk.
 
-Windows are runs of words `[^\\x20\\x09-\\x0D]+` of one document, named by two independent 64-bit hashes of their words. Null and
+Windows are runs of words `[^\\x20\\x09-\\x0D]+` of one document, named by two independent 64-bit hashes of their words (beyond the
+first full level by one, made from those of the halves). Null and
 empty texts have no words; texts shorter than a window lose nothing; repeated rows count as documents of their own, so all
 words of a copied text that fills a window go. An empty table gives an empty result.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, Texts, _joined, by_part, chunk_batch, chunks, dropped, key_parts, pairs, read_chunk, split, squeeze, stored, text_chunks, tidied, tidy, tune, unsqueeze, windows, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, Texts, _joined, by_part, chunk_batch, chunks, dropped, key_parts, pairs, read_chunk, split, squeeze, stored, swept, text_chunks, tidied, tidy, tune, unsqueeze, windows, word_hashes
 
 LENGTH = 35
 LIMIT = 4 << 20  # bytes of text in a chunk
@@ -113,11 +114,22 @@ def _told(a: np.ndarray, b: np.ndarray, parts: int, answers: list[tuple]) -> np.
 STATE, FOUND = -2, -3  # parts of rows that hold a level's candidates, and the repeated windows of level 1, 2, ... (-3, -4, ...)
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences."""
+    return squeeze(np.diff(x, prepend=0).astype(np.int32).tobytes(), 1)
+
+
+def _unsteps(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(unsqueeze(data), np.int32), dtype=np.int64)
+
+
 def _level(chunk: int, parts: int, starts: np.ndarray, texts: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
-    """The candidates of a level (starts, their texts' numbers and both hashes) as a row of state and questions."""
+    """The candidates of a level (starts, their texts' numbers and hashes) as a row of state and questions."""
     if not len(starts):
         return []
-    return [(chunk, STATE, squeeze(starts.astype(np.int32).tobytes() + texts.astype(np.int32).tobytes(), 1), b"", squeeze(a.tobytes() + b.tobytes(), 1)), *_ask(chunk, parts, a, b)]
+    first, _, _ = pairs(a, b)
+    told_apart = b if len(b) and len(np.unique(a[first])) < len(first) else b[:0]  # the second hashes are kept only where the first do not do
+    return [(chunk, STATE, _steps(starts), _steps(texts), a.tobytes() + told_apart.tobytes()), *_ask(chunk, parts, a, b)]
 
 
 def _batches(rows: list[tuple]) -> pa.Table:
@@ -149,58 +161,60 @@ def removed(docs: DataFrame, length: int = LENGTH, longest: bool = True, parts:
         return _batches(_level(group.column("chunk")[0].as_py(), parts, starts[alive], of, a[alive], b))
 
     def doubled(size, level):
-        """The repeated windows of a level (of size words), and those of twice the size whose halves both repeat."""
+        """The repeated windows of a level (of size words; of the first level where they start, of others the texts that have any),
+        and those of twice the size whose halves both repeat. These are named by one hash: both halves are known by two."""
 
         def run(group: pa.Table) -> pa.Table:
             chunk = group.column("chunk")[0].as_py()
             _, rows = read_chunk(group)
-            (_, places, _, hashes), answers = next(r for r in rows if r[0] == STATE), [r for r in rows if r[0] >= 0]
-            starts, of = np.frombuffer(unsqueeze(places), np.int32).astype(np.int64).reshape(2, -1)
-            a, b = np.frombuffer(unsqueeze(hashes), np.uint64).reshape(2, -1)
+            (_, places, numbers, hashes), answers = next(r for r in rows if r[0] == STATE), [r for r in rows if r[0] >= 0]
+            starts, of, hashes = _unsteps(places), _unsteps(numbers), np.frombuffer(hashes, np.uint64)
+            a, b = hashes[: len(starts)], hashes[len(starts) :]
             repeated = _told(a, b, parts, answers)
-            starts, of, a, b = starts[repeated], of[repeated], a[repeated], b[repeated]
-            out = [(chunk, FOUND - level, squeeze(starts.astype(np.int32).tobytes() + of.astype(np.int32).tobytes(), 1), b"", b"")] if len(starts) else []
+            starts, of, a = starts[repeated], of[repeated], a[repeated]
+            out = [(chunk, FOUND - level, _steps(np.unique(of) if level else starts), b"", b"")] if len(starts) else []
             if longest and len(starts):
                 other = np.searchsorted(starts, starts + size)
                 other[other == len(starts)] = 0
                 both = np.flatnonzero((starts[other] == starts + size) & (of[other] == of))
-                then = other[both]
-                out += _level(chunk, parts, starts[both], of[both], _joined(a[both], a[then]), _joined(b[both], b[then]))
+                out += _level(chunk, parts, starts[both], of[both], _joined(a[both], a[other[both]]), np.empty(0, np.uint64))
             return _batches(out)
 
         return run
 
     def last(group: pa.Table) -> pa.Table:
         (keys, texts), rows = read_chunk(group)
-        found = [np.frombuffer(unsqueeze(r[1]), np.int32).astype(np.int64).reshape(2, -1) for r in rows[::-1]]  # level 1 first
         try:
-            return _kept(keys, Chunk(texts, length), found)
+            return _kept(keys, Chunk(texts, length), [_unsteps(r[1]) for r in rows[::-1]])  # level 1 first
         finally:
             tidy()
 
     scratch: list[str] = []  # what only the levels read
     told = stored(docs.select("doc_id", "text").mapInArrow(tidied(first), CHUNK_SCHEMA).groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA), "substr-0", scratch)
     asked = stored(text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(candidates, CHUNK_SCHEMA), "substr-1", scratch)
-    found, level = None, 0
+    found, level, kept = None, 0, []
     while True:
         told = asked.filter("part >= 0").groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA)
+        before, scratch = scratch, []
         asked = stored(asked.filter(F.col("part") == STATE).unionByName(told).groupBy("chunk").applyInArrow(doubled(length << level, level), CHUNK_SCHEMA), f"substr-{level + 2}", scratch)
-        own = asked.filter(F.col("part") <= FOUND)
+        dropped(spark, before)
+        swept(spark)
+        own = stored(asked.filter(F.col("part") <= FOUND), "substr-found", kept)
         found = own if found is None else found.unionByName(own)
         level += 1
         if not longest or asked.filter("part >= 0").isEmpty():
             break
     found = stored(found, "substr-found")
-    dropped(spark, scratch)
+    dropped(spark, scratch + kept)
     schema = "doc_id long, text_md5 string, n_words long, n_removed long, kept binary, spans array<array<int>>, longest int"
     return text_chunks(docs, LIMIT).unionByName(found).groupBy("chunk").applyInArrow(last, schema)
 
 
 def _kept(keys: pa.Array, chunk: Chunk, found: list[np.ndarray]) -> pa.Table:
-    """found: starts and texts of the repeated windows of each level."""
+    """found: where the repeated windows of the first level start, and the texts that have any of each level beyond."""
     n = len(chunk.starts)
     delta = np.zeros(n + 1, np.int64)
-    repeated = found[0][0] if found else np.empty(0, np.int64)
+    repeated = found[0] if found else np.empty(0, np.int64)
     delta[: n + 1] += np.bincount(repeated, minlength=n + 1)
     delta -= np.bincount(repeated + chunk.length, minlength=n + 1)
     gone = np.cumsum(delta)[:n] > 0
@@ -222,8 +236,8 @@ def _kept(keys: pa.Array, chunk: Chunk, found: list[np.ndarray]) -> pa.Table:
     words = np.diff(chunk.bounds)
     lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[chunk.bounds])
     longest = np.zeros(len(words), np.int32)
-    for k, (_, of) in enumerate(found):
-        longest[of] = chunk.length << k
+    for k, texts in enumerate(found):
+        longest[texts if k else np.searchsorted(chunk.bounds, texts, "right") - 1] = chunk.length << k
     spans = [[] for _ in range(len(words))]
     for d in np.flatnonzero(lost):
         a, b = chunk.bounds[d], chunk.bounds[d + 1]
