@@ -149,7 +149,7 @@ def near(queries: DataFrame, every: DataFrame, radius: int = RADIUS, blocks: int
     first = F.lit(True)
     for k, m in enumerate(tables):  # no table before t holds the pair
         first = first & ((F.col("t") <= k) | (differ.bitwiseAND(F.lit(m)) != 0))
-    pairs = left.join(right, (left["t"] == right["t"]) & (left["key"] == right["key"])).select(left["fingerprint"], "other", "n", left["t"])
+    pairs = left.hint("merge").join(right, (left["t"] == right["t"]) & (left["key"] == right["key"])).select(left["fingerprint"], "other", "n", left["t"])
     return pairs.filter((F.bit_count(differ) <= radius) & first).groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
 
 
@@ -162,7 +162,7 @@ def document_fingerprints(docs: DataFrame, every: int = 50) -> DataFrame:
     dropped(docs.sparkSession, scratch)
     query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     found = near(marked.filter(query).select("fingerprint"), marked.select("fingerprint"))
-    asked = marked.filter(query).join(found, "fingerprint").withColumn("n_near", F.col("n_near") - 1)
+    asked = marked.filter(query).hint("merge").join(found, "fingerprint").withColumn("n_near", F.col("n_near") - 1)
     joined = marked.filter(~query).withColumn("n_near", F.lit(None).cast("long")).unionByName(asked)
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     own, changed, after = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")

@@ -192,6 +192,7 @@ def removed(docs: DataFrame, length: int = LENGTH, longest: bool = True, parts:
     scratch: list[str] = []  # what only the levels read
     told = stored(docs.select("doc_id", "text").mapInArrow(tidied(first), CHUNK_SCHEMA).groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA), "substr-0", scratch)
     asked = stored(text_chunks(docs, LIMIT).unionByName(told).groupBy("chunk").applyInArrow(candidates, CHUNK_SCHEMA), "substr-1", scratch)
+    swept(spark)  # the texts' way to their chunks
     found, level, kept = None, 0, []
     while True:
         told = asked.filter("part >= 0").groupBy("part").applyInArrow(_answer, CHUNK_SCHEMA)
