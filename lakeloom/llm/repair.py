@@ -1,6 +1,6 @@
 """Token ids on disk as Re-Pair grammars, with random access.
 
-Documents stand in ascending order of doc_id (nulls first, ties by the first characters of the text, then by place in the scan), cut into shards of about SHARD ids. In each shard
+Documents stand in ascending order of doc_id (nulls first, ties by place in the scan), cut into shards of about SHARD ids. In each shard
 the pairs of neighbouring symbols that occur most are replaced by new symbols (non-overlapping, from the left), again and
 again until no pair occurs LEAST times; the rules and the length of each symbol's expansion are stored with the rest of the sequence, so any document is
 decoded from its own part of the sequence alone. A shard is one row of a table written by Spark; its `data` is the file:
@@ -26,50 +26,45 @@ from lakeloom.llm.wordbpe import word_ids
 
 SHARD, SLICE = 1 << 20, 4 << 20  # ids in a shard, bytes of text that are encoded at once
 FIRST_RULE = 1 << 17
-PER_ROUND, LEAST = 1024, 16
-BUCKETS = 1 << 20
+PER_ROUND, LEAST = 1 << 14, 16
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left and right symbol of each rule, expansion lengths, the sequence that is left). Rounds count pairs by hash; one that makes
-    no rule is followed by one with exact counts, which makes one as long as a pair occurs LEAST times: where pairs overlap every
-    second place is kept, so some pair keeps half of its places."""
+    """(left and right symbol of each rule, expansion lengths, the sequence that is left). Every round counts the pairs there are (a count
+    by hash first tells which cannot occur LEAST times) and replaces the most frequent ones; where two overlap, the more frequent. Rounds go
+    on until no pair occurs LEAST times: the most frequent keeps half of its places at least, so every round makes a rule. Pairs that
+    are too rare stay so, as only pairs with new symbols come about: their places are not looked at again."""
     sequence = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.uint32)
-    exact = False
-    while len(sequence) > LEAST:
-        bucket = (sequence[:-1] * np.uint32(0x9E3779B1) + sequence[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
-        counts = np.bincount(bucket, minlength=BUCKETS)
-        if exact:  # the pairs themselves in place of the buckets
-            held = np.flatnonzero((counts >= LEAST)[bucket])
-            pairs, inverse, counts = np.unique(sequence[held].astype(np.uint64) << np.uint64(32) | sequence[held + 1], return_inverse=True, return_counts=True)
-            bucket = np.full(len(bucket), len(pairs))
-            bucket[held] = inverse
-            counts = np.append(counts, 0)
+    alive = np.arange(max(len(sequence) - 1, 0))  # where pairs begin that may be frequent
+    while len(alive) >= LEAST:
+        left, right = sequence[alive], sequence[alive + 1]
+        bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+        some = (np.bincount(bucket, minlength=1 << 20) >= LEAST)[bucket]
+        held = alive[some]
+        pairs, inverse, counts = np.unique(left[some].astype(np.uint64) << np.uint64(32) | right[some], return_inverse=True, return_counts=True)
         top = np.flatnonzero(counts >= LEAST)
         if not len(top):
             break
-        if len(top) > PER_ROUND:
-            top = top[np.argpartition(-counts[top], PER_ROUND)[:PER_ROUND]]
-        rule = np.full(len(counts), -1, np.int32)
-        rule[top] = np.arange(len(top))
-        own = rule[bucket]
-        at = np.flatnonzero(own >= 0)
-        own = own[at]
-        pair = np.zeros((len(top), 2), np.uint32)
-        pair[own[::-1], 0], pair[own[::-1], 1] = sequence[at[::-1]], sequence[at[::-1] + 1]  # the first of its bucket stands for it
-        true = (sequence[at] == pair[own, 0]) & (sequence[at + 1] == pair[own, 1])
-        at, own = at[true], own[true]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        run = np.flatnonzero(fresh)
-        keep = (np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate([run, [len(at)]])))) % 2 == 0
+        top = top[np.argsort(-counts[top], kind="stable")[:PER_ROUND]]
+        rank = np.full(len(counts), -1, np.int32)
+        rank[top] = np.arange(len(top))
+        own = rank[inverse]
+        chosen = own >= 0
+        at, own = held[chosen], own[chosen]
+        frequent = at if len(top) < PER_ROUND else held[counts[inverse] >= LEAST]
+        pair = np.stack([pairs[top] >> np.uint64(32), pairs[top] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        # where places overlap the more frequent pair keeps its own, and of the places left between those every second in a run
+        near = np.concatenate([[False], at[1:] == at[:-1] + 1, [False]])
+        before, after = np.concatenate([[0], own[:-1]]), np.append(own[1:], 0)
+        keep = _every_second(near[:-1] & (before == own)) & ~(near[:-1] & (before < own)) & ~(near[1:] & (after < own))
+        free = ~keep & ~(near[:-1] & np.concatenate([[False], keep[:-1]])) & ~(near[1:] & np.append(keep[1:], False))
+        rest = np.flatnonzero(free)
+        keep[rest] = _every_second(np.concatenate([[False], at[rest][1:] == at[rest][:-1] + 1])[: len(rest)])
         at, own = at[keep], own[keep]
         often = np.bincount(own, minlength=len(top)) >= LEAST // 2
         at, own = at[often[own]], own[often[own]]
-        if exact := not len(at):
-            continue
         number = np.cumsum(often) - 1
         pair = pair[often]
         of_rule = np.concatenate([lengths, [1]]).astype(np.int64)  # the last stands for ids
@@ -79,12 +74,28 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sequence[at] = (FIRST_RULE + len(lengths) + number[own]).astype(np.uint32)
         stay = np.ones(len(sequence), bool)
         stay[at + 1] = False
-        sequence = sequence[stay]
+        maybe = np.zeros(len(sequence), bool)
+        maybe[frequent] = maybe[at] = True
+        before = at - 1
+        before[~stay[before]] -= 1  # the symbol before is a new one itself
+        maybe[before[before >= 0]] = True
+        sequence, maybe = sequence[stay], maybe[stay]
+        alive = np.flatnonzero(maybe[:-1])
         rules.append(pair)
         lengths = np.concatenate([lengths, new])
     return np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), lengths, sequence
 
 
+def _every_second(goes_on: np.ndarray) -> np.ndarray:
+    """Marks the first, third, ... element of each run; goes_on: whether an element belongs to the run of the one before."""
+    out, at = np.ones(len(goes_on), bool), np.flatnonzero(goes_on)
+    if len(at):
+        run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+        out[at[place % 2 == 0]] = False
+    return out
+
+
 def pack(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
     rules, lengths, sequence = compress(ids)
     head = np.array([len(counts), len(rules), len(sequence)], "<u4").tobytes()
@@ -108,11 +119,14 @@ class Shard:
             at += 4 * size
         self.counts, self.left, self.right, self.lengths, self.sequence = parts
         self.bounds = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
-        known: list[np.ndarray] = []
-        of = lambda s: known[s - FIRST_RULE] if s >= FIRST_RULE else np.array([s], np.uint32)
-        for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
-            known.append(np.concatenate([of(a), of(b)]))
-        self.flat = np.concatenate(known) if known else np.empty(0, np.uint32)
+        flat = np.arange(FIRST_RULE, FIRST_RULE + rules, dtype=np.uint32)  # every rule, expanded step by step
+        while len(at := np.flatnonzero(flat >= FIRST_RULE)):
+            rule = flat[at] - FIRST_RULE
+            many = np.ones(len(flat), np.int64)
+            many[at] = 2
+            at, flat = (np.cumsum(many) - many)[at], np.repeat(flat, many)
+            flat[at], flat[at + 1] = self.left[rule], self.right[rule]
+        self.flat = flat
         self.begin = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.size = np.ones(symbols, np.int64)
         rule = self.sequence >= FIRST_RULE
@@ -174,9 +188,9 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, shard: int = SHARD) ->
         if keys:
             yield row()
 
-    # rows of one doc_id, and equal rows, may be many: they are ranged by the beginning of the text and by their place in the scan too
-    keyed = docs.select("doc_id", "text", F.substring("text", 1, 32).alias("tie"), F.monotonically_increasing_id().alias("place"))
-    ranged = keyed.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").select("doc_id", "text")
+    # rows of one doc_id may be many: they are ranged by their place in the scan too
+    keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    ranged = keyed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     return write_table(ranged.mapInArrow(tidied(run), "part int, shard int, n_tokens long, data binary"), "repair")
 
 

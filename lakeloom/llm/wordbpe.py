@@ -1,9 +1,10 @@
 """Ids of the word-level BPE tokenizer (lower case, white space dropped), text by text, as the tokenizers library gives them.
 
-White space never enters an id, so a text's ids are those of its runs of other characters. A worker process keeps the ids
-of the runs it has met (by their bytes), up to a bounded number and size. New runs of Latin letters with points or commas after
-them are given to the library many at once, with spaces between: such a run is one word, and one more if points follow, and the
-last id of each word says that it ends one, so the ids are cut there. All other runs are given to it one by one.
+White space never enters an id, so a text's ids are those of its runs of other characters. A run of Latin letters with points or
+commas after them is two pieces, its letters in lower case and the marks; any other run is one piece. A worker process keeps
+the ids of the pieces it has met (by their bytes), up to a bounded number and size. New pieces of letters are given to the library
+many at once, with spaces between: each is one word, and the last id of a word says that it ends one, so the ids are cut there.
+All other pieces are given to it one by one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ _MARK[[ord("."), ord(",")]] = True
 
 def plain(words: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Which words are Latin letters (that normalisation to composed form leaves alone) with any points and commas after them, and
-    which of those have points or commas."""
+    how many points and commas those have."""
     data, first, last = words.data, words.offsets[:-1], words.offsets[1:]
     mark, lead = _MARK[data], data == 0xC3  # the lead byte of À to ÿ, of which × and ÷ are no letters
     after = np.concatenate([[False], lead[:-1]]) if len(data) else lead
@@ -35,7 +36,15 @@ def plain(words: Texts) -> tuple[np.ndarray, np.ndarray]:
     some = first < last
     good = some & (odd[last] == odd[first]) & (back[last] == back[np.minimum(first + 1, last)])
     good[good] &= letter[first[good]]
-    return good, good & (marks[last] > marks[first])
+    return good, np.where(good, marks[last] - marks[first], 0)
+
+
+def lower(words: Texts, which: np.ndarray) -> Texts:
+    """Words with the Latin letters of those that `which` says in lower case."""
+    data = words.data
+    after = np.concatenate([[False], data[:-1] == 0xC3]) if len(data) else np.empty(0, bool)
+    capital = ((data >= 65) & (data <= 90)) | (after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97))
+    return Texts(data + ((capital & np.repeat(which, np.diff(words.offsets))).view(np.uint8) << 5), words.offsets)
 
 
 class WordIds:
@@ -48,37 +57,34 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words one after another, and how many each has."""
-        every = Texts(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64))
-        good, marked = plain(every)
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another, and how many each has."""
+        every = Texts(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in pieces])]).astype(np.int64))
+        good, marks = plain(every)
+        good &= marks == 0
         together, alone = np.flatnonzero(good), np.flatnonzero(~good)
-        lengths, parts, i = np.zeros(len(words), np.int64), [], 0
-        while i < len(together):
+        lengths, parts = np.zeros(len(pieces), np.int64), []
+        for i in range(0, len(together), AT_ONCE):
             own = together[i : i + AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join([words[k] for k in own]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join([pieces[k] for k in own]).decode()], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            cuts = np.cumsum(1 + marked[own])
-            if len(ends) != cuts[-1] or ends[-1] != len(ids):
+            if len(ends) != len(own) or ends[-1] != len(ids):
                 raise AssertionError("words and ends do not agree")
-            lengths[own] = np.diff(np.concatenate([[0], ends[cuts - 1]]))
+            lengths[own] = np.diff(np.concatenate([[0], ends]))
             parts.append(ids)
-            i += AT_ONCE
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast([words[k].decode(errors="replace") for k in alone], add_special_tokens=False)]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k].decode(errors="replace") for k in alone], add_special_tokens=False)]
         lengths[alone] = [len(x) for x in rest]
         parts.append(np.array([i for x in rest for i in x], np.uint32))
         order = np.concatenate([together, alone])
-        flat, begin = np.concatenate(parts), np.zeros(len(words), np.int64)
+        flat, begin = np.concatenate(parts), np.zeros(len(pieces), np.int64)
         begin[order] = np.cumsum(lengths[order]) - lengths[order]
         return flat[ragged(begin, lengths)], lengths
 
-    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (unsigned 32-bit) one text after another, and where each text's ids begin (one more than texts)."""
-        starts, ends, bounds = split(texts)
-        words, inverse = distinct(texts, starts, ends)
+    def _slots(self, pieces: Texts) -> np.ndarray:
+        """Where the ids of distinct pieces are kept."""
         if len(self.known) > MOST_KNOWN or self.held > MOST_BYTES:
             self.known, self.used, self.held = {}, 0, 0
-        data, at = words.data.tobytes(), words.offsets.tolist()
+        data, at = pieces.data.tobytes(), pieces.offsets.tolist()
         keys = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         slot = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(slot < 0)
@@ -97,9 +103,25 @@ class WordIds:
             self.used += len(flat)
             self.known.update(zip(new, range(at, at + len(new)), strict=True))
             slot[missing] = np.arange(at, at + len(new))
-        slot = slot[inverse]
+        return slot
+
+    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32-bit) one text after another, and where each text's ids begin (one more than texts)."""
+        starts, ends, bounds = split(texts)
+        words, inverse = distinct(texts, starts, ends)
+        good, marks = plain(words)
+        words, many = lower(words, good), 1 + (marks > 0)
+        first = np.cumsum(many) - many  # of each word's pieces
+        start, stop = np.zeros(int(many.sum()), np.int64), np.zeros(int(many.sum()), np.int64)
+        start[first], stop[first] = words.offsets[:-1], words.offsets[1:] - marks
+        two = np.flatnonzero(marks)
+        start[first[two] + 1], stop[first[two] + 1] = stop[first[two]], words.offsets[1:][two]
+        pieces, which = distinct(words, start, stop)
+        slot = self._slots(pieces)[which]
+        each = np.concatenate([[0], np.cumsum(many[inverse])])  # pieces of the words of the texts
+        slot = slot[ragged(first[inverse], many[inverse])]
         lengths = self.length[slot].astype(np.int64)
-        return self.ids[ragged(self.begin[slot], lengths)], np.concatenate([[0], np.cumsum(lengths)])[bounds]
+        return self.ids[ragged(self.begin[slot], lengths)], np.concatenate([[0], np.cumsum(lengths)])[each[bounds]]
 
 
 _READY: dict[tuple[str, bool], WordIds] = {}
