@@ -239,11 +239,12 @@ LONG = 256
 
 def distinct(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[Texts, np.ndarray]:
     """The distinct words by their bytes, in order of first appearance, and for each word the number of its distinct one."""
-    n = len(texts.data)
-    edge = np.zeros(n + 1, np.int8)
-    edge[starts] = 1
-    edge[ends] -= 1
-    data = texts.data[np.cumsum(edge[:n], dtype=np.int8).view(bool)]
+    n, data = len(texts.data), texts.data
+    if int((ends - starts).sum()) < n:  # else words fill the buffer, and may be empty
+        edge = np.zeros(n + 1, np.int8)
+        edge[starts] = 1
+        edge[ends] -= 1
+        data = data[np.cumsum(edge[:n], dtype=np.int8).view(bool)]
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
     return Texts.of(found.dictionary), found.indices.to_numpy().astype(np.int64)

@@ -1,10 +1,11 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax, beside an add-0.1 unigram base.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end after each text. Counts of all training tokens are
-gathered over the whole corpus: each chunk of documents asks once about each distinct word, per key partition.
+gathered over the whole corpus: each chunk of documents asks once about each distinct word, per key partition; words of
+different chunks are told apart by their bytes.
 
-P(token | history) is a product of softmaxes over hashed features (previous word, previous two, and two skip features). The
-first chooses one of 16 head or 16 tail classes. The HEAD most frequent tokens lie in the head classes, and a second softmax
+P(token | history) is a product of softmaxes over hashed features (previous word, previous two, and two skip features, of which the
+softmaxes inside a class use the nearer). The first chooses one of 16 head or 16 tail classes. The HEAD most frequent tokens lie in the head classes, and a second softmax
 chooses among the 32 of one. The other tokens that occur LEAST times or more lie in tail classes by their last two bytes, each
 a tree in order of their counts: a node holds FAN words and leads to FAN further nodes, and each node on the way has its own
 softmax, so places grow with the vocabulary and a token costs the logarithm of it. Place 0 of a tail class is all rarer words,
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import CHUNK_SCHEMA, ODD, Texts, by_part, chunk_batch, chunks, distinct, key_parts, mix, pack_texts, pairs, read_chunk, split, squeeze, stored, tidied, tune, unsqueeze, word_hashes
+from lakeloom.llm._common import CHUNK_SCHEMA, ODD, Texts, by_part, chunk_batch, chunks, distinct, dropped, key_parts, mix, pack_texts, ragged, read_chunk, split, squeeze, stored, swept, tidied, tune, unsqueeze, word_hashes
 
 HEAD_CLASSES, SLOTS, TAIL_CLASSES = 16, 32, 16
 HEAD, CLASSES = HEAD_CLASSES * SLOTS, HEAD_CLASSES + TAIL_CLASSES
 LEAST, FAN = 100, SLOTS // 2
-LEAST_BITS, ROWS_PER_WORD, BATCH, RATE, ROUNDS = 14, 2, 1 << 13, 0.1, 2
+LEAST_BITS, ROWS_PER_WORD, BATCH, RATE, ROUNDS = 14, 2, 1 << 13, 0.45, 2
+INNER = 3  # features of the softmaxes inside a class: all but the farthest word
 END = np.uint64(0x0D0C0B0A01020304)
 ADD = 0.1
 
@@ -39,6 +41,14 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def tails(words: Texts) -> np.ndarray:
+    """The tail class of each word, by its last two bytes; 0 for an empty one."""
+    first, last, data = words.offsets[:-1], words.offsets[1:], np.append(words.data, np.uint8(0))
+    byte = lambda k: np.where(last - first >= k, data[np.maximum(last - k, 0)], 0).astype(np.uint32)
+    found = ((byte(1) * np.uint32(0x9E3779B1) + byte(2) * np.uint32(0x85EBCA6B)) >> np.uint32(28)).astype(np.int64) % TAIL_CLASSES
+    return np.where(last > first, found, 0)
+
+
 class Tokens:
     """The tokens of a chunk: numbers of distinct ones (the end is the last), their hashes, places in their text, and tail classes."""
 
@@ -46,21 +56,14 @@ class Tokens:
         lower = texts.lower()
         starts, ends, bounds = split(lower)
         self.own, number = distinct(lower, starts, ends)
-        first, last, data = self.own.offsets[:-1], self.own.offsets[1:], self.own.data
+        first, last = self.own.offsets[:-1], self.own.offsets[1:]
         self.hashes = np.append(word_hashes(self.own, first, last), END)
-        byte = data[last - 1].astype(np.uint32)
-        before = np.where(last - first > 1, data[np.maximum(last - 2, 0)], 0).astype(np.uint32) if len(last) else byte
-        tails = ((byte * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(28)).astype(np.int64) % TAIL_CLASSES
-        self.tails = np.append(tails, 0)
+        self.tails = np.append(tails(self.own), 0)
         self.number = np.insert(number, bounds[1:], len(self.own))
         self.hash, self.tail = self.hashes[self.number], self.tails[self.number]
         self.bounds = bounds + np.arange(len(bounds))
         self.place = np.arange(len(self.hash)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
 
-    def others(self) -> np.ndarray:
-        """Second hashes of the distinct tokens: both together name a token among all of a corpus."""
-        return np.append(word_hashes(self.own, self.own.offsets[:-1], self.own.offsets[1:], 1), END)
-
     def features(self, a: int, b: int) -> np.ndarray:
         """Hashes of the features of tokens a to b: (b - a, 4)."""
         place = self.place[a:b]
@@ -129,28 +132,45 @@ class Model:
 
     def inner(self, features: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Rows of the softmax of a node: features crossed with the node."""
-        return self.rows((features ^ mix(nodes.astype(np.uint64) + np.uint64(1))[:, None]) * np.uint64(ODD))
+        return self.rows((features[:, :INNER] ^ mix(nodes.astype(np.uint64) + np.uint64(1))[:, None]) * np.uint64(ODD))
 
     @staticmethod
-    def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """Biases are logarithms of shares, so exponents stay far inside what single precision holds; they are cut there."""
+    def powers(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, most: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What a softmax divides, and by what. Biases are logarithms of shares, so exponents stay far inside what single precision
+        holds; where they do not, they are cut (most)."""
         z = bias + weights.take(rows[:, 0], 0)
         for k in range(1, rows.shape[1]):
             z += weights.take(rows[:, k], 0)
-        np.clip(z, -60, 60, out=z)
-        np.exp(z, out=z)
-        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+        if most:
+            np.clip(z, -most, most, out=z)
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
+            total = z @ np.ones(z.shape[1], np.float32)
+        if not most and len(z) and not (total.min() > 1e-30 and total.max() < 1e30):
+            return Model.powers(weights, rows, bias, 60)
+        return z, total
+
+    @staticmethod
+    def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        z, total = Model.powers(weights, rows, bias)
+        z /= total[:, None]
         return z
 
+    @staticmethod
+    def share(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, options: np.ndarray) -> np.ndarray:
+        """One option's part of each softmax."""
+        z, total = Model.powers(weights, rows, bias)
+        return z[np.arange(len(z)), options].astype(float) / total
+
     def log_probability(self, tokens: Tokens, counts: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token; counts: those in training."""
         out, (every, places) = np.empty(len(tokens.hash)), self.targets(tokens)
         for a in range(0, len(out), BATCH):
             b = min(len(out), a + BATCH)
             features, classes, index = tokens.features(a, b), every[a:b], places[a:b]
-            p = self.softmax(self.w, self.rows(features), self.b)[np.arange(b - a), classes].astype(float)
+            p = self.share(self.w, self.rows(features), self.b, classes)
             for at, nodes, options in self.steps(classes, index):
-                p[at] *= self.softmax(self.u, self.inner(features[at], nodes), self.c[nodes])[np.arange(len(at)), options]
+                p[at] *= self.share(self.u, self.inner(features[at], nodes), self.c[nodes], options)
             rest = np.flatnonzero((classes >= HEAD_CLASSES) & (index == 0))
             own = classes[rest] - HEAD_CLASSES
             p[rest] *= (counts[a:b][rest] + ADD) / (self.tail_n[own] + ADD * (self.tail_v[own] + 1))
@@ -244,7 +264,7 @@ def _mean(group: pa.Table) -> pa.Table:
     for m, c in zip(group.column("met").to_pylist(), group.column("change").to_pylist(), strict=True):
         own = np.frombuffer(unsqueeze(m), np.int64)
         met, change = met + own, change + np.frombuffer(unsqueeze(c), np.float16).reshape(len(own), -1) * own[:, None].astype(float)
-    change = (change / np.maximum(met, 1)[:, None]).astype(np.float32)
+    change = (change / np.maximum(met, 1)[:, None]).astype(np.float16)
     return pa.table({"block": group.column("block")[:1], "change": pa.array([squeeze(change.tobytes(), 1)], pa.binary())})
 
 
@@ -262,45 +282,49 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([squeeze(met.astype(np.int64).tobytes(), 1)], pa.binary()), pa.array([squeeze(change.astype(np.float16).tobytes(), 1)], pa.binary())], ["block", "met", "change"])
 
         part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("doc_id", "text")
-        found = part.coalesce(trainers).mapInArrow(tidied(run), _UPDATE).groupBy("block").applyInArrow(_mean, "block int, change binary")
+        scratch: list[str] = []
+        found = stored(part.coalesce(trainers).mapInArrow(tidied(run), _UPDATE).groupBy("block").applyInArrow(_mean, "block int, change binary"), "maxent-weights", scratch)
+        swept(spark)
         blocks = len(model.w) // _BLOCK
-        for row in found.collect():  # the weights, which grow with the words that have places
-            change = np.frombuffer(unsqueeze(row.change), np.float32)
+        for row in found.toLocalIterator():  # the weights, which grow with the words that have places
+            change = np.frombuffer(unsqueeze(row.change), np.float16).astype(np.float32)
             if row.block < 0:
                 model.b += change[:CLASSES]
                 model.c[:HEAD_CLASSES] += change[CLASSES:].reshape(HEAD_CLASSES, SLOTS)
             else:
                 weights, k = (model.w, row.block) if row.block < blocks else (model.u, row.block - blocks)
                 weights[k * _BLOCK : (k + 1) * _BLOCK] += change.reshape(_BLOCK, -1)
+        dropped(spark, scratch)
     return model
 
 
 def _ask(batches, parts: int):
-    """For each key partition of a chunk: its distinct tokens' hashes (both), tail classes and training counts."""
+    """For each key partition of a chunk: its distinct tokens' bytes (the end has none) and training counts."""
     for chunk, keys, texts in chunks(batches):
         tokens = Tokens(texts)
-        learn, others = np.asarray(keys.cast(pa.bool_())), tokens.others()
+        learn, own = np.asarray(keys.cast(pa.bool_())), tokens.own
         counts = np.bincount(tokens.number, np.repeat(learn, np.diff(tokens.bounds)), minlength=len(tokens.hashes)).astype(np.uint32)
-        yield chunk_batch([(chunk, p, tokens.hashes[m].tobytes() + others[m].tobytes(), tokens.tails[m].astype(np.uint8).tobytes(), squeeze(counts[m].tobytes(), 1)) for p, m in by_part((tokens.hashes % np.uint64(parts)).astype(np.int64), parts)])
+        first, sizes = own.offsets, np.append(np.diff(own.offsets), 0)
+        yield chunk_batch([(chunk, p, squeeze(own.data[ragged(first[m], sizes[m])].tobytes()), squeeze(sizes[m].astype(np.uint32).tobytes(), 1), squeeze(counts[m].tobytes(), 1)) for p, m in by_part((tokens.hashes % np.uint64(parts)).astype(np.int64), parts)])
 
 
 def _count(group: pa.Table) -> pa.Table:
     """Global counts back to each chunk, and a row of chunk -1: the tokens that may have places, and sums by tail class."""
-    lists = [np.frombuffer(k, np.uint64).reshape(2, -1) for k in group.column("keys").to_pylist()]
-    tails = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("lengths").to_pylist()])
+    sizes = [np.frombuffer(unsqueeze(x), np.uint32).astype(np.int64) for x in group.column("lengths").to_pylist()]
+    every = Texts(np.frombuffer(b"".join(map(unsqueeze, group.column("keys").to_pylist())), np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
     counts = np.concatenate([np.frombuffer(unsqueeze(x), np.uint32) for x in group.column("data").to_pylist()])
-    every = np.concatenate(lists, axis=1)
-    first, inverse, _ = pairs(every[0], every[1])
-    hashes, total = every[0][first], np.bincount(inverse, counts, minlength=len(first)).astype(np.int64)
+    words, inverse = distinct(every, every.offsets[:-1], every.offsets[1:])
+    hashes, total = word_hashes(words, words.offsets[:-1], words.offsets[1:]), np.bincount(inverse, counts, minlength=len(words)).astype(np.int64)
+    end = np.diff(words.offsets) == 0
+    hashes[end] = END
     part, at, rows = group.column("part")[0].as_py(), 0, []
-    for chunk, keys in zip(group.column("chunk").to_pylist(), lists, strict=True):
-        rows.append((chunk, part, b"", b"", squeeze(total[inverse[at : at + keys.shape[1]]].tobytes(), 1)))
-        at += keys.shape[1]
-    own = tails[first]
+    for chunk, n in zip(group.column("chunk").to_pylist(), map(len, sizes), strict=True):
+        rows.append((chunk, part, b"", b"", squeeze(total[inverse[at : at + n]].tobytes(), 1)))
+        at += n
+    own = tails(words)
     top = np.lexsort((hashes, -total))
     top = top[: max(int((total >= LEAST).sum()), min(HEAD, int((total > 0).sum())))]
     sums = np.stack([np.bincount(own, total, TAIL_CLASSES), np.bincount(own, total > 0, TAIL_CLASSES)])
-    end = hashes == END
     if end.any():  # the end is always in the head
         top = np.unique(np.concatenate([np.flatnonzero(end), top]))
     rows.append((-1, part, hashes[top].tobytes() + total[top].tobytes() + own[top].astype(np.int64).tobytes(), b"", sums.tobytes()))
@@ -334,6 +358,7 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # `asked` reads whether a document is learnt from in place of its key
     asked = marked.select((~F.col("held_out")).cast("long"), "text").mapInArrow(tidied(lambda b: _ask(b, parts)), CHUNK_SCHEMA)
     told = stored(asked.groupBy("part").applyInArrow(_count, CHUNK_SCHEMA), "maxent-counts")
+    swept(spark)
     model, total, distinct = _model(told.filter("chunk = -1").collect())
     model = train(marked.filter("not held_out"), model, rounds)
     unigram = total + ADD * (distinct + 1)

@@ -66,6 +66,13 @@ def test_probabilities_sum_to_one(often):
         assert len(unknown) == maxent.TAIL_CLASSES and abs(p.sum() - 1) < 1e-6
 
 
+def test_softmax_of_large_weights():
+    rows, bias = np.array([[0, 1], [1, 1]]), np.zeros(3, np.float32)
+    for size in (1, 50, 500):
+        p = maxent.Model.softmax(np.array([[size, 0, -size], [size, -size, 0]], np.float32), rows, bias)
+        assert np.isfinite(p).all() and np.allclose(p.sum(1), 1, atol=1e-6) and (p.argmax(1) == 0).all()
+
+
 def test_sums_of_runs():
     r = np.random.default_rng(3)
     sizes = np.array([1, 5, 2, 1, 1000, 7, 64])
