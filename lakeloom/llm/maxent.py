@@ -235,9 +235,11 @@ class Trainer:
                 g = Model.softmax(self.u, rows, self.c[nodes])
                 g[np.arange(len(at)), options] -= 1
                 self._descend(self.u, self.steep_u, self.met_u, rows, g)
-                for k in range(HEAD_CLASSES):  # the other biases stay at the unigram distribution
-                    if (own := nodes == k).any():
-                        self.c[k] -= RATE * g[own].mean(0)
+                head = np.flatnonzero(nodes < HEAD_CLASSES)  # the other biases stay at the unigram distribution
+                if len(head):
+                    one = np.zeros((HEAD_CLASSES, len(head)), np.float32)
+                    one[nodes[head], np.arange(len(head))] = 1
+                    self.c[:HEAD_CLASSES] -= RATE * (one @ g[head]) / np.maximum(one.sum(1), 1)[:, None]
             self.n += b - a
 
 
@@ -276,7 +278,7 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
         def run(batches, model=model):
             trainer = Trainer(model)
-            for _, _, texts in chunks(batches, 1 << 20):
+            for _, _, texts in chunks(batches, 1 << 22):
                 trainer.see(Tokens(texts))
             for block, met, change in _updates(trainer):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([squeeze(met.astype(np.int64).tobytes(), 1)], pa.binary()), pa.array([squeeze(change.astype(np.float16).tobytes(), 1)], pa.binary())], ["block", "met", "change"])
