@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8 << 20
 MASK64 = (1 << 64) - 1
@@ -62,6 +63,15 @@ def stored(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """rows written in the order of keys (nulls first) over range partitions, with a column `at` that ascends in that order: at >> 33 is the
+    partition, the rest the place in it. Equal rows may lie in several partitions, so no value fills one. rows must be read from files,
+    whose order is the same when a task is repeated."""
+    tie = "in_order_tie"
+    spread = rows.withColumn(tie, F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie)
+    return stored(spread.drop(tie).withColumn("at", F.monotonically_increasing_id()), label)
+
+
 def dropped(spark: SparkSession, scratch: list[str]) -> None:
     """Removes written tables that no result reads any more, and forgets them."""
     for path in scratch:

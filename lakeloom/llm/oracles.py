@@ -49,4 +49,31 @@ FROM d LEFT JOIN o USING (rid) LEFT JOIN z USING (rid)
 _DOUBLED = "r{b} AS (SELECT rid, i, m FROM (SELECT *, count(*) OVER (PARTITION BY m) AS c FROM (SELECT p.rid, p.i, md5(p.m || q.m) AS m FROM r{a} p JOIN r{a} q ON p.rid = q.rid AND q.i = p.i + {n})) WHERE c > 1),"
 OP10 = OP10.replace("ALL_LEVELS", " UNION ALL ".join(f"SELECT rid, {35 << k} AS n FROM r{k}" for k in range(13))).replace("LEVELS", "\n".join(_DOUBLED.format(a=k, b=k + 1, n=35 << k) for k in range(12)))
 
-SQL = {"op1_chat": chat.ORACLE, "op8_decontamination": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10}
+# the 256 remainders of the public CRC-32, and the checksum of the ASCII text {0} by them
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len({0}) + 1), lambda j: CAST(ascii({0}[j]) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])))"
+
+OP11 = r"""
+WITH RECURSIVE CRC_TABLE,
+d AS (SELECT doc_id, lang, FIELDS[1] || FIELDS[2] || FIELDS[3] || FIELDS[4] || FIELDS[5] AS body,
+      FIELDS[1] || FIELDS[2] || FIELDS[3] || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + CASE WHEN CRC % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR)) || ':' || CAST(n_chars + CASE WHEN CRC % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR) END || FIELDS[5] AS shown
+      FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s, [CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END FOR v IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text]] AS f FROM documents), crc),
+l AS (SELECT doc_id, lang, sha256(body) AS leaf, sha256(shown) AS shown, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(body)) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
+up AS (SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM l UNION ALL SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, lvl, n, pos // 2),
+sub AS (SELECT tree, h AS subroot FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, tree AS pos, (SELECT count(*) FROM sub) AS n, subroot AS h FROM sub UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, n, pos // 2),
+node AS (SELECT 0 AS stage, tree, lvl, pos, h, n FROM up UNION ALL SELECT 1, 0, lvl, pos, h, n FROM top),
+walk AS (SELECT row_number() OVER () AS rid, 0 AS stage, tree, 0 AS lvl, pos, n, shown AS f, '' AS proof FROM l
+  UNION ALL
+  SELECT rid, CASE WHEN w.n = 1 THEN 1 ELSE w.stage END, CASE WHEN w.n = 1 THEN 0 ELSE w.tree END, CASE WHEN w.n = 1 THEN 0 ELSE w.lvl + 1 END, CASE WHEN w.n = 1 THEN w.tree ELSE w.pos // 2 END,
+    CASE WHEN w.n = 1 THEN (SELECT count(*) FROM sub) ELSE (w.n + 1) // 2 END,
+    CASE WHEN w.n = 1 THEN f WHEN s.h IS NULL THEN sha256(f) WHEN w.pos % 2 = 1 THEN sha256(s.h || f) ELSE sha256(f || s.h) END, proof || CASE WHEN w.n = 1 THEN '' ELSE coalesce(s.h, '') END
+  FROM walk w LEFT JOIN node s ON s.stage = w.stage AND s.tree = w.tree AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1) WHERE w.n > 1 OR w.stage = 0),
+r AS (SELECT rid, f, proof FROM walk WHERE stage = 1 AND n = 1),
+k AS (SELECT *, row_number() OVER () AS rid FROM l)
+SELECT k.doc_id, k.leaf, sub.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(r.proof) AS proof_sha256, r.f AS folded_root, r.f = (SELECT h FROM top WHERE n = 1) AS verified
+FROM k JOIN sub USING (tree) JOIN r USING (rid)
+"""
+OP11 = OP11.replace("CRC_TABLE", _CRC_TABLE).replace("CRC", _CRC.format("s")).replace("FIELDS", "f")
+
+SQL = {"op1_chat": chat.ORACLE, "op8_decontamination": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10, "op11_merkle": OP11}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, chat, decontam, maxent, minhash, oracles, repair, simhash, substr, tokencount, toxicity
+from lakeloom.llm import bpe, chat, decontam, maxent, merkle, minhash, oracles, repair, simhash, substr, tokencount, toxicity
 from lakeloom.llm._common import table
 
 
@@ -59,8 +59,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.digests(substr.removed(table(spark, sf_dir, "documents"), length=35))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_toxicity, op3_bpe, op4_simhash, op5_maxent, op6_repair, op7_token_counts, op8_decontamination, op9_minhash_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat, op2_toxicity, op3_bpe, op4_simhash, op5_maxent, op6_repair, op7_token_counts, op8_decontamination, op9_minhash_dedup, op10_substring_dedup, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
