@@ -63,13 +63,17 @@ def stored(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows in the order of keys (nulls first) over range partitions and within them. Equal rows may lie in several partitions, so no value
+    fills one. rows must be read from files, whose order is the same when a task is repeated."""
+    tie = "spread_tie"
+    tied = rows.withColumn(tie, F.xxhash64(F.monotonically_increasing_id()))
+    return tied.repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie)
+
+
 def in_order(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """rows written in the order of keys (nulls first) over range partitions, with a column `at` that ascends in that order: at >> 33 is the
-    partition, the rest the place in it. Equal rows may lie in several partitions, so no value fills one. rows must be read from files,
-    whose order is the same when a task is repeated."""
-    tie = "in_order_tie"
-    spread = rows.withColumn(tie, F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie)
-    return stored(spread.drop(tie).withColumn("at", F.monotonically_increasing_id()), label)
+    """rows spread by keys and written, with a column `at` that ascends in their order: at >> 33 is the partition, the rest the place in it."""
+    return stored(spread(rows, keys).withColumn("at", F.monotonically_increasing_id()), label)
 
 
 def dropped(spark: SparkSession, scratch: list[str]) -> None:

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+import re
+
 from lakeloom.llm import chat
 
 OP8 = r"""
@@ -76,4 +78,34 @@ FROM k JOIN sub USING (tree) JOIN r USING (rid)
 """
 OP11 = OP11.replace("CRC_TABLE", _CRC_TABLE).replace("CRC", _CRC.format("s")).replace("FIELDS", "f")
 
-SQL = {"op1_chat": chat.ORACLE, "op8_decontamination": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10, "op11_merkle": OP11}
+# a cheapest way to each state as one text, its cost in eight digits and then its initials: texts compare as (cost, initials)
+OP12 = r"""
+WITH RECURSIVE CRC_TABLE,
+f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CRC % 20 AS fate FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations), crc),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS twice FROM f WHERE fate > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), twice) AS k, right(rtrim(text, e' \t\n\x0b\x0c\r'), 1) AS tail FROM d),
+q AS (SELECT *, tail = '' AS blank, tail <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again FROM o),
+r AS (SELECT *, NOT blank AND NOT again AND tail NOT IN ('.', '!', '?') AS cut, blank OR again AS gone, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM q),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CAST(blank AS INT)) AS blank, sum(CAST(again AS INT)) AS duplicate, sum(CAST(cut AS INT)) AS truncated,
+      sum(CASE WHEN before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, '00000000' AS n, CAST(NULL AS VARCHAR) AS s, '00000003I' AS u, '00000006II' AS a FROM c
+  UNION ALL
+  SELECT conv_id, k, n, s, least(u, WAY(n,3,I), WAY(s,3,I), WAY(a,3,I)), least(a, WAY(least(u, WAY(n,3,I), WAY(s,3,I), WAY(a,3,I)),3,I)) FROM (
+    SELECT w.conv_id, r.k, WAY(n,4,D) AS n, least(WAY(s,4,D), CASE WHEN NOT gone AND i = 's' THEN WAY(n,e,K) END) AS s,
+      least(WAY(u,4,D), CASE WHEN NOT gone AND i = 'u' THEN least(WAY(n,e,K), WAY(s,e,K), WAY(a,e,K)) END, CASE WHEN NOT gone THEN least(WAY(n,3 + e,R), WAY(s,3 + e,R), WAY(a,3 + e,R)) END) AS u,
+      least(WAY(a,4,D), CASE WHEN NOT gone AND i = 'a' THEN WAY(u,e,K) END, CASE WHEN NOT gone THEN WAY(u,3 + e,R) END) AS a
+    FROM w JOIN (SELECT *, CASE WHEN cut THEN 3 ELSE 0 END AS e FROM r) r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k + 1)),
+z AS (SELECT c.*, CAST(left(least(w.n, w.a), 8) AS BIGINT) AS cost, substr(least(w.n, w.a), 9) AS audit FROM w JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.k),
+l AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM z),
+m AS (SELECT conv_id, p, audit[p] AS x, len(regexp_replace(left(audit, p), 'I', '', 'g')) AS k, len(regexp_replace(left(audit, p - 1), 'D', '', 'g')) + len(regexp_replace(audit, 'D', '', 'g')) % 2 AS j FROM l WHERE audit[p] <> 'D'),
+t AS (SELECT m.conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN j % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired FROM m LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.k = m.k AND x <> 'I' GROUP BY m.conv_id)
+SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+OP12 = OP12.replace("CRC_TABLE", _CRC_TABLE).replace("CRC", _CRC.format("s"))
+_WAY = re.compile(r"WAY\((\w),([^,()]+),(\w)\)|WAY\((least\([^W]*\)),([^,()]+),(\w)\)")
+while "WAY(" in OP12:  # the inner ones first
+    OP12 = _WAY.sub(lambda m: f"lpad(CAST(CAST(left({m[1] or m[4]}, 8) AS INT) + {m[2] or m[5]} AS VARCHAR), 8, '0') || substr({m[1] or m[4]}, 9) || '{m[3] or m[6]}'", OP12)
+
+SQL = {"op1_chat": chat.ORACLE, "op8_decontamination": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10, "op11_merkle": OP11, "op12_turns": OP12}
