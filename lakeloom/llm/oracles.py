@@ -108,4 +108,13 @@ _WAY = re.compile(r"WAY\((\w),([^,()]+),(\w)\)|WAY\((least\([^W]*\)),([^,()]+),(
 while "WAY(" in OP12:  # the inner ones first
     OP12 = _WAY.sub(lambda m: f"lpad(CAST(CAST(left({m[1] or m[4]}, 8) AS INT) + {m[2] or m[5]} AS VARCHAR), 8, '0') || substr({m[1] or m[4]}, 9) || '{m[3] or m[6]}'", OP12)
 
-SQL = {"op1_chat": chat.ORACLE, "op8_decontamination": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10, "op11_merkle": OP11, "op12_turns": OP12}
+# every pair; where the error bounds lose no neighbour the search returns these rows
+OP13 = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+SQL = {"op1_chat": chat.ORACLE, "op8_decontamination": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10, "op11_merkle": OP11, "op12_turns": OP12, "op13_onebit": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, chat, decontam, maxent, merkle, minhash, oracles, repair, simhash, substr, tokencount, toxicity, turns
+from lakeloom.llm import bpe, chat, decontam, maxent, merkle, minhash, onebit, oracles, repair, simhash, substr, tokencount, toxicity, turns
 from lakeloom.llm._common import table
 
 
@@ -67,8 +67,12 @@ def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_toxicity, op3_bpe, op4_simhash, op5_maxent, op6_repair, op7_token_counts, op8_decontamination, op9_minhash_dedup, op10_substring_dedup, op11_merkle, op12_turns)}
+    return {f.__name__: f for f in (op1_chat, op2_toxicity, op3_bpe, op4_simhash, op5_maxent, op6_repair, op7_token_counts, op8_decontamination, op9_minhash_dedup, op10_substring_dedup, op11_merkle, op12_turns, op13_onebit)}
 
 
 def oracle_sql() -> dict[str, str]:
