@@ -4,8 +4,7 @@ Tokens are words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end after each
 gathered over the whole corpus: each chunk of documents asks once about each distinct word, per key partition; words of
 different chunks are told apart by their bytes.
 
-P(token | history) is a product of softmaxes over hashed features (previous word, previous two, and two skip features, of which the
-softmaxes inside a class use the nearer). The first chooses one of 16 head or 16 tail classes. The HEAD most frequent tokens lie in the head classes, and a second softmax
+P(token | history) is a product of softmaxes over hashed features (previous word, previous two, and two skip features). The first chooses one of 16 head or 16 tail classes. The HEAD most frequent tokens lie in the head classes, and a second softmax
 chooses among the 32 of one. The other tokens that occur LEAST times or more lie in tail classes by their last two bytes, each
 a tree in order of their counts: a node holds FAN words and leads to FAN further nodes, and each node on the way has its own
 softmax, so places grow with the vocabulary and a token costs the logarithm of it. Place 0 of a tail class is all rarer words,
@@ -31,7 +30,6 @@ HEAD_CLASSES, SLOTS, TAIL_CLASSES = 16, 32, 16
 HEAD, CLASSES = HEAD_CLASSES * SLOTS, HEAD_CLASSES + TAIL_CLASSES
 LEAST, FAN = 100, SLOTS // 2
 LEAST_BITS, ROWS_PER_WORD, BATCH, RATE, ROUNDS = 14, 2, 1 << 13, 0.45, 2
-INNER = 3  # features of the softmaxes inside a class: all but the farthest word
 END = np.uint64(0x0D0C0B0A01020304)
 ADD = 0.1
 
@@ -132,7 +130,7 @@ class Model:
 
     def inner(self, features: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Rows of the softmax of a node: features crossed with the node."""
-        return self.rows((features[:, :INNER] ^ mix(nodes.astype(np.uint64) + np.uint64(1))[:, None]) * np.uint64(ODD))
+        return self.rows((features ^ mix(nodes.astype(np.uint64) + np.uint64(1))[:, None]) * np.uint64(ODD))
 
     @staticmethod
     def powers(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, most: float | None = None) -> tuple[np.ndarray, np.ndarray]:
