@@ -14,7 +14,8 @@ documents: tasks follow the gradient over their share in small batches from the
 weights are averaged by how often each task met them (distributed gradient updates, combined by block of rows so that no
 task holds all updates). Each trainer holds the weights twice; trainers are as many as cores.
 
-Null and empty texts are one end. A null doc_id belongs to training (it has no remainder). Repeated rows count once each.
+Null and empty texts are one end. A null doc_id belongs to training (it has no remainder). Repeated rows count once each. An empty table gives
+an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

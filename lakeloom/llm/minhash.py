@@ -16,7 +16,7 @@ signature with 2e-8 or by sketch with 7e-9 (binomial tails for large sets), whic
 two classes. Texts with fewer words than a shingle are one shingle;
 texts without words (null, empty) are linked with nothing. Rows without doc_id are linked with nothing and kept
 (component_id null). Repeated rows get the same answer each; texts of different rows with one doc_id that represents them
-count as one document, linked by any of them.
+count as one document, linked by any of them. An empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ decoded from its own part of the sequence alone. A shard is one row of a table w
     32-bit arrays: ids in each document, left and right symbol of each rule, expansion length of each rule, the sequence.
     Symbols under FIRST_RULE are ids, FIRST_RULE + k is rule k. All little-endian.
 
-Null and empty texts hold the end id alone. Repeated rows are written once each.
+Null and empty texts hold the end id alone. Repeated rows are written once each. An empty table gives files without documents and an empty
+result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

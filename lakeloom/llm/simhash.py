@@ -7,7 +7,8 @@ likeness of two fingerprints is 1 - distance / 64.
 The search cuts fingerprints into BLOCKS blocks. Two fingerprints within `radius` bits agree in all but radius blocks, so a
 table for each choice of BLOCKS - radius blocks, keyed by their bits, holds them under one key; a pair counts in the first
 table that holds it. Equal fingerprints are joined to one before. A text without words (null, empty) has fingerprint 0. Rows of one doc_id
-follow each other by a hash of their texts; a table of one row has itself as next; an empty one gives an empty result. RADIUS 3 of
+follow each other by a hash of their texts; a table of one row has itself as next; an empty one gives an empty result; further columns
+are not read, whatever their names. RADIUS 3 of
 64 stands for copies with a few changed words: by the angle between term vectors, texts of five-word shingle similarity 0.95 differ
 by about 3 bits, those of 0.8 by about 6.
 """

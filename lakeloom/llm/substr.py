@@ -11,7 +11,7 @@ ones start twice or more. A window that a third of the documents hold is asked a
 Windows are runs of words `[^\\x20\\x09-\\x0D]+` of one document, named by two independent 64-bit hashes of their words (beyond the
 first full level by one, made from those of the halves). Null and
 empty texts have no words; texts shorter than a window lose nothing; repeated rows count as documents of their own, so all
-words of a copied text that fills a window go. An empty table gives an empty result.
+words of a copied text that fills a window go. An empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ before the first separator, the lengths between separators, and what is left beh
 of a file joins what is left to the first length of a later block.
 
 Null and empty texts count 0 ids. Ids that would equal the end id cannot occur in a document (special tokens in texts are
-encoded as ordinary text). Repeated rows count once each.
+encoded as ordinary text). Repeated rows count once each. An empty table gives an empty result; further columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from lakeloom.llm import toxicity
+from lakeloom.llm._common import Texts, mix, word_hashes
 
 
 def corpus(n=900):
@@ -73,3 +75,74 @@ def test_chosen_slots_are_those_of_chi_square(spark):
         expected = seen * y.mean()
         score = np.where(seen >= 3, (positive - expected) ** 2 / np.maximum(expected * (1 - seen / len(y)), 1e-9), 0)
         assert slots == set(np.flatnonzero(score > 0).tolist()) and len(slots) < toxicity.FEATURES
+
+
+def plain_features(text):
+    """Slots and counts of a text's words and word beginnings, one at a time."""
+    out = {}
+    for word in (text or "").split():
+        own = "".join(c.lower() if "A" <= c <= "Z" else c for c in word).encode()
+        for k, length in enumerate(toxicity._BEGINNINGS):
+            part = own[:length] if length else own
+            slot = int(word_hashes(Texts.of(pa.array([part], pa.binary())), np.array([0]), np.array([len(part)]), k)[0] % np.uint64(toxicity.SLOTS))
+            out[slot] = out.get(slot, 0) + 1
+    return out
+
+
+def plain_choice(features, y):
+    """The slots that tell the classes apart best, of those that three documents or more have."""
+    n, positive, score = len(y), sum(y), {}
+    for slot in {s for f in features for s in f}:
+        seen = [k for k, f in enumerate(features) if slot in f]
+        if len(seen) >= 3:
+            expected = len(seen) * positive / n
+            score[slot] = (sum(y[k] for k in seen) - expected) ** 2 / max(expected * (1 - len(seen) / n), 1e-9)
+    return sorted(sorted((s for s in score if score[s] > 0), key=lambda s: (-score[s], s))[: toxicity.FEATURES])
+
+
+def plain_fit(features, slots, before, y, rounds=200, l1=3e-4):
+    """L1 logistic regression by proximal descent with momentum, in double precision over a dense matrix: a function from features and earlier odds to odds."""
+    x = np.array([[f.get(s, 0) > 0 for s in slots] + [np.log1p(f.get(s, 0)) for s in slots] + list(b) for f, b in zip(features, before, strict=True)], float).reshape(len(y), -1)
+    y = np.array(y, float)
+    b = faster_b = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    step = 1 / (0.3 * np.linalg.norm(x, 2) ** 2 / len(y) + 1e-6)
+    w = faster = np.zeros(x.shape[1])
+    t = 1.0
+    for _ in range(rounds):
+        error = 1 / (1 + np.exp(-(x @ faster + faster_b))) - y
+        new = faster - step * (x.T @ error) / len(y)
+        new, new_b = np.sign(new) * np.maximum(abs(new) - l1 * step, 0), faster_b - error.mean()
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        faster, faster_b = new + (t - 1) / later * (new - w), new_b + (t - 1) / later * (new_b - b)
+        w, b, t = new, new_b, later
+    return lambda f, before: float(np.array([f.get(s, 0) > 0 for s in slots] + [np.log1p(f.get(s, 0)) for s in slots] + list(before), float) @ w + b)
+
+
+def test_chain_equals_a_plain_one(spark):
+    """Folds, choice of slots, fits, out-of-fold odds and chained scores, made again without Spark over dense matrices in double precision."""
+    rows, labels = corpus(160)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, spark.createDataFrame(labels[:120], "doc_id long, quality int, toxic int")).collect()}
+    known = [plain_features(t) for _, t, _ in rows[:120]]
+    folds = [int(mix(np.array([i], np.uint64))[0] % np.uint64(toxicity.FOLDS)) for i in range(120)]
+    targets = [[1 - q for _, q, _ in labels[:120]], [t for _, _, t in labels[:120]]]
+    models, before = [], [[] for _ in known]
+    for c, y in enumerate(targets):
+        models.append(plain_fit(known, plain_choice(known, y), before, y))
+        if c == 0:
+            apart = [0.0] * len(known)
+            for fold in set(folds):
+                use = [k for k in range(120) if folds[k] != fold]
+                own = [known[k] for k in use], [y[k] for k in use]
+                model = plain_fit(own[0], plain_choice(*own), [[] for _ in use], own[1])
+                for k in range(120):
+                    if folds[k] == fold:
+                        apart[k] = float(np.clip(model(known[k], []), -10, 10))
+            before = [[x] for x in apart]
+    for i, text, _ in rows:
+        f = plain_features(text)
+        first = float(np.clip(models[0](f, []), -10, 10))
+        second = models[1](f, [first])
+        assert abs(got[i].low_quality - 1 / (1 + np.exp(-first))) < 2e-4
+        assert abs(got[i].toxic - 1 / (1 + np.exp(-np.clip(second, -10, 10)))) < 2e-4
+        assert got[i].rejected == (got[i].toxic >= 0.5)
