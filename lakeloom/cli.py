@@ -66,6 +66,15 @@ class Commands:
             raise SystemExit(f"no active statement {sql_id}")
         return rebuild.incremental(self.warehouse, rows, self.schema(), tables=self.table("tables"))
 
+    def task_edges(self, sql_id: str) -> dict:
+        """What one statement's edges are when they are folded alone, before the next rebuild."""
+        raw = self.warehouse.store.current("raw")
+        if raw is None:
+            raise SystemExit("no lineage yet: run full-rebuild first")
+        task = self.spark.createDataFrame([(sql_id,)], "sql_id string")
+        own = rebuild.incremental_task(self.warehouse, raw.filter(F.col("sql_id") == sql_id), task, self.table("tables"))
+        return {"edges": [f"{r.src} > {r.dst}" for r in own.filter("edge_level = 'table'").orderBy("src", "dst").collect()]}
+
     def _edges(self) -> DataFrame:
         edges = self.warehouse.edges
         if edges is None:
@@ -101,7 +110,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     collect = sub.add_parser("collect-sql")
     collect.add_argument("--url", required=True)
     collect.add_argument("--since")
-    sub.add_parser("incremental").add_argument("--sql-id", required=True)
+    for name in ("incremental", "task-edges"):
+        sub.add_parser(name).add_argument("--sql-id", required=True)
     for name in ("full-rebuild", "coverage", "vectorize", "healthcheck", "weekly-report"):
         sub.add_parser(name)
     given = vars(parser.parse_args(args))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import CONFIDENCE, confidence_rank
+from lakeloom.operators.reach import strong_components, turned
 from lakeloom.sources.tables import counted, stored
 
 
@@ -48,16 +49,41 @@ def fold(edges: DataFrame, tmp: DataFrame) -> DataFrame:
     )
 
 
+def _reached(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes of start(node) and all that edges(src, dst) lead to from them."""
+    frontier, n, _ = counted(start.select("node").distinct(), "reached")
+    seen = frontier
+    while n:
+        step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
+        frontier, n, _ = counted(step.join(seen, "node", "left_anti"), "reached")
+        if n:
+            seen = seen.union(frontier)
+    return seen
+
+
 def used_edges(edges: DataFrame, tmp: DataFrame) -> DataFrame:
-    """edge_id of the edges on any complete chain. Every simple chain is followed, so this is for the few edges of one task."""
+    """edge_id of the edges on any complete chain (each tmp node once). An edge that leads from what a head feeds to what leads to an end
+    is on one, unless it lies inside a cycle of tmp nodes; only there chains are followed, from where they come in to where they leave."""
     marked = _marked(edges, tmp)
-    frontier = marked.filter("not src_tmp and dst_tmp").select(F.col("dst").alias("at"), F.array("edge_id").alias("chain"), F.array("dst").alias("visited"))
-    onward, done = marked.filter("src_tmp").select("src", "dst", "dst_tmp", "edge_id"), marked.filter("false").select("edge_id")
-    while not frontier.isEmpty():
+    inner = stored(marked.filter("src_tmp and dst_tmp").select("src", "dst").distinct(), "inner")
+    heads = _reached(marked.filter("not src_tmp and dst_tmp").select(F.col("dst").alias("node")), inner)
+    ends = _reached(marked.filter("src_tmp and not dst_tmp").select(F.col("src").alias("node")), turned(inner))
+    part = strong_components(inner)
+    side = lambda c, known, flag: known.select(F.col("node").alias(c), F.lit(True).alias(flag))
+    through = marked.filter("src_tmp or dst_tmp").join(side("src", heads, "fed"), "src", "left").join(side("dst", ends, "leads"), "dst", "left")
+    through = through.filter("(not src_tmp or fed) and (not dst_tmp or leads)").select("edge_id", "src", "dst", "src_tmp", "dst_tmp")
+    for c in ("src", "dst"):
+        through = through.join(part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left")
+    through = stored(through.withColumn("inside", F.coalesce(F.col("src_tmp") & F.col("dst_tmp") & (F.col("src_part") == F.col("dst_part")), F.lit(False))), "through")
+    across, onward = through.filter("not inside"), through.filter("inside").select("src", "dst", "edge_id")
+    out = across.filter("src_tmp").select(F.col("src").alias("leaves")).distinct()
+    done = across.select("edge_id")
+    frontier, n = across.filter("dst_tmp").select(F.col("dst").alias("at"), F.array().cast(f"array<{dict(edges.dtypes)['edge_id']}>").alias("chain"), F.array("dst").alias("visited")).distinct(), 1
+    while n:
         step = frontier.join(onward, frontier["at"] == onward["src"]).filter(~F.array_contains("visited", F.col("dst")))
-        step = stored(step.select("dst", "dst_tmp", F.array_append("chain", F.col("edge_id")).alias("chain"), "visited"), "steps")
-        done = done.union(step.filter("not dst_tmp").select(F.explode("chain").alias("edge_id")))
-        frontier = step.filter("dst_tmp").select(F.col("dst").alias("at"), "chain", F.array_append("visited", F.col("dst")).alias("visited"))
+        frontier, n, _ = counted(step.select(F.col("dst").alias("at"), F.array_append("chain", F.col("edge_id")).alias("chain"), F.array_append("visited", F.col("dst")).alias("visited")), "steps")
+        if n:
+            done = done.union(frontier.join(out, frontier["at"] == out["leaves"], "left_semi").select(F.explode("chain").alias("edge_id")))
     return done.distinct()
 
 

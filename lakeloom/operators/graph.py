@@ -1,4 +1,4 @@
-"""Lineage graphs as node and edge DataFrames: closure, cycles, traversal, paths, impact, families.
+"""Lineage graphs as node and edge DataFrames: closure, traversal, paths, impact, families (see reach.py for cycles, labels and deltas).
 
 Loops run one job a level and write each level to the shared folder, so plans stay short and no level lives on the driver.
 """
@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.sources.tables import counted, stored
 
-MAX_REGION = 5_000_000
-MAX_NODES = 200
-
+MAX_NODES, MAX_HOPS = 200, 2000
 
 
 def _plain(edges: DataFrame) -> DataFrame:
@@ -38,24 +36,6 @@ def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return seen
 
 
-def cycle_pairs(closed: DataFrame) -> DataFrame:
-    """a < b that reach each other."""
-    back = closed.select(F.col("ancestor").alias("b"), F.col("descendant").alias("a"))
-    return closed.select(F.col("ancestor").alias("a"), F.col("descendant").alias("b")).filter("a < b").join(back, ["a", "b"], "left_semi")
-
-
-def patched(closed: DataFrame, old_edges: DataFrame, new_edges: DataFrame, targets: DataFrame, most: int = MAX_REGION) -> DataFrame:
-    """The closure after edges around targets(node) changed: rows from every old or new ancestor of a target (itself included)
-    are made anew, the rest stays. Too large a region (more than most rows) is a full rebuild."""
-    reached = lambda edges: closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets.select(F.col("node").alias("src")))
-    above = reached(old_edges).unionByName(reached(new_edges)).select(F.col("descendant").alias("src")).union(targets.select("node")).distinct()
-    above = stored(above, "region")
-    region = closed.join(above, closed["ancestor"] == above["src"], "left_semi")
-    if region.count() > most:
-        return closure(new_edges)
-    return closed.join(above, closed["ancestor"] == above["src"], "left_anti").unionByName(closure(new_edges, above))
-
-
 def lineage(edges: DataFrame, start: DataFrame, upstream: bool = False, depth: int = 3) -> DataFrame:
     """start(node), edges(src, dst, ...) → every edge row met, with level; a node is expanded once, at its least level."""
     here, there = ("dst", "src") if upstream else ("src", "dst")
@@ -80,6 +60,23 @@ def capped(hops: DataFrame, most: int = MAX_NODES) -> tuple[DataFrame, bool]:
     return both, ends.count() > most
 
 
+def neighbourhood(edges: DataFrame, node, upstream: bool = False, depth: int = 3, most: int = MAX_NODES) -> tuple[list[dict], bool]:
+    """What lineage gives for one node, for a reader who waits: edge rows with their level, and whether it stopped at `most` nodes. Each level is
+    one filtered read for at most `most` names, which the scan can prune by; nothing is written or shuffled."""
+    here, there = ("dst", "src") if upstream else ("src", "dst")
+    frontier, seen, out = [node], {node}, []
+    for level in range(1, min(depth, 5) + 1):
+        rows = edges.filter(F.col(here).isin(frontier)).orderBy("src", "dst").limit(MAX_HOPS).collect()
+        new = sorted({r[there] for r in rows} - seen - {None})
+        cut = len(rows) == MAX_HOPS or len(seen) + len(new) > most
+        kept = seen | set(new[: max(0, most - len(seen))])
+        out += [r.asDict() | {"level": level} for r in rows if r[there] in kept]
+        frontier, seen = sorted(kept - seen), kept
+        if cut or not frontier:
+            return out, cut
+    return out, False
+
+
 def card(hops: DataFrame) -> DataFrame:
     """hops(level, src, dst, confidence) → a row for each level: how many hops, how many of them not of high confidence, and both ends
     of those as texts in order."""

@@ -187,8 +187,9 @@ def gold_report(tables: DataFrame, edges: DataFrame) -> tuple[str, bool]:
 
 
 def health(runs: DataFrame, closure_rows: int, failed_sql: int, as_of: Column, oldest_hours: int = 26, most_failed: int = 200) -> DataFrame:
-    """runs(run_id, run_type, status, started_at) → problem rows; none means healthy."""
-    last = runs.filter("run_type = 'full'").agg(F.max_by("status", "run_id").alias("status"), F.max_by("started_at", "run_id").alias("at"))
+    """runs(run_id, run_type, status, started_at) → problem rows; none means healthy. The last full run is the one that started last (of two at
+    one moment the one of the greater id)."""
+    last = runs.filter("run_type = 'full'").agg(F.max_by(F.struct("status", "started_at"), F.struct("started_at", "run_id")).alias("last")).select("last.status", F.col("last.started_at").alias("at"))
     checks = {
         "no_full_run": F.col("at").isNull(),
         "full_run_too_old": F.col("at") < as_of - F.expr(f"interval {oldest_hours} hours"),

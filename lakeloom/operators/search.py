@@ -12,7 +12,7 @@ from lakeloom.operators.diff import hash_diff
 from lakeloom.operators.graph import families
 from lakeloom.sources.tables import Generations, stored
 
-DIMENSIONS = 256
+DIMENSIONS, MOST_QUERIES = 256, 1000
 CASELESS = "UNICODE_CI_AI"
 
 
@@ -31,13 +31,13 @@ def exact(glossary: DataFrame, tables: DataFrame, columns: DataFrame, keyword: s
 
 def full_text(documents: DataFrame, keyword: str, n: int = 2, most: int = 10) -> DataFrame:
     """documents(id, text) by the sum over the keyword's n-grams of tf * idf ** 2, idf = log10(documents / documents with the gram):
-    id, score, confidence (at most 0.99)."""
+    id, score (above 0: a gram that all documents have finds none), confidence (at most 0.99). For many keywords see textindex.GramIndex."""
     spark = documents.sparkSession
     wanted = spark.range(1).select(F.explode(F.array_distinct(grams(F.lower(F.lit(keyword)), n))).alias("gram"))
     held = documents.select("id", F.explode(grams(F.lower("text"), n)).alias("gram")).join(F.broadcast(wanted), "gram").groupBy("id", "gram").agg(F.count("*").alias("tf"))
     df = held.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(documents.agg(F.count("*").alias("n"))))
     scored = held.join(F.broadcast(df), "gram").groupBy("id").agg(F.sum(F.col("tf") * F.pow(F.log10(F.col("n") / F.col("df")), 2)).alias("score"))
-    return scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(most).withColumn("confidence", F.least("score", F.lit(0.99)))
+    return scored.withColumn("score", F.round("score", 6)).filter("score > 0").orderBy(F.desc("score"), "id").limit(most).withColumn("confidence", F.least("score", F.lit(0.99)))
 
 
 def fuzzy(terms: DataFrame, keyword: str, least: float = 85.0) -> DataFrame:
@@ -47,7 +47,10 @@ def fuzzy(terms: DataFrame, keyword: str, least: float = 85.0) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
-    """vectors(id, embedding), query(query_id, embedding) of a few rows → for each query the k nearest by cosine: rank, confidence."""
+    """vectors(id, embedding), query(query_id, embedding) of MOST_QUERIES rows at most → for each query the k nearest by cosine: rank, confidence. A
+    scan of all vectors; vectorcells.VectorCells leaves cells out and takes any number of queries."""
+    if query.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: use VectorCells")
     near = vectors.join(F.broadcast(query.withColumnRenamed("embedding", "q"))).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("confidence"))
     order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -136,8 +139,9 @@ def vector_texts(glossary: DataFrame, columns: DataFrame, tables: DataFrame) ->
     return terms.unionByName(own), joined.filter("reason is not null").groupBy("reason").count()
 
 
-def search(glossary: DataFrame, tables: DataFrame, columns: DataFrame, closed: DataFrame, keyword: str, domain: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """The first stage that finds anything, its candidates merged into families (see graph.families)."""
+def search(glossary: DataFrame, tables: DataFrame, columns: DataFrame, closed: DataFrame, keyword: str, domain: str | None = None, vectors: DataFrame | Collection | None = None) -> DataFrame:
+    """The first stage that finds anything, its candidates merged into families (see graph.families). vectors: (id, embedding), or a stored
+    collection, for the last stage."""
     found = exact(glossary, tables, columns, keyword)
     if found.isEmpty():
         online = tables.filter("is_online and coalesce(layer, '') <> 'tmp'")
@@ -146,8 +150,12 @@ def search(glossary: DataFrame, tables: DataFrame, columns: DataFrame, closed: D
         by_text = full_text(texts, keyword).select(F.lit("table").alias("kind"), F.col("id").alias("candidate"), F.col("id").alias("node"), "confidence")
         found = by_text.unionByName(fuzzy(names, keyword).select(F.lit("term").alias("kind"), F.col("id.term").alias("candidate"), F.col("id.ref_table").alias("node"), "confidence"))
         if vectors is not None and found.isEmpty():
-            query = hash_embedding(tables.sparkSession.createDataFrame([(0, keyword)], "id long, text string")).withColumnRenamed("id", "query_id")
-            found = nearest(vectors, query, 5, 0.6).select(F.lit("vector").alias("kind"), F.col("id").alias("candidate"), F.regexp_extract("id", r"^column:(.*)\.[^.]*$", 1).alias("node"), "confidence")
+            if isinstance(vectors, Collection):
+                near = vectors.query(keyword)
+            else:
+                query = hash_embedding(tables.sparkSession.createDataFrame([(0, keyword)], "id long, text string")).withColumnRenamed("id", "query_id")
+                near = nearest(vectors, query, 5, 0.6)
+            found = near.select(F.lit("vector").alias("kind"), F.col("id").alias("candidate"), F.regexp_extract("id", r"^column:(.*)\.[^.]*$", 1).alias("node"), "confidence")
             found = found.withColumn("node", F.when(F.col("node") != "", F.col("node")))
     about = tables.select(F.col("full_name").alias("node"), "layer", "domain").dropDuplicates(["node"])
     certified = glossary.groupBy(F.col("term").alias("candidate")).agg(F.max(F.col("certified").cast("int")).alias("certified"))

@@ -18,7 +18,10 @@ MAX_ROWS, TIMEOUT_S, AT_ONCE = 1000, 30, 10
 BASE = "base"  # what definitions call their base table
 #: Fields that make a query one about customers.
 CUSTOMER_FIELDS = {"cust_no", "cust_name", "id_card", "mobile"}
-_SLOTS = threading.BoundedSemaphore(AT_ONCE)
+#: channel → how many of its requests run at a time; each channel has a scheduler pool of its own name, so with spark.scheduler.mode FAIR
+#: free questions take no more than their share of the cluster from metrics
+_SLOTS = {"semantic": threading.BoundedSemaphore(AT_ONCE), "adhoc": threading.BoundedSemaphore(AT_ONCE // 2)}
+POOL = "spark.scheduler.pool"
 
 
 class PlanError(ValueError):
@@ -268,6 +271,28 @@ def tables_in(nodes: list) -> set[str]:
     return {".".join(seq(n.multipartIdentifier())) for n in nodes if name_of(n) == "UnresolvedRelation"}
 
 
+#: what may stand before a path in FROM: readers of files and of other stores
+FORMATS = frozenset("parquet orc csv json text avro delta iceberg hudi xml binaryfile jdbc libsvm image".split())
+
+
+def guard_tables(spark: SparkSession, nodes: list, blacklist: frozenset[str] | set[str]) -> None:
+    """No path of a file, and no table of the blacklist under any of its names: with or without catalog and database, in any letter case. A
+    WITH query that has the name of a barred table is refused too."""
+    at_home = spark.catalog.currentDatabase().lower()
+    barred = {tuple(b.lower().split(".")[-2:]) for b in blacklist}
+    refused, paths = [], []
+    for n in (x for x in nodes if name_of(x) == "UnresolvedRelation"):
+        parts = tuple(x.lower() for x in seq(n.multipartIdentifier()))
+        if any(re.search(r"[/\\:*?.]", x) for x in parts) or any(x in FORMATS for x in parts[:-1]):
+            paths.append(".".join(parts))
+        elif parts[-2:] in barred or parts[-1:] in barred or (len(parts) == 1 and (at_home, *parts) in barred):
+            refused.append(".".join(parts))
+    if paths:
+        raise Rejected(f"files may not be read: {', '.join(sorted(paths))}")
+    if refused:
+        raise Rejected(f"tables may not be read: {', '.join(sorted(refused))}")
+
+
 def _top(plan):
     """What the statement selects, and whether a LIMIT of its own is on it (not that of a subquery)."""
     limited = False
@@ -287,8 +312,7 @@ def guard_select(spark: SparkSession, sql: str, blacklist: frozenset[str] | set[
     top, limited = _top(plan)
     if name_of(top) in ("Union", "Distinct") and any(name_of(c) == "Union" for c in [top, *seq(top.children())]):
         raise Rejected("set operations may not run")
-    if barred := sorted(t for t in tables_in(nodes) if t.lower() in {b.lower() for b in blacklist}):
-        raise Rejected(f"tables may not be read: {', '.join(barred)}")
+    guard_tables(spark, nodes, blacklist)
     guard_functions(spark, nodes)
     if not limited:
         raise Rejected("the statement needs a LIMIT")
@@ -332,19 +356,23 @@ def run_compiled(spark: SparkSession, compiled: Compiled, blacklist: frozenset[s
     return df.withColumns({c: masked(F.col(c)) for c in compiled.masked}) if compiled.masked else df
 
 
-def execute(spark: SparkSession, df: DataFrame, timeout_s: float = TIMEOUT_S) -> dict:
-    """Columns, rows, row_count and cost_ms; at most AT_ONCE at a time, cancelled after the timeout."""
-    group, began = f"metric-{id(df)}-{time.time()}", time.time()
-    with _SLOTS:
+def execute(spark: SparkSession, df: DataFrame, timeout_s: float = TIMEOUT_S, channel: str = "semantic") -> dict:
+    """Columns, rows, row_count, cost_ms and pool. Jobs run in the channel's scheduler pool; at most as many of a channel at a time as it has
+    slots; cancelled after the timeout."""
+    group, began, context = f"metric-{id(df)}-{time.time()}", time.time(), spark.sparkContext
+    with _SLOTS[channel]:
         timer = threading.Timer(timeout_s, spark.interruptTag, [group])
         timer.start()
         spark.addTag(group)
+        before = context.getLocalProperty(POOL)
+        context.setLocalProperty(POOL, channel)
         try:
             rows = df.limit(MAX_ROWS).collect()
         finally:
+            context.setLocalProperty(POOL, before)
             spark.removeTag(group)
             timer.cancel()
-    return {"columns": df.columns, "rows": [list(r) for r in rows], "row_count": len(rows), "cost_ms": int(1000 * (time.time() - began))}
+    return {"columns": df.columns, "rows": [list(r) for r in rows], "row_count": len(rows), "cost_ms": int(1000 * (time.time() - began)), "pool": channel}
 
 
 AUDIT_SCHEMA = "user_id string, channel string, metric string, version int, sql_text string, row_policy string, status string, refuse_reason string, row_count int, cost_ms int"
@@ -395,7 +423,7 @@ def query_adhoc(spark: SparkSession, question: str, scope: list[str], to_sql, us
         text = to_sql(question, adhoc_context(spark, scope))
         entry["sql_text"] = text
         sql = guard_scope(spark, text, scope, blacklist=blacklist)
-        data = execute(spark, spark.sql(sql))
+        data = execute(spark, spark.sql(sql), channel="adhoc")
     except (Rejected, AnalysisException) as e:
         audited(spark, audit_path, entry | {"status": "refused", "refuse_reason": str(e)[:2000]})
         return {"error": "Rejected", "message": str(e).splitlines()[0]}

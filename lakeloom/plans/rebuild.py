@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import is_tmp
-from lakeloom.operators import diff, fold, graph
+from lakeloom.operators import diff, fold, graph, reach
 from lakeloom.plans import lineage
 from lakeloom.sources.tables import Generations, stored
 
@@ -61,6 +62,13 @@ class Warehouse:
             row = (run_id, run_type, status, began, datetime.datetime.now(), json.dumps(stats), error)
             self.spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(f"{self.root}/runs")
 
+    @contextmanager
+    def stage(self, stats: dict, name: str):
+        """Adds the seconds that a stage takes to the stats of its run."""
+        began = time.time()
+        yield
+        stats.setdefault("seconds", {})[name] = round(time.time() - began, 3)
+
     def runs(self) -> DataFrame:
         return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.root}/runs")
 
@@ -110,41 +118,48 @@ def full_rebuild(warehouse: Warehouse, statements: list[tuple[str, str]] | DataF
     spark = warehouse.spark
     with warehouse.run("full") as stats:
         texts = active(statements) if isinstance(statements, DataFrame) else statements
-        edges, status = lineage.tables_of(spark, lineage.parse_all(spark, texts, schema, default_db, threads))
-        fresh, old = edge_rows(edges), warehouse.store.current("raw")
-        raw = stored(fresh if old is None else diff.preserved(old, fresh), "raw")
-        whole = stored(_folded(raw, tables), "folded")
-        closed = stored(graph.closure(_table_edges(whole)), "closure")
-        shadows = {name: warehouse.store.write_shadow(name, df) for name, df in (("raw", raw), ("edges", whole), ("closure", closed), ("statuses", status))}
-        stats |= {"statements": len(texts), "edges": whole.count(), "closure": closed.count(), "cycles": graph.cycle_pairs(closed).count()}
+        store, shadows = warehouse.store, {}
+        with warehouse.stage(stats, "parse"):
+            edges, status = lineage.tables_of(spark, lineage.parse_all(spark, texts, schema, default_db, threads))
+        with warehouse.stage(stats, "load"):
+            fresh, old = edge_rows(edges), store.current("raw")
+            shadows |= {"raw": store.write_buckets("raw", fresh if old is None else diff.preserved(old, fresh), "sql_id"), "statuses": store.write_shadow("statuses", status)}
+        with warehouse.stage(stats, "fold"):
+            shadows["edges"] = store.write_shadow("edges", _folded(store.shadow("raw", shadows["raw"]), tables))
+        whole = store.shadow("edges", shadows["edges"])
+        with warehouse.stage(stats, "closure"):
+            shadows["closure"] = store.write_buckets("closure", graph.closure(_table_edges(whole)), "ancestor")
+        sizes = reach.strong_components(_table_edges(whole)).groupBy("component").count()
+        cycles = sizes.agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0))).first()[0]
+        stats |= {"statements": len(texts), "edges": whole.count(), "closure": store.shadow("closure", shadows["closure"]).count(), "cycles": cycles}
         stats["statuses"] = {r["parse_status"]: r["count"] for r in status.groupBy("parse_status").count().collect()}
-        if reason := warehouse.store.swap_guarded(shadows, {"edges": EDGE_BOUND, "closure": CLOSURE_BOUND}):
+        with warehouse.stage(stats, "swap"):
+            reason = store.swap_guarded(shadows, {"edges": EDGE_BOUND, "closure": CLOSURE_BOUND})
+        if reason:
             raise Aborted(reason)
     return stats
 
 
 def incremental(warehouse: Warehouse, statements: list[tuple[str, str]], schema: dict, default_db: str = "default", tables: DataFrame | None = None) -> dict:
-    """Replaces the parsed edges and statuses of changed statements, folds anew and patches the closure around the folded edges that came
-    or went, so that all generations equal those of a full rebuild. A warehouse without generations gets its first ones."""
+    """Replaces the parsed edges and statuses of changed statements, folds anew and applies to the closure the delta of the folded edges that
+    came or went, so that all generations equal those of a full rebuild; of parsed edges and closure only the buckets that change are
+    written. Without a guard, for few statements change much of a small graph. A warehouse without generations gets its first ones."""
     spark = warehouse.spark
     with warehouse.run("incremental") as stats:
         edges, status = lineage.tables_of(spark, lineage.parse_all(spark, statements, schema, default_db))
         ids = spark.createDataFrame([(i,) for i, _ in statements], "sql_id string")
-        fresh, old_raw, old, closed = edge_rows(edges), *(warehouse.store.current(n) for n in ("raw", "edges", "closure"))
-        raw = stored(fresh if old_raw is None else diff.replaced(old_raw, fresh, ids), "raw")
-        whole = stored(_folded(raw, tables), "folded")
+        store, fresh, old, known = warehouse.store, edge_rows(edges), warehouse.edges, warehouse.statuses
+        shadows: dict = {"raw": store.write_buckets("raw", fresh, "sql_id") if old is None else store.patch_buckets("raw", ids, lambda held: diff.replaced(held, fresh, ids))}
+        shadows["edges"] = store.write_shadow("edges", _folded(store.shadow("raw", shadows["raw"]), tables))
+        whole = store.shadow("edges", shadows["edges"])
         if old is None:
-            now = stored(graph.closure(_table_edges(whole)), "closure")
+            shadows["closure"] = store.write_buckets("closure", graph.closure(_table_edges(whole)), "ancestor")
         else:
-            before, after = (_table_edges(x).select("src", "dst").distinct() for x in (old, whole))
-            changed = before.exceptAll(after).union(after.exceptAll(before))
-            touched = stored(changed.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "touched")
-            now = stored(graph.patched(closed, _table_edges(old), _table_edges(whole), touched), "patched")
-        known = warehouse.statuses
-        kept = status if known is None else known.join(ids, "sql_id", "left_anti").unionByName(status)
-        shadows = {name: warehouse.store.write_shadow(name, df) for name, df in (("raw", raw), ("edges", whole), ("closure", now), ("statuses", stored(kept, "statuses")))}
-        warehouse.store.swap(shadows)
-        stats |= {"statements": len(statements), "edges": whole.count(), "closure": now.count(), "statuses": {r["parse_status"]: r["count"] for r in status.groupBy("parse_status").count().collect()}}
+            delta = reach.closure_delta(warehouse.closure, _table_edges(old), _table_edges(whole))
+            shadows["closure"] = store.patch_buckets("closure", delta.select("ancestor"), lambda held: reach.applied(held, delta))
+        shadows["statuses"] = store.write_shadow("statuses", status if known is None else known.join(ids, "sql_id", "left_anti").unionByName(status))
+        store.swap(shadows)
+        stats |= {"statements": len(statements), "edges": whole.count(), "closure": warehouse.closure.count(), "statuses": {r["parse_status"]: r["count"] for r in status.groupBy("parse_status").count().collect()}}
     return stats
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import columns as C
-from lakeloom.operators import diff, fold, graph, quality, search
+from lakeloom.operators import diff, fold, graph, quality, reach, search
 from lakeloom.plans import metrics
-from lakeloom.sources.tables import latest_schema, table
+from lakeloom.sources.tables import latest_schema, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,7 +92,53 @@ def closure_cyc(spark, sf):
 
 @query(walks(RING, 12) + "SELECT x.ancestor AS a, x.descendant AS b FROM k x JOIN k y ON x.ancestor = y.descendant AND x.descendant = y.ancestor WHERE x.ancestor < x.descendant")
 def cycle_pairs(spark, sf):
-    return graph.cycle_pairs(graph.closure(ring(spark, sf)))
+    return reach.cyclic(reach.strong_components(ring(spark, sf)))
+
+
+@query(walks(RING, 12) + """, m AS (SELECT x.ancestor AS node, min(x.descendant) AS least FROM k x JOIN k y ON x.ancestor = y.descendant AND x.descendant = y.ancestor GROUP BY 1)
+SELECT n.node, least(n.node, coalesce(m.least, n.node)) AS component FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) n LEFT JOIN m ON m.node = n.node""")
+def strong_components(spark, sf):
+    return reach.strong_components(ring(spark, sf))
+
+
+def trails(spark, sf):
+    """Long chains: the orders of each nation's customers by number, each leading to the next; every eleventh number leads back too."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    step = o.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(Window.partitionBy("c_nationkey").orderBy("o_orderkey")).alias("dst")).filter("dst is not null")
+    return step.union(step.filter("src % 11 = 0").select("dst", "src"))
+
+
+# a way back over k steps needs k links that lead back
+TRAILS = """WITH o AS (SELECT o_orderkey AS k, c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT *, sum(CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o)
+"""
+
+
+@query(TRAILS + """, p AS (SELECT DISTINCT l_orderkey AS a, o_orderkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey + l_partkey - l_suppkey)
+SELECT p.a, p.b, p.a <> p.b AND x.g = y.g AND (x.i < y.i OR coalesce(x.b, 0) - coalesce(y.b, 0) = x.i - y.i) AS reaches FROM p JOIN t x ON x.k = p.a JOIN t y ON y.k = p.b""")
+def reach_pairs(spark, sf):
+    """A pair for each line of an order, asked of the labels."""
+    pair = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_partkey") - F.col("l_suppkey")).alias("b"))
+    real = table(spark, sf, "orders").select(F.col("o_orderkey").alias("b"))
+    return reach.reaches(reach.hub_labels(trails(spark, sf)), pair.join(real, "b", "left_semi"))
+
+
+@query("SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS ways_forward, CAST(sum(n) AS BIGINT) AS nodes, true AS labels_are_a_fourth_at_most FROM (SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) HAVING sum(n * (n - 1) // 2) > 0")
+def reach_labels(spark, sf):
+    """The size of the labels of long chains against the rows that their closure would have."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    n = F.col("count")
+    sizes = o.groupBy("c_nationkey").count().agg(F.sum(F.expr("count * (count - 1) div 2")).alias("ways_forward"), F.sum(n).alias("nodes"))
+    labels = reach.hub_labels(trails(spark, sf)).agg(F.count("*").alias("labels"))
+    return sizes.join(F.broadcast(labels)).select("ways_forward", "nodes", (4 * F.col("labels") <= F.col("ways_forward")).alias("labels_are_a_fourth_at_most"))
+
+
+@query(walks(DAG, 5) + ", p AS (SELECT DISTINCT 'n:' || c_nationkey AS a, 'p:' || l_partkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) SELECT a, b, min_hops AS hops, path_cnt FROM p JOIN k ON ancestor = a AND descendant = b")
+def path_pairs(spark, sf):
+    """Shortest paths from the nation of every customer to the parts that they ordered."""
+    c, o, l = (table(spark, sf, t) for t in ("customer", "orders", "lineitem"))  # noqa: E741
+    bought = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return reach.path_counts(dag(spark, sf), bought.select(key("n:", "c_nationkey").alias("a"), key("p:", "l_partkey").alias("b")))
 
 
 @query(walks(DAG, 5) + "SELECT descendant, min_hops, path_cnt FROM k WHERE ancestor = 'r:1' ORDER BY min_hops, descendant LIMIT 50 OFFSET 50")
@@ -152,8 +198,22 @@ def grown(spark, sf):
 @query(walks(RING.rstrip(",").replace("e AS", "e0 AS") + ", e AS (SELECT * FROM e0 UNION ALL SELECT * FROM (VALUES (100, 5), (5, 101), (101, 102)) x(src, dst)),", 14) + "SELECT * FROM k")
 def incr_closure(spark, sf):
     old = ring(spark, sf)
-    targets = spark.createDataFrame([(5,), (101,), (102,)], "node long")
-    return graph.patched(graph.closure(old), old, grown(spark, sf), targets)
+    return reach.maintained(graph.closure(old), old, grown(spark, sf))
+
+
+def fewer(e: str) -> str:
+    return f"SELECT src, dst FROM {e} WHERE src <> 7 AND (src + dst) % 9 <> 0"
+
+
+@query("WITH RECURSIVE " + RING.rstrip(",").replace("e AS", "e0 AS") + f", e1 AS ({fewer('e0')} UNION ALL SELECT * FROM (VALUES (100, 5), (5, 101), (101, 102)) x(src, dst)), " + ", ".join(
+    f"""w{i}(a, d, h, c) AS (SELECT src, dst, 1, CAST(1 AS HUGEINT) FROM e{i} WHERE src <> dst UNION ALL SELECT w.a, e.dst, w.h + 1, sum(w.c) FROM w{i} w JOIN e{i} e ON w.d = e.src AND e.src <> e.dst WHERE w.h < 16 GROUP BY w.a, e.dst, w.h),
+k{i} AS (SELECT a AS ancestor, d AS descendant, CAST(min(h) AS INTEGER) AS min_hops, CAST(arg_min(c, h) AS BIGINT) AS path_cnt FROM w{i} WHERE a <> d GROUP BY a, d)""" for i in (0, 1)) + """
+SELECT *, CAST(-1 AS INTEGER) AS sign FROM (SELECT * FROM k0 EXCEPT SELECT * FROM k1) UNION ALL SELECT *, 1 FROM (SELECT * FROM k1 EXCEPT SELECT * FROM k0)""")
+def closure_delta(spark, sf):
+    """Edges come and go: the signed rows between both closures."""
+    old = ring(spark, sf)
+    new = old.filter("src <> 7 and (src + dst) % 9 <> 0").union(spark.createDataFrame([(100, 5), (5, 101), (101, 102)], "src long, dst long"))
+    return reach.closure_delta(graph.closure(old), old, new)
 
 
 @query(f"""WITH RECURSIVE {DAG}

@@ -6,10 +6,12 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,13 @@ def counted(df: DataFrame, label: str, *flags: Column) -> tuple[DataFrame, int,
     return out, found["n"], [bool(found[f"f{k}"]) for k in range(len(flags))]
 
 
+BUCKET = "bucket_number"
+
+
+def bucket_of(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(BUCKET)
+
+
 @dataclass
 class Generations:
     """Tables kept as written generations under one folder. One pointer file names the serving generation of each table and the ones
@@ -70,8 +79,16 @@ class Generations:
         over[0] = kinds.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.getFileSystem(conf).getUri(), conf).rename(new, current, over)
 
-    def _read(self, name: str, generation: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{generation}")
+    def _read(self, name: str, generation: str | dict) -> DataFrame:
+        """A generation is one folder; that of a bucketed table names a folder for each bucket (see write_buckets)."""
+        if isinstance(generation, str):
+            return self.spark.read.parquet(f"{self.root}/{name}/{generation}")
+        return self._buckets(name, generation, generation["folders"])
+
+    def _buckets(self, name: str, generation: dict, numbers: Iterable[str]) -> DataFrame:
+        schema = StructType.fromJson(generation["schema"])
+        paths = [f"{self.root}/{name}/{generation['folders'][b]}/{BUCKET}={b}" for b in numbers]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def current(self, name: str) -> DataFrame | None:
         found = self._pointer().get("current", {}).get(name)
@@ -82,18 +99,47 @@ class Generations:
         df.write.options(compression="zstd").parquet(f"{self.root}/{name}/{generation}")
         return generation
 
-    def delta(self, name: str, shadow: str) -> float:
+    def shadow(self, name: str, generation: str | dict) -> DataFrame:
+        """A generation that may not serve yet."""
+        return self._read(name, generation)
+
+    def write_buckets(self, name: str, df: DataFrame, key: str, n: int = 64) -> dict:
+        """A shadow whose rows are dealt to n buckets by a hash of key. A bucket without rows has no folder."""
+        return {"key": key, "n": n, "schema": df.schema.jsonValue(), "folders": self._dealt(name, df, key, n)}
+
+    def patch_buckets(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> dict:
+        """A shadow of a bucketed table in which only the buckets of keys (a column of the table's key) are made anew, by change from
+        their rows; every other bucket keeps its folder and files. change must not move rows to keys of other buckets. A table without
+        buckets is an error. Nothing is overwritten: readers of the serving generation read on."""
+        now = self._pointer()["current"][name]
+        key, n = now["key"], now["n"]
+        touched = sorted(str(r[0]) for r in keys.select(bucket_of(key, n)).distinct().collect())  # at most n
+        held = [b for b in touched if b in now["folders"]]
+        new = change(self._buckets(name, now, held)).select(StructType.fromJson(now["schema"]).names)
+        folders = {b: f for b, f in now["folders"].items() if b not in touched} | self._dealt(name, new, key, n)
+        return now | {"folders": folders}
+
+    def _dealt(self, name: str, df: DataFrame, key: str, n: int) -> dict[str, str]:
+        generation = f"gen-{uuid.uuid4().hex}"
+        dealt = df.withColumn(BUCKET, bucket_of(key, n)).repartition(BUCKET)
+        dealt.write.options(compression="zstd").partitionBy(BUCKET).parquet(f"{self.root}/{name}/{generation}")
+        path = self._path(f"{name}/{generation}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = [f.getPath().getName() for f in found]
+        return {x.partition("=")[2]: generation for x in names if x.startswith(f"{BUCKET}=")}
+
+    def delta(self, name: str, shadow: str | dict) -> float:
         """Relative change of the row count against the serving generation (0 without one)."""
         now = self.current(name)
         if now is None or not (before := now.count()):
             return 0.0
         return abs(self._read(name, shadow).count() - before) / before
 
-    def swap(self, shadows: dict[str, str]) -> None:
+    def swap(self, shadows: dict[str, str | dict]) -> None:
         now = self._pointer().get("current", {})
         self._point({"current": now | shadows, "previous": now})
 
-    def swap_guarded(self, shadows: dict[str, str], bounds: dict[str, float]) -> str | None:
+    def swap_guarded(self, shadows: dict[str, str | dict], bounds: dict[str, float]) -> str | None:
         """Swaps all shadows together if each table of bounds stays within its bound of relative change; else the old generations keep
         serving and the table that changed too much is named."""
         for name, most in bounds.items():

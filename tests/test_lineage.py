@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lakeloom.sources.transit import CASES, SCHEMA, STATUSES
 
 from lakeloom.functions.columns import is_tmp
-from lakeloom.operators import fold, graph
+from lakeloom.operators import fold, graph, reach
 from lakeloom.plans import lineage
 
 
@@ -80,7 +80,7 @@ def test_from_statements_to_closure(spark, parsed):
     assert folded.filter("src like 'tmp%' or dst like 'tmp%'").isEmpty()
     closed = {(r.ancestor, r.descendant): r.min_hops for r in graph.closure(folded).collect()}
     assert closed["feed.taps", "core.trips"] == 1 and closed["feed.taps", "show.cheap"] == 4 and closed["feed.fares", "core.trip_prices"] == 1
-    assert graph.cycle_pairs(graph.closure(folded)).isEmpty()
+    assert reach.cyclic(reach.strong_components(folded)).isEmpty()
     path = graph.shortest_path(folded, "feed.taps", "show.ranking")
     assert [p.dst for p in path.orderBy("hop").collect()] == ["core.trips", "mart.line_day", "show.ranking"]
     said = graph.path_details(path, folded).orderBy("hop").collect()

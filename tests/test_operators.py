@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.sources.transit import CASES, SCHEMA, STATUSES
 
 from lakeloom.functions.columns import similarity
-from lakeloom.operators import diff, fold, graph, quality, search
+from lakeloom.operators import diff, fold, graph, quality, reach, search
 from lakeloom.plans import lineage, rebuild
 from lakeloom.plans import metrics as M
 from lakeloom.sources import synth
@@ -50,7 +50,7 @@ def test_closure_patch_and_bfs(spark, seed):
     df = lambda e: spark.createDataFrame(e, "src long, dst long")
     closed = graph.closure(df(old))
     assert rows_of(closed) == brute_closure(old)
-    assert rows_of(graph.patched(closed, df(old), df(new), spark.createDataFrame([(3,)], "node long"))) == brute_closure(new)
+    assert rows_of(reach.maintained(closed, df(old), df(new))) == brute_closure(new)
     start = old[0][0]
     hops = graph.lineage(df(old), spark.createDataFrame([(start,)], "node long"), depth=5).collect()
     reached = {h.dst for h in hops} - {start}
@@ -60,8 +60,8 @@ def test_closure_patch_and_bfs(spark, seed):
 def test_small_graphs(spark):
     df = lambda e: spark.createDataFrame(e, "src string, dst string")
     assert rows_of(graph.closure(df([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "d")])))["a", "d"] == (2, 2)
-    loop = graph.closure(df([("a", "b"), ("b", "c"), ("c", "a")]))
-    assert {tuple(r) for r in graph.cycle_pairs(loop).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    loop = df([("a", "b"), ("b", "c"), ("c", "a")])
+    assert {tuple(r) for r in reach.cyclic(reach.strong_components(loop)).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
     assert graph.shortest_path(df([("a", "b")]), "a", "a").isEmpty() and graph.shortest_path(df([("a", "b")]), "b", "a").isEmpty()
     hops, cut = graph.capped(graph.lineage(df([("a", x) for x in "bcdef"]), spark.createDataFrame([("a",)], "node string")), 3)
     assert cut and {r.dst for r in hops.collect()} == {"b", "c"}

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from lakeloom import platform_queries, queries  # noqa: F401  the first adds its queries to those of the second
+from lakeloom import platform_queries, queries, stored_queries  # noqa: F401  the others add their queries to those of the second
 
 
 def key(row):
