@@ -7,7 +7,7 @@ the shared folder; nothing but a round's row count comes to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.sources.tables import counted, stored
@@ -185,20 +185,39 @@ def path_counts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 PAIR = ["ancestor", "descendant"]
 
 
-def affected(old_edges: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ancestor, descendant) whose paths may have changed: a changed edge lies on some way between them, in the old graph or the new
-    one; and the edges of both together."""
-    from lakeloom.operators.graph import closure
+def _spread(ends: DataFrame, steps: DataFrame, jumps: DataFrame, some_jumps: bool) -> DataFrame:
+    """(of, node): what each end of ends(of) leads to, itself included, by a closure, steps(from, far), and further edges, jumps(from, to). A round
+    follows one such edge and the closure behind it."""
 
+    def on(frontier: DataFrame) -> DataFrame:
+        further = frontier.join(steps, frontier["node"] == steps["from"]).select("of", F.col("far").alias("node"))
+        return frontier.union(further).distinct()
+
+    frontier = stored(on(ends.select("of", F.col("of").alias("node"))), "spread")
+    seen, n = frontier, int(some_jumps)
+    while n:
+        jumped = frontier.join(jumps, frontier["node"] == jumps["from"]).select("of", F.col("to").alias("node")).distinct()
+        frontier, n, _ = counted(on(jumped).join(seen, ["of", "node"], "left_anti"), "spread")
+        if n:
+            seen = seen.union(frontier)
+    return seen
+
+
+def affected(closed: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(ancestor, descendant) whose paths may have changed: a changed edge lies on some way between them over old and new edges; and the
+    new edges. None if no edge changed. closed: the closure of the old edges, so only what edges that came add is followed anew."""
     old, new = stored(plain(old_edges), "old"), stored(plain(new_edges), "new")
-    changed = stored(old.exceptAll(new).union(new.exceptAll(old)), "changed")
-    both = stored(old.union(new).distinct(), "both")
-    above = closure(turned(both), changed.select("src").distinct()).select(F.col("ancestor").alias("src"), F.col("descendant").alias("ancestor"))
-    above = above.union(changed.select("src", F.col("src").alias("ancestor"))).distinct()
-    below = closure(both, changed.select(F.col("dst").alias("src")).distinct()).select(F.col("ancestor").alias("dst"), "descendant")
-    below = below.union(changed.select("dst", F.col("dst").alias("descendant"))).distinct()
-    pairs = changed.join(above, "src").join(below, "dst").filter("ancestor <> descendant").select(*PAIR).distinct()
-    return stored(pairs, "affected"), new
+    came = new.exceptAll(old).withColumn("came", F.lit(True))
+    changed, n, (some,) = counted(old.exceptAll(new).withColumn("came", F.lit(False)).union(came), "changed", F.col("came"))
+    if not n:
+        return None
+    came = changed.filter("came")
+    up = closed.select(F.col("descendant").alias("from"), F.col("ancestor").alias("far"))
+    down = closed.select(F.col("ancestor").alias("from"), F.col("descendant").alias("far"))
+    above = _spread(changed.select(F.col("src").alias("of")).distinct(), up, came.select(F.col("dst").alias("from"), F.col("src").alias("to")), some)
+    below = _spread(changed.select(F.col("dst").alias("of")).distinct(), down, came.select(F.col("src").alias("from"), F.col("dst").alias("to")), some)
+    pairs = changed.join(above.select(F.col("of").alias("src"), F.col("node").alias("ancestor")), "src").join(below.select(F.col("of").alias("dst"), F.col("node").alias("descendant")), "dst")
+    return stored(pairs.filter("ancestor <> descendant").select(*PAIR).distinct(), "affected"), new
 
 
 def closure_delta(closed: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
@@ -207,7 +226,10 @@ def closure_delta(closed: DataFrame, old_edges: DataFrame, new_edges: DataFrame)
 
     Only affected pairs are made anew, level by level: a pair of h hops gets its paths from pairs of h - 1 hops whose last node has an
     edge to it. Those are unaffected ones, which the closure knows, or affected ones that the level before has settled."""
-    pairs, new = affected(old_edges, new_edges)
+    found = affected(closed, old_edges, new_edges)
+    if found is None:
+        return closed.filter("false").withColumn("sign", F.lit(0))
+    pairs, new = found
     into = stored(pairs.join(new.withColumnRenamed("dst", "descendant"), "descendant").select(*PAIR, F.col("src").alias("last")), "into")
     known = closed.select("ancestor", F.col("descendant").alias("last"), F.col("min_hops").alias("h"), F.col("path_cnt").alias("c"))
     stays = known.join(pairs.select("ancestor", F.col("descendant").alias("last")), ["ancestor", "last"], "left_anti")
@@ -244,8 +266,3 @@ def applied(closed: DataFrame, delta: DataFrame) -> DataFrame:
 
 def maintained(closed: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
     return applied(closed, closure_delta(closed, old_edges, new_edges))
-
-
-def touched(delta: DataFrame, bucket: Column) -> DataFrame:
-    """The buckets that a delta changes."""
-    return delta.select(bucket.alias("bucket")).distinct()
