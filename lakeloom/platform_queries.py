@@ -607,7 +607,7 @@ def weekly_lines(spark, sf):
 @query(rows_sql("problem VARCHAR", [("full_run_too_old",), ("last_run_not_successful",), ("closure_empty",)]))
 def health_rows(spark, sf):
     now = datetime.datetime(2024, 5, 1)
-    runs = spark.createDataFrame([("1", "full", "success", now), ("2", "full", "aborted", now - datetime.timedelta(hours=27)), ("3", "incremental", "success", now)], "run_id string, run_type string, status string, started_at timestamp")
+    runs = spark.createDataFrame([("1", "full", "success", now - datetime.timedelta(hours=50)), ("2", "full", "aborted", now - datetime.timedelta(hours=27)), ("3", "incremental", "success", now)], "run_id string, run_type string, status string, started_at timestamp")
     return quality.health(runs, 0, 200, F.lit(now))
 
 
