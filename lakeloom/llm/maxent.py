@@ -31,6 +31,7 @@ HEAD_CLASSES, SLOTS, TAIL_CLASSES = 16, 32, 16
 HEAD, CLASSES = HEAD_CLASSES * SLOTS, HEAD_CLASSES + TAIL_CLASSES
 LEAST, FAN = 100, SLOTS // 2
 LEAST_BITS, ROWS_PER_WORD, BATCH, RATE, ROUNDS = 14, 2, 1 << 13, 0.45, 2
+SHORT = 16
 END = np.uint64(0x0D0C0B0A01020304)
 ADD = 0.1
 
@@ -177,17 +178,40 @@ class Model:
         return out
 
 
-def _summed(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows, by halves: in each step every second row of a run is added to the one before it."""
-    while len(rows) > len(sizes):
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        left = np.flatnonzero(place % 2 == 0)
-        sizes = (sizes + 1) // 2
-        two = np.append(np.diff(left), len(rows) - left[-1]) > 1
-        out = rows.take(left, 0)
-        out[two] += rows.take(left[two] + 1, 0)
-        rows = out
-    return rows
+class Rows:
+    """The distinct rows of a batch's features (own, in order, each many times), `at`: the number of each feature's row there, and the
+    features' tokens in the order of their rows, those of each row beginning at `first`. The tables of weights are much larger than a
+    cache, so a batch reads each row of them once."""
+
+    def __init__(self, rows: np.ndarray):
+        flat = rows.ravel()
+        packed = np.sort(flat << 16 | np.arange(len(flat)))  # a batch has fewer than 2**16 features
+        order, ordered = packed & 0xFFFF, packed >> 16
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        self.first = np.flatnonzero(new)
+        self.own, self.many = ordered[self.first], np.diff(np.append(self.first, len(ordered)))
+        self.token, at = order // rows.shape[1], np.empty(len(flat), np.int64)
+        at[order] = np.cumsum(new) - 1
+        self.at = at.reshape(rows.shape)
+
+    def sums(self, gradient: np.ndarray) -> np.ndarray:
+        """The gradients of each row's tokens, summed: the first SHORT of them by their places, over all rows at once, what longer runs hold beyond by runs."""
+        total = gradient.take(self.token[self.first], 0)
+        left = np.flatnonzero(self.many > 1)
+        left = left[np.argsort(-self.many[left], kind="stable")]
+        first, many = self.first[left], self.many[left]
+        part = gradient.take(self.token[first + 1], 0)
+        for k in range(2, SHORT):
+            n = np.searchsorted(-many, -k)
+            if not n:
+                break
+            part[:n] += gradient.take(self.token[first[:n] + k], 0)
+        n = np.searchsorted(-many, -SHORT)
+        if n:
+            more = many[:n] - SHORT
+            part[:n] += np.add.reduceat(gradient.take(self.token[ragged(first[:n] + SHORT, more)], 0), np.cumsum(more) - more, axis=0)
+        total[left] += part
+        return total
 
 
 class Trainer:
@@ -201,39 +225,35 @@ class Trainer:
         self.steep, self.steep_u = np.full(n, 1e-2, np.float32), np.full(n, 1e-2, np.float32)
         self.n = 0
 
-    def _descend(self, weights, steep, met, rows: np.ndarray, gradient: np.ndarray) -> None:
-        flat = rows.ravel()
-        packed = np.sort(flat << 16 | np.arange(len(flat)))  # a batch has fewer than 2**16 features
-        order, ordered = packed & 0xFFFF, packed >> 16
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        own, many = ordered[first], np.diff(np.concatenate([first, [len(ordered)]]))
-        token = order // rows.shape[1]
-        total, several = gradient.take(token[first], 0), np.flatnonzero(many > 1)
-        if len(several):
-            runs = gradient.take(token[np.repeat(many > 1, many)], 0)
-            total[several] = _summed(runs, many[several]) / np.sqrt(many[several]).astype(np.float32)[:, None]
-        new = steep.take(own) + np.einsum("ij,ij->i", total, total)
-        steep[own] = new
+    def _descend(self, weights, steep, met, rows: Rows, held: np.ndarray, gradient: np.ndarray) -> None:
+        """held: the weights of the batch's rows."""
+        total = rows.sums(gradient)
+        total /= np.sqrt(rows.many).astype(np.float32)[:, None]
+        new = steep.take(rows.own) + np.einsum("ij,ij->i", total, total)
+        steep[rows.own] = new
         total *= (RATE / np.sqrt(new))[:, None]
         whole = np.dtype((np.void, total.shape[1] * total.itemsize))  # whole rows are set faster than their numbers
-        weights.view(whole)[own, 0] = (weights.take(own, 0) - total).view(whole)[:, 0]
-        met[own] += many
+        held -= total
+        weights.view(whole)[rows.own, 0] = held.view(whole)[:, 0]
+        met[rows.own] += rows.many
 
     def see(self, tokens: Tokens) -> None:
         every, places = self.m.targets(tokens)
         for a in range(0, len(tokens.hash), BATCH):
             b = min(len(tokens.hash), a + BATCH)
             features, classes, index = tokens.features(a, b), every[a:b], places[a:b]
-            rows = self.m.rows(features)
-            g = Model.softmax(self.w, rows, self.b)
+            rows = Rows(self.m.rows(features))
+            held = self.w.take(rows.own, 0)
+            g = Model.softmax(held, rows.at, self.b)
             g[np.arange(b - a), classes] -= 1
-            self._descend(self.w, self.steep, self.met, rows, g)
+            self._descend(self.w, self.steep, self.met, rows, held, g)
             self.b -= RATE * g.mean(0)
             for at, nodes, options in self.m.steps(classes, index):
-                rows = self.m.inner(features[at], nodes)
-                g = Model.softmax(self.u, rows, self.c[nodes])
+                rows = Rows(self.m.inner(features[at], nodes))
+                held = self.u.take(rows.own, 0)
+                g = Model.softmax(held, rows.at, self.c[nodes])
                 g[np.arange(len(at)), options] -= 1
-                self._descend(self.u, self.steep_u, self.met_u, rows, g)
+                self._descend(self.u, self.steep_u, self.met_u, rows, held, g)
                 head = np.flatnonzero(nodes < HEAD_CLASSES)  # the other biases stay at the unigram distribution
                 if len(head):
                     one = np.zeros((HEAD_CLASSES, len(head)), np.float32)

@@ -73,13 +73,16 @@ def test_softmax_of_large_weights():
         assert np.isfinite(p).all() and np.allclose(p.sum(1), 1, atol=1e-6) and (p.argmax(1) == 0).all()
 
 
-def test_sums_of_runs():
+def test_sums_of_rows():
+    """Gradients summed by the row of each feature, for rows met once, a few times and very often, against adding them one by one."""
     r = np.random.default_rng(3)
-    sizes = np.array([1, 5, 2, 1, 1000, 7, 64])
-    rows = r.normal(size=(sizes.sum(), 4)).astype(np.float32)
-    want = np.add.reduceat(rows.astype(float), np.cumsum(sizes) - sizes, axis=0)
-    assert np.allclose(maxent._summed(rows, sizes), want, atol=1e-4)
-    assert maxent._summed(rows[:0], sizes[:0]).shape == (0, 4)
+    for n, most in ((1, 5), (40, 1), (40, 10_000), (3000, 30), (3000, 2000)):
+        features = (most * r.random((n, 4)) ** 3).astype(np.int64)
+        gradient = r.normal(size=(n, 8)).astype(np.float32)
+        rows, want = maxent.Rows(features), np.zeros((most, 8))
+        np.add.at(want, features.ravel(), np.repeat(gradient.astype(float), 4, axis=0))
+        assert (rows.own[rows.at] == features).all() and rows.many.tolist() == np.unique(features, return_counts=True)[1].tolist()
+        assert np.allclose(rows.sums(gradient), want[rows.own], atol=1e-3)
 
 
 def test_scores_by_hand(spark):
