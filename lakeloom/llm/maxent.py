@@ -170,7 +170,7 @@ class Model:
             features, classes, index = tokens.features(a, b), every[a:b], places[a:b]
             p = self.share(self.w, self.rows(features), self.b, classes)
             for at, nodes, options in self.steps(classes, index):
-                p[at] *= self.share(self.u, self.inner(features[at], nodes), self.c[nodes], options)
+                p[at] *= self.share(self.u, self.inner(features[at], nodes), self.c.take(nodes, 0), options)
             rest = np.flatnonzero((classes >= HEAD_CLASSES) & (index == 0))
             own = classes[rest] - HEAD_CLASSES
             p[rest] *= (counts[a:b][rest] + ADD) / (self.tail_n[own] + ADD * (self.tail_v[own] + 1))
@@ -227,14 +227,13 @@ class Trainer:
 
     def _descend(self, weights, steep, met, rows: Rows, held: np.ndarray, gradient: np.ndarray) -> None:
         """held: the weights of the batch's rows."""
-        total = rows.sums(gradient)
-        total /= np.sqrt(rows.many).astype(np.float32)[:, None]
-        new = steep.take(rows.own) + np.einsum("ij,ij->i", total, total)
+        total, many = rows.sums(gradient), rows.many.astype(np.float32)  # each row's step follows its sum over the root of its count
+        new = steep.take(rows.own) + np.einsum("ij,ij->i", total, total) / many
         steep[rows.own] = new
-        total *= (RATE / np.sqrt(new))[:, None]
+        total *= (RATE / np.sqrt(new * many))[:, None]
         whole = np.dtype((np.void, total.shape[1] * total.itemsize))  # whole rows are set faster than their numbers
         held -= total
-        weights.view(whole)[rows.own, 0] = held.view(whole)[:, 0]
+        weights.view(whole).ravel()[rows.own] = held.view(whole).ravel()
         met[rows.own] += rows.many
 
     def see(self, tokens: Tokens) -> None:
@@ -251,7 +250,7 @@ class Trainer:
             for at, nodes, options in self.m.steps(classes, index):
                 rows = Rows(self.m.inner(features[at], nodes))
                 held = self.u.take(rows.own, 0)
-                g = Model.softmax(held, rows.at, self.c[nodes])
+                g = Model.softmax(held, rows.at, self.c.take(nodes, 0))
                 g[np.arange(len(at)), options] -= 1
                 self._descend(self.u, self.steep_u, self.met_u, rows, held, g)
                 head = np.flatnonzero(nodes < HEAD_CLASSES)  # the other biases stay at the unigram distribution
