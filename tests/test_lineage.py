@@ -86,3 +86,29 @@ def test_from_statements_to_closure(spark, parsed):
     said = graph.path_details(path, folded).orderBy("hop").collect()
     assert [p.sql_id for p in said[:2]] == ["trips", "line_day"] and said[2].sql_id in ("ranking", "nested") and "day" in said[1].filter_cond and said[0].confidence == "high"
     assert lineage.nodes_of(edges).count() == lineage.nodes_of(edges).select("node_id").distinct().count()
+
+
+@pytest.mark.parametrize(
+    "sql, sources",
+    [
+        ("select * from a, b x, (select 1 from c, d) y, db.e as z where x.k = y.k group by a, b", "db.e default.a default.b default.c default.d"),
+        ("select extract(year from ts), trim(both 'x' from n), a is not distinct from b from t", "default.t"),
+        ('select "from nowhere, x" from t -- from z\n', "default.t"),
+        ("with q as (select * from a), r(x) as (select 1 from q, b) select * from r, q join c on q.x = c.x, d", "default.a default.b default.c default.d"),
+        ("select e from range(10), t lateral view explode(a) e as f", "default.t"),
+        ("insert overwrite table o select a, b from (p join q on p.x = q.x), r order by a, b", "default.p default.q default.r"),
+        ("select substring((select max(a) from t), 1), (select 1 from u, v) from w, lateral (select * from x) union select 1, 2 from `y`.`z`", "default.t default.u default.v default.w default.x y.z"),
+        ("", ""),
+        ("select 1)) from", ""),
+    ],
+)
+def test_second_reading(sql, sources):
+    assert sorted(lineage.sources_of(sql)) == sources.split()
+
+
+def test_second_reading_agrees(spark):
+    text = 'INSERT INTO show.notes SELECT t.card, "said from x, y" FROM feed.taps t, feed.stops s WHERE t.stop = s.stop AND extract(year FROM t.tapped_at) = 2024'
+    (_, p), (_, q) = lineage.parse_all(spark, [("a", text), ("b", text + " # from nowhere, here")], SCHEMA, dialects={"b": "mysql"})
+    for each in (p, q):
+        assert (each.status, each.reason) == ("success", ""), each.message
+        assert sorted(e.src_table for e in each.edges if e.edge_level == "table") == ["feed.stops", "feed.taps"]
