@@ -1,4 +1,5 @@
-"""The pipeline's rows against a brute-force version of stages 2 to 5 on what stage 1 keeps."""
+"""The pipeline's rows: stage 1 against the scores of its operator (which test_toxicity.py holds against a plain chain), stages 2 to 5 against a
+brute-force version on what stage 1 keeps."""
 
 import hashlib
 
@@ -9,7 +10,7 @@ from test_minhash import brute as groups
 from test_substr import brute as passages
 
 import corpus_pipeline
-from lakeloom.llm import bpe
+from lakeloom.llm import bpe, toxicity
 from lakeloom.llm.registry import tokenizer_path
 
 
@@ -41,6 +42,8 @@ def test_stages(spark, small):
         if name != "bpe":
             assert docs.columns == before.columns
     clean = [(r.doc_id, r.text) for r in kept["toxicity"].collect()]
+    judged = toxicity.toxicity(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")).collect()
+    assert sorted((str(d) for d, _ in clean)) == sorted(str(r.doc_id) for r in judged if not r.rejected)
     known = [(d, t) for d, t in clean if d is not None]
     stay = {d for d, _, c, k in groups(known, 5, 80) if k}
     assert {r.doc_id for r in kept["near_duplicates"].collect()} == stay | {None}
