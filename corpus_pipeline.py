@@ -66,7 +66,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", encode),
 ]
 
-#: The stages train a classifier, hash and tokenize; SQL cannot express them. tests/llm/test_pipeline.py checks them by brute force.
+#: The stages train a classifier, hash and tokenize; SQL cannot express them. tests/llm/test_pipeline.py checks them by
+#: brute force; the first against its operator, which tests/llm/test_toxicity.py holds against a plain chain.
 ORACLE_SQL = None
 
 
