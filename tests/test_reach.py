@@ -144,3 +144,19 @@ def test_null_free_columns(spark):
     df = spark.createDataFrame([(1, 2, "x"), (2, 3, None)], "src long, dst long, component string")
     assert reach.strong_components(df).columns == ["node", "component"]
     assert reach.hub_labels(df).filter(F.col("node").isNull()).isEmpty()
+
+
+def test_pairs_meet_by_the_shortest_order_of_joins(spark):
+    """A source with many middle nodes and many targets of one middle node each: pairs times middle nodes never meet. All orders agree."""
+    width = 60
+    edges = [("s", f"m{k}") for k in range(width)] + [(f"m{k}", f"t{k}") for k in range(width)]
+    df = spark.createDataFrame(edges + [(b, a + "x") for a, b in edges], "src string, dst string")
+    pairs = spark.createDataFrame([("s", f"t{k}") for k in range(width)] + [("s", "none")], "a string, b string")
+    assert {tuple(x) for x in reach.path_counts(df, pairs).collect()} == {("s", f"t{k}", 2, 1) for k in range(width)}
+    front = lambda rows, c: spark.createDataFrame(rows, f"{c} string, at string, ways long")
+    mine, other = front([("s", f"m{k}", 1) for k in range(width)], "a"), front([(f"t{k}", f"m{k}", 1) for k in range(width)], "b")
+    plan = reach._met(pairs, mine, other)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Inner")  # pairs come last
+    few = pairs.filter("b = 't7'")
+    for a, b in ((mine, other), (mine.filter("at = 'm7'"), other), (mine, other.filter("at = 'm7'"))):
+        assert [tuple(x) for x in reach._met(few, a, b).collect()] == [("s", "t7", 1)]
