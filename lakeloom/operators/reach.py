@@ -7,9 +7,14 @@ the shared folder; nothing but a round's row count comes to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.graph import components
 from lakeloom.sources.tables import counted, stored
 
 TRIMS = 3  # rounds of trimming before each colouring
@@ -98,14 +103,104 @@ def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
 # --- hub labels ----------------------------------------------------------------------------------------------------------
 
 
+LAST = (1 << 63) - 1
+
+
 def hub_labels(edges: DataFrame) -> DataFrame:
-    """node, hub, side: `out` hubs that a node reaches, `in` hubs that reach it, itself among both, so that a reaches b exactly if an out hub of
-    a is an in hub of b.
+    """node, hub, side, place: a reaches b (not a itself) exactly if an out label of a and an in label of b have one hub, the former's place not
+    behind the latter's. An `out` label says that a node reaches its hub's places from this one on, `in` that the places up to this one reach it.
+
+    Nodes with edges both ways are one to begin with. Links that alone leave their source and alone enter their target make runs, whose
+    nodes have places in order; a node's own labels name its run, so a chain of any length costs two labels a node. Between runs,
+    labels come from contraction (_hubs). A run on a cycle is one place."""
+    whole = stored(plain(edges), "edges")
+    met = stored(whole.filter("src < dst").intersect(turned(whole.filter("src > dst"))), "both-ways")
+    group = None if met.isEmpty() else components(met.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    if group is not None:
+        for c in ("src", "dst"):
+            whole = whole.join(group.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+        whole = stored(plain(whole), "merged")
+    placed = _runs(whole)
+    side = lambda c: placed.select(F.col("node").alias(c), F.col("run").alias(f"{c}_run"), F.col("place").alias(f"{c}_place"))
+    between = whole.join(side("src"), "src").join(side("dst"), "dst").filter("src_run <> dst_run or dst_place <= src_place")
+    between = stored(between.select(F.col("src_run").alias("src"), F.col("dst_run").alias("dst")).distinct(), "between")
+    links = _hubs(between)
+    # a cycle of runs has a hub that others on it reach and are reached from
+    round_trip = links.filter("side = 'out'").select("node", "hub").intersect(links.filter("side = 'in'").select("node", "hub"))
+    turning = between.filter("src = dst").select(F.col("src").alias("run")).union(round_trip.select(F.explode(F.array("node", "hub")))).distinct()
+    placed = placed.join(turning.withColumn("turns", F.lit(True)), "run", "left").select("node", "run", F.when(F.col("turns"), 0).otherwise(F.col("place")).cast("long").alias("place"))
+    every = nodes_of(edges)
+    if group is None:
+        known = every.join(placed, "node", "left")
+    else:
+        held = every.join(group, "node", "left").select("node", F.coalesce("component", "node").alias("of"))
+        known = held.join(placed.withColumnRenamed("node", "of"), "of", "left")
+    known = stored(known.select("node", F.coalesce("run", "of" if group is not None else "node").alias("run"), F.coalesce("place", F.lit(0)).alias("place")), "placed")
+    own = known.select("node", F.col("run").alias("hub"), F.explode(F.array(F.lit("out"), F.lit("in"))).alias("side"), "place")
+    far = known.select("node", "run").join(links.withColumnRenamed("node", "run"), "run")
+    return own.union(far.select("node", "hub", "side", F.when(F.col("side") == "out", 0).otherwise(LAST).cast("long")))
+
+
+def _runs(whole: DataFrame) -> DataFrame:
+    """node, run, place of the nodes of links that alone leave their source and alone enter their target: run is the first node of such a chain; a
+    cycle of links is one place, its run the least node. Tasks first shorten what lies in one of them (a range of sources), then
+    pointers double over what is left."""
+    one = lambda c: whole.groupBy(c).agg(F.count("*").alias("n")).filter("n = 1").select(c)
+    links = whole.join(one("src"), "src", "left_semi").join(one("dst"), "dst", "left_semi")
+    kind = dict(whole.dtypes)["src"]
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The links of a task → a row for each of their targets: the first node of its chain here, how far it is away, whether it is the last here."""
+        own = list(batches)
+        if not own:
+            return
+        held = pa.Table.from_batches(own)
+        both = pa.concat_arrays([c for name in ("src", "dst") for c in held.column(name).chunks]).dictionary_encode()
+        code, n = both.indices.to_numpy(), held.num_rows
+        size = len(both.dictionary)
+        before, steps = np.arange(size), np.zeros(size, np.int64)
+        before[code[n:]], steps[code[n:]] = code[:n], 1
+        ends = np.ones(size, bool)
+        ends[code[:n]] = False
+        first = before.copy()
+        for _ in range(size.bit_length()):
+            steps, first = steps + steps[first], first[first]
+        closed = before[first] != first  # on a cycle that lies here whole: left as it is
+        first, steps = np.where(closed, before, first), np.where(closed, 1, steps)
+        to = code[n:]
+        columns = [both.dictionary.take(pa.array(to)), both.dictionary.take(pa.array(first[to])), pa.array(steps[to]), pa.array(ends[to] | closed[to])]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "from", "steps", "last"])
+
+    parts = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole.count() >> 20)
+    ranged = links.repartitionByRange(parts, "src")
+    short = stored(ranged.mapInArrow(shorten, f"node {kind}, from {kind}, steps long, last boolean"), "shortened")
+    # pointers: each end of a shortened piece to the start of it; starts that are no ends stay
+    rest, n, _ = counted(short.filter("last").select("node", F.col("from").alias("to"), "steps", F.least("node", "from").alias("least"), F.lit(False).alias("done")), "pointers")
+    for _ in range(n.bit_length() + 1 if n else 0):
+        ahead = rest.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("least").alias("least2"))
+        on = rest.filter("not done").join(ahead, "to", "left")
+        moved = on.select("node", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.least("least", "least2").alias("least"), F.col("to2").isNull().alias("done"))
+        rest, _, (open_,) = counted(rest.filter("done").union(moved), "pointers", ~F.col("done"))
+        if not open_:
+            break
+    # what is still open lies on a cycle
+    ends = rest.select("node", F.when(F.col("done"), F.col("to")).otherwise(F.col("least")).alias("run"), F.when(F.col("done"), F.col("steps")).otherwise(F.lit(0)).alias("place"), ~F.col("done"))
+    ends = stored(ends.toDF("node", "run", "place", "cycle"), "ends")
+    inside = short.filter("not last").join(ends.withColumnRenamed("node", "from"), "from", "left")
+    inside = inside.select("node", F.coalesce("run", "from").alias("run"), F.when(F.col("cycle"), 0).otherwise(F.coalesce("place", F.lit(0)) + F.col("steps")).alias("place"))
+    found = ends.select("node", "run", "place").union(inside)
+    rest = nodes_of(whole).join(found.select("node"), "node", "left_anti")
+    return stored(found.union(rest.select("node", "node", F.lit(0).cast("long"))), "runs")
+
+
+def _hubs(edges: DataFrame) -> DataFrame:
+    """node, hub, side: `out` hubs that a node reaches, `in` hubs that reach it, itself aside, so that a reaches b exactly if an out hub of
+    a (or a) is an in hub of b (or b).
 
     Nodes are contracted round by round, those first whose degree (then hash) is least among their neighbours: a contracted node keeps its
     edges to what is left as links upwards, and each way through it becomes an edge. Every way between two nodes can then be
     bent into one that goes up to its last contracted node and down from there; hubs are what links upwards reach, found by doubling.
-    Chains and trees of n nodes get about log n hubs a node. Cycles are welcome; dense ones are best condensed first."""
+    Trees of n nodes get about log n hubs a node. Cycles are welcome; dense ones are best condensed first."""
     live, n, _ = counted(plain(edges).select("src", "dst", F.lit(0).alias("kind")), "live")
     ups = None
     while n:
@@ -124,24 +219,24 @@ def hub_labels(edges: DataFrame) -> DataFrame:
         live, up = whole.filter("kind = 0"), whole.filter("kind > 0")
         ups = up if ups is None else ups.union(up)
         n = int(more)
-    own = nodes_of(edges).select("node", F.col("node").alias("hub")).crossJoin(edges.sparkSession.createDataFrame([("out",), ("in",)], "side string"))
     if ups is None:
-        return own
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("hub"), F.lit("out").alias("side")).filter("false")
     links, n, _ = counted(ups.select(F.col("src").alias("node"), F.col("dst").alias("hub"), F.when(F.col("kind") == 1, "out").otherwise("in").alias("side")), "links")
     while True:
         before = n
         further = links.join(links.select(F.col("node").alias("hub"), F.col("hub").alias("top"), "side"), ["hub", "side"]).select("node", F.col("top").alias("hub"), "side")
         links, n, _ = counted(links.union(further).distinct(), "links")
         if n == before:
-            return own.union(links)
+            return links.filter("node <> hub")
 
 
 def reaches(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs(a, b) → a, b (distinct, none null), reaches: whether there is a way from a to b; nothing reaches itself."""
     asked = pairs.select("a", "b").filter("a is not null and b is not null").distinct()
-    up = labels.filter("side = 'out'").select(F.col("node").alias("a"), "hub")
-    down = labels.filter("side = 'in'").select(F.col("node").alias("b"), "hub")
-    good = asked.filter("a <> b").join(up, "a").join(down, ["b", "hub"], "left_semi").select("a", "b").distinct().withColumn("reaches", F.lit(True))
+    up = labels.filter("side = 'out'").select(F.col("node").alias("a"), "hub", F.col("place").alias("from"))
+    down = labels.filter("side = 'in'").select(F.col("node").alias("b"), F.col("hub").alias("down"), F.col("place").alias("upto"))
+    fits = [F.col("t.b") == F.col("d.b"), F.col("hub") == F.col("down"), F.col("from") <= F.col("upto")]
+    good = asked.filter("a <> b").join(up, "a").alias("t").join(down.alias("d"), fits, "left_semi").select("a", "b").distinct().withColumn("reaches", F.lit(True))
     return asked.join(good, ["a", "b"], "left").na.fill(False, ["reaches"])
 
 

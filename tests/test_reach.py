@@ -160,3 +160,18 @@ def test_pairs_meet_by_the_shortest_order_of_joins(spark):
     few = pairs.filter("b = 't7'")
     for a, b in ((mine, other), (mine.filter("at = 'm7'"), other), (mine, other.filter("at = 'm7'"))):
         assert [tuple(x) for x in reach._met(few, a, b).collect()] == [("s", "t7", 1)]
+
+
+def test_runs_cost_two_labels_a_node(spark):
+    """A chain with links back, a bare cycle and a chain that ends in a cycle; ids in no order."""
+    r = random.Random(5)
+    ids = r.sample(range(1000), 90)
+    chain, ring, tail = ids[:40], ids[40:60], ids[60:]
+    line = lambda x: list(zip(x, x[1:]))
+    plain = line(chain) + [(b, a) for a, b in line(chain) if a % 5 == 0] + line(ring) + [(ring[-1], ring[0])]
+    assert reach.hub_labels(spark.createDataFrame(plain, EDGES)).count() == 2 * 60
+    edges = plain + line(tail) + [(tail[-1], tail[10])]
+    labels = reach.hub_labels(spark.createDataFrame(edges, EDGES))
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids], "a long, b long")
+    ways = {a: bfs(edges, a) for a in ids}
+    assert {(x.a, x.b): x.reaches for x in reach.reaches(labels, pairs).collect()} == {(a, b): b in ways[a] for a in ids for b in ids}
