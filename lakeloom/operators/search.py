@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.columns import admission, bucket_of, cosine, grams, hashed_grams, similarity
+from lakeloom.functions.columns import admission, cosine, grams, hashed_grams, similarity
 from lakeloom.operators.diff import hash_diff
 from lakeloom.operators.graph import families
 from lakeloom.sources.tables import Generations, stored
@@ -57,20 +60,42 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int = 5, least: float | Non
     return ranked if least is None else ranked.filter(F.col("confidence") >= least)
 
 
+def _entries(texts: DataFrame) -> DataFrame:
+    """id, entries (dim, value) of each text, made row by row without state: texts alone are shuffled, dealt to the cores by id. Texts of one id count as one."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).repartition(parts, "id").groupBy("id").agg(F.collect_list("text").alias("held"))
+    each = own.select("id", F.flatten(F.transform("held", hashed_grams)).alias("grams"))
+    return each.mapInArrow(_summed, f"id {dict(texts.dtypes)['id']}, entries array<struct<dim:int,value:double>>")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of texts → their entries. Dimension and sign of a gram as columns.bucket_of gives them, once for each distinct gram of a batch."""
+    for batch in batches:
+        n, grams_of = batch.num_rows, batch.column("grams")
+        flat = grams_of.flatten().dictionary_encode()
+        digests = [hashlib.md5(g.encode()).digest() for g in flat.dictionary.to_pylist()]
+        dims, signs = np.array([d[7] for d in digests], np.int64), np.array([1 - 2 * (d[6] % 2) for d in digests], np.int64)
+        code = flat.indices.to_numpy()
+        row = np.repeat(np.arange(n), grams_of.value_lengths().to_numpy())
+        sums = np.bincount(row * DIMENSIONS + dims[code], weights=signs[code], minlength=n * DIMENSIONS).reshape(n, DIMENSIONS)
+        norm = np.sqrt((sums * sums).sum(1))
+        sums[norm == 0, 0], norm[norm == 0] = 1, 1
+        at, dim = np.nonzero(sums)
+        entries = pa.StructArray.from_arrays([pa.array(dim, pa.int32()), pa.array(sums[at, dim] / norm[at], pa.float64())], ["dim", "value"])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), entries)], ["id", "entries"])
+
+
 def hash_parts(texts: DataFrame) -> DataFrame:
     """texts(id, text) → id, dim, value: the non-zero entries of the normalised hashed n-gram embedding. A text without n-grams is
     the first unit vector."""
-    each = texts.select("id", F.explode(hashed_grams(F.coalesce("text", F.lit("")))).alias("gram")).select("id", bucket_of(F.col("gram")).alias("b"))
-    sums = each.groupBy("id", "b.dim").agg(F.sum("b.sign").alias("v")).filter("v <> 0")
-    norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    out = sums.join(norm, "id").select("id", "dim", (F.col("v") / F.col("norm")).alias("value"))
-    return out.unionByName(texts.select("id").join(norm.select("id"), "id", "left_anti").select("id", F.lit(0).alias("dim"), F.lit(1.0).alias("value")))
+    return _entries(texts).select("id", F.inline("entries"))
 
 
 def hash_embedding(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """texts(id, text) → id, embedding (array of doubles)."""
-    entries = hash_parts(texts).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
-    return entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0))).alias("embedding"))
+    entries = _entries(texts).select("id", F.map_from_entries("entries").alias("m"))
+    return entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("embedding"))
 
 
 def aliases_of(text: Column) -> Column:
@@ -83,8 +108,6 @@ def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]] |
     batches), or by hashed n-grams without one."""
     if embed is None:
         return hash_embedding(texts)
-    import pyarrow as pa
-
     def run(batches):
         for batch in batches:
             vectors = embed(batch.column(1).fill_null("").to_pylist())

@@ -365,3 +365,14 @@ def test_row_count_goes_beyond_the_page(spark, tmp_path):
         data = M.query_metric(spark, m, {"metric": "total", "dimensions": ["cust_no"], "limit": limit}, user, path)["data"]
         assert (data["row_count"], len(data["rows"])) == (count, min(count, M.MAX_ROWS))
     assert sorted(r.row_count for r in spark.read.parquet(path).collect()) == [5, n - 3, n]
+
+
+def test_hash_parts_keep_no_state_of_grams(spark):
+    """No aggregate runs over exploded grams; texts of one id count as one, one without grams is the first unit vector."""
+    texts = spark.createDataFrame([(1, "Ab c"), (2, None), (3, "ab"), (3, "c"), (4, "abc")], "id long, text string")
+    parts = search.hash_parts(texts)
+    assert "dim" not in "".join(x for x in parts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
+    rows = {}
+    for r in parts.collect():
+        rows.setdefault(r.id, {})[r.dim] = r.value
+    assert rows[2] == {0: 1.0} and rows[1] == rows[4] != rows[3] and all(abs(sum(v * v for v in x.values()) - 1) < 1e-12 for x in rows.values())
