@@ -19,6 +19,7 @@ from lakeloom.sources.tables import Generations, stored
 
 SAMPLE, MOST_CELLS, FIRST = 10_000, 256, 1
 SLACK = 2e-6  # similarities are told apart to six places
+SLICE, BLOCK, ROWS = 16_384, 16_384, 256  # vectors and queries that meet in one task, queries of one product
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,6 +34,25 @@ def unit(vectors: DataFrame, key: str) -> DataFrame:
     return own.select(key, F.transform("e", lambda x: x / F.col("norm")).alias("u"))
 
 
+def _nearest(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """Queries of a block against a slice of a cell, ROWS queries at a time as a product of matrices. What may be among the k nearest by six places is measured
+    anew, component by component in their order, as Spark's dot does it."""
+    matrix = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if vectors.num_rows and queries.num_rows:
+        u, q, floor = matrix(vectors, "u"), matrix(queries, "q"), queries.column("floor").to_numpy()
+        for at in range(0, len(q), ROWS):
+            near = q[at : at + ROWS] @ u.T
+            least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
+            row, col = np.nonzero(near >= np.maximum(least, floor[at : at + ROWS])[:, None] - SLACK)
+            exact = np.zeros(len(row))
+            for d in range(u.shape[1]):
+                exact += q[at + row, d] * u[col, d]
+            found.append((at + row, col, exact))
+    row, col, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"query_id": queries.column("query_id").take(pa.array(row)), "id": vectors.column("id").take(pa.array(col)), "near": pa.array(exact)})
+
+
 class VectorCells:
     """Generations of `cells` (cell, centroid, radius, n) and `vectors` (id, u, cell), these in buckets by cell."""
 
@@ -81,14 +101,24 @@ class VectorCells:
         near = stored(near.withColumn("place", F.row_number().over(order)), "bounds")
         best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id"))).filter(F.col("rank") <= k)
 
-        def within(chosen: DataFrame) -> DataFrame:
-            pairs = chosen.select("query_id", "cell").join(asked, "query_id").join(vectors, "cell")
-            return best(pairs.select("query_id", "id", F.round(dot(F.col("q"), F.col("u")), 6).alias("confidence")))
+        sizes = cells.select("cell", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+        blocks = max(1, -(-asked.count() // BLOCK))
+        dealt = vectors.join(F.broadcast(sizes), "cell").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+        held = dealt.select("id", "u", "cell", "slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        ids, query_ids = dict(vectors.dtypes)["id"], dict(asked.dtypes)["query_id"]
 
-        first = stored(within(near.filter(F.col("place") <= FIRST)), "first")
+        def within(chosen: DataFrame) -> DataFrame:
+            """chosen(query_id, cell, floor): the k nearest of a cell's vectors, and those within SLACK of the k-th, unless they are under the floor."""
+            wanted = chosen.select("query_id", "cell", "floor").join(asked, "query_id").join(F.broadcast(sizes), "cell")
+            wanted = wanted.select("query_id", "q", "floor", "cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+            place = ["cell", "slice", "block"]
+            pairs = held.groupBy(*place).cogroup(wanted.groupBy(*place)).applyInArrow(lambda v, q: _nearest(v, q, k), f"query_id {query_ids}, id {ids}, near double")
+            return best(pairs.select("query_id", "id", F.round("near", 6).alias("confidence")))
+
+        first = stored(within(near.filter(F.col("place") <= FIRST).withColumn("floor", F.lit(-2.0))), "first")
         floor = first.filter(F.col("rank") == k).select("query_id", F.col("confidence").alias("floor"))
         more = near.filter(F.col("place") > FIRST).join(floor, "query_id", "left").filter(F.col("bound") >= F.coalesce("floor", F.lit(-2.0)) - SLACK)
-        more = stored(more.select("query_id", "cell", "n"), "more")
+        more = stored(more.select("query_id", "cell", "n", F.coalesce("floor", F.lit(-2.0)).alias("floor")), "more")
         found = best(first.drop("rank").unionByName(within(more).drop("rank")))
         compared = near.filter(F.col("place") <= FIRST).select("query_id", "n").union(more.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("compared"))
         return found.select("query_id", "id", "confidence", "rank"), compared.join(F.broadcast(cells.agg(F.sum("n").alias("held"))))

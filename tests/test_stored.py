@@ -286,3 +286,20 @@ def test_free_questions_do_not_hold_up_metrics(spark):
         for t in threads:
             t.join()
     assert M.execute(spark, spark.range(2).toDF("n"), channel="adhoc")["pool"] == "adhoc" and spark.sparkContext.getLocalProperty(M.POOL) is None
+
+
+def test_slices_of_cells_meet_blocks_of_queries(spark, tmp_path, monkeypatch):
+    """No row of a plan is a pair of vectors, and small slices and blocks give what whole cells give, equal vectors included."""
+    r = random.Random(3)
+    rows = [(k, [r.gauss(0, 1) for _ in range(6)]) for k in range(200)]
+    df = spark.createDataFrame(rows + [(k + 200, v) for k, v in rows[:30]], "id long, embedding array<double>")
+    cells = vectorcells.VectorCells(spark, f"file://{tmp_path}/s", cells=3)
+    cells.build(df)
+    asked = df.filter("id % 4 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(tuple(x) for x in search.nearest(df, asked, 5).select("query_id", "id", "confidence", "rank").collect())
+    for size in (16_384, 20):
+        monkeypatch.setattr(vectorcells, "SLICE", size)
+        monkeypatch.setattr(vectorcells, "BLOCK", size)
+        found = cells.search(asked)
+        assert sorted(tuple(x) for x in found.collect()) == want
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
