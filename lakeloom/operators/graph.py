@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.sources.tables import counted, stored
+from lakeloom.sources.tables import counted, spread, stored
 
 MAX_NODES, MAX_HOPS = 200, 2000
 
@@ -17,12 +17,59 @@ def _plain(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter("src <> dst").distinct()
 
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant"), F.lit(1).alias("min_hops"), F.lit(1).cast("long").alias("path_cnt"))
+
+
 def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """edges(src, dst) → ancestor, descendant, min_hops, path_cnt (number of shortest paths); nothing reaches itself. sources(src):
-    only from these ancestors."""
-    plain = stored(_plain(edges), "edges")
-    first = plain if sources is None else plain.join(sources.select("src").distinct(), "src", "left_semi")
-    frontier, n, _ = counted(first.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant"), F.lit(1).alias("min_hops"), F.lit(1).cast("long").alias("path_cnt")), "level")
+    only from these ancestors.
+
+    Edges into nodes that lead nowhere are taken off as a layer, as long as a layer holds half of the edges that are left (so all layers together move
+    twice the edges at most). What is then left, cycles among it, goes level by level; layers follow inside out, where pairs of a layer come from the pairs
+    found so far and one step, and are summed once: they can be in no other layer."""
+    starts = None if sources is None else sources.select("src").distinct()
+    rest, layers, seen = _plain(edges), [], None
+    while True:
+        inner = rest.select(F.col("src").alias("dst"), F.lit(True).alias("onward")).distinct()
+        marked, n, _ = counted(rest.join(inner, "dst", "left").select("src", "dst", F.coalesce("onward", F.lit(False)).alias("onward")), "layer")
+        rest = marked.filter("onward").select("src", "dst")
+        left = rest.count()
+        if 2 * left > n:
+            seen = _levels(marked.select("src", "dst"), starts)
+            break
+        layers.append((marked.filter("not onward").select("src", "dst"), n - left, rest))
+        if not left:
+            break
+    for ends, n, inner in reversed(layers):
+        own = lambda df: df if starts is None else df.join(starts, "src", "left_semi")
+        if seen is None:
+            seen = stored(_pairs(own(ends)), "pairs")
+            continue
+        heads = inner.select("src").distinct()  # from other nodes an edge is the only way
+        size = n + seen.count()
+        before, after = spread(seen, size, "descendant"), spread(ends, size, "src")
+        walks = before.join(after, before["descendant"] == after["src"]).select("ancestor", F.col("dst").alias("descendant"), (F.col("min_hops") + 1).alias("min_hops"), "path_cnt")
+        lengths = sorted({1, *(r[0] + 1 for r in seen.select("min_hops").distinct().collect())})
+        both = _shortest(walks.unionByName(_pairs(own(ends).join(heads, "src", "left_semi"))), lengths)
+        seen = seen.unionByName(stored(both.unionByName(_pairs(own(ends).join(heads, "src", "left_anti"))), "pairs"))
+    return seen
+
+
+def _shortest(walks: DataFrame, lengths: list[int], most: int = 8) -> DataFrame:
+    """Walks of a pair summed, those of least length. Of few lengths each has a sum of its own, so walks move once."""
+    if len(lengths) > most:
+        sums = walks.groupBy("ancestor", "descendant", "min_hops").agg(F.sum("path_cnt").alias("path_cnt"))
+        return sums.groupBy("ancestor", "descendant").agg(F.min_by("path_cnt", "min_hops").alias("path_cnt"), F.min("min_hops").alias("min_hops")).select("ancestor", "descendant", "min_hops", "path_cnt")
+    sums = walks.groupBy("ancestor", "descendant").agg(*(F.sum(F.when(F.col("min_hops") == h, F.col("path_cnt"))).alias(f"of_{h}") for h in lengths))
+    least = F.coalesce(*(F.when(F.col(f"of_{h}").isNotNull(), F.lit(h)) for h in lengths))
+    return sums.select("ancestor", "descendant", least.alias("min_hops"), F.coalesce(*(f"of_{h}" for h in lengths)).alias("path_cnt"))
+
+
+def _levels(plain: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """The closure of stored edges without loops or repeats, a job a level."""
+    first = plain if starts is None else plain.join(starts, "src", "left_semi")
+    frontier, n, _ = counted(_pairs(first), "level")
     seen = frontier
     hops = 1
     while n:

@@ -44,6 +44,14 @@ def counted(df: DataFrame, label: str, *flags: Column) -> tuple[DataFrame, int,
     return out, found["n"], [bool(found[f"f{k}"]) for k in range(len(flags))]
 
 
+PER_TASK = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Dealt by keys to partitions of about PER_TASK of `rows` rows, never fewer than shuffles have: what a task holds does not grow with the input."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // PER_TASK + 1), *keys)
+
+
 BUCKET = "bucket_number"
 
 

@@ -13,7 +13,7 @@ from lakeloom.plans import lineage, rebuild
 from lakeloom.plans import metrics as M
 from lakeloom.sources import synth
 from lakeloom.sources.synth import generate
-from lakeloom.sources.tables import Generations, metastore_tables
+from lakeloom.sources.tables import Generations, counted, metastore_tables
 from lakeloom.streaming import incremental
 
 
@@ -57,6 +57,23 @@ def test_closure_patch_and_bfs(spark, seed):
     assert reached == {b for (a, b), (h, _) in brute_closure(old).items() if a == start and h <= 5}
 
 
+def test_closure_takes_off_what_leads_nowhere(spark, monkeypatch):
+    """Without cycles no pair is carried from level to level; with a cycle its tails are not."""
+    r, levels = random.Random(8), []
+    monkeypatch.setattr(graph, "counted", lambda df, label, *flags: levels.append(label) or counted(df, label, *flags))
+    tree = [(k // 3, k) for k in range(1, 60)] + [(r.randrange(20), r.randrange(60, 80)) for _ in range(90)] + [(r.randrange(20, 60), r.randrange(60, 80)) for _ in range(60)] + [(0, 60), (60, 60)]
+    df = lambda e: spark.createDataFrame(e, "src long, dst long")
+    assert rows_of(graph.closure(df(tree[1:]))) == brute_closure(tree[1:]) and "level" not in levels
+    cycle = [(90, 91), (91, 92), (92, 93), (93, 90), (91, 93), (93, 1), (5, 90)]
+    tails = [(90 + k % 4, 100 + k % 13) for k in range(30)] + [(100 + k % 13, 200 + k) for k in range(40)]
+    want = brute_closure(cycle + tree[3:] + tails)
+    assert rows_of(graph.closure(df(cycle + tree[3:] + tails))) == want
+    assert rows_of(graph.closure(df(cycle + tree[3:] + tails), df([(92, 0), (4, 0), (300, 0)]))) == {p: w for p, w in want.items() if p[0] in (92, 4)}
+    chain = [(k, k + 1) for k in range(12)] + [(k, 100 + k) for k in range(12)] + [(k, 50) for k in range(12)] + [(50, 300 + k) for k in range(40)]
+    assert rows_of(graph.closure(df(chain))) == brute_closure(chain)  # more lengths than have sums of their own
+    assert rows_of(graph.closure(df(tree).filter("false"))) == {}
+
+
 def test_small_graphs(spark):
     df = lambda e: spark.createDataFrame(e, "src string, dst string")
     assert rows_of(graph.closure(df([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "d")])))["a", "d"] == (2, 2)
