@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import characters, grams, similarity
-from lakeloom.sources.tables import Generations, counted, stored
+from lakeloom.sources.tables import Generations, counted, spread, stored
 
 FIRST, GROWTH = 2, 4
 SLACK = 1e-6  # scores are told apart to six places
@@ -159,6 +159,8 @@ def fuzzy_join(keywords: DataFrame, names: DataFrame, least: float = 85.0) -> Da
     both = sizes + F.char_length("b")
     ratio = F.when(both == 0, 100.0).otherwise(200.0 * lcs_by_bits(F.col("masks"), sizes, F.col("b")) / both)
     scored = short.select("a", "b", ratio.alias("score")).union(pairs.filter(sizes > WORD).select("a", "b", similarity(F.col("a"), F.col("b"))))
-    good = scored.filter(F.col("score") >= least)
+    good = stored(scored.filter(F.col("score") >= least), "good")
+    met = good.join(asked.groupBy(F.col("text").alias("a")).agg(F.count("*").alias("of_a")), "a").join(flat.groupBy(F.col("text").alias("b")).agg(F.count("*").alias("of_b")), "b")
+    n = met.agg(F.sum(F.col("of_a") * F.col("of_b"))).first()[0] or 0
     found = good.join(asked.withColumnRenamed("text", "a"), "a").join(flat.withColumnRenamed("text", "b"), "b")
-    return found.groupBy("kid", "id").agg(F.round(F.max("score") / 100, 4).alias("confidence"))
+    return spread(found.select("kid", "id", "score"), n, "kid", "id").groupBy("kid", "id").agg(F.round(F.max("score") / 100, 4).alias("confidence"))

@@ -303,3 +303,19 @@ def test_slices_of_cells_meet_blocks_of_queries(spark, tmp_path, monkeypatch):
         found = cells.search(asked)
         assert sorted(tuple(x) for x in found.collect()) == want
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_joined_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """What one task of the similarity join and of folding holds is bounded by rows: few names make many rows of few bytes."""
+    from lakeloom.operators import fold
+    from lakeloom.sources import tables
+
+    monkeypatch.setattr(tables, "PER_TASK", 100)
+    names = spark.createDataFrame([(k, ["blue widget", "red gear"]) for k in range(1500)], "id long, names array<string>")
+    asked = spark.createDataFrame([("a", "blue widgets"), ("b", "blue widge"), ("c", None)], "kid string, keyword string")
+    found = textindex.fuzzy_join(asked, names)
+    assert ", 31), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 3000
+    edges = spark.createDataFrame([(f"{a}>{b}", a, b, "s", "sql", "high", "", "", "") for a, b in [("h", "t"), *(("t", f"d{k}") for k in range(900))]], "edge_id string, src string, dst string, sql_id string, src_type string, confidence string, transform_expr string, filter_cond string, join_cond string")
+    folded = fold.fold(edges, spark.createDataFrame([("t",)], "node string"))
+    assert ", 10), REPARTITION_BY_NUM" in folded._jdf.queryExecution().executedPlan().toString() and folded.count() == 900
