@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import CONFIDENCE, confidence_rank
 from lakeloom.operators.reach import strong_components, turned
-from lakeloom.sources.tables import counted, stored
+from lakeloom.sources.tables import counted, spread, stored
 
 
 def _marked(edges: DataFrame, tmp: DataFrame) -> DataFrame:
@@ -29,10 +29,11 @@ def fold(edges: DataFrame, tmp: DataFrame) -> DataFrame:
     seen = frontier.select("head", "at")
     onward = marked.filter("src_tmp").withColumn("own_rank", rank)
     fields = ["sql_id", "src_type", "transform_expr", "filter_cond", "join_cond"]
-    done = None
+    done, size = None, 0
     while done is None or n:
         step = frontier.join(onward, frontier["at"] == onward["src"])
-        step = stored(step.select("head", "dst", "dst_tmp", F.array_append("chain", F.col("edge_id")).alias("chain"), "inner", F.least("rank", "own_rank").alias("rank"), *fields), "steps")
+        step, steps, _ = counted(step.select("head", "dst", "dst_tmp", F.array_append("chain", F.col("edge_id")).alias("chain"), "inner", F.least("rank", "own_rank").alias("rank"), *fields), "steps")
+        size += steps
         ended = step.filter("not dst_tmp")
         done = ended if done is None else done.unionByName(ended)
         on = step.filter("dst_tmp").select("head", F.col("dst").alias("at"), "chain", F.array_append("inner", F.col("transform_expr")).alias("inner"), "rank")
@@ -41,7 +42,7 @@ def fold(edges: DataFrame, tmp: DataFrame) -> DataFrame:
     order = Window.partitionBy("head", "dst", "sql_id").orderBy(F.size("chain"), "chain")
     inner = F.concat_ws(" ; ", F.filter("inner", lambda x: F.coalesce(x, F.lit("")) != ""))
     outer = F.coalesce("transform_expr", F.lit(""))
-    return done.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select(
+    return spread(done, size, "head", "dst", "sql_id").withColumn("rn", F.row_number().over(order)).filter("rn = 1").select(
         F.col("head").alias("src"), "dst", "sql_id", "src_type",
         F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("rank") + 1).alias("confidence"),
         F.when(inner == "", outer).otherwise(F.concat(outer, F.lit(" (through tmp: "), inner, F.lit(")"))).alias("transform_expr"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import columns as C
 from lakeloom.operators import diff, fold, graph, quality, reach, search
 from lakeloom.plans import metrics
-from lakeloom.sources.tables import latest_schema, stored, table
+from lakeloom.sources.tables import latest_schema, spread, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,7 +233,8 @@ def families(spark, sf):
 
 def tmp_edges(spark, sf):
     own = table(spark, sf, "supplier").select(key("n:", "s_nationkey").alias("src"), key("s:", "s_suppkey").alias("dst"), key("s", "s_suppkey").alias("sql_id"))
-    parts = table(spark, sf, "lineitem").select(key("s:", "l_suppkey").alias("src"), key("p:", "l_partkey").alias("dst")).distinct().withColumn("sql_id", F.col("dst"))
+    items = table(spark, sf, "lineitem")
+    parts = spread(items.select(key("s:", "l_suppkey").alias("src"), key("p:", "l_partkey").alias("dst")), items.count(), "src", "dst").distinct().withColumn("sql_id", F.col("dst"))
     both = own.union(parts).withColumns({"src_type": F.lit("sql"), "confidence": F.when(F.col("src").endswith("1"), "medium").otherwise("high"), "transform_expr": F.col("dst"), "filter_cond": F.col("src"), "join_cond": F.lit("")})
     return both.withColumn("edge_id", F.concat_ws(">", "src", "dst"))
 
