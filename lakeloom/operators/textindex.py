@@ -68,7 +68,7 @@ class GramIndex:
         ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("kid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= most)
         chosen, found, read, upto = bounds.filter(F.col("place") <= FIRST), None, None, FIRST
         while True:
-            scored = stored(self._scored(postings, asked, chosen), "scored")
+            scored = stored(self._scored(postings, asked, chosen, heads), "scored")
             found = ranked(scored if found is None else found.unionByName(scored)).drop("rank")
             read = chosen.select("kid", "block") if read is None else read.union(chosen.select("kid", "block"))
             found = stored(found, "found")
@@ -82,12 +82,15 @@ class GramIndex:
         return ranked(found).select("kid", "id", "score", "rank"), bounds.select("kid", "block").join(read.withColumn("read", F.lit(True)), ["kid", "block"], "left").na.fill(False, ["read"])
 
     @staticmethod
-    def _scored(postings: DataFrame, asked: DataFrame, chosen: DataFrame) -> DataFrame:
-        """(kid, id, score) of the texts of chosen(kid, block)."""
+    def _scored(postings: DataFrame, asked: DataFrame, chosen: DataFrame, heads: DataFrame) -> DataFrame:
+        """(kid, id, score) of the texts of chosen(kid, block). Lists of ids move, not their entries: a text lies in one block, so it is summed where the
+        lists of its keyword and block are."""
         wanted = asked.join(chosen.select("kid", "block"), "kid")
+        rows = heads.join(wanted, ["gram", "block"]).agg(F.sum("n")).first()[0] or 0
         read = postings.select("gram", "block", "ids", "counts").join(wanted, ["gram", "block"])
-        each = read.select("kid", "weight", F.explode(F.arrays_zip("ids", "counts")).alias("x")).select("kid", F.col("x.ids").alias("id"), (F.col("x.counts") * F.col("weight")).alias("part"))
-        return each.groupBy("kid", "id").agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
+        read = spread(read.select("kid", "block", "weight", F.arrays_zip("ids", "counts").alias("held")), rows, "kid", "block")
+        each = read.select("kid", "block", "weight", F.explode("held").alias("x")).select("kid", "block", F.col("x.ids").alias("id"), (F.col("x.counts") * F.col("weight")).alias("part"))
+        return each.groupBy("kid", "block", "id").agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0").select("kid", "id", "score")
 
 
 # --- similarity join -----------------------------------------------------------------------------------------------------

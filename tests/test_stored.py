@@ -319,3 +319,14 @@ def test_joined_rows_are_dealt_by_their_number(spark, monkeypatch):
     edges = spark.createDataFrame([(f"{a}>{b}", a, b, "s", "sql", "high", "", "", "") for a, b in [("h", "t"), *(("t", f"d{k}") for k in range(900))]], "edge_id string, src string, dst string, sql_id string, src_type string, confidence string, transform_expr string, filter_cond string, join_cond string")
     folded = fold.fold(edges, spark.createDataFrame([("t",)], "node string"))
     assert ", 10), REPARTITION_BY_NUM" in folded._jdf.queryExecution().executedPlan().toString() and folded.count() == 900
+
+
+def test_lists_of_postings_move_and_not_their_entries(spark, tmp_path):
+    """Texts are summed in the tasks that hold the lists of their keyword and block: the aggregate of a scoring has no shuffle of its own."""
+    index = textindex.GramIndex(spark, f"file://{tmp_path}/m", blocks=2)
+    index.sync(spark.createDataFrame([(k, "red bolt" if k % 2 else "blue ring") for k in range(50)], "id long, text string"))
+    postings = index.store.current("postings")
+    asked = spark.createDataFrame([("q", "re", 1.0), ("q", "ed", 2.0)], "kid string, gram string, weight double")
+    scored = index._scored(postings, asked, spark.createDataFrame([("q", 0), ("q", 1)], "kid string, block int"), postings.select("gram", "block", "best", "n"))
+    assert "hashpartitioning(kid" in (plan := scored._jdf.queryExecution().executedPlan().toString()) and ", id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    assert sorted(tuple(r) for r in scored.collect()) == [(("q"), k, 3.0) for k in range(1, 50, 2)]
