@@ -44,12 +44,13 @@ def changes(published: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        met = [(int(w), t) for b in batches for w, t in zip(b["micros"], b["sql_text"], strict=True)]
+        met = [x for b in batches for x in zip(b["micros"].tolist(), b["sql_text"].tolist(), strict=True)]
         out, new = passed(key[0], iter(met), tuple(state.get) if state.exists else None)
         if new:
             state.update(new)
             state.setTimeoutTimestamp(max(new[1] // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["sql_id", "sql_text", "sql_hash", "micros"]).astype({"micros": "int64"})
+        if out:  # a frame costs more than the rows of a statement
+            yield pd.DataFrame(dict(zip(("sql_id", "sql_text", "sql_hash", "micros"), map(list, zip(*out, strict=True)), strict=True)))
 
     found = rows.groupBy("sql_id").applyInPandasWithState(step, "sql_id string, sql_text string, sql_hash string, micros long", STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return found.select("sql_id", "sql_text", "sql_hash", F.timestamp_micros("micros").alias("published_at"))
