@@ -348,10 +348,10 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
         yield base + n, pa.concat_arrays(keys), Texts.join(texts)
 
 
-def pack_texts(keys: pa.Array, texts: Texts) -> list[bytes]:
+def pack_texts(keys: pa.Array, texts: Texts, level: int = 3) -> list[bytes]:
     """[keys with a mask of nulls, lengths, compressed bytes]."""
     mask = np.asarray(keys.is_null())
-    return [np.asarray(keys.fill_null(0), dtype=np.int64).tobytes() + mask.astype(np.uint8).tobytes(), np.diff(texts.offsets).astype(np.int64).tobytes(), squeeze(texts.data.tobytes())]
+    return [np.asarray(keys.fill_null(0), dtype=np.int64).tobytes() + mask.astype(np.uint8).tobytes(), np.diff(texts.offsets).astype(np.int64).tobytes(), squeeze(texts.data.tobytes(), level)]
 
 
 def unpack_texts(keys: bytes, lengths: bytes, data: bytes) -> tuple[pa.Array, Texts]:

@@ -20,6 +20,8 @@ an empty result; further columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,7 +84,7 @@ class Model:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, tails: np.ndarray, tail_n: np.ndarray, tail_v: np.ndarray):
         """hashes, counts, tails: of the tokens with places, by rank. The biases start at the unigram distribution."""
-        self.tail_n, self.tail_v = tail_n, tail_v
+        self.tail_n, self.tail_v, self.is_raised = tail_n, tail_v, False
         self.bits = max(LEAST_BITS, int(ROWS_PER_WORD * len(hashes) - 1).bit_length())
         self.w, self.u = np.zeros((1 << self.bits, CLASSES), np.float32), np.zeros((1 << self.bits, SLOTS), np.float32)
         rank, far = np.arange(len(hashes)), tails[HEAD:]
@@ -101,12 +103,24 @@ class Model:
         for first, n in zip(self.base, nodes, strict=True):
             for k in range(n - 1, 0, -1):  # a node's children come after it
                 mass[first + (k - 1) // FAN, FAN + (k - 1) % FAN] = mass[first + k].sum()
+        self.mixed = mix(np.arange(1, len(mass) + 1, dtype=np.uint64))
         of_class = np.concatenate([mass[:HEAD_CLASSES].sum(1), mass[self.base].sum(1)])
         self.b = np.log(of_class / of_class.sum() + 1e-12).astype(np.float32)
         self.c = np.log(mass / np.maximum(mass.sum(1, keepdims=True), 1e-12) + 1e-12).astype(np.float32)
         by = np.argsort(hashes)
         self.words, self.kind, self.index = hashes[by], kind[by].astype(np.uint8), index[by].astype(np.int32)
 
+    def raised(self) -> Model:
+        """A model for scoring alone, whose weights and biases are the exponentials of this one's: its softmaxes multiply them. The model
+        itself where a product could leave what single precision holds."""
+        most = lambda table: float(np.abs(table).max(initial=0))
+        if self.is_raised or not max(4 * most(self.w) + most(self.b), 4 * most(self.u) + most(self.c)) < 80:
+            return self
+        own = copy.copy(self)
+        own.w, own.u, own.b, own.c = map(np.exp, (self.w, self.u, self.b, self.c))
+        own.is_raised = True
+        return own
+
     def targets(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Class of each token and place in it (0 in a tail class: a word without a place)."""
         at = np.minimum(np.searchsorted(self.words, tokens.hashes), len(self.words) - 1)
@@ -128,49 +142,64 @@ class Model:
 
     def rows(self, features: np.ndarray) -> np.ndarray:
         """Rows of the first softmax."""
-        return (features >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (features >> np.uint64(64 - self.bits)).view(np.int64)
 
     def inner(self, features: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Rows of the softmax of a node: features crossed with the node."""
-        return self.rows((features ^ mix(nodes.astype(np.uint64) + np.uint64(1))[:, None]) * np.uint64(ODD))
+        crossed = features ^ self.mixed.take(nodes)[:, None]
+        crossed *= np.uint64(ODD)
+        return self.rows(crossed)
 
     @staticmethod
-    def powers(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, most: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """What a softmax divides, and by what. Biases are logarithms of shares, so exponents stay far inside what single precision
-        holds; where they do not, they are cut (most)."""
-        z = bias + weights.take(rows[:, 0], 0)
-        for k in range(1, rows.shape[1]):
-            z += weights.take(rows[:, k], 0)
+    def powers(parts, bias: np.ndarray, most: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What a softmax divides, and by what. parts(): the weights to add to the biases, one feature after another. Biases are
+        logarithms of shares, so exponents stay far inside what single precision holds; where they do not, they are cut (most)."""
+        own = parts()
+        z = bias + next(own)
+        for part in own:
+            z += part
         if most:
             np.clip(z, -most, most, out=z)
         with np.errstate(over="ignore"):
             np.exp(z, out=z)
             total = z @ np.ones(z.shape[1], np.float32)
         if not most and len(z) and not (total.min() > 1e-30 and total.max() < 1e30):
-            return Model.powers(weights, rows, bias, 60)
+            return Model.powers(parts, bias, 60)
         return z, total
 
     @staticmethod
     def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        z, total = Model.powers(weights, rows, bias)
+        z, total = Model.powers(lambda: (weights.take(own, 0) for own in rows.T), bias)
         z /= total[:, None]
         return z
 
     @staticmethod
     def share(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, options: np.ndarray) -> np.ndarray:
         """One option's part of each softmax."""
-        z, total = Model.powers(weights, rows, bias)
+        z, total = Model.powers(lambda: (weights.take(own, 0) for own in rows.T), bias)
         return z[np.arange(len(z)), options].astype(float) / total
 
+    @staticmethod
+    def raised_share(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, options: np.ndarray) -> np.ndarray:
+        """As share, from exponentials."""
+        z = weights.take(rows[:, 0], 0)
+        z *= bias
+        for k in range(1, rows.shape[1]):
+            z *= weights.take(rows[:, k], 0)
+        return z[np.arange(len(z)), options].astype(float) / (z @ np.ones(z.shape[1], np.float32))
+
     def log_probability(self, tokens: Tokens, counts: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token; counts: those in training."""
+        if not self.is_raised and (own := self.raised()).is_raised:
+            return own.log_probability(tokens, counts)
+        share = self.raised_share if self.is_raised else self.share
         out, (every, places) = np.empty(len(tokens.hash)), self.targets(tokens)
         for a in range(0, len(out), BATCH):
             b = min(len(out), a + BATCH)
             features, classes, index = tokens.features(a, b), every[a:b], places[a:b]
-            p = self.share(self.w, self.rows(features), self.b, classes)
+            p = share(self.w, self.rows(features), self.b, classes)
             for at, nodes, options in self.steps(classes, index):
-                p[at] *= self.share(self.u, self.inner(features[at], nodes), self.c.take(nodes, 0), options)
+                p[at] *= share(self.u, self.inner(features[at], nodes), self.c.take(nodes, 0), options)
             rest = np.flatnonzero((classes >= HEAD_CLASSES) & (index == 0))
             own = classes[rest] - HEAD_CLASSES
             p[rest] *= (counts[a:b][rest] + ADD) / (self.tail_n[own] + ADD * (self.tail_v[own] + 1))
@@ -178,6 +207,31 @@ class Model:
         return out
 
 
+def whole(table: np.ndarray) -> np.ndarray:
+    """The rows of a table as single values, which are set faster than their numbers."""
+    return table.view(np.dtype((np.void, table.shape[1] * table.itemsize))).ravel()
+
+
+def run_sums(gradient: np.ndarray, token: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the runs, longest first; the sums of the gradients of their tokens in that order). Run i has two tokens at least,
+    token[first[i] : first[i] + many[i]]: the first SHORT of them are added by their places, over all runs at once, what is beyond by runs."""
+    order = np.argsort(-many, kind="stable")
+    first, many = first[order], many[order]
+    total = gradient.take(token[first], 0)
+    total += gradient.take(token[first + 1], 0)
+    beyond = np.searchsorted(-many, -np.arange(SHORT + 1))  # runs of more than k tokens
+    for k in range(2, SHORT):
+        n = beyond[k]
+        if not n:
+            break
+        total[:n] += gradient.take(token[first[:n] + k], 0)
+    n = beyond[SHORT]
+    if n:
+        more = many[:n] - SHORT
+        total[:n] += np.add.reduceat(gradient.take(token[ragged(first[:n] + SHORT, more)], 0), np.cumsum(more) - more, axis=0)
+    return order, total
+
+
 class Rows:
     """The distinct rows of a batch's features (own, in order, each many times), `at`: the number of each feature's row there, and the
     features' tokens in the order of their rows, those of each row beginning at `first`. The tables of weights are much larger than a
@@ -195,22 +249,12 @@ class Rows:
         self.at = at.reshape(rows.shape)
 
     def sums(self, gradient: np.ndarray) -> np.ndarray:
-        """The gradients of each row's tokens, summed: the first SHORT of them by their places, over all rows at once, what longer runs hold beyond by runs."""
+        """The gradients of each row's tokens, summed."""
         total = gradient.take(self.token[self.first], 0)
         left = np.flatnonzero(self.many > 1)
-        left = left[np.argsort(-self.many[left], kind="stable")]
-        first, many = self.first[left], self.many[left]
-        part = gradient.take(self.token[first + 1], 0)
-        for k in range(2, SHORT):
-            n = np.searchsorted(-many, -k)
-            if not n:
-                break
-            part[:n] += gradient.take(self.token[first[:n] + k], 0)
-        n = np.searchsorted(-many, -SHORT)
-        if n:
-            more = many[:n] - SHORT
-            part[:n] += np.add.reduceat(gradient.take(self.token[ragged(first[:n] + SHORT, more)], 0), np.cumsum(more) - more, axis=0)
-        total[left] += part
+        if len(left):
+            order, sums = run_sums(gradient, self.token, self.first[left], self.many[left])
+            whole(total)[left[order]] = whole(sums)
         return total
 
 
@@ -221,38 +265,79 @@ class Trainer:
         self.m = model
         self.w, self.u, self.b, self.c = model.w.copy(), model.u.copy(), model.b.copy(), model.c.copy()
         n = len(model.w)
-        self.met, self.met_u = np.zeros(n), np.zeros(n)
-        self.steep, self.steep_u = np.full(n, 1e-2, np.float32), np.full(n, 1e-2, np.float32)
+        # of each row, read and set at once as the two parts of a complex number: how steep it was, and how often it was met
+        self.row, self.row_u = np.full(n, 1e-2, complex), np.full(n, 1e-2, complex)
         self.n = 0
 
-    def _descend(self, weights, steep, met, rows: Rows, held: np.ndarray, gradient: np.ndarray) -> None:
-        """held: the weights of the batch's rows."""
-        total, many = rows.sums(gradient), rows.many.astype(np.float32)  # each row's step follows its sum over the root of its count
-        new = steep.take(rows.own) + np.einsum("ij,ij->i", total, total) / many
-        steep[rows.own] = new
-        total *= (RATE / np.sqrt(new * many))[:, None]
-        whole = np.dtype((np.void, total.shape[1] * total.itemsize))  # whole rows are set faster than their numbers
+    @staticmethod
+    def _rate(row: np.ndarray, total: np.ndarray, many) -> np.ndarray:
+        """Adds gradients (total) of so many tokens to rows. Each row's step follows its sum over the root of its count."""
+        row.real += np.einsum("ij,ij->i", total, total) / many
+        row.imag += many
+        return (RATE / np.sqrt(row.real * many)).astype(np.float32)[:, None]
+
+    def _outer(self, rows: Rows, classes: np.ndarray) -> np.ndarray:
+        """The first softmax and a step down its gradient, which is returned."""
+        held, row = self.w.take(rows.own, 0), self.row.take(rows.own)
+        g = Model.softmax(held, rows.at, self.b)
+        g.ravel()[np.arange(0, g.size, g.shape[1]) + classes] -= 1
+        total = rows.sums(g)
+        total *= self._rate(row, total, rows.many)
         held -= total
-        weights.view(whole).ravel()[rows.own] = held.view(whole).ravel()
-        met[rows.own] += rows.many
+        np.put(whole(self.w), rows.own, whole(held))
+        self.row[rows.own] = row
+        return g
+
+    def _inner(self, rows: np.ndarray, bias: np.ndarray, options: np.ndarray) -> np.ndarray:
+        """Softmaxes of nodes and a step down their gradient, which is returned. Nearly every row is met by one token of the batch, so
+        weights stay in the order of tokens, feature by feature, and only rows met by several are summed and set apart."""
+        n, features = rows.shape
+        flat = rows.T.ravel()
+        held = self.u.take(flat, 0)
+        parts = held.reshape(features, n, -1)
+        g, total = Model.powers(lambda: iter(parts), bias)
+        g /= total[:, None]
+        g.ravel()[np.arange(0, g.size, g.shape[1]) + options] -= 1
+        packed = np.sort(flat << 16 | np.arange(len(flat)))  # a batch has fewer than 2**16 features
+        ordered = packed >> 16
+        edge = np.diff((ordered[1:] == ordered[:-1]).view(np.int8), prepend=0, append=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        several = None
+        if len(first):
+            many = last - first + 1
+            order, sums = run_sums(g, (packed[ragged(first, many)] & 0xFFFF) % n, np.cumsum(many) - many, many)
+            first, many = first[order], many[order]
+            own, kept = ordered[first], held.take(packed[first] & 0xFFFF, 0)
+            row = self.row_u.take(own)
+            sums *= self._rate(row, sums, many)
+            kept -= sums
+            several = own, kept, row
+
+        row = self.row_u.take(flat)
+        each = row.reshape(features, n)
+        each.real += np.einsum("ij,ij->i", g, g)
+        each.imag += 1
+        rate, change = (RATE / np.sqrt(each.real)).astype(np.float32)[:, :, None], np.empty_like(g)
+        for k in range(features):
+            np.multiply(g, rate[k], out=change)
+            parts[k] -= change
+        np.put(whole(self.u), flat, whole(held))
+        self.row_u[flat] = row
+        if several:
+            own, kept, row = several
+            np.put(whole(self.u), own, whole(kept))
+            self.row_u[own] = row
+        return g
 
     def see(self, tokens: Tokens) -> None:
         every, places = self.m.targets(tokens)
         for a in range(0, len(tokens.hash), BATCH):
             b = min(len(tokens.hash), a + BATCH)
             features, classes, index = tokens.features(a, b), every[a:b], places[a:b]
-            rows = Rows(self.m.rows(features))
-            held = self.w.take(rows.own, 0)
-            g = Model.softmax(held, rows.at, self.b)
-            g[np.arange(b - a), classes] -= 1
-            self._descend(self.w, self.steep, self.met, rows, held, g)
-            self.b -= RATE * g.mean(0)
+            g = self._outer(Rows(self.m.rows(features)), classes)
+            self.b -= RATE * (np.full(b - a, 1 / (b - a), np.float32) @ g)
             for at, nodes, options in self.m.steps(classes, index):
-                rows = Rows(self.m.inner(features[at], nodes))
-                held = self.u.take(rows.own, 0)
-                g = Model.softmax(held, rows.at, self.c.take(nodes, 0))
-                g[np.arange(len(at)), options] -= 1
-                self._descend(self.u, self.steep_u, self.met_u, rows, held, g)
+                g = self._inner(self.m.inner(features[at], nodes), self.c.take(nodes, 0), options)
                 head = np.flatnonzero(nodes < HEAD_CLASSES)  # the other biases stay at the unigram distribution
                 if len(head):
                     one = np.zeros((HEAD_CLASSES, len(head)), np.float32)
@@ -269,7 +354,7 @@ def _updates(t: Trainer):
     """The trainer's changes and how often it met each row, in blocks of rows; the last block has the biases. Half precision keeps
     the exchange small; sums are taken in double precision."""
     blocks = len(t.w) // _BLOCK
-    for base, (new, old, met) in enumerate(((t.w, t.m.w, t.met), (t.u, t.m.u, t.met_u))):
+    for base, (new, old, met) in enumerate(((t.w, t.m.w, t.row.imag), (t.u, t.m.u, t.row_u.imag))):
         for k in range(blocks):
             at = slice(k * _BLOCK, (k + 1) * _BLOCK)
             if met[at].any():
@@ -380,12 +465,12 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     told = stored(asked.groupBy("part").applyInArrow(_count, CHUNK_SCHEMA), "maxent-counts")
     swept(spark)
     model, total, distinct = _model(told.filter("chunk = -1").collect())
-    model = train(marked.filter("not held_out"), model, rounds)
+    model = train(marked.filter("not held_out"), model, rounds).raised()
     unigram = total + ADD * (distinct + 1)
 
     def texts(batches):
         for chunk, keys, own in chunks(batches):
-            yield chunk_batch([(chunk, -1, *pack_texts(keys, own))])
+            yield chunk_batch([(chunk, -1, *pack_texts(keys, own, 1))])
 
     def run(group: pa.Table) -> pa.Table:
         (keys, own), answers = read_chunk(group)

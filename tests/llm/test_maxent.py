@@ -135,3 +135,38 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, None), (None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert len(maxent.scores(docs).collect()) == 4
     assert maxent.scores(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 30])
+def test_scoring_by_exponentials(size):
+    """Products of exponentials give the shares of the softmax; weights too large for them are scored from their sums."""
+    r = np.random.default_rng(4)
+    hashes, counts, tails = r.integers(1 << 62, size=2000).astype(np.uint64), np.arange(2000, 0, -1) + 100, np.arange(2000) % 16
+    model = maxent.Model(hashes, counts, tails, np.full(16, 50.0), np.full(16, 5.0))
+    model.w, model.u = ((r.uniform(-size, size, t.shape)).astype(np.float32) for t in (model.w, model.u))
+    own, rows = model.raised(), r.integers(len(model.w), size=(300, 4))
+    assert own.is_raised == (size == 1) and not model.is_raised
+    if own.is_raised:
+        options = r.integers(maxent.CLASSES, size=300)
+        assert np.allclose(maxent.Model.raised_share(own.w, rows, own.b, options), maxent.Model.share(model.w, rows, model.b, options), rtol=1e-5)
+    tokens = maxent.Tokens(Texts.of(pa.array(["a b c d e f g " * 50])))
+    assert np.isfinite(model.log_probability(tokens, np.zeros(len(tokens.hash), np.int64))).all()
+
+
+def test_step_of_inner_softmaxes():
+    """A step down the gradient of a batch, with rows met once, twice, very often and several times by one token, against one row after another."""
+    r = np.random.default_rng(5)
+    for n, most in ((1, 3), (50, 2), (400, 300), (4000, 20_000)):
+        model = maxent.Model(np.arange(1, 601, dtype=np.uint64), np.arange(700, 100, -1), np.arange(600) % 16, np.full(16, 50.0), np.full(16, 5.0))
+        trainer, rows = maxent.Trainer(model), np.minimum((most * r.random((n, 4)) ** 2).astype(np.int64), len(model.u) - 1)
+        trainer.u[:] = r.normal(size=trainer.u.shape)
+        before, options, bias = trainer.u.astype(float), r.integers(maxent.SLOTS, size=n), r.normal(size=(n, maxent.SLOTS)).astype(np.float32)
+        g = trainer._inner(rows, bias, options)
+        z = np.exp(bias + before[rows].sum(1))
+        want = z / z.sum(1, keepdims=True) - np.eye(maxent.SLOTS)[options]
+        assert np.allclose(g, want, atol=1e-5)
+        total, many = np.zeros(before.shape), np.bincount(rows.ravel(), minlength=len(before))
+        np.add.at(total, rows.ravel(), np.repeat(want, 4, axis=0))
+        steep = 1e-2 + (total**2).sum(1) / np.maximum(many, 1)
+        assert np.allclose(trainer.u, before - total * (maxent.RATE / np.sqrt(steep * np.maximum(many, 1)))[:, None], atol=1e-3)
+        assert (trainer.row_u.imag == many).all() and np.allclose(trainer.row_u.real, steep, rtol=1e-3)
