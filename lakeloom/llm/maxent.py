@@ -175,9 +175,9 @@ class Model:
 
     @staticmethod
     def share(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, options: np.ndarray) -> np.ndarray:
-        """One option's part of each softmax."""
-        z, total = Model.powers(lambda: (weights.take(own, 0) for own in rows.T), bias)
-        return z[np.arange(len(z)), options].astype(float) / total
+        """One option's part of each softmax. Rows are summed one by one, so that equal ones have equal shares wherever they stand."""
+        z, _ = Model.powers(lambda: (weights.take(own, 0) for own in rows.T), bias)
+        return z[np.arange(len(z)), options].astype(float) / z.sum(1)
 
     @staticmethod
     def raised_share(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, options: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ class Model:
         z *= bias
         for k in range(1, rows.shape[1]):
             z *= weights.take(rows[:, k], 0)
-        return z[np.arange(len(z)), options].astype(float) / (z @ np.ones(z.shape[1], np.float32))
+        return z[np.arange(len(z)), options].astype(float) / z.sum(1)
 
     def log_probability(self, tokens: Tokens, counts: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token; counts: those in training."""

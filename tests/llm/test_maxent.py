@@ -170,3 +170,15 @@ def test_step_of_inner_softmaxes():
         steep = 1e-2 + (total**2).sum(1) / np.maximum(many, 1)
         assert np.allclose(trainer.u, before - total * (maxent.RATE / np.sqrt(steep * np.maximum(many, 1)))[:, None], atol=1e-3)
         assert (trainer.row_u.imag == many).all() and np.allclose(trainer.row_u.real, steep, rtol=1e-3)
+
+
+@pytest.mark.parametrize("size", [1, 30])
+def test_equal_texts_have_equal_scores(size):
+    """Wherever they stand in a batch, to the last bit."""
+    r = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(40)]
+    tokens = maxent.Tokens(Texts.of(pa.array([" ".join(words)] * 50)))
+    model = maxent.Model(tokens.hashes[::-1], np.arange(41, 0, -1) + 100, tokens.tails[::-1], np.full(16, 50.0), np.full(16, 5.0))
+    model.w, model.u = ((r.uniform(-size, size, t.shape)).astype(np.float32) for t in (model.w, model.u))
+    assert model.raised().is_raised == (size == 1)
+    assert len(np.unique(model.log_probability(tokens, np.full(len(tokens.hash), 3)).reshape(50, 41), axis=0)) == 1
