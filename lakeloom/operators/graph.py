@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.sources.tables import counted, spread, stored
+from lakeloom.sources.tables import PER_TASK, counted, spread, stored
 
 MAX_NODES, MAX_HOPS = 200, 2000
 
@@ -21,18 +21,27 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant"), F.lit(1).alias("min_hops"), F.lit(1).cast("long").alias("path_cnt"))
 
 
-def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """As spread; what one task could hold is dealt without a number, so Spark joins small partitions up."""
+    return spread(df, rows, *keys) if rows > PER_TASK else df.repartition(*keys)
+
+
+def closure(edges: DataFrame, sources: DataFrame | None = None, kept: bool = True) -> DataFrame:
     """edges(src, dst) → ancestor, descendant, min_hops, path_cnt (number of shortest paths); nothing reaches itself. sources(src):
-    only from these ancestors.
+    only from these ancestors. kept=False: the outermost layer, most of the rows, is not written but made as it is read, for who reads it once.
 
     Edges into nodes that lead nowhere are taken off as a layer, as long as a layer holds half of the edges that are left (so all layers together move
     twice the edges at most). What is then left, cycles among it, goes level by level; layers follow inside out, where pairs of a layer come from the pairs
-    found so far and one step, and are summed once: they can be in no other layer."""
+    found so far and one step, and are summed once: they can be in no other layer.
+
+    An edge moves once to be told apart and marked, once to meet its source's ancestors, and once with all of them in lists (see _packed) to its end,
+    where they are summed. Hubs, where more than PER_TASK edges end, are dealt to several tasks."""
     starts = None if sources is None else sources.select("src").distinct()
-    rest, layers, seen = _plain(edges), [], None
+    rest, layers, seen = edges.select("src", "dst").filter("src <> dst"), [], None
+    found = edges.groupBy("dst").count().agg(F.sum("count"), F.max("count"), F.collect_list(F.when(F.col("count") > PER_TASK, F.col("dst")))).first()
+    left, parts, hubs = found[0] or 0, (found[1] or 0) // PER_TASK + 1, found[2]  # a hub has PER_TASK edges, so hubs are few
     while True:
-        inner = rest.select(F.col("src").alias("dst"), F.lit(True).alias("onward")).distinct()
-        marked, n, _ = counted(rest.join(inner, "dst", "left").select("src", "dst", F.coalesce("onward", F.lit(False)).alias("onward")), "layer")
+        marked, n, _ = counted(_marked(rest, left, hubs, parts), "layer")
         rest = marked.filter("onward").select("src", "dst")
         left = rest.count()
         if 2 * left > n:
@@ -41,21 +50,54 @@ def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
         layers.append((marked.filter("not onward").select("src", "dst"), n - left, rest))
         if not left:
             break
-    for ends, n, inner in reversed(layers):
-        own = lambda df: df if starts is None else df.join(starts, "src", "left_semi")
-        if seen is None:
-            seen = stored(_pairs(own(ends)), "pairs")
-            continue
-        heads = inner.select("src").distinct()  # from other nodes an edge is the only way
-        size = n + seen.count()
-        before, after = spread(seen, size, "descendant"), spread(ends, size, "src")
-        walks = before.join(after, before["descendant"] == after["src"]).select("ancestor", F.col("dst").alias("descendant"), (F.col("min_hops") + 1).alias("min_hops"), "path_cnt")
-        lengths = sorted({1, *(r[0] + 1 for r in seen.select("min_hops").distinct().collect())})
-        both = _shortest(walks.unionByName(_pairs(own(ends).join(heads, "src", "left_semi"))), lengths)
-        seen = seen.unionByName(stored(both.unionByName(_pairs(own(ends).join(heads, "src", "left_anti"))), "pairs"))
+    while layers:
+        ends, n, inner = layers.pop()
+        pairs = _pairs(ends if starts is None else ends.join(starts, "src", "left_semi")) if seen is None else _layer(seen, ends, n, inner.select("src").distinct(), starts, hubs)
+        pairs = stored(pairs, "pairs") if kept or layers else pairs
+        seen = pairs if seen is None else seen.unionByName(pairs)
     return seen
 
 
+def _marked(edges: DataFrame, n: int, hubs: list, parts: int) -> DataFrame:
+    """Distinct edges of n, and whether their end leads on. Edges into a hub are dealt to `parts` places, so its mark is at each."""
+    inner = edges.select(F.col("src").alias("dst"), F.lit(True).alias("onward")).distinct()
+    keys = ["dst"]
+    if hubs:
+        keys, hub = ["dst", "part"], F.col("dst").isin(hubs)
+        edges = edges.withColumn("part", F.when(hub, F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int")).otherwise(0))
+        inner = inner.withColumn("part", F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return _dealt(edges, n, *keys).distinct().join(inner, keys, "left").select("src", "dst", F.coalesce("onward", F.lit(False)).alias("onward"))
+
+
+def _layer(seen: DataFrame, ends: DataFrame, n: int, heads: DataFrame, starts: DataFrame | None, hubs: list) -> DataFrame:
+    """The pairs that end in a layer of n edges, from those seen. An edge is the shortest path of its pair and needs no move. Only heads(src) have
+    other ways to a node than an edge of the layer: they are in their own lists, so these ways are known by their edge and left out."""
+    own = lambda df: df if starts is None else df.join(starts, "src", "left_semi")
+    size = n + seen.count()
+    lengths = sorted({1, *(r[0] + 1 for r in seen.select("min_hops").distinct().collect())})
+    selves = own(heads).select(F.col("src").alias("ancestor"), F.col("src").alias("descendant"), F.lit(0).alias("min_hops"), F.lit(1).cast("long").alias("path_cnt"))
+    lists = _packed(_dealt(seen.unionByName(selves), size, "descendant")).withColumnRenamed("descendant", "src")
+    flat = lambda df: df.select("descendant", F.inline(F.arrays_zip("ancestor", "min_hops", "path_cnt")))
+
+    def further(edges: DataFrame, apart: bool) -> DataFrame:
+        ways = _dealt(edges, size, "src").join(lists, "src").select(F.col("dst").alias("descendant"), "ancestor", "min_hops", "path_cnt")
+        return _shortest(flat(_dealt(ways, size, "descendant") if apart else ways), lengths).filter("min_hops > 1")
+
+    out = _pairs(own(ends))
+    if not hubs:
+        return out.unionByName(further(ends, True))
+    hub = F.col("dst").isin(hubs)  # walks there are dealt by both of their ends
+    return out.unionByName(further(ends.filter(~hub), True)).unionByName(further(ends.filter(hub), False))
+
+
+def _packed(pairs: DataFrame, most: int = 1000) -> DataFrame:
+    """Pairs dealt by descendant → descendant and its ancestors, each one hop further, in lists of at most `most`: ancestor, min_hops, path_cnt."""
+    place = F.row_number().over(Window.partitionBy("descendant").orderBy("ancestor"))
+    way = F.struct("ancestor", (F.col("min_hops") + 1).alias("min_hops"), "path_cnt")
+    lists = pairs.withColumn("part", F.floor((place - 1) / most)).groupBy("descendant", "part").agg(F.collect_list(way).alias("ways"))
+    return lists.select("descendant", "ways.ancestor", "ways.min_hops", "ways.path_cnt")
+
+
 def _shortest(walks: DataFrame, lengths: list[int], most: int = 8) -> DataFrame:
     """Walks of a pair summed, those of least length. Of few lengths each has a sum of its own, so walks move once."""
     if len(lengths) > most:

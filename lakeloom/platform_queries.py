@@ -16,7 +16,7 @@ from lakeloom.functions import columns as C
 from lakeloom.operators import diff, fold, graph, portal, quality, search
 from lakeloom.plans import lineage, rebuild
 from lakeloom.plans import metrics as M
-from lakeloom.queries import DAG, audit, both_sides, dag, families, key, last_moment, query, ring, views, walks
+from lakeloom.queries import DAG, audit, both_sides, dag, families, key, last_moment, links, query, ring, views, walks
 from lakeloom.queries import RING as RING_SQL
 from lakeloom.sources import feeds, synth
 from lakeloom.sources.tables import Generations, metastore_tables, shared_dir, stored, table
@@ -394,14 +394,14 @@ def path_details(spark, sf):
 
 @query(walks(DAG, 5) + "SELECT descendant, min_hops, path_cnt, c_mktsegment AS layer, CAST(c_nationkey AS VARCHAR) AS domain, c_name AS owner FROM (SELECT descendant, min_hops, path_cnt FROM k WHERE ancestor = 'r:2' ORDER BY min_hops, descendant LIMIT 40) x LEFT JOIN customer ON descendant = 'c:' || c_custkey")
 def impact_card(spark, sf):
-    closed = graph.closure(dag(spark, sf), spark.createDataFrame([("r:2",)], "src string"))
+    closed = graph.closure(links(spark, sf), spark.createDataFrame([("r:2",)], "src string"))
     about = table(spark, sf, "customer").select(key("c:", "c_custkey").alias("full_name"), F.col("c_mktsegment").alias("layer"), F.col("c_nationkey").cast("string").alias("domain"), F.col("c_name").alias("owner"))
     return graph.impact(closed, "r:2", 1, 40, about)
 
 
 @query(walks(DAG, 5) + "SELECT 'n' || c_nationkey AS task, CAST(count(DISTINCT descendant) AS BIGINT) AS affected FROM k JOIN customer ON descendant = 'c:' || c_custkey WHERE ancestor = 'r:2' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2 OFFSET 2")
 def impact_task_page(spark, sf):
-    closed = graph.closure(dag(spark, sf), spark.createDataFrame([("r:2",)], "src string"))
+    closed = graph.closure(links(spark, sf), spark.createDataFrame([("r:2",)], "src string"))
     owners = table(spark, sf, "customer").select(key("c:", "c_custkey").alias("descendant"), key("n", "c_nationkey").alias("task"))
     return graph.impact_by(closed, "r:2", owners, page=2, size=2)
 

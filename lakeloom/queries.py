@@ -34,8 +34,8 @@ def key(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def dag(spark: SparkSession, sf: str) -> DataFrame:
-    """region → nation → customer → order → part, and nation → supplier → part."""
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """region → nation → customer → order → part, and nation → supplier → part; links of lines repeat."""
     t = lambda name: table(spark, sf, name)
     pairs = [
         t("nation").select(key("r:", "n_regionkey").alias("src"), key("n:", "n_nationkey").alias("dst")),
@@ -48,7 +48,11 @@ def dag(spark: SparkSession, sf: str) -> DataFrame:
     out = pairs[0]
     for p in pairs[1:]:
         out = out.union(p)
-    return out.distinct()
+    return out
+
+
+def dag(spark: SparkSession, sf: str) -> DataFrame:
+    return links(spark, sf).distinct()
 
 
 DAG = """
@@ -82,7 +86,7 @@ k AS (SELECT a AS ancestor, d AS descendant, CAST(min(h) AS INTEGER) AS min_hops
 
 @query(walks(DAG, 5) + "SELECT * FROM k")
 def closure_dag(spark, sf):
-    return graph.closure(dag(spark, sf))
+    return graph.closure(links(spark, sf), kept=False)
 
 
 @query(walks(RING, 12) + "SELECT * FROM k")
@@ -143,18 +147,18 @@ def path_pairs(spark, sf):
 
 @query(walks(DAG, 5) + "SELECT descendant, min_hops, path_cnt FROM k WHERE ancestor = 'r:1' ORDER BY min_hops, descendant LIMIT 50 OFFSET 50")
 def impact_table(spark, sf):
-    return graph.impact(graph.closure(dag(spark, sf), spark.createDataFrame([("r:1",)], "src string")), "r:1", page=2, size=50)
+    return graph.impact(graph.closure(links(spark, sf), spark.createDataFrame([("r:1",)], "src string")), "r:1", page=2, size=50)
 
 
 @query(walks(DAG, 5) + "SELECT CAST(count(*) AS BIGINT) AS total_downstream FROM k WHERE ancestor = 'r:1'")
 def impact_total(spark, sf):
-    return graph.closure(dag(spark, sf), spark.createDataFrame([("r:1",)], "src string")).agg(F.count("*").alias("total_downstream"))
+    return graph.closure(links(spark, sf), spark.createDataFrame([("r:1",)], "src string")).agg(F.count("*").alias("total_downstream"))
 
 
 @query(walks(DAG, 5) + "SELECT o_orderpriority AS task, CAST(count(DISTINCT descendant) AS BIGINT) AS affected FROM k JOIN orders ON descendant = 'o:' || o_orderkey WHERE ancestor = 'r:1' GROUP BY 1")
 def impact_task(spark, sf):
     owners = table(spark, sf, "orders").select(key("o:", "o_orderkey").alias("descendant"), F.col("o_orderpriority").alias("task"))
-    return graph.impact_by(graph.closure(dag(spark, sf), spark.createDataFrame([("r:1",)], "src string")), "r:1", owners)
+    return graph.impact_by(graph.closure(links(spark, sf), spark.createDataFrame([("r:1",)], "src string")), "r:1", owners)
 
 
 def bfs(here: str, there: str, start: str, edges: str) -> str:

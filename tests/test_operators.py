@@ -74,6 +74,50 @@ def test_closure_takes_off_what_leads_nowhere(spark, monkeypatch):
     assert rows_of(graph.closure(df(tree).filter("false"))) == {}
 
 
+def moved(spark, do):
+    """What do() gives, and how many rows all its shuffles wrote."""
+    sc, lists = spark.sparkContext._jsc.sc(), spark._jvm.java.util.ArrayList
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(lists(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), lists())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    before = max(stages(), default=-1)
+    out = do()
+    return out, sum(n for k, n in stages().items() if k > before)
+
+
+def test_closure_moves_an_edge_three_times(spark):
+    """Told apart and marked, to its source's ancestors, to its end: neither walks nor pairs move, however many there are to an edge."""
+    r = random.Random(3)
+    chain = [(k, k + 1) for k in range(8)]  # 8 ends the chain: all before it are ancestors of what follows
+    edges = chain + [(8, 100 + k) for k in range(400)] + [e for k in range(400) for e in {(100 + k, 1000 + r.randrange(500)) for _ in range(25)}]
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(2).localCheckpoint()
+    got, n = moved(spark, lambda: rows_of(graph.closure(df)))
+    assert got == brute_closure(edges) and n < 4 * len(edges)
+
+
+@pytest.mark.parametrize("most", [2, 6])
+def test_closure_of_hubs(spark, monkeypatch, most):
+    """Nodes where more edges end than a task is given: the same pairs."""
+    r = random.Random(most)
+    monkeypatch.setattr(graph, "PER_TASK", most)
+    tree = [(k // 3, k) for k in range(1, 40)] + [(r.randrange(40), 50 + r.randrange(9)) for _ in range(130)] + [(3, 3)] * 9 + [(1, 5)] * 4
+    df = lambda e: spark.createDataFrame(e, "src long, dst long")
+    want = brute_closure(tree[1:])
+    assert rows_of(graph.closure(df(tree[1:]), kept=False)) == want
+    assert rows_of(graph.closure(df(tree[1:]), df([(1, 0), (7, 0)]))) == {p: w for p, w in want.items() if p[0] in (1, 7)}
+    texts = spark.createDataFrame([(f"a{k % 13}", None if k % 5 else "h") for k in range(40)] + [("h", f"z{k}") for k in range(20)], "src string, dst string")
+    assert rows_of(graph.closure(texts)) == brute_closure([(f"a{k % 13}", "h") for k in range(0, 40, 5)] + [("h", f"z{k}") for k in range(20)])
+
+
+def test_closure_of_many_ancestors(spark):
+    """More ancestors than a list takes."""
+    fan = [(1000 + k, 0) for k in range(1500)] + [(0, 1), (1005, 1)] + [(7, 10000 + k) for k in range(1600)]
+    assert rows_of(graph.closure(spark.createDataFrame(fan, "src long, dst long"))) == brute_closure(fan)
+
+
 def test_small_graphs(spark):
     df = lambda e: spark.createDataFrame(e, "src string, dst string")
     assert rows_of(graph.closure(df([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "d")])))["a", "d"] == (2, 2)
